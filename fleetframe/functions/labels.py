@@ -29,7 +29,8 @@ class LabelScheme:
 
 def to_int(text: Column) -> Column:
     """Whole number of a text, null if it is not one. Single underscores between digits are allowed."""
-    return F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "").try_cast("int")
+    plain = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")
+    return F.coalesce(text.try_cast("int"), F.when(text.contains("_"), plain.try_cast("int")))
 
 
 def default_to(value: Column, default) -> Column:
@@ -45,11 +46,8 @@ def env_value(env: Column, variable: str) -> Column:
 
 def canonical_type(raw: Column) -> Column:
     """Canonical deployment type; blanks, underscores and case do not matter. Null if unknown."""
-    spelled = F.lower(F.translate(raw, " _", "--"))
-    result = F.lit(None).cast("string")
-    for key, name in fixed.TYPE_NAMES.items():
-        result = F.when(spelled == key, F.lit(name)).otherwise(result)
-    return result
+    names = F.create_map(*[F.lit(x) for pair in fixed.TYPE_NAMES.items() for x in pair])
+    return F.try_element_at(names, F.lower(F.translate(raw, " _", "--")))
 
 
 def known_type(raw: Column) -> Column:
@@ -63,12 +61,19 @@ def short_id(full: Column) -> Column:
     return F.substring(full, 1, 12)
 
 
-def overlay(labels: Column, values: dict[str, Column]) -> Column:
-    """``labels`` with ``values`` put over them; does not depend on the session's duplicate-key policy."""
-    names = F.array(*[F.lit(k) for k in values])
-    kept = F.map_filter(labels, lambda k, _: ~F.array_contains(names, k))
+def overlay(labels: Column, values: dict[str, Column], prefix: str | None = None) -> Column:
+    """``labels`` with ``values`` put over them, with ``prefix`` only those labels that start with it.
+
+    Does not depend on the session's duplicate-key policy.
+    """
+    names = list(values)
+
+    def stays(key: Column, _: Column) -> Column:
+        other = ~key.isin(names)
+        return other & F.startswith(key, F.lit(prefix)) if prefix else other
+
     flat = [x for k, v in values.items() for x in (F.lit(k), v)]
-    return F.map_concat(kept, F.create_map(*flat))
+    return F.map_concat(F.map_filter(labels, stays), F.create_map(*flat))
 
 
 def prefixed_only(labels: Column, prefix: str) -> Column:

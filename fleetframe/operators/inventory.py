@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
-from fleetframe.functions import LabelScheme, canonical_type, default_to, overlay, prefixed_only, short_id
+from fleetframe.functions import LabelScheme, canonical_type, default_to, overlay, short_id
 from fleetframe.functions.labels import env_value
 from fleetframe.operators.skew import HotKeys, keyed_join, matching
 
@@ -67,8 +67,7 @@ def flat_labels(records: DataFrame, scheme: LabelScheme = LabelScheme(), prefixe
         scheme.key("mongo-version"): version,
         scheme.key("type"): default_to(raw, fixed.STANDALONE),
     }
-    laid = overlay(F.col("labels"), values)
-    return records.select("seq", (prefixed_only(laid, scheme.prefix) if prefixed else laid).alias("labels"))
+    return records.select("seq", overlay(F.col("labels"), values, scheme.prefix if prefixed else None).alias("labels"))
 
 
 def unknown_types(landed: DataFrame) -> DataFrame:
@@ -90,16 +89,15 @@ def missing(nodes: DataFrame, names: DataFrame, include_stopped: bool = False) -
 
 def children(nodes: DataFrame, managers: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Everything that goes with each manager in ``managers`` (column ``manager``): nodes that name it as parent, and
-    nodes of its application database group. One row per (manager, node)."""
+    nodes of its application database group. One row per (manager, node, relation)."""
     named = managers.select("manager").distinct()
-    as_parent = keyed_join(nodes.withColumn("manager", F.col("parent")), named, "manager", "left_semi", hot)
-    suffix = len(fixed.APP_DB_SUFFIX)
-    owner = F.when(F.endswith("grp", F.lit(fixed.APP_DB_SUFFIX)), F.expr(f"left(grp, length(grp) - {suffix})"))
-    app_db = nodes.withColumn("manager", owner).where(F.col("manager").isNotNull())
-    as_database = keyed_join(app_db, named, "manager", "left_semi")
-    return as_parent.withColumn("relation", F.lit("child")).unionByName(
-        as_database.withColumn("relation", F.lit("app-db"))
+    owner = F.when(
+        F.endswith("grp", F.lit(fixed.APP_DB_SUFFIX)), F.expr(f"left(grp, length(grp) - {len(fixed.APP_DB_SUFFIX)})")
     )
+    link = lambda relation, name: F.struct(F.lit(relation).alias("relation"), name.alias("manager"))
+    links = F.explode(F.array(link("child", F.col("parent")), link("app-db", owner))).alias("link")
+    linked = nodes.select("*", links).select(*nodes.columns, "link.relation", "link.manager")
+    return keyed_join(linked, named, "manager", "left_semi", hot)
 
 
 def attach_manager(servers: DataFrame, managers: DataFrame, hot: HotKeys | None = None) -> DataFrame:

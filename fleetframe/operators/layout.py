@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
-from fleetframe.operators.rollup import SINGLE_TYPES, order_key, rollup
-from fleetframe.operators.skew import HotKeys, hot_keys, keyed_join, positions
+from fleetframe.operators.rollup import SINGLE_TYPES, order_key, with_rollup, with_rollup_joined
+from fleetframe.operators.skew import HotKeys, hot_keys, positions, range_positions, window_positions
 
 PART_ROWS = 10_000
+NODE_FIELDS = [
+    "seq", "grp", "node", "role", "port", "shard_id", "status", "arbiter", "member_version", "id", "image_tags",
+    "data_dir", "container_data_dir",
+]
+_REPORT_ORDER = ["section", "sorter", "seq"]
 
 
 def member_order(nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -64,9 +69,28 @@ def listing(nodes: DataFrame, order: str = "product", part_rows: int = PART_ROWS
     """
     nodes = nodes.where(F.col("grp").isNotNull())
     hot = hot if hot is not None else hot_keys(nodes, ["grp"])
-    rolled = rollup(nodes, order)
-    headers = rolled.select("grp", F.struct(*rolled.columns).alias("of"))
-    joined = keyed_join(nodes, headers, "grp", "inner", hot)
+    shown = _shown(with_rollup(hot.without(nodes) if hot else nodes, NODE_FIELDS, order), order)
+    placed = window_positions(shown, ["grp"], _REPORT_ORDER, "place")
+    if hot:
+        shown = _shown(with_rollup_joined(hot.only(nodes), NODE_FIELDS, order, few=hot.small), order)
+        placed = placed.unionByName(range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=hot.count))
+    clustered = F.col("of.deployment_type") == fixed.SHARDED
+    return (
+        placed.where(~F.col("single") | (F.col("place") == 1))
+        .withColumn("member_no", F.col("place") - F.col("of.n_config") - F.col("of.n_router"))
+        .withColumns({
+            "chunk": F.when(
+                clustered & (F.col("section") == 2) & (F.col("of.chunk_size") > 0),
+                F.expr("(member_no - 1) div greatest(of.chunk_size, 1)"),
+            ),
+            "part": F.expr(f"(place - 1) div {int(part_rows)}"),
+        })
+        .drop("sorter", "single", "member_no")
+    )
+
+
+def _shown(joined: DataFrame, order: str) -> DataFrame:
+    """Nodes that a report shows, with the columns they are sorted by."""
     kind, role = F.col("of.deployment_type"), F.col("role")
     clustered = kind == fixed.SHARDED
     single = kind.isin([*SINGLE_TYPES, fixed.SERVER_GROUP])
@@ -81,18 +105,4 @@ def listing(nodes: DataFrame, order: str = "product", part_rows: int = PART_ROWS
         .when(clustered & (role == fixed.MEMBER), order_key(order))
         .otherwise(F.col("port").cast("long"))
     )
-    shown = joined.withColumns({"section": section, "sorter": sorter, "single": single}).where("section IS NOT NULL")
-    placed = positions(shown, ["grp"], [F.col("section"), F.col("sorter"), F.col("seq")], "place", hot=hot)
-    member_no = F.col("place") - F.col("of.n_config") - F.col("of.n_router")
-    return (
-        placed.where(~F.col("single") | (F.col("place") == 1))
-        .withColumn("member_no", member_no)
-        .withColumns({
-            "chunk": F.when(
-                clustered & (F.col("section") == 2) & (F.col("of.chunk_size") > 0),
-                F.expr("(member_no - 1) div greatest(of.chunk_size, 1)"),
-            ),
-            "part": F.expr(f"(place - 1) div {int(part_rows)}"),
-        })
-        .drop("sorter", "single", "member_no")
-    )
+    return joined.withColumns({"section": section, "sorter": sorter, "single": single}).where("section IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
@@ -27,40 +27,64 @@ def order_key(order: str = "product") -> Column:
     raise ValueError(f"unknown shard order: {order}")
 
 
-def rollup(nodes: DataFrame, order: str = "product") -> DataFrame:
-    """All measures of every group, for every type, in one pass over typed nodes with a ``grp``.
+def measures(order: str = "product") -> dict[str, Column]:
+    """The aggregates of a group of typed nodes from which every field of its roll-up follows.
 
     Only counts, minima and first-row picks are kept per group, so map tasks combine a hot group before the shuffle.
     """
     role, running = F.col("role"), F.col("status") == fixed.RUNNING
     is_member = role == fixed.MEMBER
-    when_role = lambda r, value: F.when(role == r, value)
-    measured = (
-        nodes.where(F.col("grp").isNotNull())
-        .groupBy("grp")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(running).alias("running_rows"),
-            F.count_if(~running | F.col("status").isNull()).alias("stopped_rows"),
-            F.min("port").alias("min_port"),
-            F.max("port").alias("max_port"),
-            F.count_if(role == fixed.CONFIG).alias("n_config"),
-            F.count_if(role == fixed.ROUTER).alias("n_router"),
-            F.count_if(is_member).alias("n_member"),
-            F.count_if(running & role.isin(fixed.CONFIG, fixed.ROUTER)).alias("running_fixed"),
-            F.count_if(running & is_member).alias("running_member"),
-            F.min(when_role(fixed.CONFIG, F.col("port"))).alias("config_start"),
-            F.min_by("shard_count", F.when(is_member, F.struct(order_key(order).alias("k"), "seq"))).alias("shard_count"),
-            F.min_by(
-                F.struct("type", "node", "port", "raw_port", "status", "version", "group_size", "start_port"), "seq"
-            ).alias("first"),
-            F.coalesce(F.bool_or("label_error"), F.lit(False)).alias("label_error"),
-        )
+    in_order = F.when(is_member, F.struct(order_key(order).alias("k"), "seq"))
+    first_fields = ["type", "node", "port", "raw_port", "status", "version", "group_size", "start_port"]
+    return {
+        "rows": F.count(F.lit(1)),
+        "running_rows": F.count_if(running),
+        "stopped_rows": F.count_if(~running | F.col("status").isNull()),
+        "min_port": F.min("port"),
+        "max_port": F.max("port"),
+        "n_config": F.count_if(role == fixed.CONFIG),
+        "n_router": F.count_if(role == fixed.ROUTER),
+        "n_member": F.count_if(is_member),
+        "running_fixed": F.count_if(running & role.isin(fixed.CONFIG, fixed.ROUTER)),
+        "running_member": F.count_if(running & is_member),
+        "config_start": F.min(F.when(role == fixed.CONFIG, F.col("port"))),
+        "group_shards": F.min_by("shard_count", in_order),
+        "first": F.min_by(F.struct(*first_fields), "seq"),
+        "label_error": F.max(F.coalesce(F.col("label_error"), F.lit(False))),
+    }
+
+
+def rollup(nodes: DataFrame, order: str = "product") -> DataFrame:
+    """All measures of every group, for every type, in one pass over typed nodes."""
+    grouped = nodes.where(F.col("grp").isNotNull()).groupBy("grp")
+    return _dispatch(grouped.agg(*[m.alias(name) for name, m in measures(order).items()]))
+
+
+def with_rollup(nodes: DataFrame, keep: list[str], order: str = "product") -> DataFrame:
+    """The columns ``keep`` of every node next to the roll-up of its group as ``of``.
+
+    The measures are taken over a window, which brings nodes and roll-up together with one shuffle of the nodes. For
+    groups small enough for one task each; see ``with_rollup_joined`` for others.
+    """
+    group = Window.partitionBy("grp")
+    measured = nodes.where(F.col("grp").isNotNull()).select(
+        "grp",
+        F.struct(*keep).alias("kept"),
+        *[m.over(group).alias(name) for name, m in measures(order).items()],
     )
-    return _dispatch(measured)
+    rolled = _dispatch(measured, ["kept"])
+    return rolled.select("kept.*", F.struct(*[c for c in rolled.columns if c != "kept"]).alias("of"))
+
+
+def with_rollup_joined(nodes: DataFrame, keep: list[str], order: str = "product", few: bool = False) -> DataFrame:
+    """The same by a join with the aggregated roll-up; with ``few`` groups the roll-up is broadcast."""
+    rolled = rollup(nodes, order)
+    of = rolled.select("grp", F.struct(*rolled.columns).alias("of"))
+    joined = nodes.where(F.col("grp").isNotNull()).join(F.broadcast(of) if few else of, "grp")
+    return joined.select(*keep, "of")
 
 
-def _dispatch(measured: DataFrame) -> DataFrame:
+def _dispatch(measured: DataFrame, keep: list[str] | None = None) -> DataFrame:
     first = F.col("first")
     kind = first["type"]
     is_set, is_cluster = kind == fixed.REPLICA_SET, kind == fixed.SHARDED
@@ -68,9 +92,9 @@ def _dispatch(measured: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
 
     # Shard layout: slices of floor(members / shards); what is left over makes extra slices.
-    shard_count = F.coalesce(F.col("shard_count"), F.lit(0)).cast("long")
+    shard_count = F.coalesce(F.col("group_shards"), F.lit(0)).cast("long")
     sharded = (shard_count > 0) & (F.col("n_member") > 0)
-    slice_size = F.when(sharded, F.expr("n_member div greatest(shard_count, 1)"))
+    slice_size = F.when(sharded, F.expr("n_member div greatest(group_shards, 1)"))
     slices = F.when(~sharded, zero).when(F.col("chunk_size") > 0, F.ceil(F.col("n_member") / F.col("chunk_size")))
     member_total = F.when(~sharded, zero).otherwise(F.col("n_chunks") * F.col("chunk_size"))
     cluster_total = F.col("n_router") + F.col("n_config") + member_total
@@ -129,7 +153,7 @@ def _dispatch(measured: DataFrame) -> DataFrame:
             "n_router",
             "n_member",
             "config_start",
-            "shard_count",
+            F.col("group_shards").alias("shard_count"),
             "chunk_size",
             "n_chunks",
             kind.isNull().alias("type_error"),
@@ -137,6 +161,7 @@ def _dispatch(measured: DataFrame) -> DataFrame:
             F.when(is_cluster & (F.col("n_config") == 0), "no config servers")
             .when(is_cluster & (F.col("chunk_size") == 0), "fewer members than shards")
             .alias("layout_error"),
+            *(keep or []),
         )
     )
 

@@ -80,21 +80,40 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKey
     return HotKeys(keys, counts, counts.count())
 
 
-def _by_window(df: DataFrame, keys: list[str], order: list[Column], name: str, size: str | None, first: dict[str, str]):
+def window_positions(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    name: str = "position",
+    size: str | None = None,
+    first: dict[str, str] | None = None,
+) -> DataFrame:
+    """Number the rows of each group with a window: each group is sorted in one task."""
     group = Window.partitionBy(*keys)
     ordered = group.orderBy(*order)
     new = {name: F.row_number().over(ordered).cast("long")}
     if size:
         new[size] = F.count(F.lit(1)).over(group)
-    for out, source in first.items():
+    for out, source in (first or {}).items():
         new[out] = F.first(source).over(ordered)
     return df.withColumns(new)
 
 
-def _by_range(
-    df: DataFrame, keys: list[str], order: list[Column], name: str, size: str | None, first: dict[str, str], n_keys: int
-):
-    by = [F.col(k) for k in keys] + order
+def range_positions(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    name: str = "position",
+    size: str | None = None,
+    first: dict[str, str] | None = None,
+    n_keys: int = 1,
+) -> DataFrame:
+    """Number the rows of each group with a range sort: a group may cover many tasks.
+
+    ``n_keys`` is the number of groups, or the most there can be.
+    """
+    first = first or {}
+    by = [*keys, *order]
     few = n_keys + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The row mark numbers rows in sorted order within each task. It is written out, so both uses below see one order.
     marked = pinned(
@@ -130,7 +149,7 @@ def _by_range(
 def positions(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
+    order: list,
     name: str = "position",
     size: str | None = None,
     first: dict[str, str] | None = None,
@@ -141,14 +160,13 @@ def positions(
     ``size`` names a column for the group's row count; ``first`` maps new columns to columns whose value in the
     group's first row is wanted. Without ``keys`` the whole table is one group and is numbered by a range sort.
     """
-    first = first or {}
     if not keys:
-        return _by_range(df, [], order, name, size, first, 1)
+        return range_positions(df, [], order, name, size, first)
     hot = hot if hot is not None else hot_keys(df, keys)
     if not hot:
-        return _by_window(df, keys, order, name, size, first)
-    usual = _by_window(hot.without(df), keys, order, name, size, first)
-    return usual.unionByName(_by_range(hot.only(df), keys, order, name, size, first, hot.count))
+        return window_positions(df, keys, order, name, size, first)
+    usual = window_positions(hot.without(df), keys, order, name, size, first)
+    return usual.unionByName(range_positions(hot.only(df), keys, order, name, size, first, hot.count))
 
 
 def keyed_join(

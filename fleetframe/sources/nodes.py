@@ -74,10 +74,10 @@ def typed_nodes(landed: DataFrame, strict: bool = False) -> DataFrame:
     A port or shard label that is not a number gives null and ``label_error``; with ``strict`` an unknown type or a bad
     number is an error. Missing landed columns are taken as null.
     """
-    for column in LANDED_COLUMNS:
-        if column not in landed.columns:
-            kind = "array<string>" if column in ("env", "image_tags") else "string"
-            landed = landed.withColumn(column, F.lit(None).cast(kind))
+    absent = set(LANDED_COLUMNS) - set(landed.columns)
+    if absent:
+        kind = {c: "array<string>" if c in ("env", "image_tags") else "string" for c in absent}
+        landed = landed.withColumns({c: F.lit(None).cast(kind[c]) for c in sorted(absent)})
     raw = default_to(F.col("raw_type"), fixed.STANDALONE)
     number = (lambda c: default_to(F.col(c), "0").cast("int")) if strict else (lambda c: to_int(default_to(F.col(c), "0")))
     version = (

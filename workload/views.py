@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.functions import LabelScheme
-from fleetframe.sources.nodes import LABEL_COLUMNS
+from fleetframe.session import scratch_path
+from fleetframe.sources.nodes import LABEL_COLUMNS, read_records
 
 SCHEME = LabelScheme()
 
@@ -36,7 +37,8 @@ SELECT k * 10 + n AS seq, concat('dep-', CAST(k AS STRING)) AS grp,
  CASE WHEN rf = 'R' THEN 'other' ELSE 'fleet' END AS source,
  concat('net-', CAST(k % 3 AS STRING)) AS network,
  concat(md5(concat('dep-', CAST(k AS STRING), '-', CAST(n AS STRING))), md5(CAST(k AS STRING))) AS id
-FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_linestatus) AS ls, min(l_returnflag) AS rf, min(l_partkey) AS pk
+FROM (SELECT l_orderkey AS k, l_linenumber AS n, chr(min(ascii(l_linestatus))) AS ls, chr(min(ascii(l_returnflag))) AS rf,
+       min(l_partkey) AS pk
       FROM {lineitem} GROUP BY l_orderkey, l_linenumber) b
 """
 
@@ -134,16 +136,21 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes as records with a label map; absent values have no key, and nodes on line 6 belong to no group."""
+    """Nodes as records with a label map, landed as files and read back.
+
+    Absent values have no key, and nodes on line 6 belong to no group.
+    """
     nodes = landed(spark, sf_dir)
     nodes = nodes.withColumn("grp", F.when(~F.endswith("node", F.lit("-6")), F.col("grp")))
     entries = [F.lit(SCHEME.source_key), F.col("source"), F.lit("version"), F.col("version_label")]
     for column, field in LABEL_COLUMNS.items():
         entries += [F.lit(SCHEME.key(field)), F.col(column)]
     labels = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
-    return nodes.select(
+    path = scratch_path(spark, "records")
+    nodes.select(
         "seq", "id", "status", labels.alias("labels"), "env", F.lit(None).cast("array<string>").alias("image_tags")
-    )
+    ).write.parquet(path)
+    return read_records(spark, path, "parquet")
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
