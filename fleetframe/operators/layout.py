@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
-from fleetframe.operators.rollup import SINGLE_TYPES, order_key, with_rollup, with_rollup_joined
+from fleetframe.operators.rollup import SINGLE_TYPES, order_text, with_rollup, with_rollup_joined
 from fleetframe.operators.skew import HotKeys, hot_keys, positions, range_positions, window_positions
 
 PART_ROWS = 10_000
@@ -29,7 +29,7 @@ def shard_members(nodes: DataFrame, order: str = "product", hot: HotKeys | None
     """
     members = nodes.where((F.col("role") == fixed.MEMBER) & F.col("grp").isNotNull())
     placed = positions(
-        members, ["grp"], [order_key(order), F.col("seq")], "member_no",
+        members, ["grp"], [F.expr(order_text(order)), F.col("seq")], "member_no",
         size="n_member", first={"group_shards": "shard_count"}, hot=hot,
     )
     size = F.expr("CASE WHEN group_shards > 0 THEN n_member div group_shards END")
@@ -102,7 +102,7 @@ def _shown(joined: DataFrame, order: str) -> DataFrame:
     )
     sorter = (
         F.when(single, F.lit(0).cast("long"))
-        .when(clustered & (role == fixed.MEMBER), order_key(order))
+        .when(clustered & (role == fixed.MEMBER), F.expr(order_text(order)))
         .otherwise(F.col("port").cast("long"))
     )
     return joined.withColumns({"section": section, "sorter": sorter, "single": single}).where("section IS NOT NULL")

@@ -18,12 +18,12 @@ def port_span(start: Column, size: Column) -> Column:
     return F.concat_ws("-", start.cast("string"), (start + size - 1).cast("string"))
 
 
-def order_key(order: str = "product") -> Column:
+def order_text(order: str = "product") -> str:
     """Sort key of a shard member: shard id times port, or shard id before port with ``order='shard_port'``."""
     if order == "product":
-        return F.col("shard_id").cast("long") * F.col("port").cast("long")
+        return "bigint(shard_id) * bigint(port)"
     if order == "shard_port":
-        return F.col("shard_id").cast("long") * F.lit(fixed.MAX_PORT + 1).cast("long") + F.col("port").cast("long")
+        return f"bigint(shard_id) * {fixed.MAX_PORT + 1}L + bigint(port)"
     raise ValueError(f"unknown shard order: {order}")
 
 
@@ -32,26 +32,25 @@ def measures(order: str = "product") -> dict[str, Column]:
 
     Only counts, minima and first-row picks are kept per group, so map tasks combine a hot group before the shuffle.
     """
-    role, running = F.col("role"), F.col("status") == fixed.RUNNING
-    is_member = role == fixed.MEMBER
-    in_order = F.when(is_member, F.struct(order_key(order).alias("k"), "seq"))
-    first_fields = ["type", "node", "port", "raw_port", "status", "version", "group_size", "start_port"]
-    return {
-        "rows": F.count(F.lit(1)),
-        "running_rows": F.count_if(running),
-        "stopped_rows": F.count_if(~running | F.col("status").isNull()),
-        "min_port": F.min("port"),
-        "max_port": F.max("port"),
-        "n_config": F.count_if(role == fixed.CONFIG),
-        "n_router": F.count_if(role == fixed.ROUTER),
-        "n_member": F.count_if(is_member),
-        "running_fixed": F.count_if(running & role.isin(fixed.CONFIG, fixed.ROUTER)),
-        "running_member": F.count_if(running & is_member),
-        "config_start": F.min(F.when(role == fixed.CONFIG, F.col("port"))),
-        "group_shards": F.min_by("shard_count", in_order),
-        "first": F.min_by(F.struct(*first_fields), "seq"),
-        "label_error": F.max(F.coalesce(F.col("label_error"), F.lit(False))),
+    running, member = f"status = {_text(fixed.RUNNING)}", f"role = {_text(fixed.MEMBER)}"
+    config, router = f"role = {_text(fixed.CONFIG)}", f"role = {_text(fixed.ROUTER)}"
+    texts = {
+        "rows": "count(1)",
+        "running_rows": f"count_if({running})",
+        "stopped_rows": f"count_if(NOT coalesce({running}, false))",
+        "min_port": "min(port)",
+        "max_port": "max(port)",
+        "n_config": f"count_if({config})",
+        "n_router": f"count_if({router})",
+        "n_member": f"count_if({member})",
+        "running_fixed": f"count_if({running} AND ({config} OR {router}))",
+        "running_member": f"count_if({running} AND {member})",
+        "config_start": f"min(CASE WHEN {config} THEN port END)",
+        "group_shards": f"min_by(shard_count, CASE WHEN {member} THEN struct({order_text(order)}, seq) END)",
+        "first": "min_by(struct(type, node, port, raw_port, status, version, group_size, start_port), seq)",
+        "label_error": "max(coalesce(label_error, false))",
     }
+    return {name: F.expr(text) for name, text in texts.items()}
 
 
 def rollup(nodes: DataFrame, order: str = "product") -> DataFrame:
@@ -84,86 +83,74 @@ def with_rollup_joined(nodes: DataFrame, keep: list[str], order: str = "product"
     return joined.select(*keep, "of")
 
 
-def _dispatch(measured: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    first = F.col("first")
-    kind = first["type"]
-    is_set, is_cluster = kind == fixed.REPLICA_SET, kind == fixed.SHARDED
-    is_group = kind == fixed.SERVER_GROUP
-    zero = F.lit(0).cast("long")
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _up(test: str) -> str:
+    return f"CASE WHEN {test} THEN {_text(fixed.RUNNING)} ELSE {_text(fixed.STOPPED)} END"
+
 
+def _span(start: str, size: str) -> str:
+    return f"concat_ws('-', string({start}), string({start} + {size} - 1))"
+
+
+_SET, _CLUSTER = f"kind = {_text(fixed.REPLICA_SET)}", f"kind = {_text(fixed.SHARDED)}"
+_GROUP, _MANAGER = f"kind = {_text(fixed.SERVER_GROUP)}", f"kind = {_text(fixed.MANAGER)}"
+
+# Measures to roll-up fields, each by the type of the group's first node; later lines may use earlier ones.
+_FIELDS = [
+    "first.type AS kind",
     # Shard layout: slices of floor(members / shards); what is left over makes extra slices.
-    shard_count = F.coalesce(F.col("group_shards"), F.lit(0)).cast("long")
-    sharded = (shard_count > 0) & (F.col("n_member") > 0)
-    slice_size = F.when(sharded, F.expr("n_member div greatest(group_shards, 1)"))
-    slices = F.when(~sharded, zero).when(F.col("chunk_size") > 0, F.ceil(F.col("n_member") / F.col("chunk_size")))
-    member_total = F.when(~sharded, zero).otherwise(F.col("n_chunks") * F.col("chunk_size"))
-    cluster_total = F.col("n_router") + F.col("n_config") + member_total
-
-    group_size = first["group_size"].try_cast("long")
-    group_start = first["start_port"].try_cast("int")
-    has_span = (first["group_size"] != "") & (first["start_port"] != "")
-    cluster_running = F.col("running_fixed") + F.when(sharded, F.col("running_member")).otherwise(0)
-
-    def up(test: Column) -> Column:
-        return F.when(test, fixed.RUNNING).otherwise(fixed.STOPPED)
-
-    return (
-        measured.withColumn("chunk_size", slice_size)
-        .withColumn("n_chunks", slices)
-        .withColumn(
-            "containers",
-            F.when(is_set, F.col("rows")).when(is_cluster, cluster_total).when(is_group, group_size)
-            .when(kind.isNotNull(), F.lit(1).cast("long")),
-        )
-        .withColumn(
-            "state",
-            F.when(is_set, up(F.col("running_rows") > 0))
-            .when(is_cluster, up(cluster_running > 0))
-            .when(kind.isin(MANAGER_TYPES), first["status"])
-            .when(kind.isNotNull(), up(F.coalesce(first["status"] == fixed.RUNNING, F.lit(False)))),
-        )
-        .withColumn(
-            "port_range",
-            F.when(is_set, port_span(F.col("min_port"), F.col("rows")))
-            .when(
-                is_cluster,
-                F.when(F.col("config_start").isNull(), "").otherwise(
-                    port_span(F.col("config_start"), F.col("containers"))
-                ),
-            )
-            .when(is_group, F.when(has_span, port_span(group_start, group_size)).otherwise(""))
-            .when(kind == fixed.MANAGER, first["raw_port"])
-            .when(kind.isNotNull(), first["port"].cast("string")),
-        )
-        .select(
-            "grp",
-            F.when(is_set | is_cluster, F.col("grp")).otherwise(first["node"]).alias("name"),
-            kind.alias("deployment_type"),
-            "state",
-            "containers",
-            F.when(is_group, fixed.SERVER_GROUP_VERSION).otherwise(first["version"]).alias("mongo_version"),
-            "port_range",
-            F.when(is_set, F.col("min_port")).when(is_cluster, F.col("config_start"))
-            .when(is_group, group_start).otherwise(first["port"]).alias("start_port"),
-            "max_port",
-            "rows",
-            "running_rows",
-            "stopped_rows",
-            "n_config",
-            "n_router",
-            "n_member",
-            "config_start",
-            F.col("group_shards").alias("shard_count"),
-            "chunk_size",
-            "n_chunks",
-            kind.isNull().alias("type_error"),
-            "label_error",
-            F.when(is_cluster & (F.col("n_config") == 0), "no config servers")
-            .when(is_cluster & (F.col("chunk_size") == 0), "fewer members than shards")
-            .alias("layout_error"),
-            *(keep or []),
-        )
-    )
+    "coalesce(group_shards, 0) > 0 AND n_member > 0 AS sharded",
+    "CASE WHEN sharded THEN n_member div greatest(group_shards, 1) END AS chunk_size",
+    "CASE WHEN NOT sharded THEN 0L WHEN chunk_size > 0 THEN ceil(n_member / chunk_size) END AS n_chunks",
+    "n_router + n_config + CASE WHEN sharded THEN n_chunks * chunk_size ELSE 0L END AS cluster_nodes",
+    "running_fixed + CASE WHEN sharded THEN running_member ELSE 0L END AS cluster_running",
+    "try_cast(first.group_size AS bigint) AS group_nodes",
+    "try_cast(first.start_port AS int) AS group_start",
+    f"""CASE WHEN {_SET} THEN rows WHEN {_CLUSTER} THEN cluster_nodes WHEN {_GROUP} THEN group_nodes
+        WHEN kind IS NOT NULL THEN 1L END AS containers""",
+    f"""CASE WHEN {_SET} THEN {_up("running_rows > 0")} WHEN {_CLUSTER} THEN {_up("cluster_running > 0")}
+        WHEN {_MANAGER} OR {_GROUP} THEN first.status
+        WHEN kind IS NOT NULL THEN {_up(f"first.status = {_text(fixed.RUNNING)}")} END AS state""",
+    f"""CASE WHEN {_SET} THEN {_span("min_port", "rows")}
+        WHEN {_CLUSTER} THEN CASE WHEN config_start IS NULL THEN '' ELSE {_span("config_start", "containers")} END
+        WHEN {_GROUP} THEN CASE WHEN first.group_size <> '' AND first.start_port <> ''
+          THEN {_span("group_start", "group_nodes")} ELSE '' END
+        WHEN {_MANAGER} THEN first.raw_port ELSE string(first.port) END AS port_range""",
+]
+
+# What a roll-up row holds besides its key.
+_OUT = [
+    f"CASE WHEN {_SET} OR {_CLUSTER} THEN grp ELSE first.node END AS name",
+    "kind AS deployment_type",
+    "state",
+    "containers",
+    f"CASE WHEN {_GROUP} THEN {_text(fixed.SERVER_GROUP_VERSION)} ELSE first.version END AS mongo_version",
+    "CASE WHEN kind IS NOT NULL THEN port_range END AS port_range",
+    f"""CASE WHEN {_SET} THEN min_port WHEN {_CLUSTER} THEN config_start WHEN {_GROUP} THEN group_start
+        ELSE first.port END AS start_port""",
+    "max_port",
+    "rows",
+    "running_rows",
+    "stopped_rows",
+    "n_config",
+    "n_router",
+    "n_member",
+    "config_start",
+    "group_shards AS shard_count",
+    "chunk_size",
+    "n_chunks",
+    "kind IS NULL AS type_error",
+    "label_error",
+    f"""CASE WHEN {_CLUSTER} AND n_config = 0 THEN 'no config servers'
+        WHEN {_CLUSTER} AND chunk_size = 0 THEN 'fewer members than shards' END AS layout_error""",
+]
+
+
+def _dispatch(measured: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return measured.selectExpr("*", *_FIELDS).selectExpr("grp", *_OUT, *(keep or []))
 
 
 def summaries(nodes: DataFrame, order: str = "product") -> DataFrame:

@@ -78,13 +78,14 @@ def typed_nodes(landed: DataFrame, strict: bool = False) -> DataFrame:
     if absent:
         kind = {c: "array<string>" if c in ("env", "image_tags") else "string" for c in absent}
         landed = landed.withColumns({c: F.lit(None).cast(kind[c]) for c in sorted(absent)})
-    raw = default_to(F.col("raw_type"), fixed.STANDALONE)
-    number = (lambda c: default_to(F.col(c), "0").cast("int")) if strict else (lambda c: to_int(default_to(F.col(c), "0")))
+    number = (lambda c: F.expr(f"int(coalesce({c}, '0'))")) if strict else (lambda c: to_int(default_to(F.col(c), "0")))
+    server_version = env_value(F.col("env"), fixed.SERVER_VERSION_VAR)
     version = (
         F.when(F.col("raw_type") == fixed.RAW_ATLAS, F.col("version_label"))
         .when(F.col("raw_type") == fixed.RAW_MANAGER, env_value(F.col("env"), fixed.MANAGER_VERSION_VAR))
-        .otherwise(env_value(F.col("env"), fixed.SERVER_VERSION_VAR))
+        .otherwise(server_version)
     )
+    raw = default_to(F.col("raw_type"), fixed.STANDALONE)
     port, shard_id, shard_count = number("port"), number("shard_id"), number("shard_count")
     return landed.select(
         "seq",
@@ -96,10 +97,10 @@ def typed_nodes(landed: DataFrame, strict: bool = False) -> DataFrame:
         port.alias("port"),
         shard_id.alias("shard_id"),
         shard_count.alias("shard_count"),
-        F.coalesce(F.col("arbiter") == "1", F.lit(False)).alias("arbiter"),
+        F.expr("coalesce(arbiter = '1', false)").alias("arbiter"),
         "status",
         version.alias("version"),
-        env_value(F.col("env"), fixed.SERVER_VERSION_VAR).alias("member_version"),
+        server_version.alias("member_version"),
         short_id(F.col("id")).alias("id"),
         "image_tags",
         "data_dir",
