@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetframe import fixed
 from fleetframe.functions import LabelScheme, canonical_type, default_to, overlay, short_id
 from fleetframe.functions.labels import env_value
-from fleetframe.operators.skew import HotKeys, keyed_join, matching
+from fleetframe.operators.skew import HotKeys, keyed_join, matching, positions
 
 
 def running_only(nodes: DataFrame) -> DataFrame:
@@ -70,6 +70,19 @@ def flat_labels(records: DataFrame, scheme: LabelScheme = LabelScheme(), prefixe
     return records.select("seq", overlay(F.col("labels"), values, scheme.prefix if prefixed else None).alias("labels"))
 
 
+def grouped(nodes: DataFrame, part_rows: int = 10_000, hot: HotKeys | None = None) -> DataFrame:
+    """Nodes gathered per group in input order: ``grp, part, members``.
+
+    A group of more than ``part_rows`` nodes fills several rows, numbered by ``part``.
+    """
+    placed = positions(nodes.where(F.col("grp").isNotNull()), ["grp"], ["seq"], "place", hot=hot)
+    fields = F.struct("place", F.struct(*[c for c in nodes.columns if c != "grp"]).alias("node"))
+    gathered = placed.groupBy("grp", F.expr(f"(place - 1) div {int(part_rows)}").alias("part")).agg(
+        F.array_sort(F.collect_list(fields)).alias("placed")
+    )
+    return gathered.select("grp", "part", F.col("placed")["node"].alias("members"))
+
+
 def unknown_types(landed: DataFrame) -> DataFrame:
     """Nodes whose type is not one of the known ones."""
     return landed.where(canonical_type(default_to(F.col("raw_type"), fixed.STANDALONE)).isNull())

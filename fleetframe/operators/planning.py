@@ -14,7 +14,12 @@ TYPE_FLAGS = ["standalone", "replica_set", "sharded", "atlas"]
 
 
 def with_defaults(specs: DataFrame) -> DataFrame:
-    """Specs with every absent column added at its default and null settings replaced by it."""
+    """Specs with every absent column added at its default and null settings replaced by it.
+
+    A spec without a name is named after its ``seq``.
+    """
+    given = F.col("name") if "name" in specs.columns else F.lit(None).cast("string")
+    specs = specs.withColumn("name", F.coalesce(given, F.concat(F.lit("deployment-"), F.col("seq").cast("string"))))
     for column, default in fixed.SPEC_DEFAULTS.items():
         if column not in specs.columns:
             value = F.lit(default) if default is not None else F.lit(None).cast("string")
@@ -233,8 +238,7 @@ def port_conflicts(specs: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("port", (F.col("lo") != F.col("hi")).alias("shared"))
     )
     marked = planned.join(F.broadcast(taken), "port", "left").join(F.broadcast(claims), "port", "left")
-    counted = marked.groupBy("seq").agg(
-        F.min("name").alias("name"),
+    counted = marked.groupBy("seq", "name").agg(
         F.count_if(F.coalesce("taken", F.lit(False))).alias("taken_ports"),
         F.count_if(F.coalesce("shared", F.lit(False))).alias("shared_ports"),
         F.count_if(~F.col("port").between(0, fixed.MAX_PORT)).alias("invalid_ports"),

@@ -68,11 +68,13 @@ def with_rollup(nodes: DataFrame, keep: list[str], order: str = "product") -> Da
     group = Window.partitionBy("grp")
     measured = nodes.where(F.col("grp").isNotNull()).select(
         "grp",
-        F.struct(*keep).alias("kept"),
+        F.struct(*[c for c in keep if c != "grp"]).alias("kept"),
         *[m.over(group).alias(name) for name, m in measures(order).items()],
     )
     rolled = _dispatch(measured, ["kept"])
-    return rolled.select("kept.*", F.struct(*[c for c in rolled.columns if c != "kept"]).alias("of"))
+    of = F.struct(*[c for c in rolled.columns if c != "kept"]).alias("of")
+    # The group column itself stays, so that what follows knows how the rows are partitioned.
+    return rolled.select("grp", "kept.*", of).select(*keep, "of")
 
 
 def with_rollup_joined(nodes: DataFrame, keep: list[str], order: str = "product", few: bool = False) -> DataFrame:
@@ -102,7 +104,7 @@ _GROUP, _MANAGER = f"kind = {_text(fixed.SERVER_GROUP)}", f"kind = {_text(fixed.
 _FIELDS = [
     "first.type AS kind",
     # Shard layout: slices of floor(members / shards); what is left over makes extra slices.
-    "coalesce(group_shards, 0) > 0 AND n_member > 0 AS sharded",
+    f"coalesce({_CLUSTER} AND group_shards > 0 AND n_member > 0, false) AS sharded",
     "CASE WHEN sharded THEN n_member div greatest(group_shards, 1) END AS chunk_size",
     "CASE WHEN NOT sharded THEN 0L WHEN chunk_size > 0 THEN ceil(n_member / chunk_size) END AS n_chunks",
     "n_router + n_config + CASE WHEN sharded THEN n_chunks * chunk_size ELSE 0L END AS cluster_nodes",

@@ -171,6 +171,14 @@ def test_large_groups_come_in_parts_that_join_to_the_whole(nodes_of):
     assert config == full["sc"]["config_servers_replica_set"]["members"]
 
 
+def test_groups_as_lists(nodes_of):
+    slim = nodes_of(standalone() + replica_set(size=5)).select("grp", "node", "seq")
+    whole = inventory.grouped(slim).where("grp = 'rs'").first()
+    assert [m.node for m in whole.members] == [f"rs-{i}" for i in range(1, 6)]
+    parts = inventory.grouped(slim, part_rows=2).where("grp = 'rs'").orderBy("part").collect()
+    assert [[m.node for m in p.members] for p in parts] == [["rs-1", "rs-2"], ["rs-3", "rs-4"], ["rs-5"]]
+
+
 def test_reports(nodes_of, tmp_path):
     nodes = nodes_of(standalone() + cluster())
     lines = [r.line for r in ff.in_order(ff.list_rows(nodes)).collect()]

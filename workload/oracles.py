@@ -259,6 +259,9 @@ FROM inv s JOIN managers m ON s.parent = m.grp WHERE s.raw_type = 'ops-manager-d
     "server_without_manager": f"""WITH {INV}
 SELECT seq, node, parent AS om_name FROM inv WHERE raw_type = 'ops-manager-deployment-server'
  AND parent NOT IN (SELECT grp FROM inv WHERE raw_type = 'ops-manager' AND status = 'running')""",
+    "grouped_nodes": f"""WITH {INV}
+SELECT grp, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS size,
+ string_agg(concat(node, ':', status), ' ' ORDER BY seq) AS members FROM inv GROUP BY grp""",
     "bulk_targets": f"""WITH {INV}
 SELECT grp FROM inv INTERSECT SELECT grp FROM inv WHERE status = 'running'""",
     "safe_paths": f"""WITH {INV}
@@ -397,6 +400,10 @@ SELECT seq, node, u.key, u.value FROM s, LATERAL (VALUES ('source', 'fleet'), ('
  ('fleet-group-size', CAST(count AS VARCHAR)), ('fleet-parent', om_name), ('fleet-port', CAST(node_port AS VARCHAR)),
  ('fleet-start-port', CAST(port AS VARCHAR)), ('fleet-role', 'ops-manager-deployment-server'),
  ('fleet-type', 'ops-manager-deployment-server')) AS u(key, value)""",
+    "manager_labels": f"""WITH g AS ({v.sql(v.SERVER_SPEC)})
+SELECT seq, concat(name, '-app-db') AS app_db, u.key, u.value FROM g, LATERAL (VALUES ('source', 'fleet'),
+ ('fleet-name', name), ('fleet-group', name), ('fleet-parent', name), ('fleet-port', CAST(port AS VARCHAR)),
+ ('fleet-network', 'net'), ('fleet-role', 'ops-manager'), ('fleet-type', 'ops-manager')) AS u(key, value)""",
     "planned_summary": f"""WITH {SPEC}
 SELECT name AS grp, name, CASE kind WHEN 'sharded' THEN 'Sharded Cluster' WHEN 'replica_set' THEN 'Replica Set'
  WHEN 'atlas' THEN 'Atlas Deployment' ELSE 'Standalone' END AS deployment_type, 'running' AS state, n AS containers,

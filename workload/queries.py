@@ -87,6 +87,16 @@ def server_without_manager(spark, sf_dir):
     return inventory.without_manager(servers, managers).select("seq", "node", "om_name")
 
 
+@query
+def grouped_nodes(spark, sf_dir):
+    slim = nodes(spark, sf_dir).select("seq", "grp", "node", "status")
+    gathered = inventory.grouped(slim)
+    return gathered.select(
+        "grp", "part", F.size("members").alias("size"),
+        F.array_join(F.transform("members", lambda m: F.concat(m["node"], F.lit(":"), m["status"])), " ").alias("members"),
+    )
+
+
 @query
 def bulk_targets(spark, sf_dir):
     return inventory.bulk_targets(nodes(spark, sf_dir))
@@ -287,6 +297,13 @@ def server_group_labels(spark, sf_dir):
     return labelled.select("seq", "node", F.explode("labels").alias("key", "value"))
 
 
+@query
+def manager_labels(spark, sf_dir):
+    managers = v.view(spark, sf_dir, v.SERVER_SPEC).select("seq", "name", "port", F.lit("net").alias("network_name"))
+    labelled = planning.manager_labels(managers, v.SCHEME)
+    return labelled.select("seq", "app_db", F.explode("labels").alias("key", "value"))
+
+
 @query
 def planned_summary(spark, sf_dir):
     # Specs are expanded and labelled, read back as node records and rolled up again.
