@@ -20,7 +20,8 @@ def mask_credentials(text: Column, strict: bool = False) -> Column:
     password that itself holds an ``@`` is hidden in full.
     """
     pattern = fixed.URI_SECRET_STRICT if strict else fixed.URI_SECRET
-    return F.regexp_replace(text, pattern, f"$1{fixed.MASK}$3")
+    # Text without an @ has nothing to mask and is not searched.
+    return F.when(text.contains("@"), F.regexp_replace(text, pattern, f"$1{fixed.MASK}$3")).otherwise(text)
 
 
 def mask_list(values: Column, strict: bool = False) -> Column:
@@ -56,13 +57,15 @@ def parse_pairs(text: Column, outer: str = ",", inner: str = "=") -> Column:
     parts = F.transform(F.split(text, _literal(outer)), lambda p: F.split(p, _literal(inner)))
     blank = text.isNull() | (text == "")
     good = F.forall(parts, lambda p: F.size(p) == 2)
-    backwards = F.reverse(parts)
-    names = F.transform(backwards, lambda p: strip(F.get(p, F.lit(0))))
-    values = F.transform(backwards, lambda p: strip(F.get(p, F.lit(1))))
-    keys = F.array_distinct(F.reverse(names))
-    last = F.transform(keys, lambda k: F.get(values, (F.array_position(names, k) - 1).cast("int")))
-    pairs = F.when(~blank & good, F.map_from_arrays(keys, last))
-    return F.struct(pairs.alias("pairs"), F.coalesce(~blank & ~good, F.lit(False)).alias("parse_error"))
+    # Sorted by key and place, the last entry of each key is the one whose successor has another key.
+    entries = F.array_sort(F.transform(parts, lambda p, i: F.struct(
+        strip(F.get(p, F.lit(0))).alias("key"), i.alias("place"), strip(F.get(p, F.lit(1))).alias("value")
+    )))
+    last = F.filter(entries, lambda e, i: ~F.get(entries, i + 1)["key"].eqNullSafe(e["key"]))
+    pairs = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+    return F.struct(
+        F.when(~blank & good, pairs).alias("pairs"), F.coalesce(~blank & ~good, F.lit(False)).alias("parse_error")
+    )
 
 
 def endpoint_uri(node: Column, port: Column) -> Column:

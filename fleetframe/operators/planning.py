@@ -68,15 +68,20 @@ def capacity(specs: DataFrame) -> DataFrame:
     return specs.select("seq", "name", port_count().alias("ports"), write_concern().alias("write_concern"))
 
 
+def _with_slots(df: DataFrame, count: str, block: int = 10_000) -> DataFrame:
+    """Each row once per ``slot`` from 0 below ``count``, spread out in blocks so that no array is longer than one."""
+    blocks = df.where(F.col(count) > 0).withColumn("block", F.explode(F.expr(f"sequence(0, ({count} - 1) div {block})")))
+    slots = F.expr(f"sequence(int(block * {block}), int(least(block * {block} + {block - 1}, {count} - 1)))")
+    return blocks.withColumn("slot", F.explode(slots)).drop("block")
+
+
 def expand(specs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per planned node: ``seq, grp, slot, node, port, role, deployment_type, shard_id, arbiter``.
 
     Slot i of a spec listens on its start port + i: config servers first, then routers, then shard by shard. Role and
     name follow from the slot by arithmetic, so a spec of any size expands in one narrow step.
     """
-    count = port_count()
-    slots = F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("slot")
-    base = specs.where(count > 0).select("*", count.alias("n"), slots)
+    base = _with_slots(specs.withColumn("n", port_count().cast("int")), "n")
     slot, config, routers = F.col("slot"), F.col("config_servers"), F.col("mongos")
     rest = F.expr("slot - config_servers - mongos")
     sharded, is_set = _flag("sharded"), _flag("replica_set")
@@ -124,8 +129,7 @@ def expand(specs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def expand_server_groups(groups: DataFrame) -> DataFrame:
     """Servers of agent groups (``seq, name, om_name, port, count``): ``{name}-{i}`` from 0 on consecutive ports."""
-    slots = F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))).alias("slot")
-    return groups.where(F.col("count") > 0).select("*", slots).select(
+    return _with_slots(groups, "count").select(
         "seq",
         F.col("name").alias("grp"),
         "slot",

@@ -20,6 +20,7 @@ from fleetframe.operators.planning import (
     with_defaults,
 )
 from fleetframe.operators.skew import not_matching
+from fleetframe.session import pinned
 
 
 @dataclass
@@ -37,14 +38,15 @@ def plan_deployments(
 ) -> Plan:
     """Check specs (unique ``seq``) against their rules, the running names and the ports in use, then expand the rest.
 
-    ``rejected`` has ``seq, name, reason``, one row per reason.
+    ``rejected`` has ``seq, name, reason``, one row per reason. Specs with free names and their port conflicts are
+    written to the shared folder, so the inventory is read once per check and not once per result.
     """
     specs = with_defaults(specs)
     broken = violations(specs)
     valid = valid_specs(specs)
     taken = name_collisions(valid, inventory)
-    free = not_matching(valid, running_only(inventory).select(F.col("grp").alias("name")), "name")
-    conflicts = port_conflicts(free, inventory)
+    free = pinned(not_matching(valid, running_only(inventory).select(F.col("grp").alias("name")), "name"))
+    conflicts = pinned(port_conflicts(free, inventory))
     ready = free.join(conflicts.select("seq"), "seq", "left_anti")
     rejected = (
         broken.withColumnRenamed("violation", "reason")

@@ -62,6 +62,12 @@ def test_single_nodes_and_empty_sets(specs_of):
     assert rows(planning.expand(specs), "node", "port", "role") == [("a", 1, "standalone"), ("b", 2, "atlas")]
 
 
+def test_more_nodes_than_a_block(specs_of):
+    specs = specs_of({"name": "rs", "replica_set": True, "port": 1, "replicas": 25_001})
+    got = planning.expand(specs).agg(F.count("*"), F.countDistinct("node"), F.min("port"), F.max("port")).first()
+    assert tuple(got) == (25_001, 25_001, 1, 25_001)
+
+
 def test_labels(specs_of):
     specs = specs_of({"name": "sc", "sharded": True, "port": 1}, {"name": "at", "atlas": True, "ephemeral": True})
     labels = {r.node: r.labels for r in planning.node_labels(specs, SCHEME, "/home/x").collect()}
