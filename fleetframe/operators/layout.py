@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
-from fleetframe.operators.rollup import SINGLE_TYPES, order_text, with_rollup, with_rollup_joined
+from fleetframe.operators.rollup import SINGLE_TYPES, headers, order_text, with_rollup
 from fleetframe.operators.skew import HotKeys, hot_keys, positions, range_positions, window_positions
+from fleetframe.session import pinned
 
 PART_ROWS = 10_000
 NODE_FIELDS = [
@@ -72,8 +73,13 @@ def listing(nodes: DataFrame, order: str = "product", part_rows: int = PART_ROWS
     shown = _shown(with_rollup(hot.without(nodes) if hot else nodes, NODE_FIELDS, order), order)
     placed = window_positions(shown, ["grp"], _REPORT_ORDER, "place")
     if hot:
-        shown = _shown(with_rollup_joined(hot.only(nodes), NODE_FIELDS, order, few=hot.small), order)
-        placed = placed.unionByName(range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=hot.count))
+        large = hot.only(nodes)
+        # One row per hot group; it is joined on again after the numbering, so the sort carries nodes only.
+        of = pinned(headers(large, order))
+        of = F.broadcast(of) if hot.small else of
+        shown = _shown(large.join(of, "grp").select(*NODE_FIELDS, "of"), order).drop("of")
+        numbered = range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=hot.count)
+        placed = placed.unionByName(numbered.join(of, "grp"))
     clustered = F.col("of.deployment_type") == fixed.SHARDED
     return (
         placed.where(~F.col("single") | (F.col("place") == 1))

@@ -63,7 +63,7 @@ def with_rollup(nodes: DataFrame, keep: list[str], order: str = "product") -> Da
     """The columns ``keep`` of every node next to the roll-up of its group as ``of``.
 
     The measures are taken over a window, which brings nodes and roll-up together with one shuffle of the nodes. For
-    groups small enough for one task each; see ``with_rollup_joined`` for others.
+    groups small enough for one task each; others are joined with their ``headers``.
     """
     group = Window.partitionBy("grp")
     measured = nodes.where(F.col("grp").isNotNull()).select(
@@ -77,12 +77,10 @@ def with_rollup(nodes: DataFrame, keep: list[str], order: str = "product") -> Da
     return rolled.select("grp", "kept.*", of).select(*keep, "of")
 
 
-def with_rollup_joined(nodes: DataFrame, keep: list[str], order: str = "product", few: bool = False) -> DataFrame:
-    """The same by a join with the aggregated roll-up; with ``few`` groups the roll-up is broadcast."""
+def headers(nodes: DataFrame, order: str = "product") -> DataFrame:
+    """The roll-up of every group as one column: ``grp, of``."""
     rolled = rollup(nodes, order)
-    of = rolled.select("grp", F.struct(*rolled.columns).alias("of"))
-    joined = nodes.where(F.col("grp").isNotNull()).join(F.broadcast(of) if few else of, "grp")
-    return joined.select(*keep, "of")
+    return rolled.select("grp", F.struct(*rolled.columns).alias("of"))
 
 
 def _text(value: str) -> str:
