@@ -196,8 +196,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of documents of different components that share a shingle of both prefixes.
 
-    The prefix of a set of n shingles is its n - ceil(limit * n) + 1 rarest ones; sets that reach the limit share a shingle there, so no link
-    is missed. Shingles found once are counted, not joined.
+    The prefix of a set of n shingles is its n - ceil(limit * n) + 1 rarest ones. The first shingle that two sets share, in that order, leaves
+    room for as many more as the shorter rest holds, which must suffice for the limit; so a document with many shingles of its own meets
+    nobody, and no link is missed. Shingles found once are counted, not joined.
     """
     held = sets.join(rest, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     held = written(held, "held")
@@ -206,14 +207,15 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = common.groupBy("doc_id", "component", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "s", (F.col("low") != F.col("high")).alias("open")))).alias("shared")
     )
-    single = F.col("n") - F.size("shared")
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - single
+    own = own.withColumn("single", F.col("n") - F.size("shared"))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - F.col("single")
     prefix = (
         own.filter(length > 0)
-        .select("doc_id", "component", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x"))
+        .select("doc_id", "component", "n", "single", F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("pos", "x"))
         .filter("x.open")
-        .select("doc_id", "component", F.col("x.s").alias("s"))
+        .select("doc_id", "component", F.col("x.s").alias("s"), "n", (F.col("n") - F.col("single") - F.col("pos")).alias("left"))
     )
     prefix = written(prefix, "prefix")
-    left, right = prefix.toDF("a", "ca", "s"), prefix.toDF("b", "cb", "s")
-    return left.join(right, "s").filter("a < b and ca <> cb").select("a", "b").distinct()
+    a, b = prefix.toDF("a", "ca", "s", "na", "la"), prefix.toDF("b", "cb", "s", "nb", "lb")
+    fits = F.least("la", "lb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return a.join(b, (a["s"] == b["s"]) & F.expr("a < b and ca <> cb") & fits).select("a", "b").distinct()
