@@ -144,3 +144,12 @@ def shingle_sets(found: Words, k: int) -> list[np.ndarray]:
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
+
+
+def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the word runs start:end of any lengths."""
+    up, down = _tables(len(hashes) + 1)
+    total = np.empty(len(hashes) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
