@@ -108,16 +108,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     closes[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     folded = _LOWER[data] if lower else data
-    if len(data) <= 2 * PIECE_BYTES:
-        hashes = _hash_run(folded, start, end)
-    else:
-        parts, word = [], 0
-        while word < len(start):
-            to = max(int(np.searchsorted(end, start[word] + PIECE_BYTES, "right")), word + 1)
-            low = start[word]
-            parts.append(_hash_run(folded[low : end[to - 1]], start[word:to] - low, end[word:to] - low))
-            word = to
-        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    hashes = byte_hashes(folded, start, end)
     return Words(hashes, start, end, np.searchsorted(start, offsets).astype(np.int64), data)
 
 
@@ -153,3 +144,15 @@ def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     total[0] = 0
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs start:end; the hash of a word's bytes is the word's hash."""
+    if len(data) <= 2 * PIECE_BYTES or not len(start):
+        return _hash_run(data, start, end)
+    parts, at = [], 0
+    while at < len(start):
+        to = max(int(np.searchsorted(end, start[at] + PIECE_BYTES, "right")), at + 1)
+        parts.append(_hash_run(data[start[at] : end[to - 1]], start[at:to] - start[at], end[at:to] - start[at]))
+        at = to
+    return np.concatenate(parts)
