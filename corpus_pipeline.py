@@ -1,4 +1,4 @@
-"""A training-corpus pipeline of five stages over documents."""
+"""A training-corpus pipeline of five stages over documents: each works on all that the one before kept, and its decisions take effect."""
 
 from __future__ import annotations
 
@@ -6,10 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetframe.llm import decontam, minhash, mixing, pii, toxicity
 from fleetframe.llm.scratch import table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score one half or more against the labelled examples go."""
+    index = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, index)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return minhash.one_of_each(docs, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), percent=80)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii.masked(docs, pii.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in the proportions of their weights; adds epoch and n_words."""
+    return mixing.mixed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: Votes of neighbours and the random field have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -119,40 +119,65 @@ def _islands(hit: np.ndarray, reach: int) -> list[np.ndarray]:
     return np.split(hit, np.flatnonzero(np.diff(hit) > reach) + 1) if len(hit) else []
 
 
-def _search(index: Index, percent: int):
+def _row_matches(index: Index, percent: int, column: pa.Array) -> Iterator[tuple]:
+    """(row, item, similarity, first word, words, distance): the best window of each item for each text of a batch."""
     longest = max(index.by_length, default=0)
+    data, offsets = tokens.string_bytes(column)
+    for row, to in tokens.pieces(offsets):
+        found = tokens.words(data, offsets[row : to + 1], lower=True)
+        best: dict[tuple, tuple] = {}
+        for k in index.known:
+            hit = index.hits(tokens.grams(found.hash, k), k)
+            doc = np.searchsorted(found.first, hit, "right") - 1
+            inside = hit + k <= found.first[doc + 1]
+            hit, doc = hit[inside], doc[inside]
+            for d in np.unique(doc).tolist():
+                low, high = int(found.first[d]), int(found.first[d + 1])
+                for island in _islands(hit[doc == d] - low, longest):
+                    left = max(0, int(island[0]) - longest)
+                    part = found.hash[low + left : min(high, low + int(island[-1]) + longest + 1)]
+                    for length, of in index.by_length.items():
+                        if min(SHINGLE_WORDS, length) == k:
+                            for item, like, at, bits in index.matches(part, of, length, island - left, percent):
+                                best[d, item] = max(best.get((d, item), (0,)), (like, -(left + at), length, bits))
+        for (d, item), (like, at, length, bits) in best.items():
+            yield row + d, item, like, -at, length, bits
+
 
+def _search(index: Index, percent: int):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "item_id", "similarity", "first_word", "n_words", "distance"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            data, offsets = tokens.string_bytes(batch.column("text"))
-            rows: list[tuple] = []
-            for row, to in tokens.pieces(offsets):
-                found = tokens.words(data, offsets[row : to + 1], lower=True)
-                for k in index.known:
-                    hit = index.hits(tokens.grams(found.hash, k), k)
-                    doc = np.searchsorted(found.first, hit, "right") - 1
-                    inside = hit + k <= found.first[doc + 1] if len(hit) else np.zeros(0, bool)
-                    hit, doc = hit[inside], doc[inside]
-                    for d in np.unique(doc).tolist():
-                        low, high = int(found.first[d]), int(found.first[d + 1])
-                        best: dict = {}
-                        for island in _islands(hit[doc == d] - low, longest):
-                            left = max(0, int(island[0]) - longest)
-                            part = found.hash[low + left : min(high, low + int(island[-1]) + longest + 1)]
-                            for length, of in index.by_length.items():
-                                if min(SHINGLE_WORDS, length) == k:
-                                    for item, like, at, bits in index.matches(part, of, length, island - left, percent):
-                                        best[item] = max(best.get(item, (0,)), (like, -(left + at), length, bits))
-                        rows += [(ids[row + d], item, like, -at, length, bits) for item, (like, at, length, bits) in best.items()]
-            names = ["doc_id", "item_id", "similarity", "first_word", "n_words", "distance"]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            ids = batch.column("doc_id")
+            rows = [(ids[row].as_py(), *rest) for row, *rest in _row_matches(index, percent, batch.column("text"))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return of_batches
 
 
+def _clean(index: Index, percent: int):
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in _row_matches(index, percent, batch.column("text"))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return of_batches
+
+
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    """Indexes of parts of the benchmark of about PART_BYTES each; together they hold all items."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("trim(text) <> ''")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = -(-total // PART_BYTES)
+    for part in range(n_parts):
+        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()
+        if own:
+            yield Index([r["item_id"] for r in own], [r["text"] for r in own])
+
+
 def contamination(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """Documents that hold a benchmark item: one row per (doc_id, item_id), with the most similar window.
 
@@ -165,14 +190,17 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataF
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("trim(text) <> ''")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = -(-total // PART_BYTES)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words int, distance int"
     result = spark.createDataFrame([], schema)
-    for part in range(n_parts):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()
-        if own:
-            index = Index([r["item_id"] for r in own], [r["text"] for r in own])
-            result = result.union(docs.mapInArrow(_search(index, percent), schema))
+    for index in _indexes(items):
+        result = result.union(docs.mapInArrow(_search(index, percent), schema))
     return result
+
+
+def clean(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item is found as `contamination` finds it."""
+    ship(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    for index in _indexes(items):
+        packed = packed.mapInArrow(_clean(index, percent), packed.schema)
+    return packed.select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .scratch import semi, ship, written
+from .scratch import anti, semi, ship, written
 
 #: Words of a shingle, minima of a band, bits kept of a minimum.
 SHINGLE_WORDS, BAND_ROWS, LOW_BITS = 5, 4, 4
@@ -193,6 +193,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without near-duplicates: of each component the smallest doc_id stays, once.
+
+    Documents without words and rows without doc_id all stay; of rows that share a doc_id one stays.
+    """
+    found = written(near_duplicates(docs, percent), "components")
+    order = [*docs.columns]
+    gone = found.filter("not kept").select("doc_id").distinct()
+    kept = anti(docs, written(gone, "gone"), "doc_id").select(*order)
+    twice = written(found.filter("doc_id is not null and kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return kept
+    return anti(kept, twice, "doc_id").select(*order).unionByName(semi(kept, twice, "doc_id").select(*order).dropDuplicates(["doc_id"]))
+
+
 def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of documents of different components that share a shingle of both prefixes.
 

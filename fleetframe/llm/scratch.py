@@ -85,5 +85,11 @@ def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def anti(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids (distinct), as `semi`; null keys stay."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -272,15 +272,19 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Examp
     return Examples(vocabulary, idf, of(~tunes), of(tunes), {y: c / whole for y, c in totals.items()})
 
 
+def _batch_scores(index: Examples, column: pa.Array) -> np.ndarray:
+    scores: list[float] = []
+    for _, found in _terms(column):
+        doc, term, times = index.vocabulary.counts(found)
+        ends = np.searchsorted(doc, np.arange(len(found.first))).tolist()
+        scores += [index.score(term[a:b], times[a:b]) if b > a else index.empty for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return np.array(scores, np.float64)
+
+
 def _scores(index: Examples):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for _, found in _terms(batch.column("text")):
-                doc, term, times = index.vocabulary.counts(found)
-                ends = np.searchsorted(doc, np.arange(len(found.first))).tolist()
-                scores += [index.score(term[a:b], times[a:b]) if b > a else index.empty for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            score = np.array(scores, np.float64)
+            score = _batch_scores(index, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
@@ -334,3 +338,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     index = train(docs, labels.filter(~held_out()))
     return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def _mild(index: Examples):
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _batch_scores(index, batch.column("text"))
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return of_batches
+
+
+def without_toxic(docs: DataFrame, index: Examples) -> DataFrame:
+    """The rows of docs, with all their columns, that score below one half."""
+    ship(docs.sparkSession)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return packed.mapInArrow(_mild(index), packed.schema).select("row.*")
