@@ -34,12 +34,15 @@ def tag_version(tag: Column) -> Column:
     """Version at the start of a tag: the longest of ``a.b.c``, ``a.b`` and ``a``; all null if it has none.
 
     The character between minor and patch may be any, so ``7.0-2024`` is read as three parts, fails to parse and is
-    flagged, while ``7.012`` gives (7, 12, null).
+    flagged, while ``7.012`` gives (7, 12, null). A leading number beyond 32 bits, as in a date tag, is flagged too.
     """
     dotted = F.coalesce(_prefix(tag, fixed.PATCH_PREFIX), _prefix(tag, fixed.MINOR_PREFIX))
     major = to_int(_prefix(tag, fixed.MAJOR_PREFIX))
     none = F.lit(None)
-    return F.when(dotted.isNotNull(), parse_version(dotted)).otherwise(_parts(major, none, none, F.lit(False)))
+    too_long = _prefix(tag, fixed.MAJOR_PREFIX).isNotNull() & major.isNull()
+    return F.when(dotted.isNotNull(), parse_version(dotted)).otherwise(
+        _parts(major, none, none, F.coalesce(too_long, F.lit(False)))
+    )
 
 
 def tag_group(tag: Column) -> Column:

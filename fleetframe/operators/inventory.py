@@ -137,6 +137,9 @@ def without_manager(servers: DataFrame, managers: DataFrame, hot: HotKeys | None
     return keyed_join(servers, names, "om_name", "left_anti", hot)
 
 
-def bulk_targets(nodes: DataFrame) -> DataFrame:
-    """Groups a bulk removal reaches: of all groups, those with at least one running node."""
-    return running_only(nodes).select("grp").where(F.col("grp").isNotNull()).distinct()
+def bulk_targets(nodes: DataFrame, scheme: LabelScheme = LabelScheme()) -> DataFrame:
+    """Groups a bulk removal reaches: groups of this fleet (some node has its source) with at least one running node, of any source."""
+    flags = nodes.where(F.col("grp").isNotNull()).groupBy("grp").agg(
+        F.max(F.col("source") == scheme.source_value).alias("own"), F.max(F.col("status") == fixed.RUNNING).alias("runs")
+    )
+    return flags.where("own AND runs").select("grp")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from fleetframe import fixed
 from fleetframe.operators.rollup import SINGLE_TYPES, headers, order_text, with_rollup
-from fleetframe.operators.skew import HotKeys, hot_keys, positions, range_positions, window_positions
+from fleetframe.operators.skew import HotKeys, hot_keys, keyed_join, positions, range_positions, window_positions
 from fleetframe.session import pinned
 
 PART_ROWS = 10_000
 NODE_FIELDS = [
-    "seq", "grp", "node", "role", "port", "shard_id", "status", "arbiter", "member_version", "id", "image_tags",
+    "seq", "grp", "node", "role", "port", "shard_id", "status", "arbiter", "member_version", "id", "image_tags", "ports",
     "data_dir", "container_data_dir",
 ]
 _REPORT_ORDER = ["section", "sorter", "seq"]
@@ -64,22 +64,36 @@ def fixed_chunks(df: DataFrame, keys: list[str], order: list, size: int = 20) ->
 def listing(nodes: DataFrame, order: str = "product", part_rows: int = PART_ROWS, hot: HotKeys | None = None) -> DataFrame:
     """The nodes a deployment report shows, each with its ``place`` in the report, next to its group's roll-up (``of``).
 
-    Sections are config servers (0), routers (1), members (2). Single-node types show their first node only; clusters
+    Sections are config servers (0), routers (1), members (2; all nodes of a group of unknown type). Single-node types show their first node only; clusters
     show the nodes of the three roles (members without a ``chunk`` if the layout is in error). ``part`` numbers slices of ``part_rows`` places: results that nest nodes are
     built per part, so that no row or task has to hold a whole group however large it is.
     """
     nodes = nodes.where(F.col("grp").isNotNull())
     hot = hot if hot is not None else hot_keys(nodes, ["grp"])
+    if hot.many:
+        return _placed(_range_listing(nodes, order), part_rows)
     shown = _shown(with_rollup(hot.without(nodes) if hot else nodes, NODE_FIELDS, order), order)
     placed = window_positions(shown, ["grp"], _REPORT_ORDER, "place")
     if hot:
         large = hot.only(nodes)
         # One row per hot group; it is joined on again after the numbering, so the sort carries nodes only.
         of = pinned(headers(large, order))
-        of = F.broadcast(of) if hot.small else of
-        shown = _shown(large.join(of, "grp").select(*NODE_FIELDS, "of"), order).drop("of")
+        shown = _shown(large.join(F.broadcast(of), "grp").select(*NODE_FIELDS, "of"), order).drop("of")
         numbered = range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=hot.count)
-        placed = placed.unionByName(numbered.join(of, "grp"))
+        placed = placed.unionByName(numbered.join(F.broadcast(of), "grp"))
+    return _placed(placed, part_rows)
+
+
+def _range_listing(nodes: DataFrame, order: str) -> DataFrame:
+    """The listing where very many groups are hot: roll-ups meet nodes over salted keys and all nodes are numbered by a range sort."""
+    of = pinned(headers(nodes, order))
+    every = HotKeys(["grp"], None, many=True)
+    shown = _shown(keyed_join(nodes.select(*NODE_FIELDS), of, "grp", hot=every), order).drop("of")
+    numbered = range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=None)
+    return keyed_join(numbered, of, "grp", hot=every)
+
+
+def _placed(placed: DataFrame, part_rows: int) -> DataFrame:
     clustered = F.col("of.deployment_type") == fixed.SHARDED
     return (
         placed.where(~F.col("single") | (F.col("place") == 1))
@@ -101,7 +115,7 @@ def _shown(joined: DataFrame, order: str) -> DataFrame:
     clustered = kind == fixed.SHARDED
     single = kind.isin([*SINGLE_TYPES, fixed.SERVER_GROUP])
     section = (
-        F.when(single | (kind == fixed.REPLICA_SET), 2)
+        F.when(single | (kind == fixed.REPLICA_SET) | kind.isNull(), 2)
         .when(clustered & (role == fixed.CONFIG), 0)
         .when(clustered & (role == fixed.ROUTER), 1)
         .when(clustered & (role == fixed.MEMBER) & (F.col("of.n_chunks").isNull() | (F.col("of.n_chunks") > 0)), 2)
@@ -111,4 +125,5 @@ def _shown(joined: DataFrame, order: str) -> DataFrame:
         .when(clustered & (role == fixed.MEMBER), F.expr(order_text(order)))
         .otherwise(F.col("port").cast("long"))
     )
+    single = F.coalesce(single, F.lit(False))
     return joined.withColumns({"section": section, "sorter": sorter, "single": single}).where("section IS NOT NULL")

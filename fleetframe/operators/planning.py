@@ -214,6 +214,12 @@ def server_labels(groups: DataFrame, scheme: LabelScheme = LabelScheme()) -> Dat
     )
 
 
+def repeated_names(specs: DataFrame) -> DataFrame:
+    """Specs whose name an earlier spec (smaller ``seq``) of the same table has: planned one after another, the first gets the name."""
+    firsts = specs.groupBy("name").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("specs")).where("specs > 1")
+    return specs.join(firsts, "name").where(F.col("seq") > F.col("first_seq")).select(*specs.columns)
+
+
 def name_collisions(specs: DataFrame, nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Specs whose name a running deployment already has."""
     return matching(specs, running_only(nodes).select(F.col("grp").alias("name")), "name", hot)

@@ -33,3 +33,29 @@ def property_lines(texts: DataFrame, document: str = "doc", text: str = "text",
             F.substring(line, at + 1, F.length(line)).alias("value"),
         )
     )
+
+
+def file_lines(texts: DataFrame, document: str = "doc", text: str = "text", separator: str = "\n") -> DataFrame:
+    """Every line of each text: ``document, line_no, line, key, value``; key and value are null for comments, blanks and lines without ``=``."""
+    line = F.col("line")
+    at = F.instr(line, "=")
+    setting = (at > 0) & ~F.coalesce(F.startswith(F.ltrim(line), F.lit("#")), F.lit(False))
+    return texts.select(document, F.posexplode(F.split(text, "\\Q" + separator + "\\E")).alias("line_no", "line")).select(
+        document, "line_no", "line",
+        F.when(setting, strip(F.substring(line, F.lit(1), at - 1))).alias("key"),
+        F.when(setting, F.substring(line, at + 1, F.length(line))).alias("value"),
+    )
+
+
+def overlay_file(lines: DataFrame, settings: DataFrame, document: str = "doc") -> DataFrame:
+    """``document, line_no, line`` of files with settings put over them: lines that set a given key go, all others stay in place.
+
+    The settings follow at the end by key, the last value of each. ``lines`` is the result of ``file_lines``.
+    """
+    last = settings.groupBy(document, "key").agg(F.max_by("value", "seq").alias("value"))
+    kept = keyed_join(lines, last.select(document, "key"), [document, "key"], "left_anti").select(document, "line_no", "line")
+    ends = lines.groupBy(document).agg((F.max("line_no") + 1).alias("start"))
+    gathered = last.groupBy(document).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("all"))
+    added = gathered.join(ends, document, "left").select(document, "start", F.posexplode("all").alias("place", "x"))
+    added = added.select(document, (F.coalesce("start", F.lit(0)) + F.col("place")).alias("line_no"), F.concat("x.key", F.lit("="), "x.value").alias("line"))
+    return kept.unionByName(added)

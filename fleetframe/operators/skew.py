@@ -5,6 +5,9 @@ are found first with one partial-aggregated count, and only their rows go anothe
 
 * positions: a range sort spreads a hot group over many tasks; each task's start is a running total over task sizes;
 * joins: the rows stay where they are and the few matching rows of the other side are broadcast.
+
+With more hot keys than may be broadcast nothing is joined on the bare key: the whole table is numbered by the range sort, and joins deal the
+rows of every key over ``SALTS`` tasks, next to as many copies of the other side's one row per key.
 """
 
 from __future__ import annotations
@@ -12,16 +15,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetframe.session import pinned, setting
 
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 10_000
+SALTS = 16
 
 _MARK = "__mark"
 _RUN = "__run"
+_SALT = "__salt"
+
+
+def broadcast_rows(spark: SparkSession) -> int:
+    """Rows of a small table that may be broadcast: setting ``spark.fleetframe.broadcastRows``."""
+    return setting(spark, "broadcastRows", BROADCAST_ROWS)
 
 
 def _other(key: str) -> str:
@@ -34,23 +44,21 @@ def _same(keys: list[str]) -> Column:
 
 @dataclass
 class HotKeys:
-    """Keys above the row limit. ``rows`` is None when there are none; its columns are named by ``_other``."""
+    """Keys above the row limit: none (``rows`` is None), a few to broadcast, or ``many`` (``rows`` is None, ``count`` unknown).
+
+    The columns of ``rows`` are named by ``_other``.
+    """
 
     keys: list[str]
     rows: DataFrame | None
     count: int = 0
+    many: bool = False
 
     def __bool__(self) -> bool:
-        return self.rows is not None
-
-    @property
-    def small(self) -> bool:
-        """Few enough to broadcast."""
-        return self.count <= BROADCAST_ROWS
+        return self.rows is not None or self.many
 
     def _join(self, df: DataFrame, how: str) -> DataFrame:
-        hot = F.broadcast(self.rows) if self.small else self.rows
-        return df.join(hot, _same(self.keys), how)
+        return df.join(F.broadcast(self.rows), _same(self.keys), how)
 
     def only(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys."""
@@ -64,20 +72,19 @@ class HotKeys:
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> HotKeys:
     """Find the keys with more than ``limit`` rows (default: setting ``spark.fleetframe.hotRows``).
 
-    There are at most (rows / limit) of them. Up to ``BROADCAST_ROWS`` come back as a local table to broadcast; more are
-    written to the shared folder and joined by shuffle.
+    There are at most (rows / limit) of them. Up to ``broadcast_rows`` come back as a local table to broadcast; of more only the fact
+    that they are many is kept.
     """
     spark = df.sparkSession
-    limit = limit or setting(spark, "hotRows", HOT_ROWS)
+    limit, most = limit or setting(spark, "hotRows", HOT_ROWS), broadcast_rows(spark)
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
     counts = counts.select(*[F.col(k).alias(_other(k)) for k in keys])
-    found = counts.limit(BROADCAST_ROWS + 1).collect()
+    found = counts.limit(most + 1).collect()
     if not found:
         return HotKeys(keys, None)
-    if len(found) <= BROADCAST_ROWS:
-        return HotKeys(keys, spark.createDataFrame(found, counts.schema), len(found))
-    counts = pinned(counts)
-    return HotKeys(keys, counts, counts.count())
+    if len(found) > most:
+        return HotKeys(keys, None, many=True)
+    return HotKeys(keys, spark.createDataFrame(found, counts.schema), len(found))
 
 
 def window_positions(
@@ -106,15 +113,15 @@ def range_positions(
     name: str = "position",
     size: str | None = None,
     first: dict[str, str] | None = None,
-    n_keys: int = 1,
+    n_keys: int | None = 1,
 ) -> DataFrame:
     """Number the rows of each group with a range sort: a group may cover many tasks.
 
-    ``n_keys`` is the number of groups, or the most there can be.
+    ``n_keys`` is the number of groups, or the most there can be; None if that is not known.
     """
     first = first or {}
     by = [*keys, *order]
-    few = n_keys + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = (n_keys or 0) + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The row mark numbers rows in sorted order within each task. It is written out, so both uses below see one order.
     marked = pinned(
         df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(_MARK, F.monotonically_increasing_id())
@@ -136,7 +143,7 @@ def range_positions(
     for out, source in first.items():
         extra[out] = F.first(f"__{out}").over(ordered)[source]
     runs = runs.withColumns(extra)
-    if setting(df.sparkSession, "broadcastRows", BROADCAST_ROWS) >= few:
+    if n_keys is not None and broadcast_rows(df.sparkSession) >= few:
         runs = F.broadcast(runs)
     return marked.join(runs, _same(parts)).select(
         *df.columns,
@@ -165,6 +172,8 @@ def positions(
     hot = hot if hot is not None else hot_keys(df, keys)
     if not hot:
         return window_positions(df, keys, order, name, size, first)
+    if hot.many:
+        return range_positions(df, keys, order, name, size, first, None)
     usual = window_positions(hot.without(df), keys, order, name, size, first)
     return usual.unionByName(range_positions(hot.only(df), keys, order, name, size, first, hot.count))
 
@@ -180,15 +189,27 @@ def keyed_join(
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
     keyed = left.where(has_key)
     hot = hot if hot is not None else hot_keys(keyed, on)
-    joined = (hot.without(keyed) if hot else keyed).join(right, on, how)
-    if hot:
-        few = hot.only(right)
-        joined = joined.unionByName(hot.only(keyed).join(F.broadcast(few) if hot.small else few, on, how))
+    if hot.many:
+        joined = _salted_join(keyed, right, on, how)
+    else:
+        joined = (hot.without(keyed) if hot else keyed).join(right, on, how)
+        if hot:
+            joined = joined.unionByName(hot.only(keyed).join(F.broadcast(hot.only(right)), on, how))
     if how == "left_anti":
         joined = joined.unionByName(left.where(~has_key))
     return joined
 
 
+def _salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """The same join with the rows of every key dealt over ``SALTS`` tasks."""
+    salts = setting(left.sparkSession, "salts", SALTS)
+    # A hash of the row itself: a task that is run again deals its rows the same way.
+    plain = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = left.withColumn(_SALT, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    copies = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, _SALT], how).drop(_SALT)
+
+
 def matching(left: DataFrame, keys: DataFrame, on: str | list[str], hot: HotKeys | None = None) -> DataFrame:
     """Rows of ``left`` whose ``on`` value occurs in ``keys``."""
     return keyed_join(left, keys.select(on).distinct(), on, "left_semi", hot)

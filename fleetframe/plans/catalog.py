@@ -14,12 +14,13 @@ def load_tags(
     pages: str,
     root: str,
     batch: int,
+    writer: str = "load",
     must_include: str | None = None,
     must_exclude: str | None = None,
 ) -> DataFrame:
-    """Read landed pages, enrich the tags and add them to the catalogue at ``root``; returns the current catalogue."""
+    """Read landed pages, enrich the tags and add them to the catalogue at ``root`` as ``batch`` of ``writer``; returns the current catalogue."""
     names = name_filter(read_pages(spark, pages), must_include, must_exclude).withColumn("seq", F.lit(0).cast("long"))
-    append_batch(tag_documents(names), root, batch)
+    append_batch(tag_documents(names), root, writer, batch)
     return read_catalog(spark, root)
 
 

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
-from fleetframe.functions import endpoint_uri, manager_urls
-from fleetframe.operators.inventory import running_only
+from fleetframe.functions import LabelScheme, endpoint_uri, manager_urls
+from fleetframe.operators.inventory import running_only, scan_landed
 from fleetframe.operators.layout import PART_ROWS, listing
 from fleetframe.operators.rollup import SINGLE_TYPES, port_span, rollup, summaries
 from fleetframe.operators.skew import HotKeys
+from fleetframe.sources.nodes import PORTS_TYPE
 
 
-def list_deployments(nodes: DataFrame, include_stopped: bool = False) -> DataFrame:
-    """One summary row per deployment."""
-    return summaries(nodes if include_stopped else running_only(nodes))
+def list_deployments(nodes: DataFrame, include_stopped: bool = False, scheme: LabelScheme = LabelScheme()) -> DataFrame:
+    """One summary row per deployment of this fleet."""
+    return summaries(scan_landed(nodes, scheme, include_stopped=include_stopped))
 
 
 def get_deployment(nodes: DataFrame, name: str, include_stopped: bool = True, by_group: bool = True) -> DataFrame:
@@ -27,36 +28,62 @@ def get_deployment(nodes: DataFrame, name: str, include_stopped: bool = True, by
 # --- member lists as text -------------------------------------------------------------------------------------------
 
 
+def host_rows(nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """``grp, section, chunk, place, host``: the ``node:port`` of every member of a set, config set or shard, in report order.
+
+    Section 0 is the config set of a cluster, 2 the members of a set or, with their ``chunk``, of a shard. One row per node at every size.
+    """
+    kind = F.col("of.deployment_type")
+    shown = (kind == fixed.REPLICA_SET) | ((kind == fixed.SHARDED) & F.col("section").isin(0, 2))
+    host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
+    return listing(nodes, hot=hot).where(shown).select("grp", "section", "chunk", "place", host.alias("host"))
+
+
 def host_strings(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys | None = None) -> DataFrame:
-    """Ordered ``node:port`` list of every replica set, as ``hosts``, connection string ``uri`` and ``set_address``.
+    """``hosts``, connection string ``uri`` and ``set_address`` of every replica set; ``host_rows`` is the form without a limit.
 
-    A set of more than ``part_rows`` nodes comes in several rows; joined in order of ``part`` their texts are the
-    whole string. Ordinary sets have part 0 only.
+    ``hosts`` of a set of more than ``part_rows`` nodes come in ``parts`` rows, each a plain list. ``uri`` and ``set_address`` stand only where they are
+    whole and true: they are null if a set has several parts or a member without a name or port (``name_error``).
     """
-    listed = listing(nodes.where(F.col("grp").isNotNull()), part_rows=part_rows, hot=hot)
-    sets = listed.where(F.col("of.deployment_type") == fixed.REPLICA_SET)
+    sets = listing(nodes, part_rows=part_rows, hot=hot).where(F.col("of.deployment_type") == fixed.REPLICA_SET)
     host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
     joined = sets.groupBy("grp", "part").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("place", host.alias("host"))))["host"], ",").alias("hosts"),
         F.max("of.rows").alias("size"),
         F.count_if(host.isNull()).alias("unnamed"),
     )
-    first = F.col("part") == 0
-    last = (F.col("part") + 1) * part_rows >= F.col("size")
-    body = F.concat(F.when(first, "").otherwise(","), "hosts")
+    parts = F.expr(f"(size + {part_rows - 1}) div {int(part_rows)}")
+    whole = (parts == 1) & (F.col("unnamed") == 0)
     return joined.select(
         "grp",
         "part",
-        body.alias("hosts"),
-        F.concat(
-            F.when(first, "mongodb://").otherwise(""), body,
-            F.when(last, F.concat(F.lit("/?replicaSet="), "grp")).otherwise(""),
-        ).alias("uri"),
-        F.concat(F.when(first, F.concat("grp", F.lit("/"))).otherwise(""), body).alias("set_address"),
+        parts.alias("parts"),
+        "hosts",
+        F.when(whole, F.concat(F.lit("mongodb://"), "hosts", F.lit("/?replicaSet="), "grp")).alias("uri"),
+        F.when(whole, F.concat("grp", F.lit("/"), "hosts")).alias("set_address"),
         (F.col("unnamed") > 0).alias("name_error"),
     )
 
 
+def cluster_addresses(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys | None = None) -> DataFrame:
+    """``grp, set_name, address``: set address of the config set and of each shard of every cluster, as routers are given them.
+
+    The address is null where a member has no name or port, or where the set has more than ``part_rows`` nodes (see ``host_rows``).
+    """
+    nodes = nodes.where(F.col("type") == fixed.SHARDED)
+    host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
+    shown = listing(nodes, part_rows=part_rows, hot=hot).where((F.col("section") == 0) | F.col("chunk").isNotNull())
+    name = F.when(F.col("section") == 0, F.concat("grp", F.lit("-config"))).otherwise(F.concat("grp", F.lit("-shard-"), (F.col("chunk") + 1).cast("string")))
+    # One size per set is known beforehand, so a set that is too large is never gathered.
+    size = F.when(F.col("section") == 0, F.col("of.n_config")).otherwise(F.col("of.chunk_size"))
+    entry = F.when(size <= part_rows, F.struct("place", host.alias("host")))
+    joined = shown.select("grp", name.alias("set_name"), entry.alias("entry"), host.alias("host"), size.alias("size")).groupBy("grp", "set_name").agg(
+        F.array_join(F.array_sort(F.collect_list("entry"))["host"], ",").alias("hosts"), F.count_if(F.col("host").isNull()).alias("unnamed"), F.max("size").alias("size")
+    )
+    whole = (F.col("unnamed") == 0) & (F.col("size") <= part_rows)
+    return joined.select("grp", "set_name", F.when(whole, F.concat("set_name", F.lit("/"), "hosts")).alias("address"))
+
+
 def endpoints(nodes: DataFrame) -> DataFrame:
     """Per single-node deployment its connection string, and for managers the network and local URLs."""
     rolled = rollup(nodes).where(F.col("deployment_type").isin(SINGLE_TYPES))
@@ -102,6 +129,7 @@ def _node_fields() -> list[Column]:
         F.struct(
             F.col("id").alias("id"),
             F.coalesce("image_tags", F.array().cast("array<string>")).alias("image"),
+            F.coalesce("ports", F.create_map().cast(PORTS_TYPE)).alias("ports"),
         ).alias("container"),
     ]
 
@@ -125,7 +153,7 @@ def _json(*fields: Column) -> Column:
 
 
 def detailed_documents(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys | None = None) -> DataFrame:
-    """The full nested document of every deployment as JSON text: ``grp``, ``part``, ``document``.
+    """The full nested document of every deployment as JSON text: ``grp``, ``part``, ``parts``, ``document``.
 
     Members, routers, config set and shards are nested in report order. A deployment of more than ``part_rows`` nodes
     comes in several documents with the same head and consecutive nodes, so each stays small and none is cut. A shard
@@ -137,7 +165,11 @@ def detailed_documents(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKey
     pieces = (
         listed.groupBy("grp", "part", "section", "chunk")
         .agg(
-            F.array_sort(F.collect_list(F.struct("place", F.struct(*_node_fields()).alias("node")))).alias("placed"),
+            # By place only: maps, such as port bindings, have no order.
+            F.array_sort(
+                F.collect_list(F.struct("place", F.struct(*_node_fields()).alias("node"))),
+                lambda a, b: F.signum(a["place"] - b["place"]).cast("int"),
+            ).alias("placed"),
             F.min_by(F.struct("place", "port"), "place").alias("head"),
             F.any_value("of").alias("of"),
         )
@@ -157,10 +189,16 @@ def detailed_documents(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKey
         in_section(1).alias("routers"),
         in_section(2).alias("members"),
         F.array_sort(
-            F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("chunk", shard.alias("shard"))))
+            F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("chunk", shard.alias("shard")))),
+            lambda a, b: F.signum(a["chunk"] - b["chunk"]).cast("int"),
         )["shard"].alias("shards"),
     )
-    return by_part.select("grp", "part", _document().alias("document"))
+    shown = F.when(F.col("of.deployment_type").isin(SINGLE_TYPES), 1).otherwise(F.greatest("of.rows", F.lit(1)))
+    shown = F.when(F.col("of.deployment_type") == fixed.SHARDED, F.col("of.n_config") + F.col("of.n_router") + F.when(F.col("of.n_chunks") == 0, 0).otherwise(F.col("of.n_member"))).otherwise(shown)
+    shown = F.when(F.col("of.deployment_type") == fixed.SERVER_GROUP, 1).otherwise(shown)
+    return by_part.withColumn("shown", shown).select(
+        "grp", "part", F.expr(f"(shown + {part_rows - 1}) div {int(part_rows)}").alias("parts"), _document().alias("document")
+    )
 
 
 def _document() -> Column:
@@ -181,5 +219,6 @@ def _document() -> Column:
             _json(*cluster, F.col("of.layout_error").alias("layout_error"), or_empty("members").alias("unassigned")),
         )
         .when(kind.isin([fixed.STANDALONE, fixed.ATLAS]), _json(*head, *[single[c].alias(c) for c in node_tail]))
+        .when(kind.isNull(), _json(*head, F.col("of.type_error").alias("type_error"), or_empty("members")))
         .otherwise(_json(*head, span))
     )

@@ -15,6 +15,7 @@ from fleetframe.operators.planning import (
     name_collisions,
     node_labels,
     port_conflicts,
+    repeated_names,
     valid_specs,
     violations,
     with_defaults,
@@ -45,12 +46,15 @@ def plan_deployments(
     broken = violations(specs)
     valid = valid_specs(specs)
     taken = name_collisions(valid, inventory)
-    free = pinned(not_matching(valid, running_only(inventory).select(F.col("grp").alias("name")), "name"))
+    again = repeated_names(valid)
+    single = valid.join(again.select("seq"), "seq", "left_anti")
+    free = pinned(not_matching(single, running_only(inventory).select(F.col("grp").alias("name")), "name"))
     conflicts = pinned(port_conflicts(free, inventory))
     ready = free.join(conflicts.select("seq"), "seq", "left_anti")
     rejected = (
         broken.withColumnRenamed("violation", "reason")
         .unionByName(taken.select("seq", "name", F.lit("a deployment of this name runs").alias("reason")))
+        .unionByName(again.select("seq", "name", F.lit("an earlier spec has this name").alias("reason")))
         .unionByName(conflicts.select("seq", "name", F.lit("a port is taken or shared").alias("reason")))
     )
     return Plan(expand(ready), node_labels(ready, scheme, data_root), connections(ready), rejected)

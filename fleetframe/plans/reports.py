@@ -18,7 +18,8 @@ def _or_unknown(value: Column) -> Column:
 
 
 def _row(cells: list[Column], joint: str = "|") -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(joint, *cells), F.lit(" |"))
+    """A line of a table; a cell without a value is ``unknown``, so that none is left out."""
+    return F.concat(F.lit("| "), F.concat_ws(joint, *[F.coalesce(c, F.lit(fixed.UNKNOWN)) for c in cells]), F.lit(" |"))
 
 
 def _rule(width: int) -> str:
@@ -49,13 +50,13 @@ def detail_rows(nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     Line 0 is the title, 1 the heading, 2 the rule; nodes follow in report order.
     """
     kind = F.col("deployment_type")
-    title = F.lit("standalone")
+    title = F.when(kind.isNull(), fixed.UNKNOWN).otherwise("standalone")
     for name, text in _TITLES.items():
         title = F.when(kind == name, text).otherwise(title)
-    heads = rollup(nodes).where(kind.isNotNull()).select(
+    heads = rollup(nodes).select(
         "grp",
         F.posexplode(F.array(
-            F.concat(F.lit("**"), "name", F.lit(" ("), title, F.lit("):**")),
+            F.concat(F.lit("**"), F.coalesce("name", F.lit(fixed.UNKNOWN)), F.lit(" ("), title, F.lit("):**")),
             F.lit("| " + " | ".join(fixed.DETAIL_HEADINGS) + " |"),
             F.lit(_rule(len(fixed.DETAIL_HEADINGS))),
         )).alias("line_no", "line"),
@@ -86,8 +87,14 @@ def summary_json(nodes: DataFrame) -> DataFrame:
     return summaries(nodes).select("grp", F.to_json(fields, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def report_lines(documents: DataFrame) -> DataFrame:
+    """One JSON object per line: the deployment's ``name``, its part if there are several, and its ``document``."""
+    extra = [c for c in ("part", "parts") if c in documents.columns]
+    fields = [F.concat(F.lit(f'"{c}":'), F.col(c).cast("string")) for c in extra]
+    name = F.regexp_replace(F.to_json(F.struct(F.col("grp").alias("name"))), r"^\{|\}$", "")
+    return documents.select("grp", F.concat(F.lit("{"), F.concat_ws(",", name, *fields, F.concat(F.lit('"document":'), "document")), F.lit("}")).alias("line"))
+
+
 def write_report(documents: DataFrame, path: str) -> None:
-    """Write keyed documents as text, one ``"key": document`` line per deployment."""
-    key = F.to_json(F.struct(F.col("grp").alias("k")))
-    line = F.concat(F.expr("substring(k, 6, length(k) - 6)"), F.lit(": "), F.col("document"))
-    documents.withColumn("k", key).select(line.alias("value")).write.mode("overwrite").text(path)
+    """Write keyed documents as JSON Lines."""
+    report_lines(documents).select(F.col("line").alias("value")).write.mode("overwrite").text(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE_SCHEMA = "results array<struct<name string>>, next string"
 
+PAGE_STRUCT = "struct<results:array<struct<name:string>>,next:string>"
+
 _RELEASES = (
     "array<struct<version string, platform array<struct<arch string, package_format string,"
     " packages struct<links array<struct<name string, download_link string>>>>>>>"
@@ -34,8 +38,22 @@ def page_names(pages: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Tag names of all pages landed under ``path`` as JSON files."""
-    return page_names(spark.read.schema(PAGE_SCHEMA).json(path))
+    """Tag names of all pages landed under ``path`` as JSON files, one document per file, indented or not, or one per line.
+
+    A file is read whole (pages are small). One that is not such JSON is an error, not an empty page.
+    """
+    files = spark.read.text(path, wholetext=True).select("value")
+    one = F.from_json("value", PAGE_SCHEMA)
+    # A file whose lines all are documents holds one per line; any other is one document.
+    parsed = lambda x: F.try_parse_json(x).isNotNull()
+    by_line = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    lines = F.when(F.forall(by_line, parsed), by_line).otherwise(F.array("value"))
+    texts = files.where(F.trim("value") != "").select(F.explode(lines).alias("value"))
+    checked = texts.select(
+        F.when(F.try_parse_json("value").isNotNull(), one)
+        .otherwise(F.raise_error(F.concat(F.lit("not a tag page: "), F.substring("value", 1, 100))).cast(PAGE_STRUCT)).alias("page")
+    )
+    return page_names(checked.select("page.*"))
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -49,22 +67,56 @@ def read_archive(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return spark.read.schema(ARCHIVE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def append_batch(docs: DataFrame, root: str, batch: int) -> None:
-    """Write tag documents as batch number ``batch`` of the table at ``root``.
+def append_batch(docs: DataFrame, root: str, writer: str, batch: int) -> None:
+    """Write tag documents as batch number ``batch`` of ``writer`` in the table at ``root``.
 
-    A batch has a folder of its own that is written over when the batch is run again, so repeats change nothing.
+    Every writer (a stream's id, a load's name) has folders of its own, so batch numbers of two writers never meet. A batch's folder is written
+    over when that batch is run again, so repeats change nothing. Documents need ``imported_at``; those without get the time of this call.
     """
-    docs.select(*TAG_SCHEMA.names).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+    stamped = docs.withColumn("imported_at", F.coalesce("imported_at", F.current_timestamp()))
+    stamped.select(*TAG_SCHEMA.names).write.mode("overwrite").parquet(f"{root}/writer={quote(writer, safe='')}/batch={batch}")
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    keys = [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
+    return spark.read.schema(T.StructType([*TAG_SCHEMA.fields, *keys])).option("basePath", root).parquet(root)
 
 
 def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Current tag documents: of all batches the latest document per tag.
+    """Current tag documents: of all batches of all writers the document imported last per tag.
+
+    Documents imported at the same time are ordered by batch number, place and writer. Batches are only appended; the upsert is resolved here, with
+    map-side combining, so a load never rewrites the table. ``compact`` shortens what has to be read.
+    """
+    order = F.struct("imported_at", "batch", "seq", "writer")
+    return latest_by_key(_stored(spark, root), "tag", order).drop("writer", "batch")
+
+
+COMPACTED = "compacted"
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Replace all batches written so far by one that holds the current documents; returns its number.
 
-    Batches are only appended; the upsert is resolved here, with map-side combining, so a load never rewrites the table.
+    The new batch keeps the import times, so documents that arrive meanwhile still win, and it is complete before any other folder goes: a run that
+    breaks off leaves doubled documents, which change nothing. Run one compaction at a time.
     """
-    schema = T.StructType([*TAG_SCHEMA.fields, T.StructField("batch", T.LongType())])
-    stored = spark.read.schema(schema).option("basePath", root).parquet(root)
-    return latest_by_key(stored, "tag", F.struct("batch", "seq")).drop("batch")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [b.getPath() for w in fs.listStatus(fs_path) if w.isDirectory() and w.getPath().getName().startswith("writer=")
+           for b in fs.listStatus(w.getPath()) if b.getPath().getName().startswith("batch=")]
+    names = [(p.getParent().getName()[7:], int(p.getName()[6:])) for p in old]
+    number = max((n for w, n in names if w == COMPACTED), default=-1) + 1
+    if not old:
+        return number
+    # Only the folders listed above are read, so a batch that appears meanwhile is neither half read nor deleted.
+    keys = [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
+    kept = spark.read.schema(T.StructType([*TAG_SCHEMA.fields, *keys])).option("basePath", root).parquet(*[p.toString() for p in old])
+    current = latest_by_key(kept, "tag", F.struct("imported_at", "batch", "seq", "writer"))
+    append_batch(current, root, COMPACTED, number)
+    for path in old:
+        fs.delete(path, True)
+    return number
 
 
 def latest_by_key(df: DataFrame, key: str, order) -> DataFrame:
@@ -77,11 +129,12 @@ def latest_by_key(df: DataFrame, key: str, order) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, key: str = "tag", order: str = "seq") -> DataFrame:
     """``target`` with the rows of ``source`` put in: same key replaced, new key added.
 
-    ``target`` has unique keys; of several source rows per key the last counts. Both sides meet with at most one row
-    per key, so no key is hot.
+    ``target`` has unique keys; of several source rows per key the last counts. Both sides are united and the best row per key is taken, so the
+    source is read and shuffled once and rows of a hot key are combined before the shuffle.
     """
-    incoming = latest_by_key(source, key, F.col(order)).select(*target.columns)
-    return target.join(incoming.select(key), key, "left_anti").select(*target.columns).unionByName(incoming)
+    rank = lambda df, n: df.select(*target.columns, F.struct(F.lit(n).alias("side"), F.col(order).cast("long").alias("at")).alias("__rank"))
+    best = latest_by_key(rank(target, 0).unionByName(rank(source, 1)), key, F.col("__rank"))
+    return best.select(*target.columns)
 
 
 def write_verified(df: DataFrame, path: str) -> int:

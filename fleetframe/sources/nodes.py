@@ -16,6 +16,9 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
     T.StructField("env", T.ArrayType(T.StringType())),
     T.StructField("image_tags", T.ArrayType(T.StringType())),
+    T.StructField("ports", T.MapType(T.StringType(), T.ArrayType(T.StructType([
+        T.StructField("HostIp", T.StringType()), T.StructField("HostPort", T.StringType()),
+    ])))),
 ])
 
 # Landed column -> label field. Plain columns, unlike map values, are pruned and filtered inside the file scan.
@@ -35,7 +38,8 @@ LABEL_COLUMNS = {
     "start_port": "start-port",
     "network": "network",
 }
-LANDED_COLUMNS = ["seq", "id", "status", "env", "image_tags", "source", "version_label", *LABEL_COLUMNS]
+PORTS_TYPE = RECORD_SCHEMA["ports"].dataType.simpleString()
+LANDED_COLUMNS = ["seq", "id", "status", "env", "image_tags", "ports", "source", "version_label", *LABEL_COLUMNS]
 
 
 def read_records(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -52,6 +56,7 @@ def land(records: DataFrame, scheme: LabelScheme = LabelScheme()) -> DataFrame:
         "status",
         "env",
         "image_tags",
+        F.col("ports") if "ports" in records.columns else F.lit(None).cast(PORTS_TYPE).alias("ports"),
         F.try_element_at(labels, F.lit(scheme.source_key)).alias("source"),
         F.try_element_at(labels, F.lit("version")).alias("version_label"),
         *[scheme.label(labels, field).alias(column) for column, field in LABEL_COLUMNS.items()],
@@ -76,7 +81,8 @@ def typed_nodes(landed: DataFrame, strict: bool = False) -> DataFrame:
     """
     absent = set(LANDED_COLUMNS) - set(landed.columns)
     if absent:
-        kind = {c: "array<string>" if c in ("env", "image_tags") else "string" for c in absent}
+        special = {"env": "array<string>", "image_tags": "array<string>", "ports": PORTS_TYPE}
+        kind = {c: special.get(c, "string") for c in absent}
         landed = landed.withColumns({c: F.lit(None).cast(kind[c]) for c in sorted(absent)})
     number = (lambda c: F.expr(f"int(coalesce({c}, '0'))")) if strict else (lambda c: to_int(default_to(F.col(c), "0")))
     server_version = env_value(F.col("env"), fixed.SERVER_VERSION_VAR)
@@ -103,6 +109,7 @@ def typed_nodes(landed: DataFrame, strict: bool = False) -> DataFrame:
         server_version.alias("member_version"),
         short_id(F.col("id")).alias("id"),
         "image_tags",
+        "ports",
         "data_dir",
         "container_data_dir",
         "parent",

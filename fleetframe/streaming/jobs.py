@@ -48,14 +48,16 @@ def start_catalog_refresh(
 ) -> StreamingQuery:
     """Enrich streamed tag names and add each batch to the catalogue at ``root``.
 
-    The batch number is the folder name, so a batch that is run again after a failure writes the same place.
+    The stream's own id, which its checkpoint keeps, and the batch number name the folder: a batch that is run again after a failure writes
+    the same place, and another stream never does.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         kept = name_filter(batch, must_include, must_exclude)
         if "seq" not in kept.columns:
             kept = kept.withColumn("seq", F.lit(0).cast("long"))
-        append_batch(tag_documents(kept), root, number)
+        writer_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_batch(tag_documents(kept), root, writer_id, number)
 
     writer = names.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

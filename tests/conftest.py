@@ -43,7 +43,7 @@ def record(seq, name, group, port=27017, kind="Standalone", role="standalone", s
             spelled.pop(key, None)
         else:
             spelled[key] = str(value)
-    return (seq, f"{seq:064x}", status, spelled, [f"MONGO_VERSION={version}"], ["mongo:latest"])
+    return (seq, f"{seq:064x}", status, spelled, [f"MONGO_VERSION={version}"], ["mongo:latest"], None)
 
 
 def standalone(seq=1, name="sa", **more):

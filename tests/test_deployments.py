@@ -6,8 +6,9 @@ from conftest import SCHEME, cluster, record, replica_set, rows, standalone
 from pyspark.sql import functions as F
 
 import fleetframe as ff
-from fleetframe.operators import actions, inventory, layout, rollup
+from fleetframe.operators import actions, inventory, layout, rollup, skew
 from fleetframe.operators.skew import hot_keys
+from fleetframe.plans.deployments import cluster_addresses, host_rows
 
 
 def one(df):
@@ -87,7 +88,7 @@ def test_state_rules(nodes_of):
 
 def test_manager_and_servers(nodes_of):
     manager = record(1, "om", "om", 9080, "ops-manager", parent="om", network="net")
-    manager = (*manager[:4], ["MONGO_VERSION=1", "VERSION=8.0.11"], None)
+    manager = (*manager[:4], ["MONGO_VERSION=1", "VERSION=8.0.11"], None, None)
     servers = [
         record(i, f"srv-{i - 2}", "srv", 9081 + i, "ops-manager-deployment-server", group_size=3, parent="om", start_port=9083)
         for i in (2, 3, 4)
@@ -154,14 +155,19 @@ def test_documents(nodes_of):
 
 def test_large_groups_come_in_parts_that_join_to_the_whole(nodes_of):
     nodes = nodes_of(replica_set(size=7) + cluster(shards=2, replicas=5))
-    whole = {r.grp: r.uri for r in ff.host_strings(nodes).collect()}
-    pieces = {}
-    for r in sorted(ff.host_strings(nodes, part_rows=3).collect(), key=lambda r: r.part):
-        pieces[r.grp] = pieces.get(r.grp, "") + r.uri
-    assert pieces == whole
+    whole = ff.host_strings(nodes).collect()
+    assert [(r.part, r.parts, r.uri) for r in whole] == [(0, 1, f"mongodb://{whole[0].hosts}/?replicaSet=rs")]
+    pieces = sorted(ff.host_strings(nodes, part_rows=3).collect(), key=lambda r: r.part)
+    assert ",".join(r.hosts for r in pieces) == whole[0].hosts
+    assert [(r.part, r.parts, r.uri, r.set_address) for r in pieces] == [(i, 3, None, None) for i in range(3)]
+    hosts = [r.host for r in host_rows(nodes).where("grp = 'rs'").orderBy("place").collect()]
+    assert ",".join(hosts) == whole[0].hosts
+    addresses = {r.set_name: r.address for r in cluster_addresses(nodes).collect()}
+    assert addresses["sc-config"].startswith("sc-config/sc-cfg-svr-1:") and len(addresses) == 3
+    assert all(r.address is None for r in cluster_addresses(nodes, part_rows=2).collect())
     full = {r.grp: json.loads(r.document) for r in ff.detailed_documents(nodes).collect()}
     parts = sorted(ff.detailed_documents(nodes, part_rows=4).collect(), key=lambda r: (r.grp, r.part))
-    assert len(parts) == 2 + 4
+    assert len(parts) == 2 + 4 and {(r.grp, r.parts) for r in parts} == {("rs", 2), ("sc", 4)}
     members = [m for r in parts if r.grp == "rs" for m in json.loads(r.document)["members"]]
     assert members == full["rs"]["members"]
     shards = [s for r in parts if r.grp == "sc" for s in json.loads(r.document)["shards"]]
@@ -191,12 +197,36 @@ def test_reports(nodes_of, tmp_path):
     assert kinds == ["mongod (config)"] * 3 + ["mongos"] * 2 + ["mongod"] * 9
     ff.write_report(ff.summary_json(nodes), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
-    assert json.loads("{" + ",".join(text.strip().split("\n")) + "}")["sa"]["containers"] == 1
+    told = [json.loads(line) for line in text.strip().split("\n")]
+    assert {d["name"]: d["document"]["containers"] for d in told} == {"sa": 1, "sc": 14}
+
+
+def test_bad_values_stay_visible(nodes_of):
+    members = replica_set(size=3)
+    members[1] = record(12, None, "rs", 27018, "Replica Set", "rs-member")
+    nodes = nodes_of([*members, *[record(i, f"odd-{i}", "odd", i, "Mystery Box") for i in (50, 51)]])
+    found = one(ff.host_strings(nodes))
+    assert (found.uri, found.set_address, found.name_error) == (None, None, True)
+    lines = {r.line for r in ff.detail_rows(nodes).collect()}
+    assert f"| unknown|27018|mongod|unknown|{12:064x} |".replace(f"{12:064x}", f"{12:064x}"[:12]) in lines
+    assert "**odd-50 (unknown):**" in lines and sum("odd-5" in line for line in lines) == 3
+    assert "| odd|unknown|unknown|None|7.0.0| |" in {r.line for r in ff.list_rows(nodes).collect()}
+    odd = json.loads(one(ff.detailed_documents(nodes).where("grp = 'odd'")).document)
+    assert odd["type_error"] and [m["name"] for m in odd["members"]] == ["odd-50", "odd-51"]
+    assert odd["members"][0]["container"]["ports"] == {}
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_listing_does_not_depend_on_the_way(nodes_of, many):
+    nodes = nodes_of(replica_set(size=7) + cluster(shards=2, replicas=5) + standalone())
+    hot = skew.HotKeys(["grp"], None, many=True) if many else None
+    first = {(r.grp, r.document) for r in ff.detailed_documents(nodes).collect()}
+    assert {(r.grp, r.document) for r in ff.detailed_documents(nodes, hot=hot).collect()} == first
 
 
 def test_unknown_values_in_rows(nodes_of):
     row = record(1, "a", "a", 1)
-    nodes = nodes_of([(*row[:4], ["X=1"], None)])
+    nodes = nodes_of([(*row[:4], ["X=1"], None, None)])
     assert ff.list_rows(nodes).where("rank = 2").first().line == "| a|Standalone|running|1|unknown|1 |"
 
 
@@ -214,7 +244,7 @@ def test_actions(nodes_of):
 
 def test_scans_lookups_and_bulk(records_of, nodes_of):
     data = standalone() + replica_set() + [record(5, "x", "x", 1, status="exited"), record(6, "y", None, 2)]
-    foreign = (9, "f", "running", {"source": "else", SCHEME.key("group"): "f"}, [], None)
+    foreign = (9, "f", "running", {"source": "else", SCHEME.key("group"): "f"}, [], None, None)
     records = records_of(data + [foreign])
     assert inventory.scan_records(records, SCHEME).count() == 5
     assert inventory.scan_records(records, SCHEME, include_stopped=True).count() == 6
@@ -227,7 +257,11 @@ def test_scans_lookups_and_bulk(records_of, nodes_of):
     names = records_of([]).sparkSession.createDataFrame([("rs",), ("x",), ("q",), ("q",)], "grp string")
     assert rows(inventory.found(nodes, names), "node") == [("rs-1",), ("rs-2",), ("rs-3",)]
     assert rows(inventory.missing(nodes, names), "grp") == [("q",), ("x",)]
-    assert rows(inventory.bulk_targets(nodes), "grp") == [("rs",), ("sa",)]
+    assert rows(inventory.bulk_targets(nodes_of(data + [foreign])), "grp") == [("rs",), ("sa",)]
+    # A group of this fleet whose running node another tool started is still reached; a wholly foreign one is not listed.
+    mixed = (10, "m", "running", {"source": "else", SCHEME.key("group"): "x"}, [], None, None)
+    assert rows(inventory.bulk_targets(nodes_of(data + [foreign, mixed])), "grp") == [("rs",), ("sa",), ("x",)]
+    assert rows(ff.list_deployments(nodes_of(data + [foreign])), "grp") == [("rs",), ("sa",)]
 
 
 def test_landed_files_filter_in_the_scan(spark, nodes_of, records_of, tmp_path):
@@ -244,7 +278,7 @@ def _brute(data):
     """Plain Python roll-up of replica sets and clusters, from the definitions."""
     out = {}
     groups = {}
-    for seq, _id, status, labels, env, _tags in data:
+    for seq, _id, status, labels, env, *_rest in data:
         get = lambda k: labels.get(SCHEME.key(k))
         groups.setdefault(get("group"), []).append(
             (seq, get("name"), int(get("port")), get("role"), int(get("shard-id") or 0), int(get("shard-count")), status, get("type"))

@@ -60,6 +60,21 @@ def test_joins_do_not_depend_on_the_way(monkeypatch, spark, data, limit, broadca
     )
 
 
+def test_many_hot_keys_never_meet_on_the_bare_key(spark, data):
+    _, df = data
+    many = skew.HotKeys(["k"], None, many=True)
+    right = spark.createDataFrame([("hot", 1)], "k string, w int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [skew.matching(df, right, "k", many), skew.positions(df, ["k"], [F.col("v"), F.col("seq")], hot=many)]
+        joined, numbered = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(k#" in joined and ", __salt#" in joined
+    # The rows themselves are joined to their task's start by key and task; only one row per key and task meets on the key.
+    assert "hashpartitioning(k#" in numbered and "__run#" in numbered
+
+
 def test_hot_limit_is_a_session_setting(spark, data):
     _, df = data
     assert not skew.hot_keys(df, ["k"])

@@ -52,6 +52,38 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     docs = tag_documents(spark.createDataFrame([(1, "7.0"), (2, "7.0"), (3, "8")], "seq long, tag string"))
     root = str(tmp_path / "table")
     for _ in range(2):
-        store.append_batch(docs, root, 0)
+        store.append_batch(docs, root, "a", 0)
     assert rows(store.read_catalog(spark, root), "tag", "seq") == [("7.0", 2), ("8", 3)]
     assert spark.read.parquet(root).count() == 3
+
+
+def test_writers_do_not_meet(spark, tmp_path):
+    from fleetframe.operators.catalog import tag_documents
+
+    def docs(*tags):
+        return tag_documents(spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "seq long, tag string"))
+
+    root = str(tmp_path / "table")
+    store.append_batch(docs("7.0", "6.0"), root, "a", 0)
+    store.append_batch(docs("8.0"), root, "b/with slash", 0)
+    current = [("6.0",), ("7.0",), ("8.0",)]
+    assert rows(store.read_catalog(spark, root), "tag") == current
+    assert store.compact(spark, root) == 0 and rows(store.read_catalog(spark, root), "tag") == current
+    assert spark.read.parquet(root).count() == 3
+    store.append_batch(docs("6.0", "9.0"), root, "a", 0)
+    assert store.compact(spark, root) == 1
+    assert rows(store.read_catalog(spark, root), "tag", "seq") == [("6.0", 0), ("7.0", 0), ("8.0", 0), ("9.0", 1)]
+
+
+def test_page_files_of_both_forms(spark, tmp_path):
+    import json
+
+    import pytest
+
+    page = lambda *tags: {"results": [{"name": t} for t in tags], "next": None}
+    (tmp_path / "a.json").write_text(json.dumps(page("1", "2"), indent=2))
+    (tmp_path / "b.json").write_text(json.dumps(page("3")) + "\n" + json.dumps(page("4")) + "\n")
+    assert rows(store.read_pages(spark, str(tmp_path)), "tag") == [("1",), ("2",), ("3",), ("4",)]
+    (tmp_path / "c.json").write_text("<html>")
+    with pytest.raises(Exception, match="not a tag page"):
+        store.read_pages(spark, str(tmp_path)).collect()

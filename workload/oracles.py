@@ -16,11 +16,12 @@ INV = f"inv AS ({v.sql(v.INV)})"
 TYPED = f"""{INV},
 typed AS (
  SELECT seq, grp, node, source,
+  port AS raw_port,
   CASE lower(translate(coalesce(raw_type, 'Standalone'), ' _', '--'))
    WHEN 'standalone' THEN 'Standalone' WHEN 'replica-set' THEN 'Replica Set' WHEN 'sharded-cluster' THEN 'Sharded Cluster'
    WHEN 'atlas-deployment' THEN 'Atlas Deployment' WHEN 'ops-manager' THEN 'Ops Manager'
    WHEN 'ops-manager-deployment-server' THEN 'Ops Manager Deployment Server' END AS type,
-  role, CAST(port AS INTEGER) AS port, CAST(shard_id AS INTEGER) AS shard_id, CAST(shard_count AS INTEGER) AS shard_count,
+  role, TRY_CAST(port AS INTEGER) AS port, CAST(shard_id AS INTEGER) AS shard_id, CAST(shard_count AS INTEGER) AS shard_count,
   arbiter = '1' AS arbiter, status,
   split_part(list_filter(string_split(env, ';'), lambda e: starts_with(e, 'MONGO_VERSION='))[1], '=', 2) AS env_version,
   CASE WHEN raw_type = 'Atlas Deployment' THEN version_label
@@ -32,6 +33,10 @@ typed AS (
  FROM inv)"""
 
 
+ODD_TYPED = TYPED.replace(INV, f"inv AS ({v.sql(v.ODD_INV)})")
+FLEET = "(SELECT * FROM typed WHERE source = 'fleet')"
+
+
 def rolled(source: str = "typed") -> str:
     return f"""
 nodes AS (SELECT * FROM {source}),
@@ -47,31 +52,31 @@ counted AS (
   count(*) FILTER (status = 'running' AND role = 'rs-member') AS running_member
  FROM nodes GROUP BY grp),
 sliced AS (
- SELECT c.*, f.type AS deployment_type, f.node, f.port, f.status, f.version, f.group_size, f.start_port AS first_start,
+ SELECT c.*, f.type AS deployment_type, f.node, f.port, f.raw_port, f.status, f.version, f.group_size, f.start_port AS first_start,
   CASE WHEN h.shard_count > 0 AND n_member > 0 THEN n_member // h.shard_count END AS chunk_size
  FROM counted c JOIN firsts f USING (grp) LEFT JOIN heads h USING (grp)),
 chunked AS (
  SELECT *, CASE WHEN chunk_size IS NULL THEN 0 WHEN chunk_size > 0
    THEN CAST(ceil(n_member / chunk_size) AS BIGINT) END AS n_chunks FROM sliced),
 sized AS (
- SELECT *, CASE deployment_type WHEN 'Replica Set' THEN n_rows
-   WHEN 'Sharded Cluster' THEN n_router + n_config + CASE WHEN chunk_size IS NULL THEN 0 ELSE n_chunks * chunk_size END
-   WHEN 'Ops Manager Deployment Server' THEN CAST(group_size AS BIGINT) ELSE 1 END AS containers FROM chunked),
+ SELECT *, CASE WHEN deployment_type IS NULL THEN NULL WHEN deployment_type = 'Replica Set' THEN n_rows
+   WHEN deployment_type = 'Sharded Cluster' THEN n_router + n_config + CASE WHEN chunk_size IS NULL THEN 0 ELSE n_chunks * chunk_size END
+   WHEN deployment_type = 'Ops Manager Deployment Server' THEN CAST(group_size AS BIGINT) ELSE 1 END AS containers FROM chunked),
 roll AS (
  SELECT *, CASE WHEN deployment_type IN ('Replica Set', 'Sharded Cluster') THEN grp ELSE node END AS name,
-  CASE WHEN deployment_type = 'Replica Set' THEN CASE WHEN running_rows > 0 THEN 'running' ELSE 'stopped' END
+  CASE WHEN deployment_type IS NULL THEN NULL WHEN deployment_type = 'Replica Set' THEN CASE WHEN running_rows > 0 THEN 'running' ELSE 'stopped' END
    WHEN deployment_type = 'Sharded Cluster'
     THEN CASE WHEN running_fixed + CASE WHEN chunk_size IS NULL THEN 0 ELSE running_member END > 0
       THEN 'running' ELSE 'stopped' END
    WHEN deployment_type LIKE 'Ops Manager%' THEN status
    ELSE CASE WHEN status = 'running' THEN 'running' ELSE 'stopped' END END AS state,
   CASE WHEN deployment_type = 'Ops Manager Deployment Server' THEN '-- Check OM --' ELSE version END AS mongo_version,
-  CASE WHEN deployment_type = 'Replica Set' THEN concat(min_port, '-', min_port + n_rows - 1)
+  CASE WHEN deployment_type IS NULL THEN NULL WHEN deployment_type = 'Replica Set' THEN concat_ws('-', min_port, min_port + n_rows - 1)
    WHEN deployment_type = 'Sharded Cluster' THEN CASE WHEN config_start IS NULL THEN ''
      ELSE concat_ws('-', config_start, config_start + containers - 1) END
    WHEN deployment_type = 'Ops Manager Deployment Server'
     THEN concat(first_start, '-', CAST(first_start AS BIGINT) + CAST(group_size AS BIGINT) - 1)
-   ELSE CAST(port AS VARCHAR) END AS port_range,
+   WHEN deployment_type = 'Ops Manager' THEN raw_port ELSE CAST(port AS VARCHAR) END AS port_range,
   CASE deployment_type WHEN 'Replica Set' THEN min_port WHEN 'Sharded Cluster' THEN config_start
    WHEN 'Ops Manager Deployment Server' THEN CAST(first_start AS INTEGER) ELSE port END AS start_port,
   CASE WHEN deployment_type = 'Sharded Cluster' AND n_config = 0 THEN 'no config servers'
@@ -82,18 +87,18 @@ roll AS (
 LISTED = """
 sections AS (
  SELECT t.*, r.deployment_type, r.state, r.mongo_version, r.n_config, r.n_router, r.n_member, r.n_chunks, r.chunk_size,
-  CASE WHEN r.deployment_type <> 'Sharded Cluster' THEN 2 WHEN role = 'cfg-svr' THEN 0 WHEN role = 'mongos' THEN 1
+  CASE WHEN r.deployment_type IS DISTINCT FROM 'Sharded Cluster' THEN 2 WHEN role = 'cfg-svr' THEN 0 WHEN role = 'mongos' THEN 1
    WHEN role = 'rs-member' AND coalesce(r.n_chunks, 1) > 0 THEN 2 END AS section,
   CASE WHEN r.deployment_type = 'Sharded Cluster' AND role = 'rs-member' THEN CAST(shard_id AS BIGINT) * t.port
-   WHEN r.deployment_type IN ('Sharded Cluster', 'Replica Set') THEN t.port ELSE 0 END AS sorter
- FROM typed t JOIN roll r USING (grp)),
+   WHEN r.deployment_type IS NULL OR r.deployment_type IN ('Sharded Cluster', 'Replica Set') THEN t.port ELSE 0 END AS sorter
+ FROM nodes t JOIN roll r USING (grp)),
 placed AS (
- SELECT *, row_number() OVER (PARTITION BY grp ORDER BY section, sorter, seq) AS place
+ SELECT *, row_number() OVER (PARTITION BY grp ORDER BY section, sorter NULLS FIRST, seq) AS place
  FROM sections WHERE section IS NOT NULL),
 listed AS (
  SELECT *, CASE WHEN deployment_type = 'Sharded Cluster' AND section = 2 AND chunk_size > 0
    THEN (place - n_config - n_router - 1) // chunk_size END AS chunk
- FROM placed WHERE deployment_type IN ('Replica Set', 'Sharded Cluster') OR place = 1)"""
+ FROM placed WHERE deployment_type IS NULL OR deployment_type IN ('Replica Set', 'Sharded Cluster') OR place = 1)"""
 
 TAGS = f"tags AS ({v.sql(v.TAGS)})"
 GROUP = """coalesce(nullif(regexp_extract(tag, '^([0-9]+\\.[0-9]+)', 1), ''),
@@ -118,7 +123,7 @@ parsed AS (
   CASE WHEN dotted IS NULL THEN try_cast(lead AS INTEGER) WHEN NOT bad THEN try_cast(p[1] AS INTEGER) END AS major,
   CASE WHEN NOT bad THEN try_cast(p[2] AS INTEGER) END AS minor,
   CASE WHEN NOT bad THEN try_cast(p[3] AS INTEGER) END AS patch,
-  CAST(bad AS INTEGER) AS parse_error
+  CAST(bad OR (dotted IS NULL AND lead IS NOT NULL AND try_cast(lead AS INTEGER) IS NULL) AS INTEGER) AS parse_error
  FROM docs)"""
 
 
@@ -164,10 +169,13 @@ def kept_lines(column: str) -> str:
     )
 
 
+BOUND = "MAP {'27017/tcp': [{'HostIp': '0.0.0.0', 'HostPort': raw_port}]}"
+
+
 def member(kind: str, version: str, host: str, container: str, arbiter: str, state: str = "status") -> str:
     return f"""{{'name': node, 'deployment_type': {kind}, 'state': {state}, 'containers': 1, 'mongo_version': {version},
    'port': port, 'host_data_dir': {host}, 'container_data_dir': {container}, 'is_arbiter': {arbiter},
-   'container': {{'id': id, 'image': CAST([] AS VARCHAR[])}}}}"""
+   'container': {{'id': id, 'image': CAST([] AS VARCHAR[]), 'ports': {BOUND}}}}}"""
 
 
 _PLAIN = member("'mongod'", "CAST(NULL AS VARCHAR)", "data_dir", "container_data_dir", "arbiter")
@@ -177,7 +185,7 @@ _HEAD = """'name': r.name, 'deployment_type': r.deployment_type, 'state': r.stat
   'mongo_version': r.mongo_version"""
 
 DOCUMENTS = f"""
-WITH {TYPED}, {rolled()}, {LISTED},
+WITH {TYPED}, {rolled(FLEET)}, {LISTED},
 shard_docs AS (
  SELECT grp, chunk, {{'name': grp, 'deployment_type': 'shard', 'state': CAST(NULL AS VARCHAR), 'containers': count(*),
   'mongo_version': CAST(NULL AS VARCHAR),
@@ -192,7 +200,7 @@ lists AS (
   list({_PLAIN} ORDER BY place) FILTER (section = 2) AS loose,
   min(port) FILTER (place = 1) AS port, min(data_dir) FILTER (place = 1) AS data_dir,
   min(container_data_dir) FILTER (place = 1) AS container_data_dir, bool_or(arbiter AND place = 1) AS arbiter,
-  min(id) FILTER (place = 1) AS id
+  min(id) FILTER (place = 1) AS id, min(raw_port) FILTER (place = 1) AS raw_port
  FROM listed GROUP BY grp),
 clusters AS (
  SELECT r.grp, r.n_chunks, r.layout_error, l.loose,
@@ -203,21 +211,21 @@ clusters AS (
    'members': coalesce(l.config, [])}},
   'shards': coalesce(s.shards, [])}} AS doc
  FROM roll r JOIN lists l USING (grp) LEFT JOIN shards s USING (grp) WHERE r.deployment_type = 'Sharded Cluster')
-SELECT grp, CAST(0 AS BIGINT) AS part, CAST(to_json({{{_HEAD}, 'port_range': r.port_range, 'size': r.n_rows,
+SELECT grp, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, CAST(to_json({{{_HEAD}, 'port_range': r.port_range, 'size': r.n_rows,
   'members': l.members}}) AS VARCHAR) AS document
 FROM roll r JOIN lists l USING (grp) WHERE r.deployment_type = 'Replica Set'
 UNION ALL
-SELECT grp, 0, CAST(to_json({{{_HEAD}, 'port': l.port, 'host_data_dir': l.data_dir,
+SELECT grp, 0, 1, CAST(to_json({{{_HEAD}, 'port': l.port, 'host_data_dir': l.data_dir,
   'container_data_dir': l.container_data_dir, 'is_arbiter': l.arbiter AND r.deployment_type = 'Standalone',
-  'container': {{'id': l.id, 'image': CAST([] AS VARCHAR[])}}}}) AS VARCHAR)
+  'container': {{'id': l.id, 'image': CAST([] AS VARCHAR[]), 'ports': {BOUND.replace("raw_port", "l.raw_port")}}}}}) AS VARCHAR)
 FROM roll r JOIN lists l USING (grp) WHERE r.deployment_type IN ('Standalone', 'Atlas Deployment')
 UNION ALL
-SELECT grp, 0, CAST(to_json({{{_HEAD}, 'port_range': r.port_range}}) AS VARCHAR)
+SELECT grp, 0, 1, CAST(to_json({{{_HEAD}, 'port_range': r.port_range}}) AS VARCHAR)
 FROM roll r WHERE r.deployment_type LIKE 'Ops Manager%'
 UNION ALL
-SELECT grp, 0, CAST(to_json(doc) AS VARCHAR) FROM clusters WHERE n_chunks IS NOT NULL
+SELECT grp, 0, 1, CAST(to_json(doc) AS VARCHAR) FROM clusters WHERE n_chunks IS NOT NULL
 UNION ALL
-SELECT grp, 0, CAST(to_json(struct_insert(doc, layout_error := layout_error, unassigned := coalesce(loose, []))) AS VARCHAR)
+SELECT grp, 0, 1, CAST(to_json(struct_insert(doc, layout_error := layout_error, unassigned := coalesce(loose, []))) AS VARCHAR)
 FROM clusters WHERE n_chunks IS NULL
 """
 
@@ -263,13 +271,13 @@ SELECT seq, node, parent AS om_name FROM inv WHERE raw_type = 'ops-manager-deplo
 SELECT grp, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS size,
  string_agg(concat(node, ':', status), ' ' ORDER BY seq) AS members FROM inv GROUP BY grp""",
     "bulk_targets": f"""WITH {INV}
-SELECT grp FROM inv INTERSECT SELECT grp FROM inv WHERE status = 'running'""",
+SELECT grp FROM inv WHERE source = 'fleet' INTERSECT SELECT grp FROM inv WHERE status = 'running'""",
     "safe_paths": f"""WITH {INV}
 SELECT seq, node, data_dir FROM inv WHERE data_dir IS NOT NULL AND trim(data_dir) NOT IN ('', '/')""",
     "deployment_summary": f"""WITH {TYPED}, {rolled()}
 SELECT grp, name, deployment_type, state, containers, mongo_version, port_range, start_port, max_port, n_rows,
  running_rows, stopped_rows, layout_error FROM roll""",
-    "running_deployments": f"""WITH {TYPED}, {rolled("(SELECT * FROM typed WHERE status = 'running')")}
+    "running_deployments": f"""WITH {TYPED}, {rolled("(SELECT * FROM typed WHERE status = 'running' AND source = 'fleet')")}
 SELECT grp, name, deployment_type, state, containers, mongo_version, port_range FROM roll""",
     "cluster_counts": f"""WITH {TYPED}, {rolled()}
 SELECT grp, n_config, n_router, n_member, n_chunks, chunk_size, containers, port_range, layout_error
@@ -295,8 +303,66 @@ FROM c GROUP BY grp, chunk""",
     "host_strings": f"""WITH {TYPED},
 h AS (SELECT grp, string_agg(concat(node, ':', port), ',' ORDER BY port, seq) AS hosts FROM typed
  WHERE type = 'Replica Set' GROUP BY grp)
-SELECT grp, CAST(0 AS BIGINT) AS part, hosts, concat('mongodb://', hosts, '/?replicaSet=', grp) AS uri,
+SELECT grp, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, hosts, concat('mongodb://', hosts, '/?replicaSet=', grp) AS uri,
  concat(grp, '/', hosts) AS set_address FROM h""",
+    "host_rows": f"""WITH {TYPED}, {rolled()}, {LISTED}
+SELECT grp, CAST(section AS INTEGER) AS section, chunk, place, concat(node, ':', port) AS host FROM listed
+WHERE deployment_type = 'Replica Set' OR (deployment_type = 'Sharded Cluster' AND section IN (0, 2))""",
+    "cluster_addresses": f"""WITH {TYPED}, {rolled()}, {LISTED},
+sets AS (SELECT *, CASE WHEN section = 0 THEN concat(grp, '-config') ELSE concat(grp, '-shard-', chunk + 1) END AS set_name
+ FROM listed WHERE deployment_type = 'Sharded Cluster' AND (section = 0 OR chunk IS NOT NULL))
+SELECT grp, set_name, concat(set_name, '/', string_agg(concat(node, ':', port), ',' ORDER BY place)) AS address
+FROM sets GROUP BY grp, set_name""",
+    "wide_host_strings": f"""WITH wide AS ({v.sql(v.WIDE_INV)}),
+placed AS (SELECT grp, concat(node, ':', CAST(port AS INTEGER)) AS host,
+ row_number() OVER (PARTITION BY grp ORDER BY CAST(port AS INTEGER), seq) AS place, count(*) OVER (PARTITION BY grp) AS n FROM wide)
+SELECT grp, (place - 1) // 1000 AS part, (max(n) + 999) // 1000 AS parts, string_agg(host, ',' ORDER BY place) AS hosts,
+ CASE WHEN max(n) <= 1000 THEN concat('mongodb://', string_agg(host, ',' ORDER BY place), '/?replicaSet=', grp) END AS uri,
+ CASE WHEN max(n) <= 1000 THEN concat(grp, '/', string_agg(host, ',' ORDER BY place)) END AS set_address
+FROM placed GROUP BY grp, part""",
+    "wide_member_order": f"""WITH wide AS ({v.sql(v.WIDE_INV)})
+SELECT grp, seq, CAST(port AS INTEGER) AS port, row_number() OVER (PARTITION BY grp ORDER BY CAST(port AS INTEGER), seq) AS member_no
+FROM wide""",
+    "odd_report_rows": f"""WITH {ODD_TYPED}, {rolled()}
+SELECT 0 AS rank, CAST(NULL AS VARCHAR) AS grp, '| Name|Type|Status|Containers|Version|Port(s) |' AS line
+UNION ALL SELECT 1, NULL, '| ------|------|------|------|------|------ |'
+UNION ALL SELECT 2, grp, concat('| ', grp, '|', coalesce(deployment_type, 'unknown'), '|', coalesce(nullif(state, ''), 'unknown'), '|',
+ coalesce(CAST(containers AS VARCHAR), 'None'), '|', coalesce(nullif(mongo_version, ''), 'unknown'), '|', coalesce(port_range, ''), ' |')
+FROM roll""",
+    "odd_detail_rows": f"""WITH {ODD_TYPED}, {rolled()}, {LISTED}
+SELECT grp, CAST(0 AS BIGINT) AS line_no, concat('**', coalesce(name, 'unknown'), ' (', CASE deployment_type WHEN 'Replica Set'
+ THEN 'replica set' WHEN 'Sharded Cluster' THEN 'sharded cluster' ELSE CASE WHEN deployment_type IS NULL THEN 'unknown'
+ ELSE 'standalone' END END, '):**') AS line FROM roll
+UNION ALL SELECT grp, 1, '| Name | Port | Type | Hostname | Container ID |' FROM roll
+UNION ALL SELECT grp, 2, '| ------|------|------|------|------ |' FROM roll
+UNION ALL SELECT grp, place + 2, concat('| ', coalesce(node, 'unknown'), '|', coalesce(CAST(port AS VARCHAR), 'unknown'), '|',
+ CASE WHEN deployment_type = 'Sharded Cluster' AND section = 0 THEN 'mongod (config)'
+ WHEN deployment_type = 'Sharded Cluster' AND section = 1 THEN 'mongos' ELSE 'mongod' END, '|',
+ CASE WHEN node IS NULL OR port IS NULL THEN 'unknown' ELSE concat(node, ':', port) END, '|', id, ' |') FROM listed""",
+    "odd_host_strings": f"""WITH {ODD_TYPED},
+h AS (SELECT grp, CASE WHEN node IS NOT NULL AND port IS NOT NULL THEN concat(node, ':', port) END AS host, port, seq
+ FROM typed QUALIFY first(type) OVER (PARTITION BY grp ORDER BY seq) = 'Replica Set')
+SELECT grp, coalesce(string_agg(host, ',' ORDER BY port NULLS FIRST, seq), '') AS hosts,
+ CASE WHEN count(host) = count(*) THEN concat('mongodb://', string_agg(host, ',' ORDER BY port NULLS FIRST, seq), '/?replicaSet=', grp) END AS uri,
+ CAST(count(host) < count(*) AS INTEGER) AS name_error FROM h GROUP BY grp""",
+    "report_lines": f"""WITH {TYPED}, {rolled(FLEET)}
+SELECT grp, concat('{{"name":', to_json(grp), ',"document":', CAST(to_json({{'name': name, 'deployment_type': deployment_type,
+ 'state': state, 'containers': containers, 'mongo_version': mongo_version, 'port_range': port_range}}) AS VARCHAR), '}}') AS line FROM roll""",
+    "named_scan": f"""WITH {INV} SELECT seq, grp, node, status, source FROM inv WHERE grp = 'dep-1'""",
+    "repeated_names": f"""WITH {SPEC}
+SELECT seq, concat('dep-', seq // 2) AS name FROM spec QUALIFY row_number() OVER (PARTITION BY seq // 2 ORDER BY seq) > 1""",
+    "property_files": f"""WITH texts AS ({v.sql(v.PAIR_TEXT)}),
+files AS (SELECT page_id, string_split(concat('# page=old', chr(10), chr(10), replace(text, '&', chr(10))), chr(10)) AS ls FROM texts),
+lines AS (SELECT page_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM files)
+SELECT page_id, CAST(n AS INTEGER) AS line_no, line FROM lines
+WHERE NOT (contains(line, '=') AND NOT starts_with(line, '#') AND trim(split_part(line, '=', 1)) IN ('page', 'host'))
+UNION ALL SELECT page_id, CAST(len(ls) AS INTEGER), 'host=new' FROM files
+UNION ALL SELECT page_id, CAST(len(ls) + 1 AS INTEGER), 'page=new' FROM files""",
+    "catalog_writers": f"""WITH {TAGS}, old AS ({v.sql(v.OLD_TAGS)}),
+every AS (SELECT seq, tag, 1 AS day FROM old UNION ALL SELECT seq, tag, CASE WHEN seq % 2 = 0 THEN 2 WHEN seq % 4 = 1 THEN 3 ELSE 4 END FROM tags),
+best AS (SELECT seq, tag FROM every QUALIFY row_number() OVER (PARTITION BY tag ORDER BY day DESC, seq DESC) = 1),
+{versions('best')}
+SELECT tag, seq, "group", major FROM parsed""",
     "endpoint_strings": f"""WITH {TYPED},
 f AS (SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY grp ORDER BY seq) = 1)
 SELECT grp, type AS deployment_type,
@@ -305,16 +371,16 @@ SELECT grp, type AS deployment_type,
  CASE WHEN type = 'Ops Manager' THEN concat('http://localhost:', port) END AS external_url
 FROM f WHERE type IN ('Standalone', 'Atlas Deployment', 'Ops Manager')""",
     "nested_documents": DOCUMENTS,
-    "summary_json": f"""WITH {TYPED}, {rolled()}
+    "summary_json": f"""WITH {TYPED}, {rolled(FLEET)}
 SELECT grp, CAST(to_json({{'name': name, 'deployment_type': deployment_type, 'state': state, 'containers': containers,
  'mongo_version': mongo_version, 'port_range': port_range}}) AS VARCHAR) AS document FROM roll""",
-    "report_rows": f"""WITH {TYPED}, {rolled()}
+    "report_rows": f"""WITH {TYPED}, {rolled(FLEET)}
 SELECT 0 AS rank, CAST(NULL AS VARCHAR) AS grp, '| Name|Type|Status|Containers|Version|Port(s) |' AS line
 UNION ALL SELECT 1, NULL, '| ------|------|------|------|------|------ |'
 UNION ALL SELECT 2, grp, concat('| ', grp, '|', deployment_type, '|', coalesce(nullif(state, ''), 'unknown'), '|',
  coalesce(CAST(containers AS VARCHAR), 'None'), '|', coalesce(nullif(mongo_version, ''), 'unknown'), '|', port_range, ' |')
 FROM roll""",
-    "detail_rows": f"""WITH {TYPED}, {rolled()}, {LISTED}
+    "detail_rows": f"""WITH {TYPED}, {rolled(FLEET)}, {LISTED}
 SELECT grp, CAST(0 AS BIGINT) AS line_no, concat('**', name, ' (', CASE deployment_type WHEN 'Replica Set' THEN 'replica set'
  WHEN 'Sharded Cluster' THEN 'sharded cluster' ELSE 'standalone' END, '):**') AS line FROM roll
 UNION ALL SELECT grp, 1, '| Name | Port | Type | Hostname | Container ID |' FROM roll

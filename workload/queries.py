@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetframe import fixed
 from fleetframe.functions import parse_pairs, parse_version, drop_log_lines
 from fleetframe.operators import actions, catalog, inventory, layout, planning, properties, rollup
+from fleetframe.operators.skew import hot_keys
 from fleetframe.plans import deployments, reports
 from fleetframe.session import scratch_path
 from fleetframe.sources import catalog as store
@@ -27,6 +28,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_nodes(v.landed(spark, sf_dir))
 
 
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of this fleet, running or not."""
+    return inventory.scan_landed(nodes(spark, sf_dir), v.SCHEME, include_stopped=True)
+
+
+def odd_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_nodes(v.landed(spark, sf_dir, v.ODD_INV))
+
+
+def wide_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_nodes(v.landed(spark, sf_dir, v.WIDE_INV))
+
+
 # --- inventory ------------------------------------------------------------------------------------------------------
 
 
@@ -36,6 +50,13 @@ def inventory_scan(spark, sf_dir):
     return land(kept, v.SCHEME).select("seq", "grp", "node", "status", "source")
 
 
+@query
+def named_scan(spark, sf_dir):
+    # A name replaces the source filter: members of any source, stopped ones too.
+    named = inventory.scan_landed(nodes(spark, sf_dir), v.SCHEME, name="dep-1", include_stopped=True)
+    return named.select("seq", "grp", "node", "status", "source")
+
+
 @query
 def version_source(spark, sf_dir):
     return typed_nodes(land(v.records(spark, sf_dir), v.SCHEME)).select(
@@ -149,7 +170,52 @@ def shard_headers(spark, sf_dir):
 
 @query
 def host_strings(spark, sf_dir):
-    return deployments.host_strings(nodes(spark, sf_dir)).select("grp", "part", "hosts", "uri", "set_address")
+    return deployments.host_strings(nodes(spark, sf_dir)).select("grp", "part", "parts", "hosts", "uri", "set_address")
+
+
+@query
+def host_rows(spark, sf_dir):
+    return deployments.host_rows(nodes(spark, sf_dir))
+
+
+@query
+def cluster_addresses(spark, sf_dir):
+    return deployments.cluster_addresses(nodes(spark, sf_dir))
+
+
+@query
+def wide_host_strings(spark, sf_dir):
+    # Three sets hold all order lines: lists in parts, and no text that is not whole.
+    listed = deployments.host_strings(wide_nodes(spark, sf_dir), part_rows=1000)
+    return listed.select("grp", "part", "parts", "hosts", "uri", "set_address")
+
+
+@query
+def wide_member_order(spark, sf_dir):
+    # All three groups count as hot, so they are numbered by the range sort.
+    slim = wide_nodes(spark, sf_dir).select("grp", "seq", "port")
+    return layout.member_order(slim, hot=hot_keys(slim, ["grp"], 1000)).select("grp", "seq", "port", "member_no")
+
+
+@query
+def odd_report_rows(spark, sf_dir):
+    return reports.list_rows(odd_nodes(spark, sf_dir))
+
+
+@query
+def odd_detail_rows(spark, sf_dir):
+    return reports.detail_rows(odd_nodes(spark, sf_dir))
+
+
+@query
+def odd_host_strings(spark, sf_dir):
+    listed = deployments.host_strings(odd_nodes(spark, sf_dir))
+    return listed.select("grp", "hosts", "uri", F.col("name_error").cast("int").alias("name_error"))
+
+
+@query
+def report_lines(spark, sf_dir):
+    return reports.report_lines(reports.summary_json(fleet(spark, sf_dir)))
 
 
 @query
@@ -159,22 +225,22 @@ def endpoint_strings(spark, sf_dir):
 
 @query
 def nested_documents(spark, sf_dir):
-    return deployments.detailed_documents(nodes(spark, sf_dir))
+    return deployments.detailed_documents(fleet(spark, sf_dir))
 
 
 @query
 def summary_json(spark, sf_dir):
-    return reports.summary_json(nodes(spark, sf_dir))
+    return reports.summary_json(fleet(spark, sf_dir))
 
 
 @query
 def report_rows(spark, sf_dir):
-    return reports.list_rows(nodes(spark, sf_dir))
+    return reports.list_rows(fleet(spark, sf_dir))
 
 
 @query
 def detail_rows(spark, sf_dir):
-    return reports.detail_rows(nodes(spark, sf_dir))
+    return reports.detail_rows(fleet(spark, sf_dir))
 
 
 @query
@@ -327,6 +393,13 @@ def connection_strings(spark, sf_dir):
     )
 
 
+@query
+def repeated_names(spark, sf_dir):
+    # Two specs to a name: the earlier one keeps it.
+    halved = v.specs(spark, sf_dir).withColumn("name", F.concat(F.lit("dep-"), F.expr("seq div 2").cast("string")))
+    return planning.repeated_names(halved).select("seq", "name")
+
+
 @query
 def name_collisions(spark, sf_dir):
     return planning.name_collisions(v.specs(spark, sf_dir), nodes(spark, sf_dir)).select("seq", "name", "kind")
@@ -387,6 +460,17 @@ def property_overlay(spark, sf_dir):
     return properties.overlay_properties(base, updates, "page_id")
 
 
+@query
+def property_files(spark, sf_dir):
+    # Whole files with a comment and a blank line; the settings go over them.
+    texts = v.view(spark, sf_dir, v.PAIR_TEXT).withColumn("text", F.concat(F.lit("# page=old\n\n"), F.replace("text", F.lit("&"), F.lit("\n"))))
+    lines = properties.file_lines(texts, "page_id")
+    updates = v.table(spark, sf_dir, "pages").select(
+        "page_id", F.explode(F.array(F.lit("page"), F.lit("host"))).alias("key"), F.lit("new").alias("value"), F.col("page_id").alias("seq")
+    )
+    return properties.overlay_file(lines, updates, "page_id")
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # A pattern, because a plain path has to be a folder and a test table may be one file.
     schema = v.table(spark, sf_dir, name).schema
@@ -410,6 +494,25 @@ def stream_catalog(spark, sf_dir):
     return store.read_catalog(spark, root).select("tag", "seq", "group", "major", "minor", "patch")
 
 
+@query
+def catalog_writers(spark, sf_dir):
+    # Two streams and two loads into one catalogue, with equal batch numbers, some run again; then one compaction.
+    root = scratch_path(spark, "catalog")
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    old = catalog.tag_documents(v.view(spark, sf_dir, v.OLD_TAGS)).withColumn("imported_at", at(1))
+    for _ in range(2):
+        store.append_batch(old, root, "load/old", 0)
+    later = catalog.tag_documents(v.view(spark, sf_dir, v.TAGS).where("seq % 2 = 0")).withColumn("imported_at", at(2))
+    store.append_batch(later, root, "load/later", 0)
+    for rest in (0, 1):
+        tags = spark.sql(v.TAGS, part=table_stream(spark, sf_dir, "part")).where(F.col("seq") % 4 == 2 * rest + 1)
+        checkpoint = scratch_path(spark, "catalog-checkpoint")
+        for _ in range(2):
+            jobs.start_catalog_refresh(tags, root, checkpoint, once=True).awaitTermination()
+    store.compact(spark, root)
+    return store.read_catalog(spark, root).select("tag", "seq", "group", "major")
+
+
 @query
 def verified_load(spark, sf_dir):
     # All deployments are written, counted on the way and counted again when read back.

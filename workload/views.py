@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.functions import LabelScheme
-from fleetframe.session import scratch_path
-from fleetframe.sources.nodes import LABEL_COLUMNS, read_records
+from fleetframe.sources.nodes import LABEL_COLUMNS
 
 SCHEME = LabelScheme()
 
@@ -42,6 +41,24 @@ FROM (SELECT l_orderkey AS k, l_linenumber AS n, chr(min(ascii(l_linestatus))) A
       FROM {lineitem} GROUP BY l_orderkey, l_linenumber) b
 """
 
+# The same nodes with what careless provisioners write: unknown types, ports that are no numbers, members without a name.
+ODD_INV = """
+SELECT seq, grp, CASE WHEN seq % 37 = 5 THEN NULL ELSE node END AS node,
+ CASE WHEN CAST(floor(seq / 10) AS BIGINT) % 24 = 7 THEN 'Mystery Box' ELSE raw_type END AS raw_type, role,
+ CASE WHEN seq % 41 = 3 AND CAST(floor(seq / 10) AS BIGINT) % 8 <> 2 THEN 'auto' ELSE port END AS port,
+ shard_id, shard_count, status, env, version_label, parent, group_size, start_port, arbiter, data_dir, container_data_dir,
+ source, network, id
+FROM ({inv}) i
+""".replace("{inv}", INV)
+
+# All order lines of a customer segment as members of one replica set: a few groups hold all rows.
+WIDE_INV = """
+SELECT l_orderkey * 10 + l_linenumber AS seq, concat('wide-', CAST(l_suppkey % 3 AS STRING)) AS grp,
+ concat('m-', CAST(l_orderkey * 10 + l_linenumber AS STRING)) AS node, 'replica_set' AS raw_type, 'rs-member' AS role,
+ CAST(20000 + l_partkey % 20000 AS STRING) AS port, 'running' AS status, 'fleet' AS source
+FROM {lineitem}
+"""
+
 TAGS = """
 SELECT p_partkey AS seq, CASE p_partkey % 10
   WHEN 0 THEN 'latest' WHEN 1 THEN CAST(3 + p_size % 6 AS STRING)
@@ -63,6 +80,7 @@ SELECT seq, tag FROM ({tags}) t
 UNION ALL SELECT seq, concat(replace(tag, '.', '-'), '.1') FROM ({tags}) t
 UNION ALL SELECT seq, concat(split_part(tag, '-', 1), '12') FROM ({tags}) t
 UNION ALL SELECT seq, concat(split_part(tag, '-', 1), '.', CAST(seq AS STRING)) FROM ({tags}) t
+UNION ALL SELECT seq, concat(CAST(20231012123045 + seq AS STRING), '-x') FROM ({tags}) t
 """.replace("{tags}", TAGS)
 
 SPEC = """
@@ -130,13 +148,17 @@ def sql(text: str) -> str:
     return text.strip()
 
 
-def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landed(spark: SparkSession, sf_dir: str, inventory: str = INV) -> DataFrame:
     """Nodes as landed columns."""
-    return view(spark, sf_dir, INV).withColumn("env", F.split("env", ";"))
+    nodes = view(spark, sf_dir, inventory)
+    if "env" not in nodes.columns:
+        return nodes
+    binding = F.array(F.struct(F.lit("0.0.0.0").alias("HostIp"), F.col("port").alias("HostPort")))
+    return nodes.withColumns({"env": F.split("env", ";"), "ports": F.create_map(F.lit("27017/tcp"), binding)})
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes as records with a label map, landed as files and read back.
+    """Nodes as records with a label map.
 
     Absent values have no key, and nodes on line 6 belong to no group.
     """
@@ -146,11 +168,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     for column, field in LABEL_COLUMNS.items():
         entries += [F.lit(SCHEME.key(field)), F.col(column)]
     labels = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
-    path = scratch_path(spark, "records")
-    nodes.select(
-        "seq", "id", "status", labels.alias("labels"), "env", F.lit(None).cast("array<string>").alias("image_tags")
-    ).write.parquet(path)
-    return read_records(spark, path, "parquet")
+    return nodes.select(
+        "seq", "id", "status", labels.alias("labels"), "env", F.lit(None).cast("array<string>").alias("image_tags"), "ports"
+    )
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
