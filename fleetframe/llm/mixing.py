@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .scratch import BROADCAST_ROWS, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), most: int = 2) -> DataFrame:
