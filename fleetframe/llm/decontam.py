@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .scratch import ship
+from .whole import keep_rows
 
 SHINGLE_WORDS = 5
 #: 64-bit fingerprints of windows at a weighted Jaccard similarity of 0.8 differ in 9.7 bits on average with a deviation of 2.9, so a
@@ -157,16 +159,6 @@ def _search(index: Index, percent: int):
     return of_batches
 
 
-def _clean(index: Index, percent: int):
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[row for row, *_ in _row_matches(index, percent, batch.column("text"))]] = False
-            yield batch.filter(pa.array(keep))
-
-    return of_batches
-
-
 def _indexes(items: DataFrame) -> Iterator[Index]:
     """Indexes of parts of the benchmark of about PART_BYTES each; together they hold all items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("trim(text) <> ''")
@@ -199,8 +191,12 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, in which no item is found as `contamination` finds it."""
-    ship(docs.sparkSession)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     for index in _indexes(items):
-        packed = packed.mapInArrow(_clean(index, percent), packed.schema)
-    return packed.select("row.*")
+        docs = keep_rows(docs, partial(_without_matches, index, percent))
+    return docs
+
+
+def _without_matches(index: Index, percent: int, text: pa.Array) -> np.ndarray:
+    keep = np.ones(len(text), bool)
+    keep[[row for row, *_ in _row_matches(index, percent, text)]] = False
+    return keep

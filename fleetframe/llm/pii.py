@@ -12,15 +12,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import tokens
 from .scratch import ship, written
+from .whole import rewrite_text
 
 # Kinds in the order of the report, and the patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -295,35 +297,45 @@ def added_spans(run: Run, states: list[int], base: list[tuple[str, int, int]]) -
     return [s for s in spans if not any(a < s[2] and b > s[1] for _, a, b in base)]
 
 
+def _batch_spans(model: Crf, texts: pa.Array) -> tuple[list[list], list[list]]:
+    """Spans of the patterns and added spans of each text."""
+    data, offsets = tokens.string_bytes(texts)
+    all_base: list[list] = []
+    all_added: list[list] = []
+    for row, to in tokens.pieces(offsets):
+        found = tokens.words(data, offsets[row : to + 1])
+        possible = _possible(found)
+        runs: list[Run] = []
+        owner: list[int] = []
+        base: list[list] = [[] for _ in range(to - row)]
+        for d in range(to - row):
+            if possible[found.first[d] : found.first[d + 1]].any():
+                text = texts[row + d].as_py()
+                base[d] = base_spans(text)
+                own = runs_of(found, d, possible, text)
+                runs += own
+                owner += [d] * len(own)
+        added: list[list] = [[] for _ in range(to - row)]
+        states = model.decode([_features(r.words, r.before, r.after) for r in runs])
+        for d, run, path in zip(owner, runs, states, strict=True):
+            if any(path):
+                added[d] += added_spans(run, path, base[d])
+        all_base += base
+        all_added += added
+    return all_base, all_added
+
+
 def _found(model: Crf):
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def column(lists: list[list]) -> pa.Array:
+        order = lambda s: (KINDS.index(s[0]), s[1], s[2])
+        return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in sorted(x, key=order)] for x in lists], kind)
+
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            data, offsets = tokens.string_bytes(texts)
-            all_base: list[list] = []
-            all_added: list[list] = []
-            for row, to in tokens.pieces(offsets):
-                found = tokens.words(data, offsets[row : to + 1])
-                possible = _possible(found)
-                runs, owner, base = [], [], [[] for _ in range(to - row)]
-                for d in range(to - row):
-                    if possible[found.first[d] : found.first[d + 1]].any():
-                        text = texts[row + d].as_py()
-                        base[d] = base_spans(text)
-                        own = runs_of(found, d, possible, text)
-                        runs += own
-                        owner += [d] * len(own)
-                added: list[list] = [[] for _ in range(to - row)]
-                states = model.decode([_features(r.words, r.before, r.after) for r in runs])
-                for d, run, path in zip(owner, runs, states, strict=True):
-                    if any(path):
-                        added[d] += added_spans(run, path, base[d])
-                all_base += base
-                all_added += added
-            kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-            order = lambda s: (KINDS.index(s[0]), s[1], s[2])
-            column = lambda lists: pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in sorted(x, key=order)] for x in lists], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column(all_base), column(all_added)], names=[*batch.schema.names, "base", "added"])
+            base, added = _batch_spans(model, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column(base), column(added)], names=["doc_id", "base", "added"])
 
     return of_batches
 
@@ -337,14 +349,14 @@ def train(docs: DataFrame) -> Crf:
 
 
 def spans(docs: DataFrame, model: Crf) -> DataFrame:
-    """doc_id, text, base, added of every row of docs: spans (kind, start, end) in code points, end exclusive, by kind and start.
+    """doc_id, base, added of every row of docs: spans (kind, start, end) in code points, end exclusive, by kind and start.
 
     docs needs doc_id and text; other columns are ignored. Null and empty texts have none. Repeated rows and null ids are handled row by row.
     An empty table gives an empty result; a corpus without any pattern trains a CRF that adds nothing.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_found(model), f"doc_id long, text string, base {_SPANS}, added {_SPANS}")
+    return docs.mapInArrow(_found(model), f"doc_id long, base {_SPANS}, added {_SPANS}")
 
 
 def joined(column: Column) -> Column:
@@ -372,28 +384,24 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
-def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, base, added in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "added")), strict=True):
-            found = sorted(((s["start"], s["end"], s["kind"]) for s in [*base, *added]), key=lambda s: (s[0], -s[1]))
-            if found:
-                parts, done = [], 0
-                for start, end, kind in found:
-                    if start >= done:
-                        parts += [text[done:start], f"[{kind.upper()}]"]
-                    done = max(done, end)
-                text = "".join([*parts, text[done:]])
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
+def _masked(model: Crf, texts: pa.Array) -> pa.Array:
+    out = []
+    for i, (base, added) in enumerate(zip(*_batch_spans(model, texts), strict=True)):
+        if not base and not added:
+            continue
+        text, parts, done = texts[i].as_py(), [], 0
+        for kind, start, end in sorted([*base, *added], key=lambda s: (s[1], -s[2])):
+            if start >= done:
+                parts += [text[done:start], f"[{kind.upper()}]"]
+            done = max(done, end)
+        out.append((i, "".join([*parts, text[done:]])))
+    if not out:
+        return texts
+    changed = np.zeros(len(texts), bool)
+    changed[[i for i, _ in out]] = True
+    return pc.replace_with_mask(texts, pa.array(changed), pa.array([t for _, t in out], texts.type))
 
 
 def masked(docs: DataFrame, model: Crf) -> DataFrame:
     """The columns of docs with every span of text replaced by its kind in brackets; overlapping spans are replaced as one."""
-    ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col("text").cast("string").alias("text"))
-    kinds = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*packed.schema.fields, T.StructField("base", T.ArrayType(kinds)), T.StructField("added", T.ArrayType(kinds))])
-    out = packed.mapInArrow(_found(model), schema).mapInArrow(_replaced, packed.schema)
-    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+    return rewrite_text(docs, partial(_masked, model))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .scratch import ship, written
+from .whole import keep_rows
 
 #: Labelled rows of each label that are drawn as examples (those with the smallest hash of doc_id): the bound of the fit.
 EXAMPLES = 2000
@@ -137,7 +138,7 @@ class Examples:
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, rows: list[tuple], tuning: list[tuple], shares: dict[int, float]):
         """rows: (doc_id, toxic, terms, times) of the examples; tuning: the same of calibration rows; shares: of each label in all labelled rows."""
-        self.vocabulary, self.idf = vocabulary, idf
+        self.vocabulary, self.idf, self.block = vocabulary, idf, BLOCK
         vectors = [self.weigh(np.array(t, np.int64), np.array(n, np.float64)) for _, _, t, n in rows]
         # Examples with the same heaviest term stand together, so that blocks differ in their maxima.
         heavy = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
@@ -148,12 +149,12 @@ class Examples:
         self.weight = {y: shares.get(y, 0.0) / max(int((labels == y).sum()), 1) for y in (0, 1)}
         self.prior = shares.get(1, 0.0)
         self.row_weight = np.where(self.toxic == 1, self.weight[1], self.weight[0])
-        n_blocks = -(-len(order) // BLOCK)
+        n_blocks = -(-len(order) // self.block)
         self.peak = np.zeros((n_blocks, len(idf)))
         self.slot = np.full((n_blocks, len(idf)), -1, np.int32)
         self.postings: list[np.ndarray] = []
         for b in range(n_blocks):
-            own = order[b * BLOCK : (b + 1) * BLOCK]
+            own = order[b * self.block : (b + 1) * self.block]
             terms = np.unique(np.concatenate([vectors[i][0] for i in own]))
             self.slot[b, terms] = np.arange(len(terms))
             post = np.zeros((len(terms), len(own)))
@@ -183,7 +184,7 @@ class Examples:
                 break
             at = self.slot[b, terms]
             score = w[at >= 0] @ self.postings[b][at[at >= 0]]
-            ids = b * BLOCK + np.arange(len(score))
+            ids = b * self.block + np.arange(len(score))
             keep = (score > 0) & (ids != without)
             place, like = np.append(place, ids[keep]), np.append(like, score[keep])
             if len(like) > k:
@@ -340,17 +341,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def _mild(index: Examples):
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = _batch_scores(index, batch.column("text"))
-            yield batch.filter(pa.array(scores < 0.5))
-
-    return of_batches
-
-
 def without_toxic(docs: DataFrame, index: Examples) -> DataFrame:
     """The rows of docs, with all their columns, that score below one half."""
-    ship(docs.sparkSession)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return packed.mapInArrow(_mild(index), packed.schema).select("row.*")
+    return keep_rows(docs, lambda text: _batch_scores(index, text) < 0.5)
