@@ -125,7 +125,8 @@ def covered(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
     marks = written(docs.mapInArrow(_marks, "doc_id long, key long, prefix long, seg long, low int, n int"), "marks")
     groups = marks.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("seg").alias("s"), F.max("seg").alias("t"))
-    groups = groups.filter("a < b").select("prefix", (F.col("s") != F.col("t")).alias("varied"))
+    # Sides of joins on hot prefixes and windows are written first: Spark can then split the large side where it is skewed.
+    groups = written(groups.filter("a < b").select("prefix", (F.col("s") != F.col("t")).alias("varied")), "groups")
     held = written(marks.join(groups, "prefix"), "held")
     firsts = written(held.groupBy("prefix", "seg", "varied").agg(F.min("doc_id").alias("doc_id")), "firsts")
 
@@ -139,10 +140,11 @@ def covered(docs: DataFrame) -> DataFrame:
     repeats = usual.mapInArrow(_trees, "seg long, from int, to int")
     deep = written(leaves.join(large, "prefix", "left_semi").mapInArrow(suffixes.long_prefixes(WINDOW, ["doc_id", "seg"]), "doc_id long, seg long, long long, at int"), "deep")
     lowest = deep.groupBy("long").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("long", "low")
+    lowest = written(lowest, "lowest")
     again = deep.join(lowest, "long").filter("doc_id > low").select("seg", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
     repeats = written(repeats.union(again), "repeats")
 
-    placed = held.join(firsts.select("seg", F.col("doc_id").alias("first")).distinct(), "seg")
+    placed = held.join(firsts.select("seg", F.col("doc_id").alias("first")), "seg")
     copies = placed.filter("doc_id > first").select("doc_id", "key", "low", (F.col("low") + F.col("n") + WINDOW - 1).alias("high"))
     own = placed.filter("doc_id = first").join(repeats, "seg")
     own = own.select("doc_id", "key", (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to") + WINDOW - 1).alias("high"))

@@ -182,7 +182,7 @@ def repeated(streams: DataFrame, window: int, prefix_words: int, pages: int) ->
     leaves = written(streams.mapInArrow(_leaves(window, prefix_words), "id long, prefix long, low int, codes binary"), "leaves")
     groups = leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
     groups = groups.filter((F.col("n") >= pages) & (F.col("a") < F.col("b"))).select("prefix", "n")
-    leaves = written(leaves.join(groups, "prefix"), "grouped")
+    leaves = written(leaves.join(written(groups, "groups"), "prefix"), "grouped")
     usual = leaves.filter(F.col("n") <= GROUP_SEGMENTS).drop("n").repartition("prefix").sortWithinPartitions("prefix")
     found = usual.mapInArrow(_on_many(window, pages), "id long, low int, high int")
     large = leaves.filter(F.col("n") > GROUP_SEGMENTS).mapInArrow(long_prefixes(window, ["id", "low"]), "id long, low int, long long, at int")
