@@ -34,8 +34,6 @@ def main() -> None:
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINES
     spark = build("bench", f"local[{cpus}]", cpus)
     spark.sparkContext.setLogLevel("ERROR")
-    # Small test tables: keep all cores busy after a shuffle.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     seconds = {}
     for name in names:
         times = []

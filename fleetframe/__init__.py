@@ -1,21 +1,25 @@
 """Fleet inventory and release-catalogue analytics on Spark."""
 
 from fleetframe.functions import LabelScheme
+from fleetframe.operators.inventory import scan_landed
 from fleetframe.plans.catalog import list_tags, load_tags
 from fleetframe.plans.deployments import (
+    cluster_addresses,
     detailed_documents,
     endpoints,
     get_deployment,
+    host_rows,
     host_strings,
     list_deployments,
 )
 from fleetframe.plans.provisioning import Plan, plan_deployments
-from fleetframe.plans.reports import detail_rows, in_order, list_rows, summary_json, write_report
+from fleetframe.plans.reports import detail_rows, in_order, list_rows, report_lines, summary_json, write_report
 from fleetframe.session import build
+from fleetframe.sources.catalog import compact
 from fleetframe.sources.nodes import land, read_landed, read_records, typed_nodes, write_landed
 
 __all__ = [
-    "LabelScheme", "Plan", "build", "detail_rows", "detailed_documents", "endpoints", "get_deployment", "host_strings",
-    "in_order", "land", "list_deployments", "list_rows", "list_tags", "load_tags", "plan_deployments", "read_landed",
-    "read_records", "summary_json", "typed_nodes", "write_landed", "write_report",
+    "LabelScheme", "Plan", "build", "cluster_addresses", "compact", "detail_rows", "detailed_documents", "endpoints", "get_deployment",
+    "host_rows", "host_strings", "in_order", "land", "list_deployments", "list_rows", "list_tags", "load_tags", "plan_deployments",
+    "read_landed", "read_records", "report_lines", "scan_landed", "summary_json", "typed_nodes", "write_landed", "write_report",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe import fixed
@@ -61,32 +61,36 @@ def fixed_chunks(df: DataFrame, keys: list[str], order: list, size: int = 20) ->
     return placed.withColumn("chunk", F.expr(f"(position - 1) div {int(size)}"))
 
 
-def listing(nodes: DataFrame, order: str = "product", part_rows: int = PART_ROWS, hot: HotKeys | None = None) -> DataFrame:
+def listing(
+    nodes: DataFrame, order: str = "product", part_rows: int = PART_ROWS, hot: HotKeys | None = None, kinds: list[str] | None = None
+) -> DataFrame:
     """The nodes a deployment report shows, each with its ``place`` in the report, next to its group's roll-up (``of``).
 
     Sections are config servers (0), routers (1), members (2; all nodes of a group of unknown type). Single-node types show their first node only; clusters
     show the nodes of the three roles (members without a ``chunk`` if the layout is in error). ``part`` numbers slices of ``part_rows`` places: results that nest nodes are
-    built per part, so that no row or task has to hold a whole group however large it is.
+    built per part, so that no row or task has to hold a whole group however large it is. ``kinds`` keeps groups of these types only, before
+    anything is numbered.
     """
+    wanted = F.lit(True) if kinds is None else F.col("of.deployment_type").isin(kinds)
     nodes = nodes.where(F.col("grp").isNotNull())
     hot = hot if hot is not None else hot_keys(nodes, ["grp"])
     if hot.many:
-        return _placed(_range_listing(nodes, order), part_rows)
-    shown = _shown(with_rollup(hot.without(nodes) if hot else nodes, NODE_FIELDS, order), order)
+        return _placed(_range_listing(nodes, order, wanted), part_rows)
+    shown = _shown(with_rollup(hot.without(nodes) if hot else nodes, NODE_FIELDS, order).where(wanted), order)
     placed = window_positions(shown, ["grp"], _REPORT_ORDER, "place")
     if hot:
         large = hot.only(nodes)
         # One row per hot group; it is joined on again after the numbering, so the sort carries nodes only.
-        of = pinned(headers(large, order))
+        of = pinned(headers(large, order).where(wanted))
         shown = _shown(large.join(F.broadcast(of), "grp").select(*NODE_FIELDS, "of"), order).drop("of")
         numbered = range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=hot.count)
         placed = placed.unionByName(numbered.join(F.broadcast(of), "grp"))
     return _placed(placed, part_rows)
 
 
-def _range_listing(nodes: DataFrame, order: str) -> DataFrame:
+def _range_listing(nodes: DataFrame, order: str, wanted: Column) -> DataFrame:
     """The listing where very many groups are hot: roll-ups meet nodes over salted keys and all nodes are numbered by a range sort."""
-    of = pinned(headers(nodes, order))
+    of = pinned(headers(nodes, order).where(wanted))
     every = HotKeys(["grp"], None, many=True)
     shown = _shown(keyed_join(nodes.select(*NODE_FIELDS), of, "grp", hot=every), order).drop("of")
     numbered = range_positions(shown, ["grp"], _REPORT_ORDER, "place", n_keys=None)

@@ -66,15 +66,17 @@ def with_rollup(nodes: DataFrame, keep: list[str], order: str = "product") -> Da
     groups small enough for one task each; others are joined with their ``headers``.
     """
     group = Window.partitionBy("grp")
+    # Plain columns under names of their own, so that those a caller does not use are never shuffled.
+    kept = {c: f"__kept_{c}" for c in keep if c != "grp"}
     measured = nodes.where(F.col("grp").isNotNull()).select(
         "grp",
-        F.struct(*[c for c in keep if c != "grp"]).alias("kept"),
+        *[F.col(c).alias(name) for c, name in kept.items()],
         *[m.over(group).alias(name) for name, m in measures(order).items()],
     )
-    rolled = _dispatch(measured, ["kept"])
-    of = F.struct(*[c for c in rolled.columns if c != "kept"]).alias("of")
+    rolled = _dispatch(measured, list(kept.values()))
+    of = F.struct(*[c for c in rolled.columns if c not in kept.values()]).alias("of")
     # The group column itself stays, so that what follows knows how the rows are partitioned.
-    return rolled.select("grp", "kept.*", of).select(*keep, "of")
+    return rolled.select(*[F.col(kept[c]).alias(c) if c in kept else c for c in keep], of)
 
 
 def headers(nodes: DataFrame, order: str = "product") -> DataFrame:

@@ -36,7 +36,7 @@ def host_rows(nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     kind = F.col("of.deployment_type")
     shown = (kind == fixed.REPLICA_SET) | ((kind == fixed.SHARDED) & F.col("section").isin(0, 2))
     host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
-    return listing(nodes, hot=hot).where(shown).select("grp", "section", "chunk", "place", host.alias("host"))
+    return listing(nodes, hot=hot, kinds=[fixed.REPLICA_SET, fixed.SHARDED]).where(shown).select("grp", "section", "chunk", "place", host.alias("host"))
 
 
 def host_strings(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def host_strings(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys | No
     ``hosts`` of a set of more than ``part_rows`` nodes come in ``parts`` rows, each a plain list. ``uri`` and ``set_address`` stand only where they are
     whole and true: they are null if a set has several parts or a member without a name or port (``name_error``).
     """
-    sets = listing(nodes, part_rows=part_rows, hot=hot).where(F.col("of.deployment_type") == fixed.REPLICA_SET)
+    sets = listing(nodes, part_rows=part_rows, hot=hot, kinds=[fixed.REPLICA_SET])
     host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
     joined = sets.groupBy("grp", "part").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("place", host.alias("host"))))["host"], ",").alias("hosts"),
@@ -70,9 +70,8 @@ def cluster_addresses(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys
 
     The address is null where a member has no name or port, or where the set has more than ``part_rows`` nodes (see ``host_rows``).
     """
-    nodes = nodes.where(F.col("type") == fixed.SHARDED)
     host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
-    shown = listing(nodes, part_rows=part_rows, hot=hot).where((F.col("section") == 0) | F.col("chunk").isNotNull())
+    shown = listing(nodes, part_rows=part_rows, hot=hot, kinds=[fixed.SHARDED]).where((F.col("section") == 0) | F.col("chunk").isNotNull())
     name = F.when(F.col("section") == 0, F.concat("grp", F.lit("-config"))).otherwise(F.concat("grp", F.lit("-shard-"), (F.col("chunk") + 1).cast("string")))
     # One size per set is known beforehand, so a set that is too large is never gathered.
     size = F.when(F.col("section") == 0, F.col("of.n_config")).otherwise(F.col("of.chunk_size"))

@@ -63,3 +63,9 @@ def test_planning_is_one_narrow_stage(spark):
 
 def test_masking_is_one_narrow_stage(spark):
     assert "Exchange" not in plan_of(QUERIES["mask_credentials"](spark, SF_DIR))
+
+
+def test_host_strings_move_only_what_they_show(spark):
+    plan = plan_of(QUERIES["host_strings"](spark, SF_DIR))
+    for part in re.findall(r"Exchange hashpartitioning\(grp#[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan):
+        assert not re.search(r"\b(id|data_dir|container_data_dir|image_tags|ports|arbiter)#", part)
