@@ -5,7 +5,8 @@ distance has the largest inner product. The tree is fitted on a bounded sample;
 priority queue of nodes by distance and visits leaves in that order. How many leaves it visits is calibrated: some queries are answered by brute
 force over all rows, and visits widen until those find the aimed share of their neighbours.
 
-Rows of a leaf and the queries that visit it are dealt in chunks, so a leaf that holds a third of all rows is many tasks.
+Rows and the queries that visit them meet in blocks of neighbouring leaves; a block gives each query its best rows once, however many of its leaves
+the query visits. A leaf that holds a third of all rows is many blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ SAMPLE = 20_000
 BRANCH, LEAF_ROWS, LEAF_SAMPLE = 8, 400, 12
 #: Queries answered by brute force, and the share of their neighbours that the visited leaves must hold.
 CALIBRATION, RECALL = 200, 0.95
-#: Rows, and queries, of one block of a leaf.
+#: Rows, and queries, of one block: neighbouring leaves share blocks, large leaves are cut into several.
 CHUNK = 4096
+QUERIES_AT_ONCE = 256
 KMEANS_ROUNDS = 8
 
 
@@ -123,22 +125,16 @@ def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, row positions, scores) of the k largest products of each query; ids are sorted, so ties go to the smaller one."""
-    for low in range(0, len(queries), 256):
-        score = _products(queries[low : low + 256], rows)
-        for i, own in enumerate(query_ids[low : low + 256].tolist()):
-            score[i, np.searchsorted(ids, own, "left") : np.searchsorted(ids, own, "right")] = -np.inf
-            row = score[i]
-            at = np.arange(len(row))
-            if len(row) > k:
-                at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-            at = at[np.argsort(-row[at], kind="stable")][:k]
-            at = at[row[at] > -np.inf]
-            yield own, at, row[at]
+def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest scores, largest first, ties to the smaller id; minus infinity takes no part."""
+    at = np.arange(len(score))
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    at = at[np.lexsort((ids[at], -score[at]))][:k]
+    return at[score[at] > -np.inf]
 
 
-def _rows(found: list[tuple], extra: np.ndarray | None = None) -> list[pa.Array]:
+def _rows(found: list[tuple]) -> list[pa.Array]:
     n = [len(s) for _, _, s in found]
     query = np.repeat(np.array([q for q, _, _ in found], np.int64), n)
     ids = np.concatenate([i for _, i, _ in found]) if found else np.zeros(0, np.int64)
@@ -156,38 +152,50 @@ def _assigned(tree: Tree, dim: int):
 
 
 def _exact(ids: np.ndarray, queries: np.ndarray, k: int, dim: int):
-    """The k best rows of a task for each of a few queries, with their leaves."""
+    """The k best rows of a batch for each of a few queries, with their leaves."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort(batch.column("vec_id").to_numpy(), kind="stable")
-            own, leaf = batch.column("vec_id").to_numpy()[order], batch.column("leaf").to_numpy()[order]
-            found = [(q, at, s) for q, at, s in _best(own, queries, ids, _matrix(batch.column("v"), dim)[order], k)]
-            arrays = _rows([(q, own[at], s) for q, at, s in found])
-            leaves = np.concatenate([leaf[at] for _, at, _ in found]) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(leaves.astype(np.int32))], names=["query_id", "vec_id", "score", "leaf"])
+            own, leaf = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
+            score = _products(queries, _matrix(batch.column("v"), dim))
+            score[ids[:, None] == own[None, :]] = -np.inf
+            best = [_top(row, own, k) for row in score]
+            leaves = np.concatenate([leaf[at] for at in best]).astype(np.int32)
+            arrays = _rows([(q, own[at], row[at]) for q, at, row in zip(ids.tolist(), best, score, strict=True)])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(leaves)], names=["query_id", "vec_id", "score", "leaf"])
 
     return of_batches
 
 
-def _visits(tree: Tree, visits: int, chunks: dict[int, int], dim: int):
-    """A row for each query, leaf that it visits and chunk of that leaf."""
+def _visits(tree: Tree, visits: int, group_of: dict[int, int], chunks: dict[int, int], dim: int):
+    """A row for each query, group of leaves that it visits and chunk of that group, with the leaves visited in it."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             queries = _matrix(batch.column("v"), dim)
             for low in range(0, len(queries), 512):
-                at, leaf, chunk = [], [], []
+                at, groups, parts, leaves = [], [], [], []
                 for i in range(low, min(low + 512, len(queries))):
-                    for x in tree.order(queries[i], visits):
-                        n = chunks.get(x, 0)
+                    by: dict[int, list[int]] = {}
+                    for leaf in tree.order(queries[i], visits):
+                        if leaf in group_of:
+                            by.setdefault(group_of[leaf], []).append(leaf)
+                    for group, own in by.items():
+                        n = chunks[group]
                         at += [i] * n
-                        leaf += [x] * n
-                        chunk += range(n)
+                        groups += [group] * n
+                        parts += range(n)
+                        leaves += [own] * n
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(rows), batch.column("v").take(rows), pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32())],
-                    names=["vec_id", "v", "leaf", "chunk"],
+                    [
+                        batch.column("vec_id").take(rows),
+                        batch.column("v").take(rows),
+                        pa.array(groups, pa.int32()),
+                        pa.array(parts, pa.int32()),
+                        pa.array(leaves, pa.list_(pa.int32())),
+                    ],
+                    names=["vec_id", "v", "group", "chunk", "leaves"],
                 )
 
     return of_batches
@@ -197,15 +205,38 @@ def _block(k: int, dim: int):
     def of_group(queries: pa.Table, rows: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if queries.num_rows and rows.num_rows:
-            order = np.argsort(rows.column("vec_id").to_numpy(), kind="stable")
-            ids = rows.column("vec_id").to_numpy()[order]
-            own = queries.column("vec_id").to_numpy()
-            found = [(q, ids[at], s) for q, at, s in _best(ids, _matrix(queries.column("v"), dim), own, _matrix(rows.column("v"), dim)[order], k)]
+            ids, leaf, vectors = rows.column("vec_id").to_numpy(), rows.column("leaf").to_numpy(), _matrix(rows.column("v"), dim)
+            own, points = queries.column("vec_id").to_numpy(), _matrix(queries.column("v"), dim)
+            visited = [set(x) for x in queries.column("leaves").to_pylist()]
+            at_leaf = {x: np.flatnonzero(leaf == x) for x in np.unique(leaf).tolist()}
+            for low in range(0, len(own), QUERIES_AT_ONCE):
+                part = range(low, min(low + QUERIES_AT_ONCE, len(own)))
+                score = np.full((len(part), len(ids)), -np.inf)
+                for x, cells in at_leaf.items():
+                    asking = np.array([i - low for i in part if x in visited[i]], np.int64)
+                    if len(asking):
+                        score[asking[:, None], cells] = _products(points[low + asking], vectors[cells])
+                score[own[part.start : part.stop, None] == ids[None, :]] = -np.inf
+                for i in part:
+                    best = _top(score[i - low], ids, k)
+                    found.append((int(own[i]), ids[best], score[i - low][best]))
         return pa.Table.from_arrays(_rows(found), names=["query_id", "vec_id", "score"])
 
     return of_group
 
 
+def _groups(counts: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """Leaves dealt to groups of about CHUNK rows, neighbours together; and the number of chunks of each group (a large leaf has several)."""
+    group_of: dict[int, int] = {}
+    rows: list[int] = []
+    for leaf, n in sorted(counts.items()):
+        if not rows or rows[-1] + n > CHUNK:
+            rows.append(0)
+        group_of[leaf] = len(rows) - 1
+        rows[-1] += n
+    return group_of, {g: -(-n // CHUNK) for g, n in enumerate(rows)}
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part: no null id or vector, no null or non-finite coordinate, not all zero, of the commonest length."""
     v = F.col("embedding").cast("array<double>")
@@ -241,18 +272,18 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     chosen = queries.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(CALIBRATION).collect()
     visits = _calibrated(tree, placed, chosen, k, dim) if tree.n_leaves > 1 else 1
 
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    chunks = {leaf: -(-n // CHUNK) for leaf, n in counts.items()}
-    of_leaf = spark.createDataFrame(sorted(chunks.items()), "leaf int, chunks int")
-    asked = written(queries.mapInArrow(_visits(tree, visits, chunks, dim), "vec_id long, v array<double>, leaf int, chunk int"), "visits")
-    loads = {r["leaf"]: -(-r["n"] // CHUNK) for r in asked.filter("chunk = 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_queries = spark.createDataFrame(sorted(loads.items()), "leaf int, parts int")
+    group_of, chunks = _groups({r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()})
+    of_leaf = spark.createDataFrame([(leaf, g, chunks[g]) for leaf, g in group_of.items()], "leaf int, group int, chunks int")
+    asked = queries.mapInArrow(_visits(tree, visits, group_of, chunks, dim), "vec_id long, v array<double>, group int, chunk int, leaves array<int>")
+    asked = written(asked, "visits")
+    loads = {r["group"]: -(-r["n"] // CHUNK) for r in asked.filter("chunk = 0").groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of_queries = spark.createDataFrame(sorted(loads.items()), "group int, parts int")
 
-    left = asked.join(F.broadcast(of_queries), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).drop("parts")
-    right = placed.join(F.broadcast(of_leaf), "leaf").join(F.broadcast(of_queries), "leaf")
+    left = asked.join(F.broadcast(of_queries), "group").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).drop("parts")
+    right = placed.join(F.broadcast(of_leaf), "leaf").join(F.broadcast(of_queries), "group")
     right = right.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("vec_id", "v", "leaf", "chunk", "part")
-    key = ["leaf", "chunk", "part"]
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("vec_id", "v", "leaf", "group", "chunk", "part")
+    key = ["group", "chunk", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block(k, dim), "query_id long, vec_id long, score double")
     return _ranked(found, k)
 
