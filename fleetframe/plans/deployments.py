@@ -72,7 +72,7 @@ def cluster_addresses(nodes: DataFrame, part_rows: int = PART_ROWS, hot: HotKeys
     """
     host = F.concat("node", F.lit(":"), F.col("port").cast("string"))
     shown = listing(nodes, part_rows=part_rows, hot=hot, kinds=[fixed.SHARDED]).where((F.col("section") == 0) | F.col("chunk").isNotNull())
-    name = F.when(F.col("section") == 0, F.concat("grp", F.lit("-config"))).otherwise(F.concat("grp", F.lit("-shard-"), (F.col("chunk") + 1).cast("string")))
+    name = F.when(F.col("section") == 0, F.concat("grp", F.lit("-cfg-svr"))).otherwise(F.concat("grp", F.lit("-sh-"), (F.col("chunk") + 1).cast("string")))
     # One size per set is known beforehand, so a set that is too large is never gathered.
     size = F.when(F.col("section") == 0, F.col("of.n_config")).otherwise(F.col("of.chunk_size"))
     entry = F.when(size <= part_rows, F.struct("place", host.alias("host")))

@@ -163,7 +163,7 @@ def test_large_groups_come_in_parts_that_join_to_the_whole(nodes_of):
     hosts = [r.host for r in host_rows(nodes).where("grp = 'rs'").orderBy("place").collect()]
     assert ",".join(hosts) == whole[0].hosts
     addresses = {r.set_name: r.address for r in cluster_addresses(nodes).collect()}
-    assert addresses["sc-config"].startswith("sc-config/sc-cfg-svr-1:") and len(addresses) == 3
+    assert addresses["sc-cfg-svr"].startswith("sc-cfg-svr/sc-cfg-svr-1:") and len(addresses) == 3
     assert all(r.address is None for r in cluster_addresses(nodes, part_rows=2).collect())
     full = {r.grp: json.loads(r.document) for r in ff.detailed_documents(nodes).collect()}
     parts = sorted(ff.detailed_documents(nodes, part_rows=4).collect(), key=lambda r: (r.grp, r.part))

@@ -259,6 +259,15 @@ managers AS (SELECT DISTINCT grp AS manager FROM inv WHERE raw_type = 'ops-manag
 SELECT manager, 'child' AS relation, grp, node FROM named JOIN managers ON parent = manager
 UNION ALL
 SELECT manager, 'app-db', grp, node FROM named JOIN managers ON grp = concat(manager, '-app-db')""",
+    "manager_removal": f"""WITH {TYPED},
+named AS (
+ SELECT seq, node, parent, port, data_dir, CASE WHEN seq // 10 % 8 = 6 THEN concat('dep-', seq // 10 - 2, '-app-db') ELSE grp END AS grp FROM typed),
+managers AS (SELECT DISTINCT grp AS manager FROM inv WHERE raw_type = 'ops-manager'),
+family AS (
+ SELECT manager, 'child' AS relation, 0 AS turn, 0 AS sorter, seq, node, data_dir FROM named JOIN managers ON parent = manager
+ UNION ALL SELECT manager, 'app-db', 1, port, seq, node, data_dir FROM named JOIN managers ON grp = concat(manager, '-app-db'))
+SELECT manager, row_number() OVER (PARTITION BY manager ORDER BY turn, sorter, seq) AS step, relation, node,
+ CASE WHEN turn = 1 AND trim(data_dir) NOT IN ('', '/') THEN data_dir END AS remove_dir FROM family""",
     "server_manager": f"""WITH {INV},
 managers AS (SELECT grp, network, port FROM inv WHERE raw_type = 'ops-manager' AND status = 'running'
  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY seq) = 1)
@@ -309,7 +318,7 @@ SELECT grp, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, hosts, concat
 SELECT grp, CAST(section AS INTEGER) AS section, chunk, place, concat(node, ':', port) AS host FROM listed
 WHERE deployment_type = 'Replica Set' OR (deployment_type = 'Sharded Cluster' AND section IN (0, 2))""",
     "cluster_addresses": f"""WITH {TYPED}, {rolled()}, {LISTED},
-sets AS (SELECT *, CASE WHEN section = 0 THEN concat(grp, '-config') ELSE concat(grp, '-shard-', chunk + 1) END AS set_name
+sets AS (SELECT *, CASE WHEN section = 0 THEN concat(grp, '-cfg-svr') ELSE concat(grp, '-sh-', chunk + 1) END AS set_name
  FROM listed WHERE deployment_type = 'Sharded Cluster' AND (section = 0 OR chunk IS NOT NULL))
 SELECT grp, set_name, concat(set_name, '/', string_agg(concat(node, ':', port), ',' ORDER BY place)) AS address
 FROM sets GROUP BY grp, set_name""",

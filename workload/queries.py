@@ -41,6 +41,15 @@ def wide_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_nodes(v.landed(spark, sf_dir, v.WIDE_INV))
 
 
+def families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and managers; sets of every eighth number play the application databases of the managers two below them."""
+    plain = nodes(spark, sf_dir)
+    number = F.substring("grp", 5, 20).cast("long")
+    app_db = F.concat(F.lit("dep-"), (number - 2).cast("string"), F.lit(fixed.APP_DB_SUFFIX))
+    named = plain.withColumn("grp", F.when(number % 8 == 6, app_db).otherwise(F.col("grp")))
+    return named, plain.where(F.col("type") == fixed.MANAGER).select(F.col("grp").alias("manager"))
+
+
 # --- inventory ------------------------------------------------------------------------------------------------------
 
 
@@ -83,15 +92,15 @@ def lookup_found_missing(spark, sf_dir):
 
 @query
 def manager_children(spark, sf_dir):
-    # Sets of every eighth number play the application databases of the managers two below them.
-    plain = nodes(spark, sf_dir)
-    number = F.substring("grp", 5, 20).cast("long")
-    app_db = F.concat(F.lit("dep-"), (number - 2).cast("string"), F.lit(fixed.APP_DB_SUFFIX))
-    named = plain.withColumn("grp", F.when(number % 8 == 6, app_db).otherwise(F.col("grp")))
-    managers = plain.where(F.col("type") == fixed.MANAGER).select(F.col("grp").alias("manager"))
+    named, managers = families(spark, sf_dir)
     return inventory.children(named, managers).select("manager", "relation", "grp", "node")
 
 
+@query
+def manager_removal(spark, sf_dir):
+    return actions.family_removal(*families(spark, sf_dir)).select("manager", "step", "relation", "node", "remove_dir")
+
+
 @query
 def server_manager(spark, sf_dir):
     all_nodes = nodes(spark, sf_dir)
