@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+
 
 def build(app: str = "fleetframe", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on. Every operator also works on a session it did not build."""
@@ -17,6 +19,7 @@ def build(app: str = "fleetframe", master: str | None = None, shuffle_partitions
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
@@ -49,8 +52,17 @@ def _one_machine(master: str) -> bool:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path in the shared folder, until ``release``."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch paths of this process, for callers that have consumed their results."""
+    while _scratch:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -87,3 +87,16 @@ def test_page_files_of_both_forms(spark, tmp_path):
     (tmp_path / "c.json").write_text("<html>")
     with pytest.raises(Exception, match="not a tag page"):
         store.read_pages(spark, str(tmp_path)).collect()
+
+
+def test_scratch_is_released(spark, tmp_path):
+    import os
+
+    from fleetframe.session import release, scratch_path
+
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    release(spark)
+    assert not os.path.exists(local)
