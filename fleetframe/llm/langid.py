@@ -22,7 +22,7 @@ from . import tokens
 from .scratch import ship, written
 
 ORDER = 3
-#: Longest contexts kept, those seen most in training; all shorter contexts are kept. Bounds the frozen table.
+#: Longest contexts kept, those seen most in training; all shorter contexts are kept. Bounds the frozen table to 5 MB a language.
 NODES = 16_384
 #: Symbols: one for white space, one for all bytes without their own, the rest for single bytes.
 SYMBOLS = 64
