@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted shingle similarity.
 
-For every benchmark item of L words, windows of L consecutive words of each document are compared with it. A window without any shingle of
+For every benchmark item of L words, windows of L consecutive words of each document are compared with it; a document of fewer words is its one
+window, compared by shared shingles with every longer item that its size can match. A window without any shingle of
 the benchmark has similarity 0 and needs no fingerprint; all others get one. A shingle weighs as often as it occurs, in the fingerprint and in
 the similarity. Fingerprints are cut into BLOCKS blocks: within RADIUS bits some block differs by at most RADIUS // BLOCKS bits, and an index per
 block lists the items for each block value within that distance, so no item within the radius is missed.
@@ -64,6 +65,10 @@ class Index:
             of["sets"].append(np.unique(shingles, return_counts=True))
             every.append((k, shingles))
         for of in self.by_length.values():
+            owner = np.repeat(np.arange(len(of["sets"])), [len(s) for s, _ in of["sets"]])
+            shingles, weights = (np.concatenate(c) for c in zip(*of["sets"], strict=True))
+            order = np.argsort(shingles, kind="stable")
+            of["postings"] = shingles[order], weights[order], owner[order]
             of["prints"] = np.array(of["prints"], np.uint64)
             of["blocks"] = []
             values = of["prints"].view(np.uint8).reshape(-1, 8)
@@ -84,11 +89,13 @@ class Index:
         return likely[np.isin(shingles[likely], self.known[k])]
 
     def matches(self, hashes: np.ndarray, of: dict, length: int, hit: np.ndarray, percent: int) -> Iterator[tuple]:
-        """(item, similarity, first word, distance) for windows of one document's words that hold a shingle at `hit`."""
+        """(item, similarity, first word, words, distance) for windows of one document's words that hold a shingle at `hit`."""
         k = min(SHINGLE_WORDS, length)
         size = length - k + 1
         last = len(hashes) - length
         if last < 0:
+            if len(hit):
+                yield from self.short_matches(hashes, of, k, size, percent)
             return
         edge = np.zeros(last + 2, np.int32)
         np.add.at(edge, np.clip(hit - size + 1, 0, last + 1), 1)
@@ -113,7 +120,27 @@ class Index:
             place = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
             both = int(np.minimum(count, weights[place])[theirs[place] == own].sum())
             if both * 100 >= percent * (2 * size - both):
-                yield of["ids"][i], both / (2 * size - both), at, d
+                yield of["ids"][i], both / (2 * size - both), at, length, d
+
+    def short_matches(self, hashes: np.ndarray, of: dict, k: int, size: int, percent: int) -> Iterator[tuple]:
+        """The same for a document of fewer words than the items, as one window. One window needs no search: all items that share a shingle are compared."""
+        own_size = len(hashes) - k + 1
+        if own_size * 100 < percent * size:  # all that it has is not enough
+            return
+        shingles = tokens.grams(hashes, k)
+        own, count = np.unique(shingles, return_counts=True)
+        theirs, weights, owner = of["postings"]
+        low, high = np.searchsorted(theirs, own, "left"), np.searchsorted(theirs, own, "right")
+        n = high - low
+        place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[place], np.minimum(np.repeat(count, n), weights[place]), len(of["ids"])).astype(np.int64)
+        near = np.flatnonzero((shared > 0) & (shared * 100 >= percent * (own_size + size - shared)))
+        if len(near):
+            prints = fingerprints(shingles, np.zeros(1, np.int64), own_size)
+            distance = np.bitwise_count(prints[0] ^ of["prints"][near])
+            for i, d in zip(near.tolist(), distance.tolist(), strict=True):
+                both = int(shared[i])
+                yield of["ids"][i], both / (own_size + size - both), 0, len(hashes), d
 
 
 def _islands(hit: np.ndarray, reach: int) -> list[np.ndarray]:
@@ -140,8 +167,8 @@ def _row_matches(index: Index, percent: int, column: pa.Array) -> Iterator[tuple
                     part = found.hash[low + left : min(high, low + int(island[-1]) + longest + 1)]
                     for length, of in index.by_length.items():
                         if min(SHINGLE_WORDS, length) == k:
-                            for item, like, at, bits in index.matches(part, of, length, island - left, percent):
-                                best[d, item] = max(best.get((d, item), (0,)), (like, -(left + at), length, bits))
+                            for item, like, at, words, bits in index.matches(part, of, length, island - left, percent):
+                                best[d, item] = max(best.get((d, item), (0,)), (like, -(left + at), words, bits))
         for (d, item), (like, at, length, bits) in best.items():
             yield row + d, item, like, -at, length, bits
 
@@ -175,7 +202,7 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataF
 
     docs needs doc_id and text, items item_id and text; other columns are ignored. Result: doc_id, item_id, similarity, first_word, n_words (the
     window), distance (of the fingerprints). Words are lower-cased (A-Z); shingles have five words, items with fewer words are one shingle as a
-    whole. A window matches when its weighted Jaccard similarity reaches percent / 100; of equal windows the first counts. Null, empty
+    whole. A document of fewer words than an item is one window. A window matches when its weighted Jaccard similarity reaches percent / 100; of equal windows the first counts. Null, empty
     and blank texts and items match nothing, rows without doc_id are reported without it. Items that share an item_id are all searched; the
     best counts. Rows that repeat a doc_id give a row each. Empty tables give an empty result.
     """

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from fleetframe.llm import decontam
@@ -69,3 +70,41 @@ def test_empty_tables(spark, docs_of):
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontam.contamination(docs_of([]), some).collect() == []
     assert [r.item_id for r in decontam.contamination(docs_of([(None, "x a b c d e f"), (5, None)]), some).collect()] == [1]
+
+
+def likeness(words, target):
+    """Weighted Jaccard similarity of two word lists of any lengths."""
+    bags = []
+    for own in (words, target):
+        k = min(5, len(own))
+        bags.append(Counter(tuple(own[i : i + k]) for i in range(len(own) - k + 1)))
+    return (bags[0] & bags[1]).total() / (bags[0] | bags[1]).total()
+
+
+def test_documents_shorter_than_an_item(spark, docs_of):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghijkl") + rng.choice("xyz") + rng.choice("pqrs")
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 4, 5, 6, 9, 16, 40, 59, 59, 300])]
+    items += [(10, "la " * 30 + "end"), (11, items[7][1] + " more words here"), (7, items[7][1])]
+    docs = []
+    for _, text in items:
+        words = text.split()
+        for cut in (1, 2, 3, 8, 12):
+            for part in (words[:-cut], words[cut:], words[: len(words) // 2] + words[len(words) // 2 + cut :]):
+                docs.append((len(docs), " ".join(part).title()))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contamination(docs_of(docs), table).collect()}
+    want = brute(docs, items)
+    for d, text in docs:
+        words = text.lower().split()
+        for i, item in items:
+            target = item.split()
+            if 0 < len(words) < len(target) and (like := likeness(words, target)) >= 0.8 and like > want.get((d, i), (0,))[0]:
+                want[d, i] = (like, 0)
+    assert got.keys() == want.keys() and len(want) > 40
+    assert all(abs(got[k].similarity - want[k][0]) < 1e-12 and got[k].first_word == want[k][1] for k in want)
+    short = [r for r in got.values() if r.item_id == 8]
+    assert short and all(r.n_words == len(docs[r.doc_id][1].split()) for r in short)
+    assert abs(next(r.similarity for r in short if r.n_words == 58) - 54 / 55) < 1e-12
+    clean = {r.doc_id for r in decontam.clean(docs_of(docs), table).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, _ in want}
