@@ -3,7 +3,8 @@
 Vectors get one more coordinate, sqrt(M - |x|^2) with M the largest squared length, and queries a zero there; then the nearest vector in Euclidean
 distance has the largest inner product. The tree is fitted on a bounded sample; every row is put into a leaf. A query walks the tree through a
 priority queue of nodes by distance and visits leaves in that order. How many leaves it visits is calibrated: some queries are answered by brute
-force over all rows, and visits widen until those find the aimed share of their neighbours.
+force over all rows, and visits widen until those find the aimed share of their neighbours. A query whose leaves hold too few other rows for a full
+answer visits more.
 
 Rows and the queries that visit them meet in blocks of neighbouring leaves; a block gives each query its best rows once, however many of its leaves
 the query visits. A leaf that holds a third of all rows is many blocks.
@@ -103,14 +104,15 @@ class Tree:
                 stack += [(int(k), own[of == i]) for i, k in enumerate(self.children[node])]
         return out
 
-    def order(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first `visits` leaves of a query, best bin first."""
+    def order(self, query: np.ndarray, visits: int, counts: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """The first `visits` leaves of a query, best bin first, and more until they hold `need` rows by `counts` or no leaf is left."""
         point = np.append(query, 0.0)[None, :]
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < visits:
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < visits or held < need):
             _, node = heapq.heappop(queue)
             if self.children[node] is None:
                 found.append(self.leaf[node])
+                held += counts.get(self.leaf[node], 0) if counts else 0
             else:
                 for d, kid in zip(_distances(point, self.centres[node])[0].tolist(), self.children[node].tolist(), strict=True):
                     heapq.heappush(queue, (d, kid))
@@ -167,17 +169,19 @@ def _exact(ids: np.ndarray, queries: np.ndarray, k: int, dim: int):
     return of_batches
 
 
-def _visits(tree: Tree, visits: int, group_of: dict[int, int], chunks: dict[int, int], dim: int):
-    """A row for each query, group of leaves that it visits and chunk of that group, with the leaves visited in it."""
+def _visits(tree: Tree, visits: int, k: int, counts: dict[int, int], group_of: dict[int, int], chunks: dict[int, int], dim: int):
+    """A row for each query, group of leaves that it visits and chunk of that group, with the leaves visited in it.
+
+    Leaves are visited until they hold k rows besides the `own` rows of the query's id."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queries = _matrix(batch.column("v"), dim)
+            queries, own_rows = _matrix(batch.column("v"), dim), batch.column("own").to_pylist()
             for low in range(0, len(queries), 512):
                 at, groups, parts, leaves = [], [], [], []
                 for i in range(low, min(low + 512, len(queries))):
                     by: dict[int, list[int]] = {}
-                    for leaf in tree.order(queries[i], visits):
+                    for leaf in tree.order(queries[i], visits, counts, k + own_rows[i]):
                         if leaf in group_of:
                             by.setdefault(group_of[leaf], []).append(leaf)
                     for group, own in by.items():
@@ -249,7 +253,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """The k rows with the largest inner product found for each query row (vec_id divisible by `every`), its own id left out.
 
     vectors needs vec_id and embedding; other columns are ignored. Result: query_id, rank (from 1), vec_id, score (double, on the original
-    vectors), nearest first, ties to the smaller vec_id. Null ids and vectors, zero vectors, null or non-finite coordinates and
+    vectors), nearest first, ties to the smaller vec_id. A query gets k rows, or all candidates if there are fewer. Null ids and vectors, zero vectors, null or non-finite coordinates and
     lengths other than the commonest one take no part. Rows that repeat a vec_id all are candidates, except for queries of that id. An empty
     table gives an empty result.
     """
@@ -272,9 +276,12 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     chosen = queries.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(CALIBRATION).collect()
     visits = _calibrated(tree, placed, chosen, k, dim) if tree.n_leaves > 1 else 1
 
-    group_of, chunks = _groups({r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()})
+    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    group_of, chunks = _groups(counts)
     of_leaf = spark.createDataFrame([(leaf, g, chunks[g]) for leaf, g in group_of.items()], "leaf int, group int, chunks int")
-    asked = queries.mapInArrow(_visits(tree, visits, group_of, chunks, dim), "vec_id long, v array<double>, group int, chunk int, leaves array<int>")
+    repeats = written(queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1"), "repeats")
+    queries = queries.join(repeats, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = queries.mapInArrow(_visits(tree, visits, k, counts, group_of, chunks, dim), "vec_id long, v array<double>, group int, chunk int, leaves array<int>")
     asked = written(asked, "visits")
     loads = {r["group"]: -(-r["n"] // CHUNK) for r in asked.filter("chunk = 0").groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
     of_queries = spark.createDataFrame(sorted(loads.items()), "group int, parts int")

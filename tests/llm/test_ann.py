@@ -68,3 +68,35 @@ def test_small_and_empty(vectors):
     assert ann.neighbours(vectors([(0, [1.0] * 4)])).collect() == []
     few = ann.neighbours(vectors([(0, [1.0] * 4), (0, [2.0] * 4), (1, [1.0] * 4)])).collect()
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 1)] or sorted((r.query_id, r.vec_id) for r in few) == [(0, 1)]
+
+
+def test_outliers_among_tight_clusters_get_k_rows(vectors, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 40)
+    rng = random.Random(6)
+
+    def around(centre, width):
+        v = [x + rng.gauss(0, width) for x in centre]
+        return [float(np.float32(10 * x / sum(y * y for y in v) ** 0.5)) for x in v]
+
+    centres = [[abs(rng.gauss(0, 1)) for _ in range(8)] for _ in range(40)]
+    rows = [(4 * i, around(centres[i % 40], 0.001)) for i in range(1600)]
+    rows += [(9000 + 20 * n, around([-1.0 if d == n else 0.0 for d in range(8)], 0.0)) for n in range(5)]
+    rows += [(9500 + 20 * g + j, around([0.0] * (5 + g) + [-1.0] * (3 - g), 0.001)) for g in range(3) for j in range(3)]
+    found = {}
+    for r in ann.neighbours(vectors(rows)).collect():
+        found.setdefault(r.query_id, []).append(r)
+    assert found.keys() == {i for i, _ in rows if i % 20 == 0}
+    for q, own in found.items():
+        assert sorted(r.rank for r in own) == list(range(1, 21)) and len({r.vec_id for r in own} - {q}) == 20
+
+
+def test_leaves_are_visited_until_they_hold_enough_rows():
+    rows = np.random.default_rng(1).normal(size=(300, 8))
+    tree = ann.Tree(rows, 10, float((rows * rows).sum(1).max()))
+    counts = dict(enumerate(np.bincount(tree.assign(rows), minlength=tree.n_leaves).tolist()))
+    for query in rows[:20]:
+        every = tree.order(query, tree.n_leaves)
+        assert tree.order(query, 2, counts, 1) == every[:2]
+        got = tree.order(query, 2, counts, 120)
+        assert got == every[: len(got)] and sum(counts[x] for x in got) >= 120 > sum(counts[x] for x in got[:-1])
+        assert tree.order(query, 2, counts, 1000) == every
