@@ -5,8 +5,8 @@ byte that a context has not seen costs an escape (method C: seen kinds against s
 context, at the end by equal shares. Statistics are frozen after training, so the code length of every byte in every node can be worked out
 beforehand; a text costs one table row per byte. The shortest code names the language.
 
-Bytes are folded to symbols first: A-Z to a-z, white space to one symbol, the commonest other bytes each to their own, the rest to one
-symbol that stands for all of them. Counting covers all training rows in Spark tasks; what reaches the driver is bounded by NODES.
+Bytes are folded to symbols first: A-Z to a-z, white space to one symbol, every other byte seen in training to its own, bytes never seen there to
+one symbol. Counting covers all training rows in Spark tasks; what reaches the driver is bounded by NODES for each language.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from . import tokens
 from .scratch import ship, written
 
 ORDER = 3
-#: Longest contexts kept, those seen most in training; all shorter contexts are kept. Bounds the frozen table to 5 MB a language.
+#: Longest contexts kept for each language, those seen most in it; all shorter contexts are kept. The frozen table of a language has
+#: (symbols ** 2 + NODES) * symbols numbers and symbols ** 3 node numbers, of 4 bytes each: 6 MB with 64 symbols, 91 MB if all bytes of UTF-8 occur.
 NODES = 16_384
-#: Symbols: one for white space, one for all bytes without their own, the rest for single bytes.
+#: Symbols at least: one for white space, one for bytes never seen in training, the rest for single bytes; more if more bytes are seen.
 SYMBOLS = 64
 SPACE, REST = 0, 1
-_BITS = 6
 #: Symbols counted at a time; bounds the memory of a counting task.
 CHUNK = 8 << 20
 
@@ -48,8 +48,8 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
 
-def _contexts(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte its ORDER bytes before it and itself as one number; every text begins after white space."""
+def _contexts(symbols: np.ndarray, offsets: np.ndarray, base: int) -> np.ndarray:
+    """For each byte its ORDER bytes before it and itself as one number of digits below `base`; every text begins after white space."""
     key = symbols.astype(np.uint32)
     for back in range(1, ORDER + 1):
         shifted = np.zeros(len(symbols), np.uint32)
@@ -57,11 +57,11 @@ def _contexts(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for i in range(back):
             at = offsets[:-1] + i
             shifted[at[at < offsets[1:]]] = SPACE
-        key |= shifted << np.uint32(_BITS * back)
+        key += shifted * np.uint32(base**back)
     return key
 
 
-def _count_grams(fold: np.ndarray):
+def _count_grams(fold: np.ndarray, base: int):
     """Counts of (language, context and byte) over a task's rows."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,18 +69,17 @@ def _count_grams(fold: np.ndarray):
         sizes: dict[str, int] = {}
 
         def counted(lang: str) -> pa.RecordBatch:
-            n = np.bincount(np.concatenate(held.pop(lang)), minlength=0)
+            keys, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
             sizes[lang] = 0
-            keys = np.flatnonzero(n)
             langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int32)))
-            return pa.RecordBatch.from_arrays([langs, pa.array(keys.astype(np.int64)), pa.array(n[keys].astype(np.int64))], names=["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([langs, pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             data, offsets = tokens.string_bytes(batch.column("text"))
             for row, to in tokens.pieces(offsets):
                 local = offsets[row : to + 1] - offsets[row]
-                keys = _contexts(fold[data[offsets[row] : offsets[to]]], local)
+                keys = _contexts(fold[data[offsets[row] : offsets[to]]], local, base)
                 for lang in set(langs[row:to]):
                     own = np.repeat(np.array([x == lang for x in langs[row:to]]), np.diff(local))
                     held.setdefault(lang, []).append(keys[own])
@@ -96,40 +95,42 @@ def _count_grams(fold: np.ndarray):
 class Trees:
     """Frozen trees of all languages: node of each context, and code lengths in bits of each symbol in each node by language."""
 
-    def __init__(self, langs: list[str], fold: np.ndarray, grams: dict[str, tuple[np.ndarray, np.ndarray]], nodes: int = NODES):
-        self.langs, self.fold = langs, fold
-        full = 1 << (_BITS * ORDER)
-        total = np.zeros(full, np.int64)
-        for keys, n in grams.values():
-            np.add.at(total, keys[keys < _FAR] >> _BITS, n[keys < _FAR])
-        kept = np.sort(np.argsort(-total, kind="stable")[: min(nodes, int((total > 0).sum()))])
-        short = 1 << (_BITS * (ORDER - 1))
-        # Nodes 0..short-1 are the contexts of ORDER - 1 bytes, the others the kept contexts of ORDER bytes.
-        self.node = np.tile(np.arange(short, dtype=np.int32), SYMBOLS)
-        self.node[kept] = short + np.arange(len(kept), dtype=np.int32)
-        self.bits = np.empty(((short + len(kept)) * SYMBOLS, len(langs)), np.float32)
+    def __init__(self, langs: list[str], fold: np.ndarray, grams: dict[str, tuple[np.ndarray, np.ndarray]], nodes: int = NODES, base: int = SYMBOLS):
+        self.langs, self.fold, self.base = langs, fold, base
+        short, far = base ** (ORDER - 1), base ** (ORDER + 1)
+        # Nodes 0..short-1 are the contexts of ORDER - 1 bytes, the others the contexts of ORDER bytes that the language keeps.
+        self.node = np.tile(np.arange(short, dtype=np.int32), (len(langs), base))
+        tables = []
         for i, lang in enumerate(langs):
             keys, n = grams.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            chance = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
+            seen_contexts, at = np.unique(keys[keys < far] // base, return_inverse=True)
+            total = np.bincount(at, n[keys < far], len(seen_contexts))
+            kept = np.sort(seen_contexts[np.argsort(-total, kind="stable")[:nodes]])
+            self.node[i, kept] = short + np.arange(len(kept), dtype=np.int32)
+            chance = np.full((1, base), 1.0 / base)
             for order in range(ORDER):
-                seen = np.zeros((1 << (_BITS * order), SYMBOLS))
-                np.add.at(seen.reshape(-1), keys & ((1 << (_BITS * (order + 1))) - 1), n)
+                seen = np.zeros((base**order, base))
+                np.add.at(seen.reshape(-1), keys % base ** (order + 1), n)
                 chance = _escaped(seen, np.tile(chance, (len(seen) // len(chance), 1)))
-            deep = np.zeros((len(kept), SYMBOLS))
-            place = np.searchsorted(kept, keys >> _BITS)
-            inside = (place < len(kept)) & (kept[np.minimum(place, len(kept) - 1)] == keys >> _BITS) if len(kept) else np.zeros(len(keys), bool)
-            np.add.at(deep, (place[inside], keys[inside] & (SYMBOLS - 1)), n[inside])
-            chance = np.vstack([chance, _escaped(deep, chance[kept & (short - 1)])])
-            self.bits[:, i] = -np.log2(chance).reshape(-1)
+            deep = np.zeros((len(kept), base))
+            place = np.searchsorted(kept, keys // base)
+            inside = (place < len(kept)) & (kept[np.minimum(place, len(kept) - 1)] == keys // base) if len(kept) else np.zeros(len(keys), bool)
+            np.add.at(deep, (place[inside], keys[inside] % base), n[inside])
+            chance = np.vstack([chance, _escaped(deep, chance[kept % short])])
+            tables.append((-np.log2(chance).reshape(-1)).astype(np.float32))
+        self.bits = np.zeros((max(map(len, tables), default=0), len(langs)), np.float32, order="F")
+        for i, table in enumerate(tables):
+            self.bits[: len(table), i] = table
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language; empty texts cost nothing."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         some = np.flatnonzero(np.diff(offsets))
         if len(some):
-            keys = _contexts(self.fold[data], offsets)
-            rows = self.node[keys >> np.uint32(_BITS)].astype(np.int64) * SYMBOLS + (keys & np.uint32(SYMBOLS - 1))
-            out[some] = np.add.reduceat(self.bits[rows].astype(np.float64), offsets[some], axis=0)
+            context, symbol = np.divmod(_contexts(self.fold[data], offsets, self.base), np.uint32(self.base))
+            for i in range(len(self.langs)):
+                rows = self.node[i, context].astype(np.int64) * self.base + symbol
+                out[some, i] = np.add.reduceat(self.bits[rows, i].astype(np.float64), offsets[some])
         return out
 
 
@@ -149,32 +150,26 @@ def train(docs: DataFrame, nodes: int = NODES) -> Trees:
     ship(spark)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     common = docs.select("text").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    ranked = sorted((-r["n"], r["byte"]) for r in common if r["n"] and r["byte"] != 32)[: SYMBOLS - 2]
+    own = sorted(r["byte"] for r in common if r["n"] and r["byte"] != 32)
+    base = max(SYMBOLS, len(own) + 2)
     symbol = np.full(256, REST, np.uint8)
     symbol[32] = SPACE
-    for i, byte in enumerate(sorted(b for _, b in ranked)):
+    for i, byte in enumerate(own):
         symbol[byte] = i + 2
     fold = symbol[_folded()]
-    counts = written(docs.mapInArrow(_count_grams(fold), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = written(docs.mapInArrow(_count_grams(fold, base), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
-    # Whole contexts of ORDER bytes beyond the `nodes` commonest only matter through their shorter contexts: sum those in Spark.
-    context = F.shiftright("gram", _BITS)
-    top = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(nodes)
-    near = counts.withColumn("context", context).join(F.broadcast(top.select("context")), "context", "left_semi").select("lang", "gram", "n")
-    mask = (1 << (_BITS * ORDER)) - 1
-    far = counts.withColumn("context", context).join(F.broadcast(top.select("context")), "context", "left_anti")
-    far = far.groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n"))
-    near, far = near.toPandas(), far.toPandas()
+    # Whole contexts of ORDER bytes beyond the `nodes` commonest of a language only matter through their shorter contexts: sum those in Spark.
     grams = {}
     for lang in langs:
-        a, b = near[near["lang"] == lang], far[far["lang"] == lang]
-        # A far gram is put under a context of ORDER bytes that is not kept, so that only its shorter contexts count it.
-        grams[lang] = (np.concatenate([a["gram"], b["gram"] | _FAR]).astype(np.int64), np.concatenate([a["n"], b["n"]]).astype(np.int64))
-    return Trees(langs, fold, grams, nodes)
-
-
-#: A context byte beyond all symbols.
-_FAR = 1 << (_BITS * (ORDER + 1))
+        of_lang = counts.filter(F.col("lang") == lang).withColumn("context", F.expr(f"gram div {base}"))
+        top = of_lang.groupBy("context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(nodes)
+        top = F.broadcast(written(top.select("context"), "contexts"))
+        a = of_lang.join(top, "context", "left_semi").select("gram", "n").toPandas()
+        b = of_lang.join(top, "context", "left_anti").groupBy((F.col("gram") % base**ORDER).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+        # A far gram is put under a context beyond all of ORDER bytes, so that only its shorter contexts count it.
+        grams[lang] = (np.concatenate([a["gram"], b["gram"] + base ** (ORDER + 1)]).astype(np.int64), np.concatenate([a["n"], b["n"]]).astype(np.int64))
+    return Trees(langs, fold, grams, nodes, base)
 
 
 def _predictions(trees: Trees):

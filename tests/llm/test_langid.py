@@ -74,3 +74,18 @@ def test_few_nodes_fall_back_to_shorter_contexts(docs_of):
 def test_nothing_to_learn(docs_of):
     assert langid.identify(docs_of([])).collect() == []
     assert {(r.lang_pred, r.score) for r in langid.identify(docs_of([(i, "abc", None, "s") for i in range(9)])).collect()} == {("und", 0.0)}
+
+
+def test_rare_languages_keep_their_bytes_and_contexts(docs_of):
+    rng = random.Random(7)
+    latin = [chr(b) for b in range(33, 127) if not 65 <= b <= 90]
+    scripts = {"he": [chr(c) for c in range(0x5D0, 0x5EA)], "hy": [chr(c) for c in range(0x561, 0x57B)]}
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(20))
+    rows = [(i, text(latin), "en", "s") for i in range(900)]
+    rows += [(1000 + i, text(scripts[lang]), lang, "s") for i in range(60) for lang in ["he" if i % 2 else "hy"]]
+    got = {r.doc_id: r for r in langid.identify(docs_of(rows)).collect()}
+    held = [(got[i].lang_pred, lang) for i, _, lang, _ in rows if lang != "en" and got[i].held_out]
+    assert len(held) > 10 and all(a == b for a, b in held)
+    trees = langid.train(docs_of(rows), nodes=30)
+    assert trees.base > langid.SYMBOLS and len(set(trees.fold[list(rows[-1][1].replace(" ", "").encode())])) > 20
+    assert (trees.node >= trees.base ** (langid.ORDER - 1)).sum(1).tolist() == [30] * 3
