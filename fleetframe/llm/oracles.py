@@ -42,4 +42,18 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept, 0) AS n_removed, s
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
-ORACLES = {"op4_minhash": OP4, "op5_substrings": OP5, "op9_mixing": OP9}
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+t AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term),
+q AS (SELECT i, term, count(*)::BIGINT AS times FROM (SELECT row_number() OVER () AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY i, term),
+b AS (SELECT row_number() OVER () AS i, item_id FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, whole WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 25 + ((25 * len(ws)::BIGINT * n_docs) // n_terms) AS m FROM d, whole WHERE len(ws) > 0),
+s AS (SELECT q.i, t.r, sum(q.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * m.m)))::BIGINT AS score
+  FROM q JOIN t ON t.term = q.term JOIN w ON w.term = q.term JOIN m ON m.r = t.r GROUP BY q.i, t.r),
+o AS (SELECT s.i, m.doc_id, score, row_number() OVER (PARTITION BY s.i ORDER BY score DESC, m.doc_id NULLS LAST) AS rank FROM s JOIN m ON m.r = s.r WHERE score > 0)
+SELECT b.item_id, o.rank::INTEGER AS rank, o.doc_id, o.score FROM o JOIN b ON b.i = o.i WHERE o.rank <= 20
+"""
+
+ORACLES = {"op4_minhash": OP4, "op5_substrings": OP5, "op9_mixing": OP9, "op13_ranking": OP13}

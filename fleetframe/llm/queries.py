@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, langid, minhash, mixing, pii, quality, substrings, toxicity
+from . import ann, decontam, html, langid, minhash, mixing, pii, quality, ranking, substrings, toxicity, whitening
 from .scratch import table
 
 
@@ -50,6 +50,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -61,4 +69,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
+    "op12_whitening": op12_whitening,
+    "op13_ranking": op13_ranking,
 }
