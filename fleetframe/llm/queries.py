@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, langid, minhash, mixing, pii, quality, ranking, substrings, toxicity, whitening
+from . import ann, decontam, html, langid, lm, minhash, mixing, pii, quality, ranking, substrings, toxicity, whitening
 from .scratch import table
 
 
@@ -50,6 +50,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.modelled(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
+    "op11_language_model": op11_language_model,
     "op12_whitening": op12_whitening,
     "op13_ranking": op13_ranking,
 }

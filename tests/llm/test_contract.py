@@ -21,6 +21,7 @@ COLUMNS = {
     "op7_decontamination": {"doc_id", "item_id", "similarity", "first_word", "n_words", "distance"},
     "op8_language": {"doc_id", "held_out", "lang_pred", "score"},
     "op10_html": {"page_id", "url", "text", "n_chars"},
+    "op11_language_model": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op12_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
 }
 
@@ -28,7 +29,7 @@ COLUMNS = {
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql())
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == {*range(1, 11), 12, 13}
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "mixing"]
 
 
