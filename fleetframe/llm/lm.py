@@ -227,10 +227,9 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
 class _Frequent:
     """Known counts, base and value sums of the most frequent runs, by key."""
 
-    def __init__(self, rows: list):
-        keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.sums = np.stack([np.bincount(at, [r[c] for r in rows], len(self.keys)) if len(rows) else np.zeros(0) for c in ("known", "base", "value")], 1)
+    def __init__(self, rows: pa.Table):
+        self.keys, at = np.unique(rows.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        self.sums = np.stack([np.bincount(at, rows.column(c).to_numpy(), len(self.keys)) for c in ("known", "base", "value")], 1)
         self.marked = np.zeros(1 << 22, bool)
         self.marked[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -294,7 +293,7 @@ def score(docs: DataFrame, tree: Tree, hot: int = HOT) -> DataFrame:
     model = tree.rows()
     top = model.select("n").orderBy(F.desc("n")).limit(hot + 1).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     least = top["n"] + 1 if top["rows"] > hot else 0
-    frequent = _Frequent(model.filter(F.col("n") >= least).collect())
+    frequent = _Frequent(model.filter(F.col("n") >= least).toArrow())
     model = model.filter(F.col("n") < least)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double, others array<long>"
