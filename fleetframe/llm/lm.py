@@ -13,12 +13,12 @@ there; of the others a text sends only those that the model may hold, told by bi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -29,7 +29,9 @@ LEAST, CUTOFF = 16, 4.0
 #: Tokens that a task counts at a time.
 CHUNK = 4 << 20
 #: Rows of the model that travel to the tasks, and rows of a table that are joined by broadcast because many rows may meet them.
-HOT, HOT_JOIN = 1 << 19, 1 << 16
+HOT, HOT_JOIN = 1 << 20, 1 << 17
+#: Other rows of the model are cut by key into buckets of about so many, which meet the runs sent to them in one task.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 8
 #: Bit maps have 2^MAP_BITS bits at most; fuller ones let more runs through to the join, which decides.
 MAP_BITS = 28
 
@@ -140,13 +142,37 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(join_keys(context, suffix).view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Inner join on `key`, which is unique in `table`. Rows that may be many for one key, those of the most frequent runs, meet it by broadcast."""
-    hot = written(table.orderBy(F.desc("n"), key).limit(HOT_JOIN), "hot")
-    columns = [c for c in table.columns if c not in ("n", key)]
-    often = rows.join(F.broadcast(hot.select(key, *columns)), key)
-    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.select(key, *columns), key)
-    return often.unionByName(seldom)
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Inner joins on `key`, which is unique in `table`: of the rows whose key is one of its most frequent runs, which may be many for one key and meet it by
+    broadcast, and of all others."""
+    hot = F.broadcast(written(table.orderBy(F.desc("n"), key).limit(HOT_JOIN).drop("n"), "hot"))
+    return rows.join(hot, key), rows.join(hot.select(key), key, "left_anti").join(table.drop("n"), key)
+
+
+def _grouped(rows: DataFrame, **sums: Column) -> DataFrame:
+    """Rows with aggregates of their context, for a bounded number of contexts of any size."""
+    return rows.join(F.broadcast(written(rows.groupBy("context").agg(*[c.alias(name) for name, c in sums.items()]), "sums")), "context")
+
+
+def _windowed(rows: DataFrame, **sums: Column) -> DataFrame:
+    """The same for any number of contexts, each of bounded size."""
+    own = Window.partitionBy("context")
+    return rows.select("*", *[c.over(own).alias(name) for name, c in sums.items()])
+
+
+def _weighed(rows: DataFrame, within: Callable[..., DataFrame]) -> DataFrame:
+    """Runs with the chance of their last token; what a state adds to it in `value`, and on one run of each state the state itself as `of`."""
+    rows = within(rows, beyond=F.sum(F.col("n") - 1), seen=F.sum("n"), lead=F.min("suffix"))
+    rows = rows.withColumn("share", 1 - F.col("beyond") / F.col("all"))
+    rows = rows.withColumn("own", (F.col("n") - 1) / F.col("all") + F.col("share") * F.col("shorter"))
+    rows = within(rows, saved=F.sum(F.col("n") * F.log(F.col("own") / F.col("shorter"))))
+    state = F.col("saved") + (F.col("all") - F.col("seen")) * F.log("share") >= CUTOFF
+    led = state & (F.col("lead") == F.col("suffix"))
+    return rows.select(
+        "key", "n", "ends", F.when(state, F.col("own")).otherwise(F.col("shorter")).alias("chance"),
+        F.when(state, F.log10(F.col("own") / (F.col("share") * F.col("shorter")))).alias("value"),
+        F.when(led, F.col("context")).alias("of"), F.when(led, F.col("all")).alias("all"), F.when(led, F.log10("share")).alias("share"),
+    )
 
 
 @dataclass
@@ -197,30 +223,17 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
         counts = docs.mapInArrow(_run_counts(length, candidates), "context long, suffix long, n long")
         counts = counts.groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter("n >= 2")
         counts = written(counts.mapInArrow(_keyed, "key long, context long, suffix long, n long"), "runs")
-        states = open_.select(F.col("key").alias("context"), "n", F.col("n").alias("all"))
         suffixes = level.select(F.col("key").alias("suffix"), "n", F.col("chance").alias("shorter"), "ends")
-        counted = written(_looked_up(counts, states, "context"), "counted")
+        often, seldom = _looked_up(counts, suffixes, "suffix")
+        seen = written(often.unionByName(seldom), "seen")
         drop(counts)
-        seen = written(_looked_up(counted, suffixes, "suffix"), "seen")
-        drop(counted)
-        mass = written(
-            seen.groupBy("context").agg(F.first("all").alias("n"), (F.first("all") - F.sum(F.col("n") - 1)).alias("shared"), (F.first("all") - F.sum("n")).alias("unseen")), "mass"
-        ).withColumn("share", F.col("shared") / F.col("n"))
-        rows = _looked_up(seen, mass, "context")
-        own = (F.col("n") - 1) / F.col("all") + F.col("share") * F.col("shorter")
-        saved = rows.groupBy("context").agg(F.sum(F.col("n") * F.log(own / F.col("shorter"))).alias("saved"), F.first("unseen").alias("unseen"), F.first("share").alias("share"), F.first("all").alias("n"))
-        kept = written(saved.filter(F.col("saved") + F.col("unseen") * F.log("share") >= CUTOFF).select("context", "n", F.lit(True).alias("state")), "states")
-        rows = rows.join(kept.select("context", "state"), "context", "left") if kept.count() > HOT_JOIN else rows.join(F.broadcast(kept.select("context", "state")), "context", "left")
-        state = F.coalesce("state", F.lit(False))
-        level = written(
-            rows.select("key", "n", F.when(state, own).otherwise(F.col("shorter")).alias("chance"), "ends",
-                        F.when(state, F.log10(own / (F.col("share") * F.col("shorter")))).alias("value")), "level",
-        )
-        plain = lambda table, value: table.select("key", "n", F.lit(0).alias("known"), F.lit(0.0).alias("base"), value.alias("value"))
-        tree.runs.append(plain(level.filter("value is not null"), F.col("value")))
-        shares = kept.select("context").join(mass, "context").withColumnRenamed("context", "key")
-        tree.runs.append(plain(written(shares, "shares"), F.log10("share")))
+        often, seldom = _looked_up(seen, open_.select(F.col("key").alias("context"), "n", F.col("n").alias("all")), "context")
+        level = _weighed(often, _grouped).unionByName(_weighed(seldom, _windowed))
+        level = written(level if length < depth else level.filter("value is not null"), "level")
         drop(seen)
+        plain = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
+        tree.runs.append(level.filter("value is not null").select("key", "n", *plain, "value"))
+        tree.runs.append(level.filter("of is not null").select(F.col("of").alias("key"), F.col("all").alias("n"), *plain, F.col("share").alias("value")))
     return tree
 
 
@@ -243,13 +256,26 @@ class _Frequent:
         return likely[sure], place[sure]
 
 
-def _frequent_sums(depth: int, unknown: float, frequent: _Frequent, others: Marks):
-    """Per text its tokens, what the frequent runs add up to, and the keys of all other runs that the model may hold."""
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+
+
+def _sent(depth: int, unknown: float, frequent: _Frequent, others: Marks, buckets: int):
+    """Per piece of texts a row with what their tokens and frequent runs add up to, and for each bucket of keys a row with the other runs that the model
+    may hold: the keys text by text, and how many each text has."""
+
+    def row(bucket: int, ids: pa.Array, digests: pa.Array, counts: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int32()), one(ids), one(digests), one(pa.array(counts.astype(np.int32))), pa.array([keys.tobytes()], pa.binary()), one(pa.array(sums.reshape(-1)))],
+            names=["bucket", "ids", "digests", "counts", "keys", "sums"],
+        )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, keys, doc, left in _texts(batch.column("text")):
+            for at_row, keys, doc, left in _texts(batch.column("text")):
                 n = int(doc[-1]) + 1
+                ids, digests = (batch.column(c).slice(at_row, n) for c in ("doc_id", "digest"))
                 size = np.bincount(doc, minlength=n) - 1
                 sums = np.zeros((n, 3))
                 sums[:, 1] = size * unknown
@@ -269,44 +295,68 @@ def _frequent_sums(depth: int, unknown: float, frequent: _Frequent, others: Mark
                     if len(keys) > 1:
                         keys = longer(keys)
                 run_of, run_key = np.concatenate(run_of), np.concatenate(run_key)
-                order = np.argsort(run_of, kind="stable")
-                ends = pa.array(np.searchsorted(run_of[order], np.arange(n + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(row, n) for c in ("row", "doc_id", "held_out")),
-                        pa.array(size),
-                        pa.array(np.round(sums[:, 0]).astype(np.int64)),
-                        pa.array(sums[:, 1]),
-                        pa.array(sums[:, 2]),
-                        pa.ListArray.from_arrays(ends, pa.array(run_key[order].view(np.int64))),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "value", "others"],
-                )
+                bucket = _bucket(run_key, buckets)
+                order = np.lexsort((run_of, bucket))
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                yield row(at_row % buckets, ids, digests, size, run_key[:0], sums)
+                for b in np.flatnonzero(np.diff(ends)).tolist():
+                    own = order[ends[b] : ends[b + 1]]
+                    counts = np.bincount(run_of[own], minlength=n)
+                    some = np.flatnonzero(counts)
+                    yield row(b, ids.take(pa.array(some)), digests.take(pa.array(some)), counts[some], run_key[own], sums[:0])
 
     return of_batches
 
 
+_PARTS = "doc_id long, digest long, rows long, n_tokens long, known double, base double, value double"
+
+
+def _bucket_sums(sent: pa.Table, model: pa.Table) -> pa.Table:
+    """What the rows sent to one bucket add to their texts; keys that the model does not hold add nothing."""
+    known = _Frequent(model)
+    parts = []
+    for r in range(sent.num_rows):
+        ids, digests, counts, sums = (sent.column(c)[r].values for c in ("ids", "digests", "counts", "sums"))
+        counts, sums = counts.to_numpy(), sums.to_numpy().reshape(-1, 3)
+        whole = len(sums) > 0
+        if not whole:
+            sums = np.zeros((len(counts), 3))
+            at, place = known.find(np.frombuffer(sent.column("keys")[r].as_buffer(), np.uint64))
+            of = np.repeat(np.arange(len(counts)), counts)[at]
+            for c in range(3):
+                sums[:, c] = np.bincount(of, known.sums[place, c], len(counts))
+        zeros = np.zeros(len(counts), np.int64)
+        parts.append(pa.Table.from_arrays([ids, digests, pa.array(zeros + whole), pa.array(counts.astype(np.int64) if whole else zeros), *map(pa.array, sums.T)],
+                                          names=["doc_id", "digest", "rows", "n_tokens", "known", "base", "value"]))
+    types = [pa.int64()] * 4 + [pa.float64()] * 3
+    empty = pa.Table.from_arrays([pa.array([], t) for t in types], names=["doc_id", "digest", "rows", "n_tokens", "known", "base", "value"])
+    return pa.concat_tables([empty, *parts]).combine_chunks()
+
+
 def score(docs: DataFrame, tree: Tree, hot: int = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, held_out, text)."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
+
+    Rows with the same doc_id and text have the same score: they are added up together and dealt out again. Texts of one doc_id are told apart by a 64-bit hash.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = tree.rows()
     top = model.select("n").orderBy(F.desc("n")).limit(hot + 1).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     least = top["n"] + 1 if top["rows"] > hot else 0
     frequent = _Frequent(model.filter(F.col("n") >= least).toArrow())
-    model = model.filter(F.col("n") < least)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double, others array<long>"
-    depth = len(tree.runs) // 2
-    texts = written(docs.mapInArrow(_frequent_sums(depth, tree.unknown, frequent, marks(model.select("key"))), schema), "texts")
-    found = texts.select("row", F.explode("others").alias("key")).join(model.drop("n"), "key")
-    found = found.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("value").alias("more_value"))
-    rows = texts.drop("others").join(found, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    base = plus("base", "more_base")
-    return rows.select(
-        "doc_id", "held_out", "n_tokens", plus("known", "more_known").cast("long").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + plus("value", "more_value")).alias("score"),
+    model = model.filter(F.col("n") < least).drop("n")
+    buckets = max(LEAST_BUCKETS, -(-model.count() // BUCKET_ROWS))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"))
+    schema = "bucket int, ids array<long>, digests array<long>, counts array<int>, keys binary, sums array<double>"
+    sent = docs.mapInArrow(_sent(len(tree.runs) // 2, tree.unknown, frequent, marks(model.select("key")), buckets), schema)
+    model = model.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(key, 48) * {buckets} div 65536 as int)"))
+    parts = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bucket_sums, _PARTS)
+    whole = parts.groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "value")])
+    whole = whole.withColumn("each", F.explode(F.array_repeat("rows", F.col("rows").cast("int"))))
+    base = F.col("base") / F.col("rows")
+    return whole.select(
+        "doc_id", (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"), F.round(F.col("known") / F.col("rows")).cast("long").alias("n_known"),
+        F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("value") / F.col("rows")).alias("score"),
     )
 
 
@@ -318,5 +368,5 @@ def modelled(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     With nothing to learn from every token has chance 1; an empty table gives an empty result.
     """
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
-    tree = train(docs.filter(rest != held))
-    return score(docs.select("doc_id", "text", F.coalesce(rest == held, F.lit(False)).alias("held_out")), tree)
+    scores = score(docs, train(docs.filter(rest != held)))
+    return scores.select("doc_id", F.coalesce(rest == held, F.lit(False)).alias("held_out"), *scores.columns[1:])
