@@ -87,14 +87,18 @@ def tag_page(
     """One page of distinct tags in descending order: ``place, tag, has_more``.
 
     One row more than a page is looked at to tell whether there is a next page. ``after`` continues below the last tag
-    seen, which stays cheap however deep the page. ``compat_drop_last`` leaves out the last row read even on the last
+    seen. A page far into a large catalogue is cheapest from its page index. ``compat_drop_last`` leaves out the last row read even on the last
     page.
     """
     distinct = tags.select("tag").distinct()
     if after is not None:
         distinct, page = distinct.where(F.col("tag") < after), 1
     seen = distinct.orderBy(F.col("tag").desc()).offset((page - 1) * page_size).limit(page_size + 1)
-    # At most page_size + 1 rows from here on.
+    return page_of(seen, page_size, compat_drop_last)
+
+
+def page_of(seen: DataFrame, page_size: int, compat_drop_last: bool = False) -> DataFrame:
+    """``place, tag, has_more`` of at most ``page_size + 1`` tags, of which the last tells whether there is a next page."""
     whole = Window.partitionBy(F.lit(1))
     numbered = seen.withColumns({
         "place": F.row_number().over(whole.orderBy(F.col("tag").desc())),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGE_SCHEMA = "results array<struct<name string>>, next string"
+from fleetframe.sources.commits import CommitLog, Conflict, Snapshot
 
-PAGE_STRUCT = "struct<results:array<struct<name:string>>,next:string>"
+PAGE_SCHEMA = "results array<struct<name string>>, next string"
 
 _RELEASES = (
     "array<struct<version string, platform array<struct<arch string, package_format string,"
@@ -37,29 +39,65 @@ def page_names(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("results.name").alias("tag"))
 
 
+def page_documents(files: DataFrame) -> DataFrame:
+    """The tag pages in whole files (``path``, ``value``), batch or stream: ``path, part, value, results, reason``.
+
+    A file holds one JSON document, indented or not, or one per line. ``part`` numbers a file's documents from 1. A document that is no JSON, has no list of
+    results or a result without a name has a ``reason`` and no results; so has a file without any text. A byte order mark is passed over.
+    """
+    text = F.regexp_replace(F.coalesce("value", F.lit("")), "^\ufeff", "")
+    parsed = lambda x: F.try_parse_json(x).isNotNull()
+    # A file whose lines all are documents holds one per line; any other is one document.
+    by_line = F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"\S"))
+    documents = F.when((F.size(by_line) > 0) & F.forall(by_line, parsed), by_line).otherwise(F.array(text))
+    rows = files.select("path", F.posexplode(documents).alias("at", "value"))
+    results = F.from_json("value", PAGE_SCHEMA)["results"]
+    rows = rows.withColumn("read", F.when(parsed(F.col("value")), results))
+    reason = (
+        F.when(~F.col("value").rlike(r"\S"), "empty")
+        .when(~parsed(F.col("value")), "not JSON")
+        .when(F.col("read").isNull(), "no list of results")
+        .when(F.exists("read", lambda r: r["name"].isNull()), "a result without a name")
+    )
+    rows = rows.select("path", (F.col("at") + 1).alias("part"), "value", "read", reason.alias("reason"))
+    return rows.select("path", "part", "value", F.when(F.col("reason").isNull(), F.col("read")).alias("results"), "reason")
+
+
+def _checked(documents: DataFrame) -> DataFrame:
+    """Tag names of page documents; a broken one ends the run. Files without any text are passed over."""
+    told = F.concat(F.lit("not a tag page: "), F.col("reason"), F.lit(" in "), F.col("path"), F.lit(": "), F.substring("value", 1, 100))
+    results = F.when(F.col("reason").isNull(), F.col("results")).otherwise(F.raise_error(told).cast("array<struct<name:string>>"))
+    return page_names(documents.where("reason is null or reason <> 'empty'").select(results.alias("results")))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Tag names of all pages landed under ``path`` as JSON files, one document per file, indented or not, or one per line.
 
     A file is read whole (pages are small). One that is not such JSON is an error, not an empty page.
     """
-    files = spark.read.text(path, wholetext=True).select("value")
-    one = F.from_json("value", PAGE_SCHEMA)
-    # A file whose lines all are documents holds one per line; any other is one document.
-    parsed = lambda x: F.try_parse_json(x).isNotNull()
-    by_line = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    lines = F.when(F.forall(by_line, parsed), by_line).otherwise(F.array("value"))
-    texts = files.where(F.trim("value") != "").select(F.explode(lines).alias("value"))
-    checked = texts.select(
-        F.when(F.try_parse_json("value").isNotNull(), one)
-        .otherwise(F.raise_error(F.concat(F.lit("not a tag page: "), F.substring("value", 1, 100))).cast(PAGE_STRUCT)).alias("page")
-    )
-    return page_names(checked.select("page.*"))
+    files = spark.read.text(path, wholetext=True)
+    return _checked(page_documents(files.select(F.col("_metadata.file_path").alias("path"), "value")))
+
+
+def stream_page_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Whole page files as they arrive: ``path, value``."""
+    reader = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """The same as a stream over page files as they arrive."""
-    reader = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-    return page_names(reader.json(path))
+    """Tag names of page files as they arrive, the same as ``read_pages``: a broken file ends the stream."""
+    return _checked(page_documents(stream_page_files(spark, path, files_per_batch)))
+
+
+def quarantine(broken: DataFrame, root: str, writer: str, batch: int) -> None:
+    """Keep broken page documents (``path, part, reason, value``) of a batch; a batch that is run again writes the same place."""
+    broken.select("path", "part", "reason", "value").write.mode("overwrite").parquet(f"{root}/writer={quote(writer, safe='')}/batch={batch}")
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """Broken page documents of all batches: ``path, part, reason, value, writer, batch``."""
+    return spark.read.schema("path string, part int, reason string, value string, writer string, batch long").parquet(root)
 
 
 def read_archive(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -67,56 +105,91 @@ def read_archive(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return spark.read.schema(ARCHIVE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def append_batch(docs: DataFrame, root: str, writer: str, batch: int) -> None:
-    """Write tag documents as batch number ``batch`` of ``writer`` in the table at ``root``.
+def append_batch(docs: DataFrame, root: str, writer: str, batch: int, once: bool = False) -> Snapshot:
+    """Commit tag documents as batch number ``batch`` of ``writer`` to the table at ``root``; returns the new version.
 
-    Every writer (a stream's id, a load's name) has folders of its own, so batch numbers of two writers never meet. A batch's folder is written
-    over when that batch is run again, so repeats change nothing. Documents need ``imported_at``; those without get the time of this call.
+    Every writer (a stream's id, a load's name) has folders of its own, so batch numbers of two writers never meet. A batch that is run again takes
+    the place of its earlier run, so repeats change nothing. With ``once`` it is passed over instead if the writer has committed it or a later one, also
+    if a compaction has taken it in since. Documents need ``imported_at``; those without get the time of this call.
     """
+    log = CommitLog(docs.sparkSession, root)
+    place = f"writer={quote(writer, safe='')}/batch={batch}"
+    own = lambda name: name == place or name.startswith(place + "/")
+    latest = log.read()
+    if once and latest.applied.get(writer, -1) >= batch:
+        return latest
+    folder = _write(log, docs, place)
+
+    def change(latest: Snapshot) -> tuple[str, ...]:
+        return (*(f for f in latest.folders if not own(f)), folder)
+
+    return log.commit(change, writer, batch, operation="append")
+
+
+def _write(log: CommitLog, docs: DataFrame, place: str) -> str:
     stamped = docs.withColumn("imported_at", F.coalesce("imported_at", F.current_timestamp()))
-    stamped.select(*TAG_SCHEMA.names).write.mode("overwrite").parquet(f"{root}/writer={quote(writer, safe='')}/batch={batch}")
+    folder = f"{place}/write={uuid.uuid4().hex}"
+    stamped.select(*TAG_SCHEMA.names).write.parquet(log.folder(folder))
+    return folder
 
 
-def _stored(spark: SparkSession, root: str) -> DataFrame:
+def _stored(spark: SparkSession, log: CommitLog, snapshot: Snapshot) -> DataFrame:
     keys = [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
-    return spark.read.schema(T.StructType([*TAG_SCHEMA.fields, *keys])).option("basePath", root).parquet(root)
+    schema = T.StructType([*TAG_SCHEMA.fields, *keys])
+    reads = []
+    # Folders from before there was a log lie one level higher; one read takes folders of one depth.
+    for deep in (True, False):
+        folders = [log.folder(f) for f in snapshot.folders if ("/write=" in f) == deep]
+        if folders:
+            reads.append(spark.read.schema(schema).option("basePath", log.root.toString()).parquet(*folders).select(*schema.names))
+    return reduce(DataFrame.union, reads) if reads else spark.createDataFrame([], schema)
 
 
-def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Current tag documents: of all batches of all writers the document imported last per tag.
+def _current(stored: DataFrame) -> DataFrame:
+    return latest_by_key(stored, "tag", F.struct("imported_at", "batch", "seq", "writer")).drop("writer", "batch")
 
-    Documents imported at the same time are ordered by batch number, place and writer. Batches are only appended; the upsert is resolved here, with
-    map-side combining, so a load never rewrites the table. ``compact`` shortens what has to be read.
+
+def read_catalog(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """Tag documents of a version of the catalogue, by default the latest: of all batches of all writers the document imported last per tag.
+
+    Documents imported at the same time are ordered by batch number, place and writer. The result stays on its version, whatever is committed or
+    compacted meanwhile, until ``vacuum`` drops it. Batches are only added; the upsert is resolved here, with map-side combining, so a load never
+    rewrites the table. ``compact`` shortens what has to be read.
     """
-    order = F.struct("imported_at", "batch", "seq", "writer")
-    return latest_by_key(_stored(spark, root), "tag", order).drop("writer", "batch")
+    log = CommitLog(spark, root)
+    return _current(_stored(spark, log, log.read(version)))
 
 
 COMPACTED = "compacted"
 
 
-def compact(spark: SparkSession, root: str) -> int:
-    """Replace all batches written so far by one that holds the current documents; returns its number.
+def compact(spark: SparkSession, root: str) -> Snapshot:
+    """Commit a version that holds the current documents in one folder in place of all batches that the latest version has; returns the new latest version.
 
-    The new batch keeps the import times, so documents that arrive meanwhile still win, and it is complete before any other folder goes: a run that
-    breaks off leaves doubled documents, which change nothing. Run one compaction at a time.
+    Batches committed meanwhile stay, and as import times are kept, they still win. Of compactions that run at the same time one is committed; the
+    others drop what they wrote. Nothing that an earlier version names is deleted: see ``vacuum``.
     """
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [b.getPath() for w in fs.listStatus(fs_path) if w.isDirectory() and w.getPath().getName().startswith("writer=")
-           for b in fs.listStatus(w.getPath()) if b.getPath().getName().startswith("batch=")]
-    names = [(p.getParent().getName()[7:], int(p.getName()[6:])) for p in old]
-    number = max((n for w, n in names if w == COMPACTED), default=-1) + 1
-    if not old:
-        return number
-    # Only the folders listed above are read, so a batch that appears meanwhile is neither half read nor deleted.
-    keys = [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
-    kept = spark.read.schema(T.StructType([*TAG_SCHEMA.fields, *keys])).option("basePath", root).parquet(*[p.toString() for p in old])
-    current = latest_by_key(kept, "tag", F.struct("imported_at", "batch", "seq", "writer"))
-    append_batch(current, root, COMPACTED, number)
-    for path in old:
-        fs.delete(path, True)
-    return number
+    log = CommitLog(spark, root)
+    seen = log.read()
+    if not seen.folders:
+        return seen
+    folder = _write(log, _current(_stored(spark, log, seen)), f"writer={COMPACTED}/batch={seen.version}")
+
+    def change(latest: Snapshot) -> tuple[str, ...]:
+        if not set(seen.folders) <= set(latest.folders):
+            raise Conflict(f"{root}: what version {seen.version} holds was replaced in version {latest.version}")
+        return (folder, *(f for f in latest.folders if f not in seen.folders))
+
+    try:
+        return log.commit(change, operation="compact", of=seen.version)
+    except Conflict:
+        log.discard(folder)
+        return log.read()
+
+
+def vacuum(spark: SparkSession, root: str, keep_versions: int = 10, keep_seconds: float = 86_400) -> list[str]:
+    """Delete old versions and folders that no kept version names; see ``CommitLog.vacuum``."""
+    return CommitLog(spark, root).vacuum(keep_versions, keep_seconds)
 
 
 def latest_by_key(df: DataFrame, key: str, order) -> DataFrame:

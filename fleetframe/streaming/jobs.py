@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetframe.functions import mask_credentials, mask_list, mask_map
 from fleetframe.operators.catalog import name_filter, tag_documents
-from fleetframe.sources.catalog import append_batch
+from fleetframe.sources.catalog import append_batch, page_documents, page_names, quarantine
 
 
 def mask_records(records: DataFrame, strict: bool = False) -> DataFrame:
@@ -38,6 +38,18 @@ def start_masking(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _writer(batch: DataFrame) -> str:
+    """The stream's own id, which its checkpoint keeps."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _add(names: DataFrame, root: str, number: int, writer: str, must_include: str | None, must_exclude: str | None) -> None:
+    kept = name_filter(names, must_include, must_exclude)
+    if "seq" not in kept.columns:
+        kept = kept.withColumn("seq", F.lit(0).cast("long"))
+    append_batch(tag_documents(kept), root, writer, number, once=True)
+
+
 def start_catalog_refresh(
     names: DataFrame,
     root: str,
@@ -48,16 +60,39 @@ def start_catalog_refresh(
 ) -> StreamingQuery:
     """Enrich streamed tag names and add each batch to the catalogue at ``root``.
 
-    The stream's own id, which its checkpoint keeps, and the batch number name the folder: a batch that is run again after a failure writes
-    the same place, and another stream never does.
+    The stream's own id and the batch number name what is committed: a batch that is run again after a failure is passed over if it was committed, and
+    another stream's batches never meet it.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        kept = name_filter(batch, must_include, must_exclude)
-        if "seq" not in kept.columns:
-            kept = kept.withColumn("seq", F.lit(0).cast("long"))
-        writer_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        append_batch(tag_documents(kept), root, writer_id, number)
+        _add(batch, root, number, _writer(batch), must_include, must_exclude)
 
     writer = names.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def start_page_refresh(
+    files: DataFrame,
+    root: str,
+    broken: str,
+    checkpoint: str,
+    must_include: str | None = None,
+    must_exclude: str | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Add the tags of streamed page files (``stream_page_files``) to the catalogue at ``root``; broken documents go to the table ``broken`` by path.
+
+    Every document of a batch goes to one of the two, so none is lost. Broken ones are written first: when the catalogue has a batch, its quarantine
+    is complete. A batch that is run again writes the same places. A broken document does not keep others of its file, or other files, from being read.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        documents = page_documents(batch).persist()
+        try:
+            quarantine(documents.where("reason is not null"), broken, _writer(batch), number)
+            _add(page_names(documents.where("reason is null")), root, number, _writer(batch), must_include, must_exclude)
+        finally:
+            documents.unpersist()
+
+    writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

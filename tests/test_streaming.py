@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 
 from fleetframe.sources import catalog as store
@@ -54,6 +55,7 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         store.append_batch(docs, root, "a", 0)
     assert rows(store.read_catalog(spark, root), "tag", "seq") == [("7.0", 2), ("8", 3)]
+    store.vacuum(spark, root, keep_versions=1, keep_seconds=0)
     assert spark.read.parquet(root).count() == 3
 
 
@@ -68,18 +70,15 @@ def test_writers_do_not_meet(spark, tmp_path):
     store.append_batch(docs("8.0"), root, "b/with slash", 0)
     current = [("6.0",), ("7.0",), ("8.0",)]
     assert rows(store.read_catalog(spark, root), "tag") == current
-    assert store.compact(spark, root) == 0 and rows(store.read_catalog(spark, root), "tag") == current
+    assert store.compact(spark, root).version == 3 and rows(store.read_catalog(spark, root), "tag") == current
+    store.vacuum(spark, root, keep_versions=1, keep_seconds=0)
     assert spark.read.parquet(root).count() == 3
     store.append_batch(docs("6.0", "9.0"), root, "a", 0)
-    assert store.compact(spark, root) == 1
+    assert store.compact(spark, root).version == 5
     assert rows(store.read_catalog(spark, root), "tag", "seq") == [("6.0", 0), ("7.0", 0), ("8.0", 0), ("9.0", 1)]
 
 
 def test_page_files_of_both_forms(spark, tmp_path):
-    import json
-
-    import pytest
-
     page = lambda *tags: {"results": [{"name": t} for t in tags], "next": None}
     (tmp_path / "a.json").write_text(json.dumps(page("1", "2"), indent=2))
     (tmp_path / "b.json").write_text(json.dumps(page("3")) + "\n" + json.dumps(page("4")) + "\n")
@@ -89,6 +88,55 @@ def test_page_files_of_both_forms(spark, tmp_path):
         store.read_pages(spark, str(tmp_path)).collect()
 
 
+PAGES = {
+    "indented.json": json.dumps({"results": [{"name": "7.0.1"}, {"name": "7.0.2"}], "next": None}, indent=2),
+    "one-line.json": json.dumps({"results": [{"name": "8.0.1", "size": 3}], "next": "x"}),
+    "lines.json": '{"results": [{"name": "8.0.2"}]}\r\n\n{"results": []}\r\n{"results": [{"name": "8.0.3"}]}\n',
+    "mark.json": "\ufeff" + json.dumps({"results": [{"name": "9.0"}]}),
+}
+BROKEN = {
+    "html.json": ("<html>", "not JSON"),
+    "half.json": ('{"results": [{"name": "1', "not JSON"),
+    "other.json": ('{"detail": "no such page"}', "no list of results"),
+    "list.json": ('[{"name": "1"}]', "no list of results"),
+    "nameless.json": ('{"results": [{"name": "1.0"}, {"size": 1}]}', "a result without a name"),
+    "blank.json": (" \n ", "empty"),
+}
+
+
+def test_stream_of_whole_page_files(spark, tmp_path):
+    pages, root, broken, state = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "broken"), str(tmp_path / "state")
+    pages.mkdir()
+    run = lambda: jobs.start_page_refresh(store.stream_page_files(spark, str(pages)), root, broken, state, once=True).awaitTermination()
+    for name, text in PAGES.items():
+        (pages / name).write_text(text)
+    run()
+    names = rows(store.read_pages(spark, str(pages)), "tag")
+    assert names == [("7.0.1",), ("7.0.2",), ("8.0.1",), ("8.0.2",), ("8.0.3",), ("9.0",)]
+    assert rows(store.read_catalog(spark, root), "tag") == names and store.read_quarantine(spark, broken).count() == 0
+    for name, (text, _) in BROKEN.items():
+        (pages / name).write_text(text)
+    # Of a file with one document per line only the broken line is held back.
+    (pages / "mixed.json").write_text('{"results": [{"name": "9.1"}]}\n{"error": 1}\n')
+    run()
+    run()
+    assert rows(store.read_catalog(spark, root), "tag") == sorted([*names, ("9.1",)])
+    held = {(r.path.rsplit("/", 1)[1], r.part): (r.value, r.reason) for r in store.read_quarantine(spark, broken).collect()}
+    assert held == {(n, 1): v for n, v in BROKEN.items()} | {("mixed.json", 2): ('{"error": 1}', "no list of results")}
+
+
+def test_a_strict_stream_of_pages_ends_at_a_broken_file(spark, tmp_path):
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    (pages / "a.json").write_text(PAGES["indented.json"])
+    run = lambda: jobs.start_catalog_refresh(stream_pages(spark, str(pages)), str(tmp_path / "t"), str(tmp_path / "s"), once=True).awaitTermination()
+    run()
+    assert rows(store.read_catalog(spark, str(tmp_path / "t")), "tag") == [("7.0.1",), ("7.0.2",)]
+    (pages / "b.json").write_text("<html>")
+    with pytest.raises(Exception, match="not a tag page: not JSON"):
+        run()
+
+
 def test_scratch_is_released(spark, tmp_path):
     import os
 

@@ -537,5 +537,22 @@ UNION ALL SELECT page_id, key, value FROM last""",
 SELECT seq, {masked('line')} AS msg, {masked('line')} AS arg, {masked('line')} AS uri FROM logs""",
     "stream_catalog": f"""WITH {TAGS}, {versions('tags')}
 SELECT tag, seq, "group", major, minor, patch FROM parsed QUALIFY row_number() OVER (PARTITION BY tag ORDER BY seq DESC) = 1""",
+    "stream_pages_mixed": f"""WITH {TAGS}
+SELECT DISTINCT tag, {GROUP} AS "group", 'catalogue' AS went_to FROM tags WHERE NOT contains(tag, '-rc')
+UNION ALL SELECT DISTINCT concat('broken-', seq // 100), 'not JSON', 'quarantine' FROM tags WHERE seq // 100 % 10 = 3""",
+    "catalog_snapshot": f"""WITH {TAGS}, old AS ({v.sql(v.OLD_TAGS)}),
+every AS (SELECT seq, tag, 1 AS day FROM old UNION ALL SELECT seq, tag, 2 + seq % 2 FROM tags),
+reads AS (SELECT unnest([1, 1, 2, 3]) AS days, unnest(['held', 'first', 'middle', 'last']) AS read)
+SELECT read, tag, seq FROM every JOIN reads ON day <= days
+QUALIFY row_number() OVER (PARTITION BY read, tag ORDER BY day DESC, seq DESC) = 1""",
+    "tag_page_deep": f"""WITH {TAGS}, {versions('tags')},
+d AS (SELECT DISTINCT tag, major, minor FROM parsed),
+s AS (SELECT '' AS version, 4 AS page, tag FROM d UNION ALL SELECT '5', 5, tag FROM d WHERE major = 5 UNION ALL SELECT '7.1', 2, tag FROM d WHERE major = 7 AND minor = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY tag DESC) AS r, count(*) OVER (PARTITION BY version) AS n FROM s)
+SELECT version, CAST(r - 20 * (page - 1) AS INTEGER) AS place, tag, CAST(n > 20 * page AS INTEGER) AS has_more FROM n
+WHERE r > 20 * (page - 1) AND r <= 20 * page""",
+    "tag_page_after": f"""WITH {TAGS}, d AS (SELECT DISTINCT tag FROM tags), a AS (SELECT unnest(['latest', '6.0.2', '4', '0']) AS "after"),
+n AS (SELECT "after", tag, row_number() OVER (PARTITION BY "after" ORDER BY tag DESC) AS r, count(*) OVER (PARTITION BY "after") AS n FROM d JOIN a ON tag < "after")
+SELECT "after", CAST(r AS INTEGER) AS place, tag, CAST(n > 30 AS INTEGER) AS has_more FROM n WHERE r <= 30""",
     "verified_load": "SELECT count(DISTINCT l_orderkey) AS loaded FROM lineitem",
 }

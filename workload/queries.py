@@ -11,7 +11,7 @@ from fleetframe.operators import actions, catalog, inventory, layout, planning,
 from fleetframe.operators.skew import hot_keys
 from fleetframe.plans import deployments, reports
 from fleetframe.session import scratch_path
-from fleetframe.sources import catalog as store
+from fleetframe.sources import catalog as store, page_index
 from fleetframe.sources.nodes import land, typed_nodes
 from fleetframe.streaming import jobs
 from workload import views as v
@@ -318,6 +318,31 @@ def tag_page(spark, sf_dir):
     return page.select("place", "tag", F.col("has_more").cast("int").alias("has_more"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> str:
+    """All tags in an indexed catalogue, with ranges small enough for many of them."""
+    root = scratch_path(spark, "catalog")
+    store.append_batch(catalog.tag_documents(v.view(spark, sf_dir, v.TAGS)), root, "load", 0)
+    page_index.index_catalog(spark, root, range_rows=64)
+    return root
+
+
+@query
+def tag_page_deep(spark, sf_dir):
+    # The fourth page, the fifth of version 5 and the second of 7.1, from the index.
+    root = indexed(spark, sf_dir)
+    pages = [page_index.list_indexed_tags(spark, root, n, 20, version).withColumn("version", F.lit(version or "")) for n, version in ((4, None), (5, "5"), (2, "7.1"))]
+    every = pages[0].unionByName(pages[1]).unionByName(pages[2])
+    return every.select("version", "place", "tag", F.col("has_more").cast("int").alias("has_more"))
+
+
+@query
+def tag_page_after(spark, sf_dir):
+    root = indexed(spark, sf_dir)
+    pages = [page_index.list_indexed_tags(spark, root, page_size=30, after=after).withColumn("after", F.lit(after)) for after in ("latest", "6.0.2", "4", "0")]
+    every = pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    return every.select("after", "place", "tag", F.col("has_more").cast("int").alias("has_more"))
+
+
 @query
 def tag_batches(spark, sf_dir):
     tags = v.view(spark, sf_dir, v.TAGS)
@@ -522,6 +547,50 @@ def catalog_writers(spark, sf_dir):
     return store.read_catalog(spark, root).select("tag", "seq", "group", "major")
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> str:
+    """Tags as page files of every kind: even pages indented by line, odd ones in one line, and for every tenth page a file that is no page."""
+    tags = v.view(spark, sf_dir, v.TAGS)
+    entry = F.concat(F.lit('{"name": "'), F.col("tag"), F.lit('"}'))
+    pages = tags.groupBy(F.expr("seq div 100").alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("names"))
+    joined = lambda gap: F.concat(F.lit('{"results": ['), F.array_join("names", f",{gap}"), F.lit(f'],{gap}"next": null}}'))
+    good = pages.select("page", F.when(F.col("page") % 2 == 0, joined("\n  ")).otherwise(joined(" ")).alias("value"))
+    broken = pages.where("page % 10 = 3").select("page", F.lit('{"results": [').alias("value"))
+    path = scratch_path(spark, "page-files")
+    # One document to a file: every document has a folder of its own.
+    for kind, files in (("good", good), ("broken", broken)):
+        files.select(F.concat(F.lit(f"{kind}-"), F.col("page").cast("string")).alias("file"), "value").write.partitionBy("file").option("lineSep", "\n").text(f"{path}/kind={kind}")
+    return path
+
+
+@query
+def stream_pages_mixed(spark, sf_dir):
+    # Indented, one-line and broken page files in one stream: tags to the catalogue, broken files to the quarantine by path.
+    path, root, broken = page_files(spark, sf_dir), scratch_path(spark, "catalog"), scratch_path(spark, "broken")
+    files = store.stream_page_files(spark, f"{path}/*/*/*.txt", 7)
+    jobs.start_page_refresh(files, root, broken, scratch_path(spark, "catalog-checkpoint"), must_exclude="-rc", once=True).awaitTermination()
+    tags = store.read_catalog(spark, root).select("tag", "group", F.lit("catalogue").alias("went_to"))
+    held = store.read_quarantine(spark, broken).select(F.regexp_extract("path", "file=([^/]*)", 1).alias("tag"), F.col("reason").alias("group"), F.lit("quarantine").alias("went_to"))
+    return tags.unionByName(held)
+
+
+@query
+def catalog_snapshot(spark, sf_dir):
+    # A version is held while later batches, two compactions and a vacuum come; then all versions that are kept are read.
+    root = scratch_path(spark, "catalog")
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    store.append_batch(catalog.tag_documents(v.view(spark, sf_dir, v.OLD_TAGS)).withColumn("imported_at", at(1)), root, "load", 0)
+    held = store.read_catalog(spark, root)
+    tags = v.view(spark, sf_dir, v.TAGS)
+    for batch in (1, 2):
+        docs = catalog.tag_documents(tags.where(F.col("seq") % 2 == batch - 1)).withColumn("imported_at", at(batch + 1))
+        store.append_batch(docs, root, "load", batch)
+        store.compact(spark, root)
+    store.vacuum(spark, root, keep_versions=2)
+    versions = {"held": held, "first": store.read_catalog(spark, root, 1), "middle": store.read_catalog(spark, root, 3), "last": store.read_catalog(spark, root)}
+    named = [df.select(F.lit(name).alias("read"), "tag", "seq") for name, df in versions.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+
+
 @query
 def verified_load(spark, sf_dir):
     # All deployments are written, counted on the way and counted again when read back.
