@@ -556,3 +556,6 @@ n AS (SELECT "after", tag, row_number() OVER (PARTITION BY "after" ORDER BY tag
 SELECT "after", CAST(r AS INTEGER) AS place, tag, CAST(n > 30 AS INTEGER) AS has_more FROM n WHERE r <= 30""",
     "verified_load": "SELECT count(DISTINCT l_orderkey) AS loaded FROM lineitem",
 }
+
+# A landing changes how nodes lie, not what is computed from them.
+ORACLES |= {"landed_summary": ORACLES["deployment_summary"], "landed_hosts": ORACLES["host_rows"], "landed_wide_order": ORACLES["wide_member_order"]}

@@ -11,7 +11,7 @@ from fleetframe.operators import actions, catalog, inventory, layout, planning,
 from fleetframe.operators.skew import hot_keys
 from fleetframe.plans import deployments, reports
 from fleetframe.session import scratch_path
-from fleetframe.sources import catalog as store, page_index
+from fleetframe.sources import catalog as store, landing, page_index
 from fleetframe.sources.nodes import land, typed_nodes
 from fleetframe.streaming import jobs
 from workload import views as v
@@ -140,14 +140,18 @@ def safe_paths(spark, sf_dir):
 # --- roll-ups -------------------------------------------------------------------------------------------------------
 
 
-@query
-def deployment_summary(spark, sf_dir):
-    return rollup.rollup(nodes(spark, sf_dir)).select(
+def summary(rows: DataFrame) -> DataFrame:
+    return rollup.rollup(rows).select(
         *rollup.SUMMARY_COLUMNS, "start_port", "max_port", F.col("rows").alias("n_rows"),
         "running_rows", "stopped_rows", "layout_error",
     )
 
 
+@query
+def deployment_summary(spark, sf_dir):
+    return summary(nodes(spark, sf_dir))
+
+
 @query
 def running_deployments(spark, sf_dir):
     return deployments.list_deployments(nodes(spark, sf_dir))
@@ -591,6 +595,26 @@ def catalog_snapshot(spark, sf_dir):
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
+@query
+def landed_summary(spark, sf_dir):
+    # All nodes are landed in buckets; the roll-up of the landing has no shuffle.
+    made = landing.land_nodes(v.landed(spark, sf_dir), scratch_path(spark, "inventory"), buckets=8)
+    return made.by_group(lambda rows, hot: summary(rows))
+
+
+@query
+def landed_hosts(spark, sf_dir):
+    made = landing.land_nodes(v.landed(spark, sf_dir), scratch_path(spark, "inventory"), buckets=8)
+    return made.by_group(deployments.host_rows)
+
+
+@query
+def landed_wide_order(spark, sf_dir):
+    # Three groups hold all rows: they are found at landing and lie apart.
+    made = landing.land_nodes(v.landed(spark, sf_dir, v.WIDE_INV), scratch_path(spark, "inventory"), buckets=8, hot_rows=1000)
+    return made.by_group(lambda rows, hot: layout.member_order(rows.select("grp", "seq", "port"), hot))
+
+
 @query
 def verified_load(spark, sf_dir):
     # All deployments are written, counted on the way and counted again when read back.
