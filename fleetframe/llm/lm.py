@@ -29,9 +29,11 @@ LEAST, CUTOFF = 16, 4.0
 #: Tokens that a task counts at a time.
 CHUNK = 4 << 20
 #: Rows of the model that travel to the tasks, and rows of a table that are joined by broadcast because many rows may meet them.
-HOT, HOT_JOIN = 1 << 20, 1 << 17
+HOT, HOT_JOIN = 1 << 20, 1 << 14
 #: Other rows of the model are cut by key into buckets of about so many, which meet the runs sent to them in one task.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 8
+#: Runs are counted in buckets of keys, one for so many training tokens.
+BUCKET_TOKENS = 1 << 21
 #: Bit maps have 2^MAP_BITS bits at most; fuller ones let more runs through to the join, which decides.
 MAP_BITS = 28
 
@@ -108,13 +110,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _run_counts(length: int, states: Marks):
-    """Counts of runs of length + 1 tokens whose first `length` may be a state."""
+def _run_counts(length: int, states: Marks, frequent: np.ndarray, buckets: int):
+    """Counts of runs of length + 1 tokens whose first `length` may be a state: for each bucket a row with the contexts in order, the number of runs of each,
+    and their suffixes and counts. All runs of a context go to one bucket, unless it is one of the `frequent`, whose runs are dealt over all."""
 
-    def counted(contexts: list[np.ndarray], suffixes: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(contexts: list[np.ndarray], suffixes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         context, suffix = np.concatenate(contexts), np.concatenate(suffixes)
-        _, first, n = np.unique(join_keys(context, suffix), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (context[first], suffix[first], n)], names=["context", "suffix", "n"])
+        key, first, n = np.unique(join_keys(context, suffix), return_index=True, return_counts=True)
+        context, suffix = context[first], suffix[first]
+        often = frequent[np.minimum(np.searchsorted(frequent, context), len(frequent) - 1)] == context
+        bucket = _bucket(np.where(often, key, tokens.mix(context)), buckets)
+        order = np.lexsort((context, bucket))
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            own = order[ends[b] : ends[b + 1]]
+            each, runs = np.unique(context[own], return_counts=True)
+            columns = (each, runs.astype(np.int32), suffix[own], n[own].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["bucket", "contexts", "runs", "suffixes", "ns"]
+            )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, suffixes, size = [], [], 0
@@ -128,18 +142,29 @@ def _run_counts(length: int, states: Marks):
                 suffixes.append(keys[inside + 1])
                 size += len(inside)
                 if size >= CHUNK:
-                    yield counted(contexts, suffixes)
+                    yield from counted(contexts, suffixes)
                     contexts, suffixes, size = [], [], 0
         if size:
-            yield counted(contexts, suffixes)
+            yield from counted(contexts, suffixes)
 
     return of_batches
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        context, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix"))
-        yield pa.RecordBatch.from_arrays([pa.array(join_keys(context, suffix).view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+
+
+def _repeated_runs(sent: pa.Table) -> pa.Table:
+    """The runs of one bucket that were seen twice at least, with their keys and whole counts."""
+    joined = lambda name, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in sent.column(name)])
+    context = np.repeat(joined("contexts", np.uint64), joined("runs", np.int32))
+    suffix, n = joined("suffixes", np.uint64), joined("ns", np.int32)
+    key = join_keys(context, suffix)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    whole = np.add.reduceat(n[order].astype(np.int64), first)
+    own, whole = order[first[whole >= 2]], whole[whole >= 2]
+    return pa.table({"key": key[own].view(np.int64), "context": context[own].view(np.int64), "suffix": suffix[own].view(np.int64), "n": whole})
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -220,9 +245,11 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
         candidates = marks(open_)
         if not candidates.map.any():
             break
-        counts = docs.mapInArrow(_run_counts(length, candidates), "context long, suffix long, n long")
-        counts = counts.groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter("n >= 2")
-        counts = written(counts.mapInArrow(_keyed, "key long, context long, suffix long, n long"), "runs")
+        frequent = np.sort(open_.orderBy(F.desc("n"), "key").limit(HOT_JOIN).toArrow().column("key").to_numpy().view(np.uint64))
+        buckets = max(LEAST_BUCKETS, -(-tree.n // BUCKET_TOKENS))
+        sent = docs.mapInArrow(_run_counts(length, candidates, frequent, buckets), "bucket int, contexts binary, runs binary, suffixes binary, ns binary")
+        counts = sent.groupBy("bucket").applyInArrow(_repeated_runs, "key long, context long, suffix long, n long")
+        counts = written(counts, "runs")
         suffixes = level.select(F.col("key").alias("suffix"), "n", F.col("chance").alias("shorter"), "ends")
         often, seldom = _looked_up(counts, suffixes, "suffix")
         seen = written(often.unionByName(seldom), "seen")
@@ -256,10 +283,6 @@ class _Frequent:
         return likely[sure], place[sure]
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)).astype(np.int64) * buckets) >> 16
-
-
 def _sent(depth: int, unknown: float, frequent: _Frequent, others: Marks, buckets: int):
     """Per piece of texts a row with what their tokens and frequent runs add up to, and for each bucket of keys a row with the other runs that the model
     may hold: the keys text by text, and how many each text has."""

@@ -77,6 +77,7 @@ def test_equals_brute_force(spark, docs_of, monkeypatch, hot, bits, chunk):
     monkeypatch.setattr(lm, "CHUNK", chunk)
     monkeypatch.setattr(lm, "HOT_JOIN", max(min(hot, 1 << 16), 3))
     monkeypatch.setattr(lm.score, "__defaults__", (hot,))
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", max(hot, 700))
     monkeypatch.setattr(lm, "BUCKET_ROWS", max(min(hot, 1 << 20), 30))
     rows = corpus()
     want, states, _, _ = brute(rows)
