@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-A bounded sample of labelled rows gives the examples. Terms are lower-cased letter runs and their first PREFIXES bytes; those most associated
-with either label are kept, all other words count as one term. Document frequencies come from all documents. The index keeps, per block of examples and term, the posting weights and
-their maximum. A query adds the maxima into an upper bound per block and scores blocks from the highest bound down until no bound
-exceeds the k-th best cosine, so the neighbours are exact. Neighbours vote by 1 / (1 - cosine + SOFT), weighted back to the label shares of all
-labelled rows; a logistic curve fitted on drawn rows that are no examples turns votes into scores.
+A bounded sample of labelled rows gives the examples. Terms are all their words (lower-cased letter runs), and beginnings of PREFIXES bytes of longer words where these go
+with a label. A term weighs (1 + ln times) * ln(1 + documents / documents with it), counted over all documents, times its tie to the labels: from PLAIN
+for a term without one to 1. So a rare toxic word that a few examples share counts, ordinary words count little but tell copies. A word that stands in no
+example counts in the length of a text like an untied term of one document. The index keeps, per term and block of examples, the postings and their
+maximum weight. A query adds the maxima into an upper bound per block; blocks whose bound cannot beat the k-th best cosine are not scored, so the neighbours are
+exact. Neighbours vote by 1 / (1 - cosine + SOFT), weighted back to the label shares of all labelled rows; a logistic curve fitted on drawn rows that are no
+examples turns votes into scores. A curve knows nothing of copies, so examples at cosine 1 add their own labels to it, SAME times each.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from .whole import keep_rows
 EXAMPLES = 2000
 #: One of so many drawn rows only calibrates: it is neither an example nor counted for the choice of terms.
 CALIBRATE = 4
-#: Terms kept at most; the chi-square with the label and the share of the rarer label's examples (five at least) that a term needs.
-VOCABULARY, LEAST_CHI, LEAST_SHARE = 2048, 12.0, 0.01
+#: Weight of a term without a tie to the labels; the chi-square with the label from which a term counts in full, and that a beginning needs to be a term.
+PLAIN, FULL_CHI, PREFIX_CHI = 0.1, 12.0, 6.0
 #: Bytes of a word's beginning that are terms as well.
 PREFIXES = (5, 7)
 NEIGHBOURS, BLOCK, SOFT, RIDGE = 15, 64, 0.05, 1e-4
+#: An example with the very terms of a text counts this many times as much as the calibrated vote.
+SAME = 4.0
 
 _LETTERS = np.full(256, 32, np.uint8)
 for _low, _high in ((65, 91), (97, 123), (128, 256)):
@@ -60,55 +64,60 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         toxic = batch.column("toxic").to_numpy()
         for row, found in _terms(batch.column("text")):
             all_terms, word = _all_terms(found)
-            terms, inverse = np.unique(all_terms, return_inverse=True)
+            terms, whole = np.unique(all_terms, return_inverse=True)
+            inverse = whole
             n_docs = len(found.first) - 1
             pairs = np.unique(inverse * n_docs + np.searchsorted(found.first, word, "right") - 1) if n_docs else inverse
             inverse = pairs // max(n_docs, 1)
             bad = np.bincount(inverse, weights=toxic[row + pairs % max(n_docs, 1)], minlength=len(terms)).astype(np.int64)
             n = np.bincount(inverse, minlength=len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(bad)], names=["term", "n", "bad"])
+            word = np.zeros(len(terms), bool)
+            word[whole[: len(found.hash)]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(bad), pa.array(word)], names=["term", "n", "bad", "word"])
 
 
 class Vocabulary:
-    """Chosen terms by hash; `counts` gives (document, term, times) of word runs."""
+    """Terms by hash; `counts` gives (document, term, times) of word runs."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(terms.astype(np.uint64))
-        self.marked = np.zeros(1 << 16, bool)
-        self.marked[(self.terms >> np.uint64(48)).astype(np.int64)] = True
+        self.marked = np.zeros(1 << 22, bool)
+        self.marked[(self.terms >> np.uint64(42)).astype(np.int64)] = True
 
     def counts(self, found: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, term, times), sorted; term len(terms) stands for the words outside the vocabulary. Documents without a term have no row."""
+        """(document, term, times), sorted."""
+        return self._counts(found)[:3]
+
+    def _counts(self, found: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         hashes, word = _all_terms(found)
         n = len(self.terms)
-        likely = np.flatnonzero(self.marked[(hashes >> np.uint64(48)).astype(np.int64)])
-        if not n or not len(likely):
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        place = np.minimum(np.searchsorted(self.terms, hashes[likely]), n - 1)
-        sure = self.terms[place] == hashes[likely]
+        likely = np.flatnonzero(self.marked[(hashes >> np.uint64(42)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.terms, hashes[likely]), max(n - 1, 0))
+        sure = self.terms[place] == hashes[likely] if n else np.zeros(len(likely), bool)
         likely, place = likely[sure], place[sure]
-        doc = np.searchsorted(found.first, word[likely], "right") - 1
-        key, times = np.unique(doc * (n + 1) + place, return_counts=True)
-        some, whole = np.unique(doc[likely < len(found.hash)], return_counts=True)
-        docs = np.unique(doc)
-        other = np.diff(found.first)[docs]
-        other[np.isin(docs, some)] -= whole
-        key = np.append(key, docs[other > 0] * (n + 1) + n)
-        times = np.append(times, other[other > 0])
-        order = np.argsort(key)
-        return key[order] // (n + 1), key[order] % (n + 1), times[order]
+        key, times = np.unique((np.searchsorted(found.first, word[likely], "right") - 1) * max(n, 1) + place, return_counts=True)
+        strange = np.ones(len(found.hash), bool)
+        strange[likely[likely < len(found.hash)]] = False
+        return key // max(n, 1), key % max(n, 1), times, np.flatnonzero(strange)
+
+    def counts_and_strangers(self, found: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and per document the sum of (1 + ln times) squared over its words that are no terms."""
+        doc, term, times, strange = self._counts(found)
+        of = np.searchsorted(found.first, strange, "right") - 1
+        _, first, n = np.unique(tokens.mix(found.hash[strange] ^ tokens.mix(of.astype(np.uint64))), return_index=True, return_counts=True)
+        return doc, term, times, np.bincount(of[first], (1 + np.log(n)) ** 2, len(found.first) - 1).astype(float)
 
 
 def _document_counts(vocabulary: Vocabulary):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(vocabulary.terms) + 1, np.int64), 0
+        total, rows = np.zeros(len(vocabulary.terms), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for _, found in _terms(batch.column("text")):
                 total += np.bincount(vocabulary.counts(found)[1], minlength=len(total))
         # One row more, numbered -1, counts the documents.
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.append([rows], total))], names=["term", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-1], seen), pa.int32()), pa.array(np.append([rows], total[seen]))], names=["term", "n"])
 
     return of_batches
 
@@ -117,17 +126,17 @@ def _vectors(vocabulary: Vocabulary):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, found in _terms(batch.column("text")):
-                doc, term, times = vocabulary.counts(found)
+                doc, term, times, left = vocabulary.counts_and_strangers(found)
                 n = len(found.first) - 1
                 ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(row, n),
-                        batch.column("toxic").slice(row, n),
+                        *(batch.column(c).slice(row, n) for c in ("doc_id", "toxic", "tunes")),
                         pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))),
                         pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+                        pa.array(left),
                     ],
-                    names=["doc_id", "toxic", "terms", "times"],
+                    names=["doc_id", "toxic", "tunes", "terms", "times", "strangers"],
                 )
 
     return of_batches
@@ -136,10 +145,11 @@ def _vectors(vocabulary: Vocabulary):
 class Examples:
     """The block-max inverted index of labelled examples and the calibrated vote."""
 
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, rows: list[tuple], tuning: list[tuple], shares: dict[int, float]):
-        """rows: (doc_id, toxic, terms, times) of the examples; tuning: the same of calibration rows; shares: of each label in all labelled rows."""
-        self.vocabulary, self.idf, self.block = vocabulary, idf, BLOCK
-        vectors = [self.weigh(np.array(t, np.int64), np.array(n, np.float64)) for _, _, t, n in rows]
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, stranger: float, rows: list[tuple], tuning: list[tuple], shares: dict[int, float]):
+        """weight: of each term; stranger: of a word that is none. rows: (doc_id, toxic, terms, times, strangers) of the examples; tuning: the same of
+        calibration rows; shares: of each label in all labelled rows."""
+        self.vocabulary, self.term_weight, self.stranger = vocabulary, weight, stranger
+        vectors = [self.weigh(t, n, left) for _, _, t, n, left in rows]
         # Examples with the same heaviest term stand together, so that blocks differ in their maxima.
         heavy = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
         order = sorted((i for i in range(len(rows)) if len(vectors[i][0])), key=lambda i: (heavy[i], rows[i][0]))
@@ -149,19 +159,21 @@ class Examples:
         self.weight = {y: shares.get(y, 0.0) / max(int((labels == y).sum()), 1) for y in (0, 1)}
         self.prior = shares.get(1, 0.0)
         self.row_weight = np.where(self.toxic == 1, self.weight[1], self.weight[0])
-        n_blocks = -(-len(order) // self.block)
-        self.peak = np.zeros((n_blocks, len(idf)))
-        self.slot = np.full((n_blocks, len(idf)), -1, np.int32)
-        self.postings: list[np.ndarray] = []
-        for b in range(n_blocks):
-            own = order[b * self.block : (b + 1) * self.block]
-            terms = np.unique(np.concatenate([vectors[i][0] for i in own]))
-            self.slot[b, terms] = np.arange(len(terms))
-            post = np.zeros((len(terms), len(own)))
-            for j, i in enumerate(own):
-                post[self.slot[b, vectors[i][0]], j] = vectors[i][1]
-            self.postings.append(post)
-            self.peak[b, terms] = post.max(1)
+        # Postings by term, then example; an entry is a term's run of postings in one block of examples, with their largest weight.
+        none = np.zeros(0)
+        term = np.concatenate([vectors[i][0] for i in order] or [none]).astype(np.int64)
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by = np.lexsort((place, term))
+        term, self.place = term[by], place[by].astype(np.int32)
+        self.post = np.concatenate([vectors[i][1] for i in order] or [none])[by]
+        self.n_blocks = -(-len(order) // BLOCK)
+        block = self.place // BLOCK
+        opens = np.ones(len(term), bool)
+        opens[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.entry = np.append(np.flatnonzero(opens), len(term))
+        self.entry_block = block[opens]
+        self.peak = np.maximum.reduceat(self.post, self.entry[:-1]) if len(term) else none
+        self.of_term = np.searchsorted(term[opens], np.arange(len(weight) + 1))
         self.curve = (1.0, 0.0)
         bare = [i for i in range(len(rows)) if not len(vectors[i][0])]
         mass = sum(self.weight[int(labels[i])] for i in bare)
@@ -169,42 +181,49 @@ class Examples:
         if len(order) and tuning:
             self._calibrate(tuning)
 
-    def weigh(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """TF-IDF of one document, of length one; terms without weight are left out."""
-        w = (1 + np.log(times)) * self.idf[terms]
-        terms, w = terms[w > 0], w[w > 0]
-        return terms, w / max(math.sqrt(float((w * w).sum())), 1e-300)
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, exact: blocks whose bound cannot beat the k-th best are not scored."""
-        bound = self.peak[:, terms] @ w
-        place, like, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(like) >= k and bound[b] < worst - 1e-12):
-                break
-            at = self.slot[b, terms]
-            score = w[at >= 0] @ self.postings[b][at[at >= 0]]
-            ids = b * self.block + np.arange(len(score))
-            keep = (score > 0) & (ids != without)
-            place, like = np.append(place, ids[keep]), np.append(like, score[keep])
-            if len(like) > k:
-                best = np.lexsort((self.ids[place], -like))[:k]
-                place, like = place[best], like[best]
-            if len(like) >= k:
-                worst = like.min()
-        return place, like
-
-    def vote(self, terms: np.ndarray, w: np.ndarray, without: int = -1) -> float | None:
-        """The weighted share of toxic neighbours; None without neighbours."""
-        place, like = self.nearest(terms, w, NEIGHBOURS, without)
+    def weigh(self, terms: np.ndarray, times: np.ndarray, strangers: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """TF-IDF of one document, of length one together with the words that are no terms."""
+        w = (1 + np.log(times)) * self.term_weight[terms]
+        return terms, w / max(math.sqrt(float((w * w).sum()) + strangers * self.stranger**2), 1e-300)
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples, nearest first, ties to the smaller id. Exact: the blocks with the highest bounds are scored
+        first, then all others whose bound reaches the k-th best cosine."""
+        low, high = self.of_term[terms], self.of_term[terms + 1]
+        n = high - low
+        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        factor = np.repeat(w, n)
+        blocks = self.entry_block[entry]
+        bound = np.bincount(blocks, self.peak[entry] * factor, self.n_blocks)
+        like = np.zeros(len(self.ids))
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[: max(4, -(-2 * k // BLOCK))]] = True
+        self._add(like, entry, factor, first[blocks])
+        best = np.partition(like, -k)[-k] if len(like) > k else 0.0
+        self._add(like, entry, factor, (~first & (bound >= best - 1e-12))[blocks])
+        some = np.flatnonzero(like > max(best - 1e-9, 0.0))
+        some = some[np.lexsort((self.ids[some], -like[some]))[:k]]
+        return some, like[some]
+
+    def _add(self, like: np.ndarray, entry: np.ndarray, factor: np.ndarray, chosen: np.ndarray) -> None:
+        """Add what the chosen entries give to the cosines."""
+        entry, factor = entry[chosen], factor[chosen]
+        low, n = self.entry[entry], self.entry[entry + 1] - self.entry[entry]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        like += np.bincount(self.place[at], self.post[at] * np.repeat(factor, n), len(like))
+
+    def vote(self, terms: np.ndarray, w: np.ndarray) -> tuple[float, float, float] | None:
+        """The weighted share of toxic neighbours, the number of examples at cosine 1 and of toxic ones among them; None without neighbours."""
+        place, like = self.nearest(terms, w, NEIGHBOURS)
         if not len(place):
             return None
         pull = self.row_weight[place] / (1 - np.minimum(like, 1) + SOFT)
-        return float((pull * self.toxic[place]).sum() / pull.sum())
+        same = like > 1 - 1e-9
+        return float((pull * self.toxic[place]).sum() / pull.sum()), float(same.sum()), float(self.toxic[place][same].sum())
 
     def _calibrate(self, tuning: list[tuple]) -> None:
-        found = [(self.vote(*self.weigh(np.array(t, np.int64), np.array(n, np.float64))), y) for _, y, t, n in tuning if len(t)]
-        x = _logit(np.array([v for v, _ in found if v is not None]))
+        found = [(self.vote(*self.weigh(t, n, left)), y) for _, y, t, n, left in tuning if len(t)]
+        x = _logit(np.array([v[0] for v, _ in found if v is not None]))
         y = np.array([y for v, y in found if v is not None], np.float64)
         if not len(x):
             return
@@ -223,13 +242,14 @@ class Examples:
         if a > 0:
             self.curve = (float(a), float(b))
 
-    def score(self, terms: np.ndarray, times: np.ndarray) -> float:
-        terms, w = self.weigh(terms, times)
+    def score(self, terms: np.ndarray, times: np.ndarray, strangers: float = 0.0) -> float:
+        terms, w = self.weigh(terms, times, strangers)
         vote = self.vote(terms, w) if len(terms) else None
         if vote is None:
             return self.empty
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * _logit(np.array([vote]))[0] + b, -50, 50))))
+        (share, same, toxic), (a, b) = vote, self.curve
+        chance = float(1 / (1 + np.exp(-np.clip(a * _logit(np.array([share]))[0] + b, -50, 50))))
+        return (chance + SAME * toxic) / (1 + SAME * same)
 
 
 def _logit(v: np.ndarray) -> np.ndarray:
@@ -252,34 +272,44 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Examp
     drawn = written(drawn, "drawn")
     sample = written(texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]), "sample")
     tunes = F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(CALIBRATE)) == 0
-    counts = sample.filter(~tunes).mapInArrow(_label_counts, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     size = {r["toxic"]: r["count"] for r in sample.filter(~tunes).groupBy("toxic").count().collect()}
     all_n, bad_n = sum(size.values()), size.get(1, 0)
-    vocabulary = np.zeros(0, np.uint64)
-    if 0 < bad_n < all_n:
-        expected = F.col("n") * bad_n / F.lit(all_n)
-        chi = (F.col("bad") - expected) ** 2 / (expected * (1 - F.col("n") / F.lit(all_n + 1.0)))
-        top = counts.filter((chi >= LEAST_CHI) & (F.col("n") >= max(5, LEAST_SHARE * min(bad_n, all_n - bad_n)))).orderBy(F.desc(chi), "term").limit(VOCABULARY)
-        vocabulary = np.array([r["term"] for r in top.collect()], np.int64).view(np.uint64)
-    vocabulary = Vocabulary(vocabulary)
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(_document_counts(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = df.get(-1, 0)
-    # The words outside the vocabulary are a term of every document.
-    df[len(vocabulary.terms)] = n
-    idf = np.array([1 + math.log((n + 1) / (df.get(i, 0) + 1)) for i in range(len(vocabulary.terms) + 1)])
-    schema = "doc_id long, toxic int, terms array<int>, times array<int>"
-    of = lambda part: [tuple(r) for r in sample.filter(part).mapInArrow(_vectors(vocabulary), schema).orderBy("doc_id").collect()]
+    counts = sample.filter(~tunes).mapInArrow(_label_counts, "term long, n long, bad long, word boolean")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("word").alias("word"))
+    expected = F.col("n") * bad_n / F.lit(max(all_n, 1))
+    chi = (F.col("bad") - expected) ** 2 / (expected * (1 - F.col("n") / F.lit(all_n + 1.0))) if 0 < bad_n < all_n else F.lit(0.0)
+    # Bounded by the sample; every word of an example is a term.
+    terms = counts.select("term", chi.alias("chi"), "word").filter(F.col("word") | (F.col("chi") >= PREFIX_CHI)).select("term", "chi").toArrow()
+    vocabulary = Vocabulary(terms.column("term").to_numpy().view(np.uint64))
+    tie = np.zeros(len(vocabulary.terms))
+    tie[np.searchsorted(vocabulary.terms, terms.column("term").to_numpy().view(np.uint64))] = np.minimum(terms.column("chi").to_numpy() / FULL_CHI, 1) ** 2
+    found = texts.select("text").mapInArrow(_document_counts(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, times = found.column("term").to_numpy(), found.column("n").to_numpy()
+    n = int(times[term < 0].sum())
+    df = np.ones(len(vocabulary.terms))
+    df[term[term >= 0]] = times[term >= 0]
+    weight = np.log(1 + n / df) * (PLAIN + (1 - PLAIN) * tie)
+    schema = "doc_id long, toxic int, tunes boolean, terms array<int>, times array<int>, strangers double"
+    rows = sample.withColumn("tunes", tunes).mapInArrow(_vectors(vocabulary), schema).orderBy("doc_id").toArrow()
+    held: dict[bool, list[tuple]] = {False: [], True: []}
+    for r in range(rows.num_rows):
+        doc_id, toxic, tunes_, own, often, left = (rows.column(c)[r] for c in rows.column_names)
+        held[tunes_.as_py()].append((doc_id.as_py(), toxic.as_py(), own.values.to_numpy().astype(np.int64), often.values.to_numpy().astype(np.float64), left.as_py()))
     whole = max(sum(totals.values()), 1)
-    return Examples(vocabulary, idf, of(~tunes), of(tunes), {y: c / whole for y, c in totals.items()})
+    return Examples(vocabulary, weight, math.log(1 + n) * PLAIN, held[False], held[True], {y: c / whole for y, c in totals.items()})
 
 
-def _batch_scores(index: Examples, column: pa.Array) -> np.ndarray:
-    scores: list[float] = []
+def _queries(index: Examples, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(terms, times, strangers) of every text."""
     for _, found in _terms(column):
-        doc, term, times = index.vocabulary.counts(found)
+        doc, term, times, left = index.vocabulary.counts_and_strangers(found)
         ends = np.searchsorted(doc, np.arange(len(found.first))).tolist()
-        scores += [index.score(term[a:b], times[a:b]) if b > a else index.empty for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return np.array(scores, np.float64)
+        for d, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            yield term[a:b], times[a:b], float(left[d])
+
+
+def _batch_scores(index: Examples, column: pa.Array) -> np.ndarray:
+    return np.array([index.score(*q) if len(q[0]) else index.empty for q in _queries(index, column)], np.float64)
 
 
 def _scores(index: Examples):
@@ -297,13 +327,10 @@ def _evidence(index: Examples):
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, likes = [], []
-            for _, found in _terms(batch.column("text")):
-                doc, term, times = index.vocabulary.counts(found)
-                for d in range(len(found.first) - 1):
-                    place, like = index.nearest(*index.weigh(term[doc == d], times[doc == d]), NEIGHBOURS)
-                    order = np.lexsort((index.ids[place], -like))
-                    ids.append(index.ids[place][order].tolist())
-                    likes.append(like[order].tolist())
+            for q in _queries(index, batch.column("text")):
+                place, like = index.nearest(*index.weigh(*q), NEIGHBOURS)
+                ids.append(index.ids[place].tolist())
+                likes.append(like.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64())), pa.array(likes, pa.list_(pa.float64()))], names=["doc_id", "examples", "cosines"]
             )
@@ -317,7 +344,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, index: Examples) -> DataFrame:
-    """doc_id, score, predicted of every row of docs (doc_id, text). Texts without any term of the vocabulary, null and empty ones too, get the
+    """doc_id, score, predicted of every row of docs (doc_id, text). Texts without any word of an example, null and empty ones too, get the
     share of toxic rows among such examples, or among all labelled rows if there are none. Without labelled rows that is 0."""
     return _plain(docs).mapInArrow(_scores(index), "doc_id long, score double, predicted int")
 
@@ -342,5 +369,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, index: Examples) -> DataFrame:
-    """The rows of docs, with all their columns, that score below one half."""
+    """The rows of docs, with all their columns, that score below one half. Null and empty texts score as in `score`; repeated rows go or stay together; an
+    empty table stays empty."""
     return keep_rows(docs, lambda text: _batch_scores(index, text) < 0.5)
