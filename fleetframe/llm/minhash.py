@@ -199,7 +199,7 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     Documents without words and rows without doc_id all stay; of rows that share a doc_id one stays.
     """
     found = written(near_duplicates(docs, percent), "components")
-    order = [*docs.columns]
+    order = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     gone = found.filter("not kept").select("doc_id").distinct()
     kept = anti(docs, written(gone, "gone"), "doc_id").select(*order)
     twice = written(found.filter("doc_id is not null and kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")

@@ -74,7 +74,8 @@ def mixture(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3,
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of docs, epoch (from 1) and n_words. A document taken in part in its last epoch gives its first words,
-    joined by single spaces. Documents of which nothing is taken give no row. Rows that share a doc_id and a source give the words of all of them."""
+    joined by single spaces. Documents of which nothing is taken give no row. Rows that share a doc_id and a source give the words of all of them.
+    Columns of docs named epoch or n_words give way to those of the mix."""
     plan = mixture(docs, **how).groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).filter("taken > 0")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     took = packed.join(plan, F.col("row.doc_id").eqNullSafe(plan["doc_id"]) & F.col("row.source").eqNullSafe(plan["source"]))

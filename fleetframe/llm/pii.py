@@ -373,7 +373,10 @@ def _by_start(s: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts and spans of every row of docs; the CRF is trained on docs too."""
+    """Counts and spans of every row of docs (doc_id, text); the CRF is trained on docs too.
+
+    Null and empty texts have no spans. Repeated rows, and rows without doc_id, each come back. Other columns are ignored; an empty table gives an empty
+    result."""
     found = spans(docs, train(docs))
     counts, every = [], []
     for k in KINDS:
@@ -403,5 +406,7 @@ def _masked(model: Crf, texts: pa.Array) -> pa.Array:
 
 
 def masked(docs: DataFrame, model: Crf) -> DataFrame:
-    """The columns of docs with every span of text replaced by its kind in brackets; overlapping spans are replaced as one."""
+    """The columns of docs with every span of text replaced by its kind in brackets; overlapping spans are replaced as one.
+
+    Null texts stay null and empty ones empty; repeated rows are masked alike; other columns stay as they are; an empty table stays empty."""
     return rewrite_text(docs, partial(_masked, model))

@@ -30,7 +30,7 @@ def docs_of(spark):
         for i, r in enumerate(rows):
             r = r if isinstance(r, tuple) else (i, r)
             doc_id, text, lang, source = (*r, *(None, None)[len(r) - 2 :]) if len(r) < 4 else r
-            full.append((doc_id, text, lang, source, len(text or ""), "x", 7, "y"))
-        return spark.createDataFrame(full, DOCS + ", key string, n int, `row` string")
+            full.append((doc_id, text, lang, source, len(text or ""), "x", 7, "y", "z"))
+        return spark.createDataFrame(full, DOCS + ", key string, n int, `row` string, `a.b` string")
 
     return build
