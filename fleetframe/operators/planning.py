@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetframe import fixed
 from fleetframe.functions import LabelScheme, mask_list
 from fleetframe.operators.inventory import running_only
-from fleetframe.operators.skew import HotKeys, matching, not_matching
+from fleetframe.operators.skew import HotKeys, keyed_join, matching, not_matching
 
 TYPE_FLAGS = ["standalone", "replica_set", "sharded", "atlas"]
 
@@ -256,6 +256,35 @@ def port_conflicts(specs: DataFrame, nodes: DataFrame) -> DataFrame:
     return counted.where((F.col("taken_ports") > 0) | (F.col("shared_ports") > 0) | (F.col("invalid_ports") > 0))
 
 
+def host_port_conflicts(specs: DataFrame, nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """``port_conflicts`` for a fleet on several machines: specs and nodes have a ``host``, and only ports of the same host collide.
+
+    Columns: ``seq, name, host, taken_ports, shared_ports, invalid_ports``. A null host is the local one. Specs are told apart by ``seq``.
+
+    Ports in use and planned ports are brought to one row per host and port in one shuffle, combined before it; only ports in conflict go on. A host may hold any
+    share of the fleet, as its ports are spread by the pair. Planned rows on a port that many specs of a host want are not moved (``keyed_join``).
+    """
+    host = F.coalesce("host", F.lit("localhost")).alias("host")
+    planned = expand(specs, keep=("host",)).select("seq", F.col("grp").alias("name"), host, "port")
+    taken = _ports(running_only(nodes)).select(host, "port", F.lit(True).alias("taken"), F.lit(None).cast("long").alias("seq"))
+    claims = _ports(planned).select("host", "port", F.lit(False).alias("taken"), F.col("seq").cast("long").alias("seq"))
+    marks = taken.unionByName(claims).groupBy("host", "port").agg(
+        F.max("taken").alias("taken"), (F.min("seq") != F.max("seq")).alias("shared")
+    )
+    # Without a claim there is no first or last spec, and ``shared`` is null.
+    marks = marks.where(F.col("shared").isNotNull() & (F.col("taken") | F.col("shared")))
+    hits = keyed_join(_ports(planned), marks, ["host", "port"], "inner", hot).select(
+        "seq", "name", "host", "taken", "shared", F.lit(False).alias("invalid")
+    )
+    off = F.lit(False)
+    beyond = planned.where(~F.col("port").between(0, fixed.MAX_PORT)).select(
+        "seq", "name", "host", off.alias("taken"), off.alias("shared"), F.lit(True).alias("invalid")
+    )
+    return hits.unionByName(beyond).groupBy("seq", "name", "host").agg(
+        F.count_if("taken").alias("taken_ports"), F.count_if("shared").alias("shared_ports"), F.count_if("invalid").alias("invalid_ports")
+    )
+
+
 def connections(specs: DataFrame, masked: bool = True) -> DataFrame:
     """Connection strings per spec: over localhost and over mapped host names, an array of one string per entry point.
 

@@ -514,6 +514,18 @@ counted AS (
  SELECT k.seq, any_value(k.grp) AS name, count(t.port) AS taken_ports, count(c.port) AS shared_ports,
   count(*) FILTER (k.port NOT BETWEEN 0 AND 65535) AS invalid_ports
  FROM kinds k LEFT JOIN taken t ON k.port = t.port LEFT JOIN claims c ON k.port = c.port GROUP BY k.seq)
+SELECT * FROM counted WHERE taken_ports > 0 OR shared_ports > 0 OR invalid_ports > 0""",
+    "host_port_conflicts": f"""WITH {PLANNED}, {INV},
+used AS (
+ SELECT DISTINCT CASE WHEN seq % 13 <> 0 THEN concat('host-', seq % 11) ELSE 'localhost' END AS host, CAST(port AS BIGINT) AS port FROM inv
+ WHERE status = 'running'),
+wanted AS (SELECT *, CASE WHEN seq % 11 <> 4 THEN concat('host-', seq % 11) ELSE 'localhost' END AS host FROM kinds),
+claims AS (SELECT host, port FROM wanted GROUP BY host, port HAVING count(DISTINCT seq) > 1),
+counted AS (
+ SELECT w.seq, w.grp AS name, w.host, count(u.port) AS taken_ports, count(c.port) AS shared_ports,
+  count(*) FILTER (w.port NOT BETWEEN 0 AND 65535) AS invalid_ports
+ FROM wanted w LEFT JOIN used u ON w.host = u.host AND w.port = u.port LEFT JOIN claims c ON w.host = c.host AND w.port = c.port
+ GROUP BY w.seq, w.grp, w.host)
 SELECT * FROM counted WHERE taken_ports > 0 OR shared_ports > 0 OR invalid_ports > 0""",
     "mask_credentials": f"""WITH {LOGS}
 SELECT seq, {masked('line')} AS msg, {masked('line')} AS arg, {masked('line')} AS uri FROM logs""",
@@ -554,8 +566,22 @@ WHERE r > 20 * (page - 1) AND r <= 20 * page""",
     "tag_page_after": f"""WITH {TAGS}, d AS (SELECT DISTINCT tag FROM tags), a AS (SELECT unnest(['latest', '6.0.2', '4', '0']) AS "after"),
 n AS (SELECT "after", tag, row_number() OVER (PARTITION BY "after" ORDER BY tag DESC) AS r, count(*) OVER (PARTITION BY "after") AS n FROM d JOIN a ON tag < "after")
 SELECT "after", CAST(r AS INTEGER) AS place, tag, CAST(n > 30 AS INTEGER) AS has_more FROM n WHERE r <= 30""",
+    "content_differences": """WITH sent AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderdate FROM orders),
+changed AS (
+ SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 7 AND o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_custkey % 500 = 3 THEN '5-LOW' ELSE o_orderpriority END AS o_orderpriority, o_orderdate FROM sent),
+landed AS (SELECT * FROM changed UNION ALL SELECT * FROM changed WHERE o_orderkey % 2000 = 1 AND o_orderpriority = '2-HIGH'),
+odd AS (
+ SELECT o_orderdate, o_orderpriority FROM (SELECT * FROM sent EXCEPT ALL SELECT * FROM landed)
+ UNION SELECT o_orderdate, o_orderpriority FROM (SELECT * FROM landed EXCEPT ALL SELECT * FROM sent)),
+n AS (
+ SELECT o_orderdate, o_orderpriority, sum(s) AS sent_rows, sum(l) AS landed_rows
+ FROM (SELECT *, 1 AS s, 0 AS l FROM sent UNION ALL SELECT *, 0, 1 FROM landed) GROUP BY ALL)
+SELECT CAST(o_orderdate AS VARCHAR) AS day, o_orderpriority AS priority, CAST(sent_rows AS BIGINT) AS sent_rows, CAST(landed_rows AS BIGINT) AS landed_rows
+FROM n SEMI JOIN odd USING (o_orderdate, o_orderpriority)""",
     "verified_load": "SELECT count(DISTINCT l_orderkey) AS loaded FROM lineitem",
 }
 
 # A landing changes how nodes lie, not what is computed from them.
+ORACLES |= {"archive_links_landed": ORACLES["archive_links"]}
 ORACLES |= {"landed_summary": ORACLES["deployment_summary"], "landed_hosts": ORACLES["host_rows"], "landed_wide_order": ORACLES["wide_member_order"]}

@@ -11,7 +11,7 @@ from fleetframe.operators import actions, catalog, inventory, layout, planning,
 from fleetframe.operators.skew import hot_keys
 from fleetframe.plans import deployments, reports
 from fleetframe.session import scratch_path
-from fleetframe.sources import catalog as store, landing, page_index
+from fleetframe.sources import archive, catalog as store, landing, page_index, verify
 from fleetframe.sources.nodes import land, typed_nodes
 from fleetframe.streaming import jobs
 from workload import views as v
@@ -366,6 +366,13 @@ def archive_links(spark, sf_dir):
     return catalog.archive_links(v.archives(spark, sf_dir), "6.0.1", "x86_64", "rpm", "tar.gz")
 
 
+@query
+def archive_links_landed(spark, sf_dir):
+    path = scratch_path(spark, "archives")
+    archive.land_archives(v.archives(spark, sf_dir), path, files=8)
+    return archive.landed_links(archive.read_landed_archives(spark, path), "6.0.1", "x86_64", "rpm", "tar.gz")
+
+
 # --- planning -------------------------------------------------------------------------------------------------------
 
 
@@ -454,6 +461,16 @@ def port_conflicts(spark, sf_dir):
     return planning.port_conflicts(ready, nodes(spark, sf_dir))
 
 
+@query
+def host_port_conflicts(spark, sf_dir):
+    # Specs and nodes dealt over eleven hosts; every eleventh spec has none.
+    ready = planning.valid_specs(planning.with_defaults(v.specs(spark, sf_dir)))
+    host = lambda key: F.concat(F.lit("host-"), (key % 11).cast("string"))
+    placed = ready.withColumn("host", F.when(F.col("seq") % 11 != 4, host(F.col("seq"))))
+    used = nodes(spark, sf_dir).withColumn("host", F.when(F.col("seq") % 13 != 0, host(F.col("seq"))))
+    return planning.host_port_conflicts(placed, used)
+
+
 # --- text and streams -----------------------------------------------------------------------------------------------
 
 
@@ -615,6 +632,20 @@ def landed_wide_order(spark, sf_dir):
     return made.by_group(lambda rows, hot: layout.member_order(rows.select("grp", "seq", "port"), hot))
 
 
+@query
+def content_differences(spark, sf_dir):
+    # Orders against a copy in which rows were changed, swapped between customers with their number kept, and doubled.
+    orders = v.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    shifted = (F.col("o_orderkey") % 1000 == 7) & (F.col("o_orderpriority") == "1-URGENT")
+    copy = orders.withColumns({
+        "o_totalprice": F.when(shifted, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        "o_orderpriority": F.when(F.col("o_custkey") % 500 == 3, "5-LOW").otherwise(F.col("o_orderpriority")),
+    })
+    twice = copy.where((F.col("o_orderkey") % 2000 == 1) & (F.col("o_orderpriority") == "2-HIGH"))
+    by_day = ["o_orderdate", "o_orderpriority"]
+    return verify.differing(orders, copy.unionByName(twice), by_day).select(F.col("o_orderdate").cast("string").alias("day"), F.col("o_orderpriority").alias("priority"), "sent_rows", "landed_rows")
+
+
 @query
 def verified_load(spark, sf_dir):
     # All deployments are written, counted on the way and counted again when read back.
