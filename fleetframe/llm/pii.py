@@ -4,7 +4,8 @@ The CRF labels white-space tokens. Only tokens with a digit or an @ can be part
 falls into short runs of possible tokens with O on both sides, and Viterbi over those runs is Viterbi over the whole text. Runs of equal
 length are decoded together in numpy. Spans that the CRF adds never overlap those of the patterns, which always stay.
 
-Training needs a small table of labelled runs. `silver_runs` makes one from the patterns on a bounded sample; any table of its form will do.
+It is trained on a small labelled table (text, spans), by default `pii_examples`: forms that the patterns miss and numbers that are no personal data. Beside
+it stand runs of the corpus, drawn by hash and labelled by the patterns (`silver_runs`), so that the numbers of this corpus are learnt as what they are.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .pii_examples import CUES, examples
 from .scratch import ship, written
 from .whole import rewrite_text
 
@@ -37,6 +39,8 @@ STATES = ("O", "email", "ip", "card", "card+", "phone", "phone+")
 _KIND_OF = {"email": "email", "ip": "ip", "card": "card", "card+": "card", "phone": "phone", "phone+": "phone"}
 #: Labelled runs that the CRF is trained on, and tokens of a run that are used: the bounds of the fit.
 TRAIN_RUNS, TRAIN_TOKENS = 4000, 32
+#: Rows of the labelled table that are used.
+TRAIN_EXAMPLES = 2400
 FEATURES, ROUNDS, RIDGE = 4096, 120, 1e-3
 _EDGE = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|"
 
@@ -91,6 +95,8 @@ def _features(words: list[str], before: str, after: str) -> list[list[int]]:
     rows = []
     whole = "".join(c for w in words for c in w if "0" <= c <= "9")
     sums = 16 <= len(whole) <= 19 and _luhn(whole)
+    cue = before.strip(_EDGE).lower()
+    cue = cue if cue in CUES else ""
     for i, word in enumerate(words):
         own = "".join(c for c in word if "0" <= c <= "9")
         digits = len(own)
@@ -100,11 +106,15 @@ def _features(words: list[str], before: str, after: str) -> list[list[int]]:
         texts = (
             f"s{bare}", f"p{shapes[i]}|{bare[:1]}", f"n{shapes[i + 2]}|{bare[:1]}", f"d{min(digits, 20)}", f"l{min(len(word), 30) // 2}|{bare[:3]}",
             f"k{bare.count('.')}{'@' in word}{word[:1] == '+'}{'-' in word}", f"o{min(len(whole), 25)}|{checks}", f"v{checks}|{bare}", f"c{word[:1] if not word[:1].isalnum() else ''}|{bare}",
+            f"w{cue}|{bare[:5]}", f"g{'-'.join(str(len(p)) for p in parts[:8])}|{bare[:12]}|{i}",
         )
         rows.append([zlib.crc32(t.encode()) % FEATURES for t in texts])
     return rows
 
 
+PER_TOKEN = len(_features(["1"], "", "")[0])
+
+
 class Run:
     """Tokens start[i]:end[i] (code points) of a text that can be personal data, side by side."""
 
@@ -153,22 +163,27 @@ def _labels(run: Run, spans: list[tuple[str, int, int]]) -> list[int]:
     return states
 
 
+def _labelled(texts: pa.Array, spans_of) -> list[tuple[int, list[int], list[int]]]:
+    """Draw, features and states of every run of the texts; spans_of gives the spans of a text by its place."""
+    rows = []
+    data, offsets = tokens.string_bytes(texts)
+    for row, to in tokens.pieces(offsets):
+        found = tokens.words(data, offsets[row : to + 1])
+        possible = _possible(found)
+        for d in range(to - row):
+            if possible[found.first[d] : found.first[d + 1]].any():
+                text = texts[row + d].as_py()
+                spans = spans_of(row + d, text)
+                for run in runs_of(found, d, possible, text):
+                    n = TRAIN_TOKENS
+                    feats = _features(run.words[:n], run.before, run.words[n] if len(run.words) > n else run.after)
+                    rows.append((zlib.crc32(" ".join(run.words).encode("utf-8", "replace")), [f for r in feats for f in r], _labels(run, spans)[:n]))
+    return rows
+
+
 def _silver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        texts = batch.column("text")
-        data, offsets = tokens.string_bytes(texts)
-        for row, to in tokens.pieces(offsets):
-            found = tokens.words(data, offsets[row : to + 1])
-            possible = _possible(found)
-            for d in range(to - row):
-                if possible[found.first[d] : found.first[d + 1]].any():
-                    text = texts[row + d].as_py()
-                    spans = base_spans(text)
-                    for run in runs_of(found, d, possible, text):
-                        n = TRAIN_TOKENS
-                        feats = _features(run.words[:n], run.before, run.words[n] if len(run.words) > n else run.after)
-                        rows.append((zlib.crc32(" ".join(run.words).encode("utf-8", "replace")), [f for r in feats for f in r], _labels(run, spans)[:n]))
+        rows = _labelled(batch.column("text"), lambda _, text: base_spans(text))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["draw", "features", "states"])
@@ -197,7 +212,7 @@ class Crf:
 
     def fit(self, rows: list[tuple[list[int], list[int]]]) -> Crf:
         """Maximum likelihood with a ridge by Adam; runs of equal length are handled together."""
-        k, per = len(STATES), 9
+        k, per = len(STATES), PER_TOKEN
         by: dict[int, list] = {}
         for features, states in rows:
             if states:
@@ -278,7 +293,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def added_spans(run: Run, states: list[int], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the decoded states, without punctuation at their edges, that overlap no span of the patterns."""
-    spans, open_kind = [], None
+    spans, open_kind, brackets = [], None, {}
     for state, word, start, end in zip(states, run.words, run.start, run.end, strict=True):
         name = STATES[state]
         if name == "O":
@@ -293,7 +308,11 @@ def added_spans(run: Run, states: list[int], base: list[tuple[str, int, int]]) -
             spans[-1] = (spans[-1][0], spans[-1][1], right)
         else:
             spans.append((_KIND_OF[name], left, right))
+            if name == "phone" and word[: left - start].endswith("(") and ")" in word:
+                brackets[left] = start + word.index(")")
         open_kind = _KIND_OF[name]
+    # A bracket before a number that goes on behind the closing one belongs to it: "(555) 010-1234".
+    spans = [(k, a - (k == "phone" and brackets.get(a, b) < b), b) for k, a, b in spans]
     return [s for s in spans if not any(a < s[2] and b > s[1] for _, a, b in base)]
 
 
@@ -343,9 +362,26 @@ def _found(model: Crf):
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def train(docs: DataFrame) -> Crf:
+def labelled_runs(table: list[tuple[str, list[tuple[str, int, int]]]]) -> list[tuple[list[int], list[int]]]:
+    """Features and states of the runs of a small labelled table; spans of the patterns count as labelled too, where no given span is."""
+    given = [spans for _, spans in table]
+
+    def spans_of(i: int, text: str) -> list[tuple[str, int, int]]:
+        return [*given[i], *(s for s in base_spans(text) if not any(a < s[2] and b > s[1] for _, a, b in given[i]))]
+
+    return [(f, s) for _, f, s in _labelled(pa.array([text for text, _ in table], pa.string()), spans_of)]
+
+
+def train(docs: DataFrame, labelled: DataFrame | None = None) -> Crf:
+    """The random field, fitted on a labelled table (text, spans as array of kind, start, end) and on runs of docs.
+
+    Without a table `pii_examples` is used; of a table the TRAIN_EXAMPLES rows first by text. Rows with a null text are passed over, null spans are none."""
+    table = examples(TRAIN_EXAMPLES)
+    if labelled is not None:
+        own = labelled.filter("text is not null").select("text", "spans").orderBy("text").limit(TRAIN_EXAMPLES).collect()
+        table = [(r["text"], [tuple(s) for s in r["spans"] or []]) for r in own]
     rows = silver_runs(docs).orderBy("draw").collect()
-    return Crf().fit([(list(r["features"]), list(r["states"])) for r in rows])
+    return Crf().fit([(list(r["features"]), list(r["states"])) for r in rows] + labelled_runs(table))
 
 
 def spans(docs: DataFrame, model: Crf) -> DataFrame:

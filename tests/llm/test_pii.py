@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from fleetframe.llm import pii
+from fleetframe.llm.pii_examples import examples
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -92,3 +96,47 @@ def test_masking_keeps_columns(docs_of):
     assert pii.masked(docs, pii.train(docs)).columns == docs.columns
     assert got[1].text == "é mail [EMAIL], ip [IP]!" and got[2].text is None and got[3].text == "clean text"
     assert got[None].text == "card [CARD]" and got[1].n == 7
+
+
+@pytest.fixture(scope="module")
+def model(docs_of):
+    return pii.train(docs_of([(i, t) for i, t in enumerate(random_texts(5, 100))]))
+
+
+def test_field_adds_forms_that_the_patterns_miss(model):
+    table = examples(1200, seed=99)
+    assert not {t for t, _ in table} <= {t for t, _ in examples(pii.TRAIN_EXAMPLES)}
+    base, added = pii._batch_spans(model, pa.array([t for t, _ in table]))
+    for kind in pii.KINDS:
+        want = {(i, s) for i, (_, spans) in enumerate(table) for s in spans if s[0] == kind}
+        by_field = {(i, s) for i, spans in enumerate(added) for s in spans if s[0] == kind}
+        by_pattern = {(i, s) for i, spans in enumerate(base) for s in spans if s[0] == kind}
+        assert len(want) > 40 and len(by_pattern & want) < len(want) / 4
+        assert len(by_field & want) >= 0.95 * len(by_field) and len((by_field | by_pattern) & want) >= 0.95 * len(want), kind
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("please call (555) 010-1234 now", "phone:12:26"),
+    ("tel: 030/123456.", "phone:5:15"),
+    ("visa 4111.1111.1111.1111, thanks", "card:5:24"),
+    ("write to anna@b\u00fccher.de today", "email:9:23"),
+    ("host 2001:db8::1a2b up", "ip:5:19"),
+    ("on 2024-05-06 at 12:30 we sold 1234 items for $12.50", ""),
+    ("isbn 978-3-16-148410-0 and 4111.1111.1111.1112", ""),
+])
+def test_added_spans_are_reported(model, docs_of, text, want):
+    row = pii.spans(docs_of([(1, text)]), model).select(pii.joined(pii.F.col("base")), pii.joined(pii.F.col("added"))).first()
+    assert tuple(row) == ("", want)
+
+
+def test_own_table(spark, docs_of):
+    rows = [(f"badge {i}x{i} open", [("ip", 6, 6 + len(f"{i}x{i}"))]) for i in range(10, 90)] + [(f"badge {i} open", None) for i in range(90)] + [(None, None)]
+    own = spark.createDataFrame(rows, "text string, spans array<struct<kind:string,start:int,end:int>>")
+    model = pii.train(docs_of([(1, "clean")]), own)
+    got = pii.spans(docs_of([(1, "badge 12x34 open"), (2, "badge 17 open"), (3, None), (4, "")]), model).collect()
+    assert {r.doc_id: [tuple(s) for s in r.added] for r in got} == {1: [("ip", 6, 11)], 2: [], 3: [], 4: []}
+    assert pii.spans(docs_of([(1, "call 12")]), pii.train(docs_of([]), own.limit(0))).first().added == []
+
+
+def test_examples_are_the_same_every_time():
+    assert examples(200) == examples(200) and all(t[a:b].strip() == t[a:b] != "" for t, spans in examples(500) for _, a, b in spans)
