@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted shingle similarity.
 
 For every benchmark item of L words, windows of L consecutive words of each document are compared with it; a document of fewer words is its one
-window, compared by shared shingles with every longer item that its size can match. A window without any shingle of
-the benchmark has similarity 0 and needs no fingerprint; all others get one. A shingle weighs as often as it occurs, in the fingerprint and in
-the similarity. Fingerprints are cut into BLOCKS blocks: within RADIUS bits some block differs by at most RADIUS // BLOCKS bits, and an index per
-block lists the items for each block value within that distance, so no item within the radius is missed.
+window, compared by shared shingles with every longer item that its size can match. A window and an item without a common shingle have similarity 0:
+postings of shingles name the pairs that share one, and windows of these get a fingerprint. A shingle weighs as often as it occurs, in the fingerprint
+and in the similarity. Fingerprints are cut into BLOCKS blocks: within RADIUS bits some block differs by at most RADIUS // BLOCKS bits, and an index per
+block marks the items for each block value within that distance, so no item within the radius is missed. A pair has to stand in the postings and
+in a block of the index; windows are taken WINDOWS and pairs about PAIRS at a time.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE_WORDS = 5
 RADIUS, BLOCKS = 23, 8
 #: Benchmark bytes that travel to the tasks at a time; a larger benchmark takes one pass over the documents for each such part.
 PART_BYTES = 8 << 20
+#: Windows of a document, and pairs of windows and items, that are held at a time.
+WINDOWS, PAIRS = 1 << 14, 1 << 20
 
 
 def _near_values() -> list[list[int]]:
@@ -44,6 +47,41 @@ def fingerprints(shingles: np.ndarray, start: np.ndarray, size: int) -> np.ndarr
     return np.packbits(total[start + size] - total[start] > 0, axis=1).view(np.uint64)[:, 0]
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges low:high, one after the other."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of things of these sizes, each of one thing or of at most `most` in all."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        to = max(int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")), at + 1)
+        yield slice(at, to)
+        at = to
+
+
+def _sharing(postings: tuple, shingles: np.ndarray, hit: np.ndarray, size: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (window, item) that share a shingle at a position of `hit`, in parts; windows of `size` shingles that begin in low:high."""
+    theirs, _, owner = postings
+    left, right = (np.searchsorted(theirs, shingles[hit], side) for side in ("left", "right"))
+    for part in _parts(right - left, PAIRS):
+        item = owner[_ranges(left[part], right[part])]
+        at = np.repeat(hit[part], (right - left)[part])
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        # A shingle brings the windows that begin after the one before it of the same item.
+        begin = np.maximum(at - size + 1, low)
+        begin[1:] = np.where(item[1:] == item[:-1], np.maximum(begin[1:], at[:-1] + 1), begin[1:])
+        end = np.maximum(np.minimum(at + 1, high), begin)
+        for few in _parts(end - begin, PAIRS):
+            window = _ranges(begin[few], end[few])
+            if len(window):
+                yield window, np.repeat(item[few], (end - begin)[few])
+
+
 class Index:
     """The items of one part, by their number of words."""
 
@@ -73,20 +111,34 @@ class Index:
             of["blocks"] = []
             values = of["prints"].view(np.uint8).reshape(-1, 8)
             for b in range(BLOCKS):
-                listed = np.zeros((256, len(of["ids"])), bool)
+                listed = np.zeros((256, len(of["ids"]) + 7 >> 3), np.uint8)
                 for i, v in enumerate(values[:, b].tolist()):
-                    listed[near[v], i] = True
+                    listed[near[v], i >> 3] |= np.uint8(1 << (i & 7))
                 of["blocks"].append(listed)
-        self.known = {k: np.unique(np.concatenate([s for n, s in every if n == k])) for k in {n for n, _ in every}}
-        self.marked = {}
-        for k, known in self.known.items():
+        #: For each shingle size the shingles in order, and where each one's item lengths are in a list of them.
+        self.known: dict[int, np.ndarray] = {}
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.marked: dict[int, np.ndarray] = {}
+        for k in {n for n, _ in every}:
+            own = [(np.unique(of["postings"][0]), length) for length, of in self.by_length.items() if min(SHINGLE_WORDS, length) == k]
+            shingles = np.concatenate([s for s, _ in own])
+            order = np.argsort(shingles, kind="stable")
+            self.known[k], first = np.unique(shingles[order], return_index=True)
+            self.lengths[k] = np.append(first, len(order)), np.repeat([n for _, n in own], [len(s) for s, _ in own])[order]
             self.marked[k] = np.zeros(1 << 20, bool)
-            self.marked[k][(known >> np.uint64(44)).astype(np.int64)] = True
+            self.marked[k][(self.known[k] >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, shingles: np.ndarray, k: int) -> np.ndarray:
-        """Positions of shingles that some item has."""
+    def hits(self, shingles: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of shingles that some item has, and the places of these among the known ones."""
         likely = np.flatnonzero(self.marked[k][(shingles >> np.uint64(44)).astype(np.int64)])
-        return likely[np.isin(shingles[likely], self.known[k])]
+        place = np.minimum(np.searchsorted(self.known[k], shingles[likely]), len(self.known[k]) - 1)
+        sure = self.known[k][place] == shingles[likely]
+        return likely[sure], place[sure]
+
+    def lengths_of(self, k: int, known: np.ndarray) -> list[int]:
+        """Lengths of the items that have one of these known shingles."""
+        first, lengths = self.lengths[k]
+        return np.unique(lengths[_ranges(first[known], first[known + 1])]).tolist()
 
     def matches(self, hashes: np.ndarray, of: dict, length: int, hit: np.ndarray, percent: int) -> Iterator[tuple]:
         """(item, similarity, first word, words, distance) for windows of one document's words that hold a shingle at `hit`."""
@@ -97,30 +149,35 @@ class Index:
             if len(hit):
                 yield from self.short_matches(hashes, of, k, size, percent)
             return
-        edge = np.zeros(last + 2, np.int32)
-        np.add.at(edge, np.clip(hit - size + 1, 0, last + 1), 1)
-        np.add.at(edge, np.clip(hit + 1, 0, last + 1), -1)
-        start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        if not len(start):
-            return
-        low, high = start[0], start[-1] + length
-        shingles = tokens.grams(hashes[low:high], k)
-        prints = fingerprints(shingles, start - low, size)
+        shingles = tokens.grams(hashes, k)
+        for low in range(0, last + 1, WINDOWS):
+            high = min(low + WINDOWS, last + 1)
+            inside = hit[np.searchsorted(hit, low) : np.searchsorted(hit, high + size - 1)]
+            prints = None
+            for window, item in _sharing(of["postings"], shingles, inside, size, low, high):
+                if prints is None:
+                    start = np.arange(high - low)
+                    prints = fingerprints(shingles[low : high + size - 1], start, size)
+                for w, i, d in self.close(of, prints, window - low, item):
+                    at = low + w
+                    own, count = np.unique(shingles[at : at + size], return_counts=True)
+                    theirs, weights = of["sets"][i]
+                    place = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
+                    both = int(np.minimum(count, weights[place])[theirs[place] == own].sum())
+                    if both * 100 >= percent * (2 * size - both):
+                        yield of["ids"][i], both / (2 * size - both), at, length, d
+
+    def close(self, of: dict, prints: np.ndarray, window: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(window, item, distance) of the pairs that the block index lists and that lie within the radius."""
         values = prints.view(np.uint8).reshape(-1, 8)
-        candidates = of["blocks"][0][values[:, 0]]
-        for b in range(1, BLOCKS):
-            candidates = candidates | of["blocks"][b][values[:, b]]
-        window, item = np.nonzero(candidates)
+        byte, bit = item >> 3, (item & 7).astype(np.uint8)
+        listed = np.zeros(len(item), np.uint8)
+        for b in range(BLOCKS):
+            listed |= of["blocks"][b][values[window, b], byte] >> bit
+        window, item = window[listed & 1 == 1], item[listed & 1 == 1]
         distance = np.bitwise_count(prints[window] ^ of["prints"][item])
         close = distance <= RADIUS
-        for w, i, d in zip(window[close].tolist(), item[close].tolist(), distance[close].tolist(), strict=True):
-            at = int(start[w])
-            own, count = np.unique(shingles[at - low : at - low + size], return_counts=True)
-            theirs, weights = of["sets"][i]
-            place = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
-            both = int(np.minimum(count, weights[place])[theirs[place] == own].sum())
-            if both * 100 >= percent * (2 * size - both):
-                yield of["ids"][i], both / (2 * size - both), at, length, d
+        yield from zip(window[close].tolist(), item[close].tolist(), distance[close].tolist(), strict=True)
 
     def short_matches(self, hashes: np.ndarray, of: dict, k: int, size: int, percent: int) -> Iterator[tuple]:
         """The same for a document of fewer words than the items, as one window. One window needs no search: all items that share a shingle are compared."""
@@ -132,7 +189,7 @@ class Index:
         theirs, weights, owner = of["postings"]
         low, high = np.searchsorted(theirs, own, "left"), np.searchsorted(theirs, own, "right")
         n = high - low
-        place = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place = _ranges(low, high)
         shared = np.bincount(owner[place], np.minimum(np.repeat(count, n), weights[place]), len(of["ids"])).astype(np.int64)
         near = np.flatnonzero((shared > 0) & (shared * 100 >= percent * (own_size + size - shared)))
         if len(near):
@@ -156,19 +213,21 @@ def _row_matches(index: Index, percent: int, column: pa.Array) -> Iterator[tuple
         found = tokens.words(data, offsets[row : to + 1], lower=True)
         best: dict[tuple, tuple] = {}
         for k in index.known:
-            hit = index.hits(tokens.grams(found.hash, k), k)
+            hit, known = index.hits(tokens.grams(found.hash, k), k)
             doc = np.searchsorted(found.first, hit, "right") - 1
             inside = hit + k <= found.first[doc + 1]
-            hit, doc = hit[inside], doc[inside]
-            for d in np.unique(doc).tolist():
+            hit, known, doc = hit[inside], known[inside], doc[inside]
+            ends = np.searchsorted(doc, np.arange(to - row + 1))
+            for d in np.flatnonzero(np.diff(ends)).tolist():
                 low, high = int(found.first[d]), int(found.first[d + 1])
-                for island in _islands(hit[doc == d] - low, longest):
+                own = known[ends[d] : ends[d + 1]]
+                for island in _islands(hit[ends[d] : ends[d + 1]] - low, longest):
                     left = max(0, int(island[0]) - longest)
                     part = found.hash[low + left : min(high, low + int(island[-1]) + longest + 1)]
-                    for length, of in index.by_length.items():
-                        if min(SHINGLE_WORDS, length) == k:
-                            for item, like, at, words, bits in index.matches(part, of, length, island - left, percent):
-                                best[d, item] = max(best.get((d, item), (0,)), (like, -(left + at), words, bits))
+                    for length in index.lengths_of(k, own[: len(island)]):
+                        for item, like, at, words, bits in index.matches(part, index.by_length[length], length, island - left, percent):
+                            best[d, item] = max(best.get((d, item), (0,)), (like, -(left + at), words, bits))
+                    own = own[len(island) :]
         for (d, item), (like, at, length, bits) in best.items():
             yield row + d, item, like, -at, length, bits
 

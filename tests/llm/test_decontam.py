@@ -2,6 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
+
 from fleetframe.llm import decontam
 
 
@@ -28,7 +31,10 @@ def brute(docs, items, percent=80):
     return found
 
 
-def test_matches_brute_force(spark, docs_of):
+@pytest.mark.parametrize(("windows", "pairs"), [(decontam.WINDOWS, decontam.PAIRS), (7, 5)])
+def test_matches_brute_force(spark, docs_of, monkeypatch, windows, pairs):
+    monkeypatch.setattr(decontam, "WINDOWS", windows)
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghijkl") + rng.choice("xyz") + rng.choice("pqrs")
     items = [(i, " ".join(word() for _ in range(rng.choice([3, 5, 16, 24, 40, 60])))) for i in range(25)]
@@ -108,3 +114,35 @@ def test_documents_shorter_than_an_item(spark, docs_of):
     assert abs(next(r.similarity for r in short if r.n_words == 58) - 54 / 55) < 1e-12
     clean = {r.doc_id for r in decontam.clean(docs_of(docs), table).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 9])
+def test_pairs_are_those_that_share_a_shingle(monkeypatch, pairs):
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    size = 6
+    items = [rng.integers(0, 40, size).astype(np.uint64) for _ in range(9)]
+    own = [np.unique(i) for i in items]
+    shingles, owner = np.concatenate(own), np.repeat(np.arange(9), [len(s) for s in own])
+    order = np.argsort(shingles, kind="stable")
+    text = rng.integers(0, 80, 200).astype(np.uint64)
+    hit = np.flatnonzero(np.isin(text, shingles))
+    low, high = 20, 120
+    inside = hit[(hit >= low) & (hit < high + size - 1)]
+    got = [(w, i) for ws, its in decontam._sharing((shingles[order], None, owner[order]), text, inside, size, low, high) for w, i in zip(ws.tolist(), its.tolist())]
+    want = {(w, i) for w in range(low, high) for i in range(9) if np.isin(text[w : w + size], items[i]).any()}
+    assert set(got) == want and 0 < len(want) < 900
+    assert pairs == 9 or len(got) == len(want)
+
+
+def test_few_pairs_are_compared(monkeypatch):
+    """Of windows and items that share nothing none is compared, however many items there are."""
+    rng = random.Random(6)
+    items = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(400)]
+    text = " ".join([f"w{rng.randrange(3000)}" for _ in range(2000)] + items[7].split() + ["x"] * 50)
+    seen = []
+    close = decontam.Index.close
+    monkeypatch.setattr(decontam.Index, "close", lambda self, of, prints, window, item: seen.extend(window) or close(self, of, prints, window, item))
+    found = list(decontam._row_matches(decontam.Index(list(range(400)), items), 80, pa.array([text])))
+    assert [(r[1], r[2], r[3]) for r in found] == [(7, 1.0, 2000)]
+    assert 0 < len(seen) < 0.001 * 2051 * 400
