@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree searched best bin first.
 
 Vectors get one more coordinate, sqrt(M - |x|^2) with M the largest squared length, and queries a zero there; then the nearest vector in Euclidean
-distance has the largest inner product. The tree is fitted on a bounded sample; every row is put into a leaf. A query walks the tree through a
+distance has the largest inner product. The tree is fitted on a bounded sample; every row is put into a leaf. Leaves that get too many rows are split
+again, each by a subtree that a task fits on a bounded sample of the leaf's own rows, until leaves are small or hold copies only. A query walks the tree through a
 priority queue of nodes by distance and visits leaves in that order. How many leaves it visits is calibrated: some queries are answered by brute
 force over all rows, and visits widen until those find the aimed share of their neighbours. A query whose leaves hold too few other rows for a full
 answer visits more.
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ship, written
+from .scratch import drop, ship, written
 
 #: Rows that the tree is fitted on (smallest hash of vec_id): the bound of the fit.
 SAMPLE = 20_000
 #: Children of a node, rows of the whole table meant for a leaf, sample rows that a leaf needs.
 BRANCH, LEAF_ROWS, LEAF_SAMPLE = 8, 400, 12
+#: Leaves that the tree, which travels to all tasks, is meant for: beyond MOST_LEAVES * LEAF_ROWS rows leaves get larger. Rounds of splitting.
+MOST_LEAVES, ROUNDS = 1 << 16, 8
 #: Queries answered by brute force, and the share of their neighbours that the visited leaves must hold.
 CALIBRATION, RECALL = 200, 0.95
 #: Rows, and queries, of one block: neighbouring leaves share blocks, large leaves are cut into several.
@@ -52,8 +55,6 @@ class Tree:
         self.top = top
         self.children: list[np.ndarray | None] = []
         self.centres: list[np.ndarray | None] = []
-        self.leaf: list[int] = []
-        self.n_leaves = 0
         random = np.random.default_rng(7)
         stack = [(self._node(), self.lift(sample))]
         while stack:
@@ -64,15 +65,34 @@ class Tree:
                     kids = np.array([self._node() for _ in centres])
                     self.children[node], self.centres[node] = kids, centres
                     stack += [(int(k), rows[of == i]) for i, k in enumerate(kids)]
-                    continue
-            self.leaf[node] = self.n_leaves
-            self.n_leaves += 1
+        self.number()
+
+    def number(self) -> None:
+        """Number the leaves so that neighbours have neighbouring numbers."""
+        self.leaf, self.node_of = [-1] * len(self.children), []
+        stack = [0]
+        while stack:
+            node = stack.pop()
+            if self.children[node] is None:
+                self.leaf[node] = len(self.node_of)
+                self.node_of.append(node)
+            else:
+                stack += self.children[node].tolist()
+        self.n_leaves = len(self.node_of)
+
+    def graft(self, node: int, subtree: list[tuple[int, list[int], list[float]]]) -> None:
+        """Put a subtree, (node, children, their centres) of its inner nodes, in the place of a leaf's node. Leaves have to be numbered anew."""
+        own = {0: node}
+        for at, kids, centres in sorted(subtree):
+            for kid in kids:
+                own[kid] = self._node()
+            self.children[own[at]] = np.array([own[kid] for kid in kids])
+            self.centres[own[at]] = np.array(centres, np.float64).reshape(len(kids), -1)
 
     def _node(self) -> int:
         self.children.append(None)
         self.centres.append(None)
-        self.leaf.append(-1)
-        return len(self.leaf) - 1
+        return len(self.children) - 1
 
     def lift(self, rows: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.top - (rows * rows).sum(1), 0))
@@ -153,6 +173,53 @@ def _assigned(tree: Tree, dim: int):
     return of_batches
 
 
+_SUBTREE = pa.schema([("leaf", pa.int32()), ("node", pa.int32()), ("kids", pa.list_(pa.int32())), ("centres", pa.list_(pa.float64()))])
+
+
+def _subtrees(top: float, dim: int):
+    """The inner nodes of a tree fitted on the drawn rows of one leaf."""
+
+    def of_leaf(drawn: pa.Table) -> pa.Table:
+        drawn = drawn.sort_by("vec_id")
+        leaf, leaves = drawn.column("leaf")[0].as_py(), drawn.column("leaves")[0].as_py()
+        tree = Tree(_matrix(drawn.column("v"), dim), math.ceil(drawn.num_rows / leaves), top)
+        inner = [n for n, kids in enumerate(tree.children) if kids is not None]
+        rows = [[leaf] * len(inner), inner, [tree.children[n].tolist() for n in inner], [tree.centres[n].ravel().tolist() for n in inner]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(rows, _SUBTREE.types, strict=True)], schema=_SUBTREE)
+
+    return of_leaf
+
+
+def _placed(tree: Tree, rows: DataFrame, dim: int, total: int) -> tuple[DataFrame, dict[int, int]]:
+    """Every row with its leaf, and the rows of each leaf; the tree grows where leaves hold more than twice the rows meant for them."""
+    size = max(LEAF_ROWS, math.ceil(total / MOST_LEAVES))
+    tried: set[int] = set()
+    for turn in range(ROUNDS + 1):
+        placed = written(rows.mapInArrow(_assigned(tree, dim), "vec_id long, v array<double>, leaf int"), "leaves")
+        counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+        plan = []
+        for leaf, n in counts.items():
+            if n > 2 * size and tree.node_of[leaf] not in tried and turn < ROUNDS:
+                drawn = min(SAMPLE, n, 2 * LEAF_SAMPLE * math.ceil(n / size))
+                plan.append((leaf, drawn / n * (1 << 30), max(2, min(math.ceil(n / size), drawn // LEAF_SAMPLE))))
+        if not plan:
+            break
+        large = F.broadcast(rows.sparkSession.createDataFrame(plan, "leaf int, below double, leaves int"))
+        drawn = placed.join(large, "leaf").filter(F.pmod(F.xxhash64(F.lit("grow"), "vec_id"), F.lit(1 << 30)) < F.col("below"))
+        drawn = drawn.dropDuplicates(["leaf", "vec_id"]).select("leaf", "vec_id", "v", "leaves")
+        subtrees: dict[int, list] = {}
+        for r in drawn.groupBy("leaf").applyInArrow(_subtrees(tree.top, dim), "leaf int, node int, kids array<int>, centres array<double>").collect():
+            subtrees.setdefault(r["leaf"], []).append((r["node"], r["kids"], r["centres"]))
+        tried |= {tree.node_of[leaf] for leaf, _, _ in plan}
+        if not subtrees:
+            break
+        for leaf, subtree in sorted(subtrees.items()):
+            tree.graft(tree.node_of[leaf], subtree)
+        tree.number()
+        drop(placed)
+    return placed, counts
+
+
 def _exact(ids: np.ndarray, queries: np.ndarray, k: int, dim: int):
     """The k best rows of a batch for each of a few queries, with their leaves."""
 
@@ -271,12 +338,11 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     leaves = max(1, min(math.ceil(total / LEAF_ROWS), len(drawn) // LEAF_SAMPLE))
     tree = Tree(drawn, math.ceil(len(drawn) / leaves), top)
 
-    placed = written(rows.mapInArrow(_assigned(tree, dim), "vec_id long, v array<double>, leaf int"), "leaves")
+    placed, counts = _placed(tree, rows, dim, total)
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     chosen = queries.orderBy(F.xxhash64(F.lit("calibrate"), "vec_id"), "vec_id").limit(CALIBRATION).collect()
     visits = _calibrated(tree, placed, chosen, k, dim) if tree.n_leaves > 1 else 1
 
-    counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
     group_of, chunks = _groups(counts)
     of_leaf = spark.createDataFrame([(leaf, g, chunks[g]) for leaf, g in group_of.items()], "leaf int, group int, chunks int")
     repeats = written(queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1"), "repeats")

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from fleetframe.llm import ann
 
 
@@ -100,3 +102,45 @@ def test_leaves_are_visited_until_they_hold_enough_rows():
         got = tree.order(query, 2, counts, 120)
         assert got == every[: len(got)] and sum(counts[x] for x in got) >= 120 > sum(counts[x] for x in got[:-1])
         assert tree.order(query, 2, counts, 1000) == every
+
+
+def test_large_leaves_are_split_on_samples_of_their_own_rows(spark, vectors, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 120)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 20)
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    rows = [(i, [float(np.float32(x + rng.gauss(0, 0.3))) for x in centres[i % 30]]) for i in range(4000)]
+    rows += [(4000 + i, rows[3][1]) for i in range(300)] + [(7, rows[7][1])] * 200
+    table = ann.usable(vectors(rows))
+    top = max(sum(x * x for x in v) for _, v in rows)
+    tree = ann.Tree(np.array([v for _, v in rows[:120]]), 12, top)
+    before = tree.n_leaves
+    placed, counts = ann._placed(tree, table, 8, len(rows))
+    assert before < 4000 / 40 < tree.n_leaves
+    assert sum(counts.values()) == len(rows) == placed.count()
+    leaf = {r.vec_id: r.leaf for r in placed.distinct().collect()}
+    own = tree.assign(np.array([v for _, v in rows]))
+    assert all(leaf[i] == at for (i, _), at in zip(rows, own.tolist(), strict=True))
+    # What is still large holds one vector many times.
+    kinds = {r.leaf: (r.n, r.kinds) for r in placed.groupBy("leaf").agg(F.count("v").alias("n"), F.countDistinct("v").alias("kinds")).collect()}
+    assert all(n <= 40 or n - kinds <= 500 and kinds <= 40 for n, kinds in kinds.values())
+    assert sum(n > 40 for n, _ in kinds.values()) <= 2
+    found, want, hits = {}, brute(rows, 10), 0
+    for r in ann.neighbours(vectors(rows), k=10).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    for q, best in want.items():
+        assert len(found[q]) >= 1
+        # Copies share a score, so neighbours are told by their scores.
+        got = sorted(found[q].values(), reverse=True)
+        hits += sum(s in got for _, _, s in best)
+    assert found.keys() == want.keys() and hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_bounded_number_of_leaves(vectors, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 5)
+    monkeypatch.setattr(ann, "MOST_LEAVES", 10)
+    rows = table(3, 900)
+    good = [v for i, v in rows if i is not None and i < 5000 and v]
+    tree = ann.Tree(np.array(good[:100]), 100, max(sum(x * x for x in v) for v in good))
+    _, counts = ann._placed(tree, ann.usable(vectors(rows)).filter("size(v) = 8"), 8, 1200)
+    assert 5 < tree.n_leaves < 60 and max(counts.values()) <= 300 + 240
