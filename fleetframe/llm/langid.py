@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -75,15 +75,21 @@ def _count_grams(fold: np.ndarray, base: int):
             return pa.RecordBatch.from_arrays([langs, pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            names = batch.column("lang").dictionary_encode()
+            langs, codes = names.dictionary.to_pylist(), names.indices.to_numpy()
             data, offsets = tokens.string_bytes(batch.column("text"))
             for row, to in tokens.pieces(offsets):
                 local = offsets[row : to + 1] - offsets[row]
                 keys = _contexts(fold[data[offsets[row] : offsets[to]]], local, base)
-                for lang in set(langs[row:to]):
-                    own = np.repeat(np.array([x == lang for x in langs[row:to]]), np.diff(local))
-                    held.setdefault(lang, []).append(keys[own])
-                    sizes[lang] = sizes.get(lang, 0) + int(own.sum())
+                # Rows of one language lie together after one sort, however many languages there are.
+                own = np.repeat(codes[row:to], np.diff(local))
+                order = np.argsort(own, kind="stable")
+                keys = keys[order]
+                at = np.flatnonzero(np.append(True, np.diff(own[order]) != 0)) if len(own) else np.zeros(0, np.int64)
+                for code, part in zip(own[order][at].tolist(), np.split(keys, at[1:]), strict=False):
+                    lang = langs[code]
+                    held.setdefault(lang, []).append(part)
+                    sizes[lang] = sizes.get(lang, 0) + len(part)
                     if sizes[lang] >= CHUNK:
                         yield counted(lang)
         for lang in list(held):
@@ -159,16 +165,16 @@ def train(docs: DataFrame, nodes: int = NODES) -> Trees:
     fold = symbol[_folded()]
     counts = written(docs.mapInArrow(_count_grams(fold, base), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
-    # Whole contexts of ORDER bytes beyond the `nodes` commonest of a language only matter through their shorter contexts: sum those in Spark.
-    grams = {}
-    for lang in langs:
-        of_lang = counts.filter(F.col("lang") == lang).withColumn("context", F.expr(f"gram div {base}"))
-        top = of_lang.groupBy("context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(nodes)
-        top = F.broadcast(written(top.select("context"), "contexts"))
-        a = of_lang.join(top, "context", "left_semi").select("gram", "n").toPandas()
-        b = of_lang.join(top, "context", "left_anti").groupBy((F.col("gram") % base**ORDER).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
-        # A far gram is put under a context beyond all of ORDER bytes, so that only its shorter contexts count it.
-        grams[lang] = (np.concatenate([a["gram"], b["gram"] + base ** (ORDER + 1)]).astype(np.int64), np.concatenate([a["n"], b["n"]]).astype(np.int64))
+    # Whole contexts of ORDER bytes beyond the `nodes` commonest of a language only matter through their shorter contexts: sum those in Spark. A language has
+    # base ** ORDER contexts at most, so its window is bounded.
+    contexts = counts.groupBy("lang", F.expr(f"gram div {base}").alias("context")).agg(F.sum("n").alias("all"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("all"), "context"))
+    top = contexts.withColumn("place", place).filter(F.col("place") <= nodes).select("lang", "context", F.lit(True).alias("kept"))
+    counts = counts.withColumn("context", F.expr(f"gram div {base}")).join(top, ["lang", "context"], "left")
+    # A far gram is put under a context beyond all of ORDER bytes, so that only its shorter contexts count it.
+    gram = F.when(F.col("kept"), F.col("gram")).otherwise(F.col("gram") % base**ORDER + base ** (ORDER + 1))
+    whole = counts.groupBy("lang", gram.alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    grams = {lang: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) for lang, own in whole.groupby("lang")}
     return Trees(langs, fold, grams, nodes, base)
 
 
