@@ -8,13 +8,16 @@ context gives the base chances. A text is scored token by token in the longest s
 Nothing here has to fit one machine. Log chances add up over all word runs of a text: a run seen in a state carries what it has over the mass
 shared out, a run that is a state carries the log of that mass for whatever follows it. So the model is one table of (run, value), as
 large as the corpus makes it, and a score is a join and a sum. The most frequent runs, a bounded number, travel to the tasks and are looked up
-there; of the others a text sends only those that the model may hold, told by bit maps of bounded size without false negatives.
+there; of the others a text sends only those that the model may hold, told by bit maps of bounded size without false negatives. Runs of one token,
+of two (the most, in two passes by their last bit) and of more are looked up in passes of their own, with their own frequent runs and map; what a pass has
+shuffled is deleted before the next one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .scratch import drop, ship, written
+from .scratch import drop, ship, shuffles_deleted, written
 
 DEPTH = 3
 LEAST, CUTOFF = 16, 4.0
@@ -32,6 +35,10 @@ CHUNK = 4 << 20
 HOT, HOT_JOIN = 1 << 20, 1 << 14
 #: Other rows of the model are cut by key into buckets of about so many, which meet the runs sent to them in one task.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 8
+#: The most frequent runs of a length, which are sent as numbers of three bytes when longer ones are counted.
+COMMON = 1 << 18
+#: Passes over the keys of runs of two tokens, a power of 2.
+PASSES = 2
 #: Runs are counted in buckets of keys, one for so many training tokens.
 BUCKET_TOKENS = 1 << 21
 #: Bit maps have 2^MAP_BITS bits at most; fuller ones let more runs through to the join, which decides.
@@ -110,9 +117,89 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _run_counts(length: int, states: Marks, frequent: np.ndarray, buckets: int):
+class _Places:
+    """Where keys stand in a sorted array of distinct ones, by a table of first places for ranges of keys; only the keys travel, a task makes the table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.first = None
+
+    def _tabled(self) -> None:
+        span = int(self.keys[-1] - self.keys[0]).bit_length()
+        self.shift = np.uint64(max(0, span - min(22, (4 * len(self.keys)).bit_length())))
+        ranges = self._range(self.keys, 1 << 23)
+        self.first = np.append(np.int32(0), np.cumsum(np.bincount(ranges, minlength=int(ranges[-1]) + 2), dtype=np.int32))
+
+    def _range(self, keys: np.ndarray, last: int) -> np.ndarray:
+        return np.minimum((keys - self.keys[0]) >> self.shift, np.uint64(last)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in `keys` of those that are there, and their places; in any order."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        if len(self.keys):
+            if self.first is None:
+                self._tabled()
+            own = self._range(keys, len(self.first) - 2)
+            at = np.flatnonzero(self.first[own] < self.first[own + 1])
+            place, end = self.first[own[at]], self.first[own[at] + 1]
+            while len(at):
+                same = self.keys[place] == keys[at]
+                found.append((at[same], place[same]))
+                on = np.flatnonzero(~same & (place + 1 < end))
+                at, place, end = at[on], place[on] + 1, end[on]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class _Names:
+    """Keys as bytes: numbers of the `common` ones, cut in two, and the others after them as they are."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common
+        self.places = None
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        if self.places is None:
+            self.by_key = np.argsort(self.common).astype(np.uint32)
+            self.places = _Places(self.common[self.by_key])
+        of = np.full(len(keys), len(self.common), np.uint32)
+        at, place = self.places.find(keys)
+        of[at] = self.by_key[place]
+        return of
+
+    def packed(self, keys: np.ndarray, numbers: np.ndarray) -> bytes:
+        low, high = numbers.astype(np.uint16).tobytes(), (numbers >> 16).astype(np.uint8).tobytes()
+        return _packed(low + high) + keys[numbers == len(self.common)].tobytes()
+
+
+def _packed(content: bytes) -> bytes:
+    """The size of the compressed bytes, and these."""
+    small = pa.compress(content, codec="zstd", asbytes=True)
+    return len(small).to_bytes(8, "little") + small
+
+
+def _unpacked(content: bytes, size: int) -> tuple[bytes, bytes]:
+    """`size` bytes that were packed, and what follows them."""
+    end = 8 + int.from_bytes(content[:8], "little")
+    return pa.decompress(content[8:end], size, "zstd", asbytes=True), content[end:]
+
+
+def _keys(common: np.ndarray, content: bytes, n: int) -> np.ndarray:
+    """The n keys that `_Names` packed."""
+    both, rest = _unpacked(content, 3 * n)
+    numbers = np.frombuffer(both, np.uint16, n) | np.frombuffer(both, np.uint8, n, 2 * n).astype(np.uint32) << 16
+    rare = numbers == len(common)
+    keys = np.empty(n, np.uint64)
+    keys[rare], keys[~rare] = np.frombuffer(rest, np.uint64), common[numbers[~rare]]
+    return keys
+
+
+_COUNTS = "bucket int, contexts binary, n_contexts int, runs binary, suffixes binary, ns binary, n_runs int"
+
+
+def _run_counts(length: int, states: Marks, frequent: np.ndarray, common: np.ndarray, buckets: int):
     """Counts of runs of length + 1 tokens whose first `length` may be a state: for each bucket a row with the contexts in order, the number of runs of each,
     and their suffixes and counts. All runs of a context go to one bucket, unless it is one of the `frequent`, whose runs are dealt over all."""
+    names = _Names(common)
 
     def counted(contexts: list[np.ndarray], suffixes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         context, suffix = np.concatenate(contexts), np.concatenate(suffixes)
@@ -120,14 +207,18 @@ def _run_counts(length: int, states: Marks, frequent: np.ndarray, buckets: int):
         context, suffix = context[first], suffix[first]
         often = frequent[np.minimum(np.searchsorted(frequent, context), len(frequent) - 1)] == context
         bucket = _bucket(np.where(often, key, tokens.mix(context)), buckets)
+        number = names.numbers(suffix)
         order = np.lexsort((context, bucket))
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(ends)).tolist():
             own = order[ends[b] : ends[b + 1]]
             each, runs = np.unique(context[own], return_counts=True)
-            columns = (each, runs.astype(np.int32), suffix[own], n[own].astype(np.int32))
+            packed = (names.packed(each, names.numbers(each)), len(each), _packed(runs.astype(np.int32).tobytes()),
+                      names.packed(suffix[own], number[own]), _packed(n[own].astype(np.int32).tobytes()), len(own))
+            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=["bucket", "contexts", "runs", "suffixes", "ns"]
+                [pa.array([b], pa.int32()), *(pa.array([c], kind) for c, kind in zip(packed, kinds, strict=True))],
+                names=["bucket", "contexts", "n_contexts", "runs", "suffixes", "ns", "n_runs"],
             )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +245,25 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(48)).astype(np.int64) * buckets) >> 16
 
 
-def _repeated_runs(sent: pa.Table) -> pa.Table:
+def _repeated_runs(common: np.ndarray):
     """The runs of one bucket that were seen twice at least, with their keys and whole counts."""
-    joined = lambda name, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in sent.column(name)])
-    context = np.repeat(joined("contexts", np.uint64), joined("runs", np.int32))
-    suffix, n = joined("suffixes", np.uint64), joined("ns", np.int32)
-    key = join_keys(context, suffix)
-    order = np.argsort(key)
-    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-    whole = np.add.reduceat(n[order].astype(np.int64), first)
-    own, whole = order[first[whole >= 2]], whole[whole >= 2]
-    return pa.table({"key": key[own].view(np.int64), "context": context[own].view(np.int64), "suffix": suffix[own].view(np.int64), "n": whole})
+
+    def of_bucket(sent: pa.Table) -> pa.Table:
+        contexts, suffixes, ns = [], [], []
+        for r in sent.to_pylist():
+            runs, _ = _unpacked(r["runs"], 4 * r["n_contexts"])
+            contexts.append(np.repeat(_keys(common, r["contexts"], r["n_contexts"]), np.frombuffer(runs, np.int32)))
+            suffixes.append(_keys(common, r["suffixes"], r["n_runs"]))
+            ns.append(np.frombuffer(_unpacked(r["ns"], 4 * r["n_runs"])[0], np.int32))
+        context, suffix, n = (np.concatenate(c) for c in (contexts, suffixes, ns))
+        key = join_keys(context, suffix)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        whole = np.add.reduceat(n[order].astype(np.int64), first)
+        own, whole = order[first[whole >= 2]], whole[whole >= 2]
+        return pa.table({"key": key[own].view(np.int64), "context": context[own].view(np.int64), "suffix": suffix[own].view(np.int64), "n": whole})
+
+    return of_bucket
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -187,12 +286,12 @@ def _windowed(rows: DataFrame, **sums: Column) -> DataFrame:
 
 def _weighed(rows: DataFrame, within: Callable[..., DataFrame]) -> DataFrame:
     """Runs with the chance of their last token; what a state adds to it in `value`, and on one run of each state the state itself as `of`."""
-    rows = within(rows, beyond=F.sum(F.col("n") - 1), seen=F.sum("n"), lead=F.min("suffix"))
+    rows = within(rows, beyond=F.sum(F.col("n") - 1), seen=F.sum("n"), lead=F.min("key"))
     rows = rows.withColumn("share", 1 - F.col("beyond") / F.col("all"))
     rows = rows.withColumn("own", (F.col("n") - 1) / F.col("all") + F.col("share") * F.col("shorter"))
     rows = within(rows, saved=F.sum(F.col("n") * F.log(F.col("own") / F.col("shorter"))))
     state = F.col("saved") + (F.col("all") - F.col("seen")) * F.log("share") >= CUTOFF
-    led = state & (F.col("lead") == F.col("suffix"))
+    led = state & (F.col("lead") == F.col("key"))
     return rows.select(
         "key", "n", "ends", F.when(state, F.col("own")).otherwise(F.col("shorter")).alias("chance"),
         F.when(state, F.log10(F.col("own") / (F.col("share") * F.col("shorter")))).alias("value"),
@@ -217,11 +316,20 @@ class Tree:
     def unknown(self) -> float:
         return float(np.log10(0.5 / (self.n + 0.5 * (self.kinds + 1))))
 
-    def rows(self) -> DataFrame:
-        all_rows = self.words
-        for table in self.runs:
-            all_rows = all_rows.unionByName(table)
-        return all_rows
+    @property
+    def longest(self) -> int:
+        return len(self.runs) // 2 + 1
+
+    def rows(self, lengths: range) -> DataFrame:
+        """What the model holds on runs of these lengths: `runs` has, for each length from 2, the runs and the states one token shorter."""
+        tables = [self.words] * (1 in lengths) + [t for i, t in enumerate(self.runs) if i // 2 + 2 - i % 2 in lengths]
+        return reduce(DataFrame.unionByName, tables)
+
+
+def _least(rows: DataFrame, most: int) -> int:
+    """A count n that `most` rows reach at most."""
+    top = rows.select("n").orderBy(F.desc("n")).limit(most + 1).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    return top["n"] + 1 if top["rows"] > most else 0
 
 
 def _signed(key: int) -> int:
@@ -246,13 +354,15 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
         if not candidates.map.any():
             break
         frequent = np.sort(open_.orderBy(F.desc("n"), "key").limit(HOT_JOIN).toArrow().column("key").to_numpy().view(np.uint64))
+        common = level.filter(F.col("n") >= _least(level, COMMON)).select("key", "n").toArrow()
+        common = common.column("key").to_numpy().view(np.uint64)[np.argsort(-common.column("n").to_numpy(), kind="stable")]
         buckets = max(LEAST_BUCKETS, -(-tree.n // BUCKET_TOKENS))
-        sent = docs.mapInArrow(_run_counts(length, candidates, frequent, buckets), "bucket int, contexts binary, runs binary, suffixes binary, ns binary")
-        counts = sent.groupBy("bucket").applyInArrow(_repeated_runs, "key long, context long, suffix long, n long")
+        sent = docs.mapInArrow(_run_counts(length, candidates, frequent, common, buckets), _COUNTS)
+        counts = sent.groupBy("bucket").applyInArrow(_repeated_runs(common), "key long, context long, suffix long, n long")
         counts = written(counts, "runs")
         suffixes = level.select(F.col("key").alias("suffix"), "n", F.col("chance").alias("shorter"), "ends")
         often, seldom = _looked_up(counts, suffixes, "suffix")
-        seen = written(often.unionByName(seldom), "seen")
+        seen = written(often.unionByName(seldom).drop("suffix"), "seen")
         drop(counts)
         often, seldom = _looked_up(seen, open_.select(F.col("key").alias("context"), "n", F.col("n").alias("all")), "context")
         level = _weighed(often, _grouped).unionByName(_weighed(seldom, _windowed))
@@ -264,28 +374,20 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
     return tree
 
 
-class _Frequent:
+class _Frequent(_Places):
     """Known counts, base and value sums of the most frequent runs, by key."""
 
     def __init__(self, rows: pa.Table):
-        self.keys, at = np.unique(rows.column("key").to_numpy().view(np.uint64), return_inverse=True)
-        self.sums = np.stack([np.bincount(at, rows.column(c).to_numpy(), len(self.keys)) for c in ("known", "base", "value")], 1)
-        self.marked = np.zeros(1 << 22, bool)
-        self.marked[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in `keys` of frequent runs, and their rows in `sums`."""
-        likely = np.flatnonzero(self.marked[(keys >> np.uint64(42)).astype(np.int64)])
-        if not len(self.keys):
-            return likely[:0], likely[:0]
-        place = np.minimum(np.searchsorted(self.keys, keys[likely]), len(self.keys) - 1)
-        sure = self.keys[place] == keys[likely]
-        return likely[sure], place[sure]
+        keys, at = np.unique(rows.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        super().__init__(keys)
+        sums = [np.bincount(at, rows.column(c).to_numpy(), len(keys)) for c in ("known", "base", "value")]
+        #: Those of the three that any run has.
+        self.sums = {c: (own.astype(np.uint8) if c == 0 else own) for c, own in enumerate(sums) if own.any()}
 
 
-def _sent(depth: int, unknown: float, frequent: _Frequent, others: Marks, buckets: int):
-    """Per piece of texts a row with what their tokens and frequent runs add up to, and for each bucket of keys a row with the other runs that the model
-    may hold: the keys text by text, and how many each text has."""
+def _sent(lengths: range, part: int, passes: int, unknown: float, frequent: _Frequent, others: Marks, buckets: int):
+    """Per piece of texts a row with what their tokens, if runs of one are asked for, and frequent runs of these lengths add up to, and for each bucket of
+    keys a row with the other runs that the model may hold: the keys text by text, and how many each text has. Of `passes` over the keys this is `part`."""
 
     def row(bucket: int, ids: pa.Array, digests: pa.Array, counts: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -301,22 +403,27 @@ def _sent(depth: int, unknown: float, frequent: _Frequent, others: Marks, bucket
                 ids, digests = (batch.column(c).slice(at_row, n) for c in ("doc_id", "digest"))
                 size = np.bincount(doc, minlength=n) - 1
                 sums = np.zeros((n, 3))
-                sums[:, 1] = size * unknown
+                if 1 in lengths:
+                    sums[:, 1] = size * unknown
                 run_of, run_key = [], []
-                for length in range(1, depth + 2):
-                    inside = np.flatnonzero(left[: len(keys)] >= length)
+                for _ in range(1, lengths[0]):
+                    keys = longer(keys)
+                for length in lengths:
+                    inside = left[: len(keys)] >= length
+                    if passes > 1:
+                        inside &= (keys & np.uint64(passes - 1)) == part
+                    inside = np.flatnonzero(inside)
                     own, of = keys[inside], doc[inside]
                     at, place = frequent.find(own)
-                    for c in range(3):
-                        sums[:, c] += np.bincount(of[at], frequent.sums[place, c], n)
+                    for c, values in frequent.sums.items():
+                        sums[:, c] += np.bincount(of[at], values[place], n)
                     rest = np.ones(len(own), bool)
                     rest[at] = False
                     own, of = own[rest], of[rest]
                     may = others[own]
                     run_of.append(of[may])
                     run_key.append(own[may])
-                    if len(keys) > 1:
-                        keys = longer(keys)
+                    keys = longer(keys)
                 run_of, run_key = np.concatenate(run_of), np.concatenate(run_key)
                 bucket = _bucket(run_key, buckets)
                 order = np.lexsort((run_of, bucket))
@@ -346,8 +453,8 @@ def _bucket_sums(sent: pa.Table, model: pa.Table) -> pa.Table:
             sums = np.zeros((len(counts), 3))
             at, place = known.find(np.frombuffer(sent.column("keys")[r].as_buffer(), np.uint64))
             of = np.repeat(np.arange(len(counts)), counts)[at]
-            for c in range(3):
-                sums[:, c] = np.bincount(of, known.sums[place, c], len(counts))
+            for c, values in known.sums.items():
+                sums[:, c] = np.bincount(of, values[place], len(counts))
         zeros = np.zeros(len(counts), np.int64)
         parts.append(pa.Table.from_arrays([ids, digests, pa.array(zeros + whole), pa.array(counts.astype(np.int64) if whole else zeros), *map(pa.array, sums.T)],
                                           names=["doc_id", "digest", "rows", "n_tokens", "known", "base", "value"]))
@@ -356,24 +463,32 @@ def _bucket_sums(sent: pa.Table, model: pa.Table) -> pa.Table:
     return pa.concat_tables([empty, *parts]).combine_chunks()
 
 
+def _sums(docs: DataFrame, tree: Tree, lengths: range, part: int, passes: int, hot: int) -> DataFrame:
+    """What runs of these lengths add to the texts of docs (doc_id, digest, text); with runs of one token also how many rows and tokens there are."""
+    model = tree.rows(lengths).filter(F.col("key").bitwiseAND(F.lit(passes - 1)) == part)
+    least = _least(model, hot // passes)
+    frequent = _Frequent(model.filter(F.col("n") >= least).select("key", "known", "base", "value").toArrow())
+    model = model.filter(F.col("n") < least).drop("n")
+    buckets = max(LEAST_BUCKETS, -(-model.count() // BUCKET_ROWS))
+    schema = "bucket int, ids array<long>, digests array<long>, counts array<int>, keys binary, sums array<double>"
+    sent = docs.mapInArrow(_sent(lengths, part, passes, tree.unknown, frequent, marks(model.select("key")), buckets), schema)
+    model = model.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(key, 48) * {buckets} div 65536 as int)"))
+    parts = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bucket_sums, _PARTS)
+    whole = parts.groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "value")])
+    if 1 not in lengths:
+        whole = whole.withColumns({"rows": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long")})
+    return written(whole, "sums")
+
+
 def score(docs: DataFrame, tree: Tree, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
     Rows with the same doc_id and text have the same score: they are added up together and dealt out again. Texts of one doc_id are told apart by a 64-bit hash.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    model = tree.rows()
-    top = model.select("n").orderBy(F.desc("n")).limit(hot + 1).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    least = top["n"] + 1 if top["rows"] > hot else 0
-    frequent = _Frequent(model.filter(F.col("n") >= least).toArrow())
-    model = model.filter(F.col("n") < least).drop("n")
-    buckets = max(LEAST_BUCKETS, -(-model.count() // BUCKET_ROWS))
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"))
-    schema = "bucket int, ids array<long>, digests array<long>, counts array<int>, keys binary, sums array<double>"
-    sent = docs.mapInArrow(_sent(len(tree.runs) // 2, tree.unknown, frequent, marks(model.select("key")), buckets), schema)
-    model = model.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(key, 48) * {buckets} div 65536 as int)"))
-    parts = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bucket_sums, _PARTS)
+    passes = [(range(1, 2), 0, 1), *((range(2, 3), part, PASSES) for part in range(PASSES)), (range(3, tree.longest + 1), 0, 1)]
+    parts = reduce(DataFrame.unionByName, [_sums(docs, tree, *each, hot) for each in passes if each[0] and each[0][-1] <= tree.longest])
     whole = parts.groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "value")])
     whole = whole.withColumn("each", F.explode(F.array_repeat("rows", F.col("rows").cast("int"))))
     base = F.col("base") / F.col("rows")
@@ -391,5 +506,6 @@ def modelled(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     With nothing to learn from every token has chance 1; an empty table gives an empty result.
     """
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
-    scores = score(docs, train(docs.filter(rest != held)))
+    with shuffles_deleted(docs.sparkSession):
+        scores = score(docs, train(docs.filter(rest != held)))
     return scores.select("doc_id", F.coalesce(rest == held, F.lit(False)).alias("held_out"), *scores.columns[1:])

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,3 +112,50 @@ def test_marks_have_no_false_no(spark):
     keys = np.random.default_rng(0).integers(0, 1 << 64, 5000, dtype=np.uint64)
     found = lm.marks(spark.createDataFrame([(int(k),) for k in keys[:1000].view(np.int64)], "key long"))[keys]
     assert set(range(1000)) <= set(found.tolist()) and len(found) < 1200
+
+
+def test_packed_keys_come_back():
+    common = np.random.default_rng(1).permutation(lm.tokens.seeds(70000, 3))
+    rare = lm.tokens.seeds(50, 4)
+    names = lm._Names(common)
+    for keys in (common[:0], rare, common[::-1], np.concatenate([common[::7], rare, common[:5]])):
+        packed = names.packed(keys, names.numbers(keys))
+        assert (lm._keys(common, packed, len(keys)) == keys).all()
+        assert (lm._keys(common[:0], lm._Names(common[:0]).packed(keys, np.zeros(len(keys), np.uint32)), len(keys)) == keys).all()
+    assert len(names.packed(common, names.numbers(common))) < 3 * len(common)
+
+
+def test_places_are_those_of_a_search():
+    rng = np.random.default_rng(2)
+    for low, high, n in ((0, 1 << 64, 3000), (5, 9, 4), (1 << 63, (1 << 63) + 40000, 9000), (7, 8, 1), (0, 1, 0)):
+        own = np.unique(rng.integers(low, high, n, dtype=np.uint64))
+        keys = np.concatenate([own, rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, low, (1 << 64) - 1], np.uint64)])
+        at, place = lm._Places(own).find(keys)
+        assert sorted(at.tolist()) == np.flatnonzero(np.isin(keys, own)).tolist() and (own[place] == keys[at]).all()
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_few_runs_have_numbers(docs_of, monkeypatch, most):
+    monkeypatch.setattr(lm, "COMMON", most)
+    monkeypatch.setattr(lm, "PASSES", 4)
+    rows = corpus(5, 150)
+    want = brute(rows)[0]
+    got = [tuple(r) for r in lm.modelled(docs_of(rows)).collect()]
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-10)
+
+
+def test_shuffles_are_deleted_as_jobs_end(spark, docs_of):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    docs = docs_of(corpus(6, 100))
+    old = shuffled()
+    lm.modelled(docs)
+    for _ in range(50):
+        if len(shuffled() - old) <= lm.DEPTH:
+            break
+        time.sleep(0.2)
+    assert len(shuffled() - old) <= lm.DEPTH  # those of toArrow() stay until their frames go
+    assert spark.conf.get(name, None) == before
