@@ -9,8 +9,8 @@ Nothing here has to fit one machine. Log chances add up over all word runs of a
 shared out, a run that is a state carries the log of that mass for whatever follows it. So the model is one table of (run, value), as
 large as the corpus makes it, and a score is a join and a sum. The most frequent runs, a bounded number, travel to the tasks and are looked up
 there; of the others a text sends only those that the model may hold, told by bit maps of bounded size without false negatives. Runs of one token,
-of two (the most, in two passes by their last bit) and of more are looked up in passes of their own, with their own frequent runs and map; what a pass has
-shuffled is deleted before the next one.
+of two (the most, in two passes by their last bit, as numbers of common words) and of more are looked up in passes of their own, with their own frequent
+runs and map; what a pass has shuffled is deleted before the next one. Texts travel in pieces, whose rows are named once: buckets send back the sums alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +36,16 @@ CHUNK = 4 << 20
 HOT, HOT_JOIN = 1 << 20, 1 << 14
 #: Other rows of the model are cut by key into buckets of about so many, which meet the runs sent to them in one task.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 8
-#: The most frequent runs of a length, which are sent as numbers of three bytes when longer ones are counted.
+#: The most frequent runs of a length, which are sent as numbers of three bytes when longer ones are counted, and words when runs of two are looked up.
 COMMON = 1 << 18
-#: Passes over the keys of runs of two tokens, a power of 2.
+#: Passes over the keys of runs of two tokens, and of suffixes whose chances are looked up, a power of 2.
 PASSES = 2
 #: Runs are counted in buckets of keys, one for so many training tokens.
 BUCKET_TOKENS = 1 << 21
 #: Bit maps have 2^MAP_BITS bits at most; fuller ones let more runs through to the join, which decides.
 MAP_BITS = 28
+#: Rows of the model of which one task makes the pages of a bit map.
+MARKED_ROWS = 1 << 19
 
 # Two tokens that no text holds: the beginning is a context only, the end is a token only.
 BEGIN, END = (int(k) for k in tokens.mix(np.array([101, 102], np.uint64)))
@@ -93,9 +96,28 @@ class Marks:
         return (self.map[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def marks(keys: DataFrame) -> Marks:
-    """The bit map of the column `key`; Spark builds its pages."""
-    bits = max(15, min(MAP_BITS, int(16 * keys.count()).bit_length()))
+def _order(keys: np.ndarray, exact: bool = True) -> np.ndarray:
+    """Positions that sort keys. Upper bits are sorted with positions in place of the lower ones, which is several times faster than an argsort; where
+    keys differ in lower bits alone, those that are the same may stand apart if not `exact`."""
+    low = np.uint64(max(1, len(keys) - 1).bit_length())
+    order = keys >> low << low | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << low) - np.uint64(1)
+    order = order.view(np.int64)
+    if exact and len(keys):
+        inside = keys[order]
+        if (inside[1:] < inside[:-1]).any():
+            return np.argsort(keys, kind="stable")
+    return order
+
+
+def marks(keys: DataFrame, n: int | None = None) -> Marks:
+    """The bit map of the column `key`; Spark builds its pages. With the number n of keys a task makes them of many."""
+    if n is None:
+        n = keys.count()
+    else:
+        keys = keys.coalesce(-(-n // MARKED_ROWS) + 1)
+    bits = max(15, min(MAP_BITS, int(16 * n).bit_length()))
     key = F.col("key")
     slots = F.array(F.shiftrightunsigned(key, 64 - bits), F.shiftrightunsigned(key, 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1)))
     slots = keys.select(F.explode(slots).alias("slot"))
@@ -123,12 +145,14 @@ class _Places:
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.first = None
+        self.often = False
 
     def _tabled(self) -> None:
         span = int(self.keys[-1] - self.keys[0]).bit_length()
         self.shift = np.uint64(max(0, span - min(22, (4 * len(self.keys)).bit_length())))
         ranges = self._range(self.keys, 1 << 23)
         self.first = np.append(np.int32(0), np.cumsum(np.bincount(ranges, minlength=int(ranges[-1]) + 2), dtype=np.int32))
+        self.ended = np.append(self.keys, self.keys[:1])  # nothing that is looked up after the last key is the first
 
     def _range(self, keys: np.ndarray, last: int) -> np.ndarray:
         return np.minimum((keys - self.keys[0]) >> self.shift, np.uint64(last)).astype(np.int64)
@@ -140,13 +164,23 @@ class _Places:
             if self.first is None:
                 self._tabled()
             own = self._range(keys, len(self.first) - 2)
-            at = np.flatnonzero(self.first[own] < self.first[own + 1])
-            place, end = self.first[own[at]], self.first[own[at] + 1]
+            if self.often:
+                place = self.first[own]
+                same = self.ended[place] == keys
+                found.append((np.flatnonzero(same), place[same]))
+                at = np.flatnonzero(~same)
+                place, end = place[at] + 1, self.first[own[at] + 1]
+                on = np.flatnonzero(place < end)
+                at, place, end = at[on], place[on], end[on]
+            else:  # most ranges asked for are empty
+                at = np.flatnonzero(self.first[own] < self.first[own + 1])
+                place, end = self.first[own[at]], self.first[own[at] + 1]
             while len(at):
                 same = self.keys[place] == keys[at]
                 found.append((at[same], place[same]))
                 on = np.flatnonzero(~same & (place + 1 < end))
                 at, place, end = at[on], place[on] + 1, end[on]
+            self.often = 3 * sum(len(x) for x, _ in found) > len(keys)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -199,22 +233,36 @@ _COUNTS = "bucket int, contexts binary, n_contexts int, runs binary, suffixes bi
 def _run_counts(length: int, states: Marks, frequent: np.ndarray, common: np.ndarray, buckets: int):
     """Counts of runs of length + 1 tokens whose first `length` may be a state: for each bucket a row with the contexts in order, the number of runs of each,
     and their suffixes and counts. All runs of a context go to one bucket, unless it is one of the `frequent`, whose runs are dealt over all."""
-    names = _Names(common)
+    names, dealt = _Names(common), _Places(frequent)
 
     def counted(contexts: list[np.ndarray], suffixes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         context, suffix = np.concatenate(contexts), np.concatenate(suffixes)
-        key, first, n = np.unique(join_keys(context, suffix), return_index=True, return_counts=True)
+        contexts.clear()
+        suffixes.clear()
+        key = join_keys(context, suffix)
+        order = _order(key, exact=False)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(first, len(key)))
+        key, first = key[first], order[first]
         context, suffix = context[first], suffix[first]
-        often = frequent[np.minimum(np.searchsorted(frequent, context), len(frequent) - 1)] == context
-        bucket = _bucket(np.where(often, key, tokens.mix(context)), buckets)
+        hashed = tokens.mix(context)
+        by = hashed.copy()
+        often, _ = dealt.find(context)
+        by[often] = key[often]
+        bucket = _bucket(by, buckets)
+        high = np.uint64(max(1, (buckets - 1).bit_length()))
+        order = _order(bucket.astype(np.uint64) << (np.uint64(64) - high) | hashed >> high, exact=False)
+        context, suffix, n = context[order], suffix[order], n[order]
         number = names.numbers(suffix)
-        order = np.lexsort((context, bucket))
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(ends)).tolist():
-            own = order[ends[b] : ends[b + 1]]
-            each, runs = np.unique(context[own], return_counts=True)
+            own = slice(ends[b], ends[b + 1])
+            each = np.flatnonzero(np.append(True, np.diff(context[own]) != 0))
+            runs = np.diff(np.append(each, ends[b + 1] - ends[b]))
+            each = context[own][each]
             packed = (names.packed(each, names.numbers(each)), len(each), _packed(runs.astype(np.int32).tobytes()),
-                      names.packed(suffix[own], number[own]), _packed(n[own].astype(np.int32).tobytes()), len(own))
+                      names.packed(suffix[own], number[own]), _packed(n[own].astype(np.int32).tobytes()), len(n[own]))
             kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b], pa.int32()), *(pa.array([c], kind) for c, kind in zip(packed, kinds, strict=True))],
@@ -234,7 +282,7 @@ def _run_counts(length: int, states: Marks, frequent: np.ndarray, common: np.nda
                 size += len(inside)
                 if size >= CHUNK:
                     yield from counted(contexts, suffixes)
-                    contexts, suffixes, size = [], [], 0
+                    size = 0
         if size:
             yield from counted(contexts, suffixes)
 
@@ -257,7 +305,7 @@ def _repeated_runs(common: np.ndarray):
             ns.append(np.frombuffer(_unpacked(r["ns"], 4 * r["n_runs"])[0], np.int32))
         context, suffix, n = (np.concatenate(c) for c in (contexts, suffixes, ns))
         key = join_keys(context, suffix)
-        order = np.argsort(key)
+        order = _order(key)
         first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
         whole = np.add.reduceat(n[order].astype(np.int64), first)
         own, whole = order[first[whole >= 2]], whole[whole >= 2]
@@ -266,11 +314,15 @@ def _repeated_runs(common: np.ndarray):
     return of_bucket
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Inner joins on `key`, which is unique in `table`: of the rows whose key is one of its most frequent runs, which may be many for one key and meet it by
+def _split(table: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the most frequent runs, few enough for a broadcast, and the others."""
+    return written(table.filter(F.col("n") >= least).drop("n"), "hot"), table.filter(F.col("n") < least).drop("n")
+
+
+def _looked_up(rows: DataFrame, hot: DataFrame, others: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Inner joins on `key`, which is unique: of the rows whose key is one of the most frequent runs, which may be many for one key and meet it by
     broadcast, and of all others."""
-    hot = F.broadcast(written(table.orderBy(F.desc("n"), key).limit(HOT_JOIN).drop("n"), "hot"))
-    return rows.join(hot, key), rows.join(hot.select(key), key, "left_anti").join(table.drop("n"), key)
+    return rows.join(F.broadcast(hot), key), rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)
 
 
 def _grouped(rows: DataFrame, **sums: Column) -> DataFrame:
@@ -326,10 +378,29 @@ class Tree:
         return reduce(DataFrame.unionByName, tables)
 
 
-def _least(rows: DataFrame, most: int) -> int:
-    """A count n that `most` rows reach at most."""
-    top = rows.select("n").orderBy(F.desc("n")).limit(most + 1).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    return top["n"] + 1 if top["rows"] > most else 0
+class _Ranks:
+    """How many rows reach each count n."""
+
+    def __init__(self, rows: DataFrame):
+        counts = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).toArrow()  # some 100,000 rows for 5 billion tokens
+        n, each = (counts.column(c).to_numpy() for c in ("n", "rows"))
+        order = np.argsort(-n)
+        self.n, self.reach = n[order], np.append(0, np.cumsum(each[order]))
+
+    def least(self, most: int) -> int:
+        """The least count that `most` rows reach at most, 0 if all may."""
+        fits = int(np.searchsorted(self.reach[1:], most, "right"))
+        return int(self.n[fits]) + 1 if fits < len(self.n) else 0
+
+    def below(self, least: int) -> int:
+        """How many rows do not reach a count."""
+        return int(self.reach[-1] - self.reach[np.count_nonzero(self.n >= least)])
+
+
+def _commonest(rows: DataFrame, ranks: _Ranks) -> np.ndarray:
+    """Keys of the most frequent rows, COMMON at most, from the most frequent on."""
+    common = rows.filter(F.col("n") >= ranks.least(COMMON)).select("key", "n").toArrow()
+    return common.column("key").to_numpy().view(np.uint64)[np.argsort(-common.column("n").to_numpy(), kind="stable")]
 
 
 def _signed(key: int) -> int:
@@ -348,32 +419,50 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Tree:
     tree.words = proper.select("key", "n", F.lit(1).alias("known"), (F.log10(chance) - tree.unknown).alias("base"), F.lit(0.0).alias("value"))
     # Runs of one length: key, n, chance of the last token after the others, and whether that is the end of a text.
     level = level.select("key", "n", chance.alias("chance"), (F.col("key") == _signed(END)).alias("ends"))
+    levels: list[DataFrame] = []
     for length in range(1, depth + 1):
-        open_ = level.filter((F.col("n") >= LEAST) & ~F.col("ends")).select("key", "n")
+        open_ = written(level.filter((F.col("n") >= LEAST) & ~F.col("ends")).select("key", "n"), "open")
         candidates = marks(open_)
         if not candidates.map.any():
             break
-        frequent = np.sort(open_.orderBy(F.desc("n"), "key").limit(HOT_JOIN).toArrow().column("key").to_numpy().view(np.uint64))
-        common = level.filter(F.col("n") >= _least(level, COMMON)).select("key", "n").toArrow()
-        common = common.column("key").to_numpy().view(np.uint64)[np.argsort(-common.column("n").to_numpy(), kind="stable")]
+        ranks, opened = _Ranks(level), _Ranks(open_).least(HOT_JOIN)
+        frequent = np.sort(open_.filter(F.col("n") >= opened).toArrow().column("key").to_numpy().view(np.uint64))
+        common = _commonest(level, ranks)
         buckets = max(LEAST_BUCKETS, -(-tree.n // BUCKET_TOKENS))
         sent = docs.mapInArrow(_run_counts(length, candidates, frequent, common, buckets), _COUNTS)
         counts = sent.groupBy("bucket").applyInArrow(_repeated_runs(common), "key long, context long, suffix long, n long")
         counts = written(counts, "runs")
         suffixes = level.select(F.col("key").alias("suffix"), "n", F.col("chance").alias("shorter"), "ends")
-        often, seldom = _looked_up(counts, suffixes, "suffix")
-        seen = written(often.unionByName(seldom).drop("suffix"), "seen")
+        hot, seldom = _split(suffixes, ranks.least(HOT_JOIN))
+        parts = []
+        for part in range(PASSES):
+            own = F.col("suffix").bitwiseAND(F.lit(PASSES - 1)) == part
+            looked_up = _looked_up(counts.filter(own), hot.filter(own), seldom.filter(own), "suffix")
+            parts.append(written(DataFrame.unionByName(*looked_up).drop("suffix"), "seen"))
         drop(counts)
-        often, seldom = _looked_up(seen, open_.select(F.col("key").alias("context"), "n", F.col("n").alias("all")), "context")
-        level = _weighed(often, _grouped).unionByName(_weighed(seldom, _windowed))
-        level = written(level if length < depth else level.filter("value is not null"), "level")
-        drop(seen)
-        plain = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
+        seen = reduce(DataFrame.unionByName, parts)
+        often, seldom = _looked_up(seen, *_split(open_.select(F.col("key").alias("context"), "n", F.col("n").alias("all")), opened), "context")
+        grown = _weighed(often, _grouped).unionByName(_weighed(seldom, _windowed))
+        grown = written(grown if length < depth else _modelled(grown), "level")
+        for part in (*parts, hot, open_):
+            drop(part)
+        if length > 1:  # its chances were for this length
+            levels[-1] = written(_modelled(level), "level")
+            drop(level)
+        levels.append(grown)
+        level = grown
+    plain = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
+    for level in levels:
         tree.runs.append(level.filter("value is not null").select("key", "n", *plain, "value"))
         tree.runs.append(level.filter("of is not null").select(F.col("of").alias("key"), F.col("all").alias("n"), *plain, F.col("share").alias("value")))
     return tree
 
 
+def _modelled(level: DataFrame) -> DataFrame:
+    """What the model keeps of runs of one length."""
+    return level.filter("value is not null").select("key", "n", "value", "of", "all", "share")
+
+
 class _Frequent(_Places):
     """Known counts, base and value sums of the most frequent runs, by key."""
 
@@ -385,27 +474,40 @@ class _Frequent(_Places):
         self.sums = {c: (own.astype(np.uint8) if c == 0 else own) for c, own in enumerate(sums) if own.any()}
 
 
-def _sent(lengths: range, part: int, passes: int, unknown: float, frequent: _Frequent, others: Marks, buckets: int):
-    """Per piece of texts a row with what their tokens, if runs of one are asked for, and frequent runs of these lengths add up to, and for each bucket of
-    keys a row with the other runs that the model may hold: the keys text by text, and how many each text has. Of `passes` over the keys this is `part`."""
+_SENT = "piece long, n int, bucket int, counts binary, keys binary, ids array<long>, digests array<long>, sizes array<int>, sums binary"
+_SUMS = "piece long, ids array<long>, digests array<long>, sizes array<int>, sums binary"
+_PARTS = "doc_id long, digest long, rows long, n_tokens long, known double, base double, value double"
+
+
+def _sent(lengths: range, part: int, passes: int, unknown: float, frequent: _Frequent, others: Marks, common: np.ndarray, buckets: int):
+    """Per piece of texts a row that names them, with what their tokens, if runs of one are asked for, and frequent runs of these lengths add up to, and for
+    each bucket of keys a row with the other runs that the model may hold: how many each text has, and the runs text by text, as their two words if of
+    two, else as keys. Of `passes` over the keys this is `part`."""
+    names = _Names(common)
 
-    def row(bucket: int, ids: pa.Array, digests: pa.Array, counts: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    def row(piece: int, n: int, bucket: int, counts: bytes | None, keys: bytes | None, named: list[pa.Array], sums: bytes | None) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in named] or [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), one(ids), one(digests), one(pa.array(counts.astype(np.int32))), pa.array([keys.tobytes()], pa.binary()), one(pa.array(sums.reshape(-1)))],
-            names=["bucket", "ids", "digests", "counts", "keys", "sums"],
+            [pa.array([piece], pa.int64()), pa.array([n], pa.int32()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (counts, keys)), *lists, pa.array([sums], pa.binary())],
+            names=["piece", "n", "bucket", "counts", "keys", "ids", "digests", "sizes", "sums"],
         )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, pieces = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for at_row, keys, doc, left in _texts(batch.column("text")):
                 n = int(doc[-1]) + 1
-                ids, digests = (batch.column(c).slice(at_row, n) for c in ("doc_id", "digest"))
+                named = [batch.column(c).slice(at_row, n) for c in ("doc_id", "digest")]
                 size = np.bincount(doc, minlength=n) - 1
-                sums = np.zeros((n, 3))
+                # A name of the place and of the texts: parts of pieces that were made anew from other rows do not meet.
+                place = np.arange(n, dtype=np.uint64) + tokens.mix(np.array([made + pieces], np.uint64))
+                piece = int(tokens.mix(named[1].to_numpy().view(np.uint64) + tokens.mix(place)).sum().view(np.int64))
+                pieces += 1
+                sums = np.zeros((3, n))
                 if 1 in lengths:
-                    sums[:, 1] = size * unknown
-                run_of, run_key = [], []
+                    sums[1] = size * unknown
+                run_of, run_key, run_at = [], [], []
+                words = keys
                 for _ in range(1, lengths[0]):
                     keys = longer(keys)
                 for length in lengths:
@@ -413,68 +515,98 @@ def _sent(lengths: range, part: int, passes: int, unknown: float, frequent: _Fre
                     if passes > 1:
                         inside &= (keys & np.uint64(passes - 1)) == part
                     inside = np.flatnonzero(inside)
-                    own, of = keys[inside], doc[inside]
+                    own = keys[inside]
                     at, place = frequent.find(own)
+                    of = doc[inside[at]]
                     for c, values in frequent.sums.items():
-                        sums[:, c] += np.bincount(of[at], values[place], n)
+                        sums[c] += np.bincount(of, values[place], n)
                     rest = np.ones(len(own), bool)
                     rest[at] = False
-                    own, of = own[rest], of[rest]
+                    inside, own = inside[rest], own[rest]
                     may = others[own]
-                    run_of.append(of[may])
+                    run_of.append(doc[inside[may]])
                     run_key.append(own[may])
+                    run_at.append(inside[may])
                     keys = longer(keys)
-                run_of, run_key = np.concatenate(run_of), np.concatenate(run_key)
+                run_of, run_key, run_at = (np.concatenate(x) for x in (run_of, run_key, run_at))
                 bucket = _bucket(run_key, buckets)
-                order = np.lexsort((run_of, bucket))
+                order = np.argsort(bucket * n + run_of, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                yield row(at_row % buckets, ids, digests, size, run_key[:0], sums)
+                run_of, run_key = run_of[order], run_key[order]
+                if lengths == _PAIRS:
+                    pairs = [(own, names.numbers(own)) for own in (words[run_at[order] + i] for i in range(2))]
+                yield row(piece, n, at_row % buckets, None, None, [*named, pa.array(size.astype(np.int32))], sums.tobytes())
                 for b in np.flatnonzero(np.diff(ends)).tolist():
-                    own = order[ends[b] : ends[b + 1]]
-                    counts = np.bincount(run_of[own], minlength=n)
-                    some = np.flatnonzero(counts)
-                    yield row(b, ids.take(pa.array(some)), digests.take(pa.array(some)), counts[some], run_key[own], sums[:0])
+                    own = slice(ends[b], ends[b + 1])
+                    counts = np.bincount(run_of[own], minlength=n).astype(np.int32)
+                    content = b"".join(_sized(names.packed(x[own], i[own])) for x, i in pairs) if lengths == _PAIRS else run_key[own].tobytes()
+                    yield row(piece, n, b, _packed(counts.tobytes()), content, [], None)
 
     return of_batches
 
 
-_PARTS = "doc_id long, digest long, rows long, n_tokens long, known double, base double, value double"
+_PAIRS = range(2, 3)
+
+
+def _sized(content: bytes) -> bytes:
+    return len(content).to_bytes(8, "little") + content
 
 
-def _bucket_sums(sent: pa.Table, model: pa.Table) -> pa.Table:
-    """What the rows sent to one bucket add to their texts; keys that the model does not hold add nothing."""
-    known = _Frequent(model)
-    parts = []
-    for r in range(sent.num_rows):
-        ids, digests, counts, sums = (sent.column(c)[r].values for c in ("ids", "digests", "counts", "sums"))
-        counts, sums = counts.to_numpy(), sums.to_numpy().reshape(-1, 3)
-        whole = len(sums) > 0
-        if not whole:
-            sums = np.zeros((len(counts), 3))
-            at, place = known.find(np.frombuffer(sent.column("keys")[r].as_buffer(), np.uint64))
-            of = np.repeat(np.arange(len(counts)), counts)[at]
-            for c, values in known.sums.items():
-                sums[:, c] = np.bincount(of, values[place], len(counts))
-        zeros = np.zeros(len(counts), np.int64)
-        parts.append(pa.Table.from_arrays([ids, digests, pa.array(zeros + whole), pa.array(counts.astype(np.int64) if whole else zeros), *map(pa.array, sums.T)],
-                                          names=["doc_id", "digest", "rows", "n_tokens", "known", "base", "value"]))
-    types = [pa.int64()] * 4 + [pa.float64()] * 3
-    empty = pa.Table.from_arrays([pa.array([], t) for t in types], names=["doc_id", "digest", "rows", "n_tokens", "known", "base", "value"])
-    return pa.concat_tables([empty, *parts]).combine_chunks()
+def _pair_keys(common: np.ndarray, content: bytes, n: int) -> np.ndarray:
+    """Keys of the n runs of two words that `_sent` packed."""
+    end = 8 + int.from_bytes(content[:8], "little")
+    return join_keys(_keys(common, content[8:end], n), _keys(common, content[end + 8 :], n))
+
+
+def _bucket_sums(lengths: range, common: np.ndarray):
+    """What the runs sent to one bucket add to the texts of their pieces; keys that the model does not hold add nothing."""
+
+    def of_bucket(sent: pa.Table, model: pa.Table) -> pa.Table:
+        known = _Frequent(model)
+        packed = []
+        for counts, keys, n, sums in zip(*(sent.column(c).to_pylist() for c in ("counts", "keys", "n", "sums")), strict=True):
+            if sums is None:
+                counts = np.frombuffer(_unpacked(counts, 4 * n)[0], np.int32)
+                keys = _pair_keys(common, keys, int(counts.sum())) if lengths == _PAIRS else np.frombuffer(keys, np.uint64)
+                at, place = known.find(keys)
+                of = np.repeat(np.arange(n), counts)[at]
+                own = np.zeros((3, n))
+                for c, values in known.sums.items():
+                    own[c] = np.bincount(of, values[place], n)
+                sums = own.tobytes()
+            packed.append(_packed(sums))
+        return sent.select(["piece", "ids", "digests", "sizes"]).append_column("sums", pa.array(packed, pa.binary()))
+
+    return of_bucket
+
+
+def _piece_sums(parts: pa.Table) -> pa.Table:
+    """The texts of one piece with all that buckets have added to them."""
+    named = np.flatnonzero(parts.column("ids").is_valid().to_numpy())
+    if len(named) != 1:
+        raise ValueError("rows of a piece of texts changed while it was scored; write the table before")
+    ids, digests, sizes = (parts.column(c)[int(named[0])].values for c in ("ids", "digests", "sizes"))
+    n = len(ids)
+    sums = np.zeros((3, n))
+    for content in parts.column("sums").to_pylist():
+        sums += np.frombuffer(_unpacked(content, 24 * n)[0], np.float64).reshape(3, n)
+    return pa.table({"doc_id": ids, "digest": digests, "rows": np.ones(n, np.int64), "n_tokens": sizes.cast(pa.int64()), **dict(zip(("known", "base", "value"), sums, strict=True))})
 
 
 def _sums(docs: DataFrame, tree: Tree, lengths: range, part: int, passes: int, hot: int) -> DataFrame:
     """What runs of these lengths add to the texts of docs (doc_id, digest, text); with runs of one token also how many rows and tokens there are."""
     model = tree.rows(lengths).filter(F.col("key").bitwiseAND(F.lit(passes - 1)) == part)
-    least = _least(model, hot // passes)
+    ranks = _Ranks(model)
+    least = ranks.least(hot // passes)
+    others = ranks.below(least)
     frequent = _Frequent(model.filter(F.col("n") >= least).select("key", "known", "base", "value").toArrow())
     model = model.filter(F.col("n") < least).drop("n")
-    buckets = max(LEAST_BUCKETS, -(-model.count() // BUCKET_ROWS))
-    schema = "bucket int, ids array<long>, digests array<long>, counts array<int>, keys binary, sums array<double>"
-    sent = docs.mapInArrow(_sent(lengths, part, passes, tree.unknown, frequent, marks(model.select("key")), buckets), schema)
+    buckets = max(LEAST_BUCKETS, -(-others // BUCKET_ROWS))
+    common = _commonest(tree.words, _Ranks(tree.words)) if lengths == _PAIRS else np.zeros(0, np.uint64)
+    sent = docs.mapInArrow(_sent(lengths, part, passes, tree.unknown, frequent, marks(model.select("key"), others), common, buckets), _SENT)
     model = model.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(key, 48) * {buckets} div 65536 as int)"))
-    parts = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bucket_sums, _PARTS)
-    whole = parts.groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "base", "value")])
+    sums = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bucket_sums(lengths, common), _SUMS)
+    whole = sums.groupBy("piece").applyInArrow(_piece_sums, _PARTS)
     if 1 not in lengths:
         whole = whole.withColumns({"rows": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long")})
     return written(whole, "sums")

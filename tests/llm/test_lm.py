@@ -159,3 +159,42 @@ def test_shuffles_are_deleted_as_jobs_end(spark, docs_of):
         time.sleep(0.2)
     assert len(shuffled() - old) <= lm.DEPTH  # those of toArrow() stay until their frames go
     assert spark.conf.get(name, None) == before
+
+
+def test_runs_of_two_travel_as_numbers_and_texts_are_named_once(docs_of):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(400))) for i in range(200)]
+    docs = docs_of(rows).coalesce(1).selectExpr("doc_id", "xxhash64(text) digest", "text")
+    tokens = [lm.tokens.words(*lm.tokens.string_bytes(lm.pa.array([t]))).hash for _, t in rows]
+    common = np.unique(np.concatenate(tokens))
+    pairs = np.concatenate([lm.longer(t) for t in tokens])
+    marked = lm.Marks(15, [(0, b"\xff" * 4096)])
+    none = lm._Frequent(lm.pa.table({"key": [0], "known": [0], "base": [0.0], "value": [0.0]}).slice(0, 0).cast(lm.pa.schema([("key", "int64"), ("known", "int64"), ("base", "float64"), ("value", "float64")])))
+    sent = docs.mapInArrow(lm._sent(range(2, 3), 0, 1, -1.0, none, marked, common, 3), lm._SENT).collect()
+    assert sum(len(r.ids) for r in sent if r.ids is not None) == len(rows) and len(sent) > len({r.piece for r in sent})
+    runs = [r for r in sent if r.keys is not None]
+    keys = np.concatenate([lm._pair_keys(common, r.keys, sum(np.frombuffer(lm._unpacked(r.counts, 4 * r.n)[0], np.int32))) for r in runs])
+    assert len(keys) == len(pairs) + 2 * len(rows) and set(pairs.tolist()) <= set(keys.tolist())
+    assert sum(len(r.keys) + len(r.counts) for r in runs) < 6 * len(keys)
+
+
+def test_a_trained_tree_holds_no_chances(spark, docs_of):
+    tree = lm.train(docs_of(corpus(9, 200)))
+    tables = [spark.read.parquet(f) for rows in tree.runs for f in rows.inputFiles()]
+    assert len(tree.runs) == 6 and tables
+    assert not any({"chance", "ends"} & set(t.columns) for t in tables)
+
+
+def test_order_and_ranks(spark):
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 1 << 64, 5000, dtype=np.uint64), rng.integers(0, 40, 3000, dtype=np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)):
+        assert (keys[lm._order(keys)] == np.sort(keys)).all()
+        assert sorted(lm._order(keys, exact=False).tolist()) == list(range(len(keys)))
+    ns = [5, 9, 9, 1, 2, 2, 2, 30]
+    ranks = lm._Ranks(spark.createDataFrame([(n,) for n in ns], "n long"))
+    for most in range(10):
+        least = ranks.least(most)
+        fit = [n for n in ns if n >= least]
+        assert len(fit) <= most and ranks.below(least) == len(ns) - len(fit)
+        assert most >= len(ns) or len([n for n in ns if n >= least - 1]) > most
+    assert lm._Ranks(spark.createDataFrame([], "n long")).least(3) == 0
