@@ -160,3 +160,20 @@ def test_a_table_without_a_log_is_taken_over(spark, tmp_path):
 def test_manifests_are_plain_json(spark, root, tmp_path):
     body = json.loads((tmp_path / "table" / "_commits" / f"{2:020d}.json").read_text())
     assert body["applied"] == {"load": 1} and len(body["folders"]) == 2 and body["note"] == {"operation": "append"}
+
+
+def test_the_latest_version_is_found_without_a_listing(spark, root, tmp_path, monkeypatch):
+    log = CommitLog(spark, root)
+    assert log.read().version == 3
+    with monkeypatch.context() as patch:
+        patch.setattr(CommitLog, "names", lambda *_: pytest.fail("listed"))
+        assert log.read().version == 3
+        for n in (4, 5):
+            CommitLog(spark, root).commit(lambda latest: latest.folders, "load", n)
+        assert log.read().version == 5
+    # A log that was begun anew, and one whose early versions went, are found too.
+    for n in (5, 4, 3):
+        (tmp_path / "table" / "_commits" / f"{n:020d}.json").unlink()
+    assert log.read().version == 2 and log.versions() == [1, 2]
+    (tmp_path / "table" / "odd, name").mkdir()
+    assert set(log.names(log.root)) == {"_commits", "writer=load", "odd, name"} and log.names(log.root, "odd") == ["odd, name"]

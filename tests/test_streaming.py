@@ -148,3 +148,35 @@ def test_scratch_is_released(spark, tmp_path):
     assert os.path.isdir(local)
     release(spark)
     assert not os.path.exists(local)
+
+
+def test_a_batch_of_pages_is_one_job(spark, tmp_path):
+    pages, root, broken = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "broken")
+    pages.mkdir()
+    for i in range(6):
+        (pages / f"{i}.json").write_text(json.dumps({"results": [{"name": f"7.0.{i}"}, {"name": "7.0-rc1"}]}, indent=1))
+    files = store.stream_page_files(spark, str(pages), 2)
+    query = jobs.start_page_refresh(files, root, broken, str(tmp_path / "state"), must_exclude="-rc", once=True)
+    query.awaitTermination()
+    assert rows(store.read_catalog(spark, root), "tag") == [(f"7.0.{i}",) for i in range(6)]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) == 3
+    assert store.read_quarantine(spark, broken).count() == 0 and not list((tmp_path / "broken").iterdir())
+
+
+def test_a_batch_that_is_run_again_holds_back_what_it_reads(spark, tmp_path, monkeypatch):
+    pages, root, broken, state = tmp_path / "pages", str(tmp_path / "table"), str(tmp_path / "broken"), str(tmp_path / "state")
+    pages.mkdir()
+    (pages / "a.json").write_text('{"results": [')
+    run = lambda: jobs.start_page_refresh(store.stream_page_files(spark, str(pages)), root, broken, state, once=True).awaitTermination()
+
+    def stop(*_, **__):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store.CommitLog, "commit", stop)
+        with pytest.raises(Exception, match="stopped"):
+            run()
+    assert store.read_quarantine(spark, broken).count() == 1 and store.read_catalog(spark, root).count() == 0
+    (pages / "a.json").write_text('{"results": [{"name": "7.0"}]}')
+    run()
+    assert store.read_quarantine(spark, broken).count() == 0 and rows(store.read_catalog(spark, root), "tag") == [("7.0",)]
