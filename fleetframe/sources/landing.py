@@ -8,6 +8,7 @@ all of them, next to the list of these groups, which is found once, at landing.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetframe.operators.skew import HotKeys, hot_keys
-from fleetframe.session import scratch_path
+from fleetframe.session import scratch_path, settings
 from fleetframe.sources.commits import CommitLog
-from fleetframe.sources.nodes import typed_nodes, write_landed
+from fleetframe.sources.nodes import typed_nodes
 
 WRITER = "landing"
+#: Rows of a bucket, about; rows dealt into buckets in one step, at least; the most slices that rows are staged in; bytes that the writer of a slice holds.
+BUCKET_ROWS, SLICE_ROWS, SLICES, SLICE_BLOCK = 250_000, 1_000_000, 8, 16 << 20
+
+_SLICE = "__slice"
 
 
 @dataclass
@@ -50,26 +55,51 @@ def _table(spark: SparkSession, path: str) -> str:
 def land_nodes(landed: DataFrame, root: str, buckets: int | None = None, hot_rows: int | None = None) -> Landing:
     """Commit landed nodes as the next version of the inventory at ``root`` and open it.
 
-    Rows without a group lie with the usual ones. ``buckets`` (default: the number of shuffle partitions) is kept with the version; give it about one per
-    two million rows. ``hot_rows`` replaces the setting. With more hot groups than may be broadcast all rows go to plain files.
+    Rows without a group lie with the usual ones. ``buckets`` (default: the number of shuffle partitions) is the least number of buckets; there are as many
+    times more as it takes for them to hold about ``BUCKET_ROWS`` rows, which a task sorts in memory, at landing and in the work by group. ``hot_rows``
+    replaces the setting. With more hot groups than may be broadcast all rows go to plain files.
+
+    Besides the landing the disk holds its rows once more, and what one step shuffles: rows are staged in slices, a step deals a few of them into their
+    buckets, and a slice that is dealt is deleted, as are the shuffle files of jobs that have ended.
     """
     spark = landed.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Records are spread out once; counting and dealing read plain columns.
-    staged = scratch_path(spark, "landing")
-    write_landed(landed, staged)
-    rows = spark.read.schema(landed.schema).parquet(staged)
+    staged, log = scratch_path(spark, "landing"), CommitLog(spark, root)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        try:
+            return _land(landed, log, staged, buckets, hot_rows)
+        finally:
+            log.delete(staged)
+
+
+def _land(landed: DataFrame, log: CommitLog, staged: str, least: int, hot_rows: int | None) -> Landing:
+    spark = landed.sparkSession
+    # Records are spread out once; counting and dealing read plain columns. The rows of a bucket lie in one slice, whatever multiple of the least number
+    # of buckets there is. A writer for each slice spares the sort by slice.
+    slices = min(SLICES, least)
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters=slices + 1):
+        dealt = landed.withColumn(_SLICE, F.pmod(F.hash("grp"), F.lit(least)) % slices)
+        dealt.write.partitionBy(_SLICE).option("compression", "zstd").option("parquet.block.size", SLICE_BLOCK).parquet(staged)
+    read = lambda *paths: spark.read.schema(landed.schema).option("recursiveFileLookup", "true").parquet(*paths)
+    rows = read(staged)
     grouped = rows.where(F.col("grp").isNotNull())
     hot = hot_keys(grouped, ["grp"], hot_rows)
-    log = CommitLog(spark, root)
+    n = rows.count()
+    buckets = least * max(math.ceil(n / (least * BUCKET_ROWS)), 1)
     folder = f"writer={WRITER}/batch={log.read().version}/write={uuid.uuid4().hex}"
-    usual = rows.limit(0) if hot.many else hot.without(rows) if hot else rows
     large = grouped if hot.many else hot.only(grouped) if hot else rows.limit(0)
-    if hot.many:
-        usual = rows.where(F.col("grp").isNull())
+    large.repartitionByRange("grp", "seq").sortWithinPartitions("grp", "seq").write.option("compression", "zstd").parquet(log.folder(f"{folder}/large"))
     path = log.folder(f"{folder}/usual")
-    usual.repartition(buckets, "grp").write.bucketBy(buckets, "grp").sortBy("grp", "seq").option("path", path).saveAsTable(_table(spark, path))
-    large.repartitionByRange("grp", "seq").sortWithinPartitions("grp", "seq").write.parquet(log.folder(f"{folder}/large"))
+    parts = [f"{staged}/{name}" for name in log.names(log.at(staged), f"{_SLICE}=")]
+    steps = min(max(math.ceil(n / SLICE_ROWS), 1), max(len(parts), 1))
+    for step in range(steps):
+        mine = parts[step::steps]
+        rows = read(*(mine or [staged]))
+        usual = rows.where(F.col("grp").isNull()) if hot.many else hot.without(rows) if hot else rows
+        writer = usual.repartition(buckets, "grp").write.mode("append").bucketBy(buckets, "grp").sortBy("grp", "seq")
+        writer.option("path", path).option("compression", "zstd").saveAsTable(_table(spark, path))
+        for part in mine:
+            log.delete(part)
     groups = [list(r) for r in hot.rows.collect()] if hot.rows is not None else []
     snapshot = log.commit(lambda _: (folder,), operation="land", buckets=buckets, groups=groups, many=hot.many, schema=landed.schema.json())
     return _open(spark, log, snapshot.version)

@@ -73,3 +73,42 @@ def test_rows_without_a_group_and_empty_inventories(spark, landed, tmp_path):
     assert made.nodes().where("grp is null").count() == 2
     assert rows(made.by_group(WORK["summary"]), "grp") == rows(WORK["summary"](typed_nodes(landed), None), "grp")
     assert landing.land_nodes(landed.limit(0), str(tmp_path / "b")).by_group(WORK["summary"]).count() == 0
+
+
+@pytest.mark.parametrize(("limit", "most"), [(1_000_000, 10_000), (10, 10_000), (10, 1)])
+def test_large_inventories_are_dealt_in_steps(spark, landed, tmp_path, monkeypatch, limit, most):
+    monkeypatch.setattr(landing, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(landing, "SLICE_ROWS", 10)
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(landing, "scratch_path", lambda _, label: str(shared / label))
+    steps, deleted = [], landing.CommitLog.delete
+    monkeypatch.setattr(landing.CommitLog, "delete", lambda self, path: (steps.append(path), deleted(self, path)))
+    try:
+        spark.conf.set("spark.fleetframe.hotRows", limit)
+        spark.conf.set("spark.fleetframe.broadcastRows", most)
+        made = landing.land_nodes(landed, str(tmp_path / "inv"), buckets=3)
+        assert made.hot.many == (most == 1)
+        # The staged rows go slice by slice, and nothing is left of them.
+        assert len(steps) == 4 and not (shared / "landing").exists()
+        for work in WORK.values():
+            plain = work(typed_nodes(landed), None)
+            assert rows(made.by_group(work), *plain.columns) == rows(plain, *plain.columns)
+        assert rows(made.nodes(), "seq", "grp", "port") == rows(typed_nodes(landed), "seq", "grp", "port")
+    finally:
+        spark.conf.unset("spark.fleetframe.hotRows")
+        spark.conf.unset("spark.fleetframe.broadcastRows")
+    # A bucket holds about BUCKET_ROWS rows however few buckets were asked for, in one file.
+    folder = landing.CommitLog(spark, str(tmp_path / "inv")).read()
+    assert folder.note["buckets"] == 3 * -(-landed.count() // 12)
+    files = [f.name.rsplit("_", 1)[1].split(".")[0] for f in (tmp_path / "inv" / folder.folders[0] / "usual").glob("*.parquet")]
+    assert len(files) == len(set(files)) or most == 1
+    assert "Exchange" not in plan_of(made.by_group(WORK["summary"])) or limit == 10
+
+
+def test_shuffle_files_go_as_jobs_of_a_landing_end(spark, landed, tmp_path, monkeypatch):
+    plain, seen = landing._land, []
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(landing, "_land", lambda *a: (seen.append(spark.conf.get(name)), plain(*a))[1])
+    before = spark.conf.get(name)
+    landing.land_nodes(landed, str(tmp_path / "inv"), buckets=2)
+    assert seen == ["true"] and spark.conf.get(name) == before
